@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def normal_upper(z: float) -> float:
@@ -76,21 +77,21 @@ def _series(fn, *args) -> pd.Series:
     return pd.Series([fn(*v) if good else None for good, v in zip(ok, zip(*args))], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_upper_p(z: pd.Series) -> pd.Series:
     return _series(normal_upper, z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _series(student_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_upper_p(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return _series(lambda a, b, c: binomial_upper(int(a), int(b), c), k, n, p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_two_sided_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return _series(lambda w, x, y, z: fisher_two_sided(int(w), int(x), int(y), int(z)), a, b, c, d)

@@ -48,10 +48,11 @@ def classify_by_table(df: DataFrame, x: str, keywords: DataFrame, *, absent: str
     """
     ordered = keywords.agg(F.array_sort(F.collect_list(
         F.struct("priority", F.lower("keyword").alias("keyword"), F.col("class").alias("class")))).alias("k"))
+    rows = df.withColumn("_k", ordered.scalar())
     low = F.lower(F.col(x))
-    first = F.filter(ordered.scalar(), lambda s: low.contains(s["keyword"]))
+    first = F.filter("_k", lambda s: low.contains(s["keyword"]))
     cls = F.coalesce(F.get(first, F.lit(0))["class"], F.lit(other))
-    return df.withColumn(out, F.when(present(x), cls).otherwise(F.lit(absent).cast("string")))
+    return rows.withColumn(out, F.when(present(x), cls).otherwise(F.lit(absent).cast("string"))).drop("_k")
 
 
 def first_token(x: Column | str, sep: str = "|") -> Column:

@@ -115,3 +115,24 @@ def pair_set_overlap(pairs: DataFrame, members: DataFrame, key: str, item: str)
     j = a.join(shared, ["rep", f"{key}_a", f"{key}_b"], "left").na.fill(0, ["_both"])
     union = F.col("_na") + F.col("_nb") - F.col("_both")
     return j.withColumn("jaccard", F.col("_both") / union).drop("_na", "_nb", "_both")
+
+
+def band_pair_count(high: DataFrame, low: DataFrame, x: str, tolerance: float, digits: int = 9) -> DataFrame:
+    """Per distinct x of ``high``: how many ``low`` rows lie within the tolerance, without forming pairs.
+
+    One ladder holds the low values and both band edges of the high ones; the running
+    count of low rows at the edges gives the partners.
+    """
+    from .ladder import running
+    lo = low.filter(F.col(x).isNotNull()).select(F.round(x, digits).alias("v"), F.lit(1).cast("long").alias("is_low"))
+    hv = high.filter(F.col(x).isNotNull()).groupBy(F.round(x, digits).alias("x")).agg(F.count(F.lit(1)).alias("n_high"))
+    edges = F.array(F.struct(F.round(F.col("x") - tolerance, digits).alias("v"), F.lit(0).alias("end")),
+                    F.struct(F.round(F.col("x") + tolerance, digits).alias("v"), F.lit(1).alias("end")))
+    ev = hv.select("x", "n_high", F.explode(edges).alias("e")).select("x", "n_high", "e.v", "e.end")
+    points = lo.unionByName(ev.select("v", F.lit(0).cast("long").alias("is_low")))
+    ladder = running(points.groupBy("v").agg(F.sum("is_low").alias("is_low")), [], ["v"], ["is_low"])
+    j = ev.join(ladder, "v")
+    below = F.max(F.when(F.col("end") == 0, F.col("is_low_before")))
+    upto = F.max(F.when(F.col("end") == 1, F.col("is_low_before") + F.col("is_low")))
+    return j.groupBy("x", "n_high").agg((upto - below).alias("per_row")).select(
+        "x", "n_high", (F.col("n_high") * F.col("per_row")).alias("n_partners"))
