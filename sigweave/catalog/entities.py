@@ -254,7 +254,7 @@ SELECT entity, count(*) AS n, round(corr(rq, rp), 6) + 0 AS rho FROM r GROUP BY
 def rank_correlation_per_entity(spark, sf):
     x = A.sales_lines(spark, sf).groupBy(F.col("p_brand").alias("entity"), "s_nationkey").agg(
         F.sum("l_quantity").alias("q"), F.round(F.avg("l_extendedprice"), 6).alias("p"))
-    return spearman(x, ["entity"], "q", "p")
+    return spearman(x, ["entity"], "q", "p", bounded=True)
 
 
 REGIONED = """reg AS (SELECT n_regionkey::BIGINT AS region, sig.* FROM sig JOIN nation ON n_nationkey = context)"""

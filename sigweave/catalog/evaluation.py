@@ -41,7 +41,7 @@ def folds_sql(src: str = "loo", lam: str = "1", extra: str = "") -> str:
     return f"""fr AS (SELECT {by}, round(train_di, 12) AS raw, round(train_di - {lam} * train_frechet, 12) AS ts,
    round(holdout_cosine, 12) AS hc FROM {src}),
 rk AS (SELECT {by}, {mid_rank('raw', by)} AS a, {mid_rank('ts', by)} AS b, {mid_rank('hc', by)} AS c FROM fr),
-folds AS (SELECT *, ts_spearman - raw_spearman AS delta, ts_spearman > raw_spearman AS ts_wins FROM (
+folds AS (SELECT *, round(ts_spearman - raw_spearman, 12) AS delta, round(ts_spearman - raw_spearman, 12) > 0 AS ts_wins FROM (
    SELECT {by}, count(*) AS n, corr(a, c) AS raw_spearman, corr(b, c) AS ts_spearman FROM rk GROUP BY {by} HAVING count(*) >= 20))"""
 
 
@@ -134,7 +134,7 @@ SELECT count(*) AS n, round(corr(a, b), 6) + 0 AS rho FROM (SELECT {mid_rank('n'
 def frequency_gain(spark, sf):
     f = loo.fold_table(_loo(spark, sf, "l_partkey"), "context").select(
         F.col("n").alias("size"), F.round("delta", 9).alias("delta"))
-    return spearman(f, [], "size", "delta")
+    return spearman(f, [], "size", "delta", bounded=True)
 
 
 @query("bootstrap_fold_gain", A.ctes(A.SALES, A.UNIT, LOO, folds_sql(), """ix AS (

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,21 +21,26 @@ BLOCK_SIZE = 128
 
 
 def block_pairs(df: DataFrame, by: Sequence[str], member: str, payload: Sequence[str],
-                block_size: int = BLOCK_SIZE) -> DataFrame:
-    """Rows ``by``, ``left``, ``right``: two arrays of struct(member, *payload)."""
+                block_size: int = BLOCK_SIZE, size: Column | None = None) -> DataFrame:
+    """Rows ``by``, ``left``, ``right``: two arrays of struct(member, *payload).
+
+    ``size`` is the number of members of the row's group where that is known already.
+    Both sides of the join keep the same columns, so they read one shuffle.
+    """
     by = list(by)
-    sizes = df.groupBy(*by).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_size)).cast("int").alias("_nb"))
-    rows = df.select(*by, member, *payload).join(sizes, by)
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64(member), F.col("_nb")).cast("int"))
-    blocks = rows.groupBy(*by, "_b").agg(
-        F.max("_nb").alias("_nb"),
-        F.collect_list(F.struct(F.col(member).alias("member"), *payload)).alias("_items"))
+    if size is None:
+        counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+        df, size = df.join(counted, by), F.col("_size")
+    blocks_of = F.ceil(size / F.lit(block_size)).cast("int")
+    rows = df.select(*by, F.col(member).alias("member"), *payload, blocks_of.alias("_nb"))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("member"), F.col("_nb")).cast("int"))
+    blocks = rows.groupBy(*by, "_nb", "_b").agg(
+        F.collect_list(F.struct("member", *payload)).alias("_items"))
     left = blocks.select(
-        *by, F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_o"),
+        *by, "_nb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_o"),
         F.col("_items").alias("left"))
-    right = blocks.select(*by, F.col("_b").alias("_o"), F.col("_items").alias("right"))
-    return left.join(right, [*by, "_o"]).drop("_o")
+    right = blocks.select(*by, "_nb", F.col("_b").alias("_o"), F.col("_items").alias("right"))
+    return left.join(right, [*by, "_nb", "_o"]).drop("_o", "_nb")
 
 
 class Side:
@@ -86,7 +91,7 @@ def angular_spread_kernel(batch: pa.RecordBatch, left: Side, right: Side):
 
     Payload: unit vector ``u``, ``g`` = u.T, and ``t`` = norm of T - u. The mean
     direction without h is (T - u_h) / (t_h + eps (K-1)), so u_i . mean_h needs
-    only g_i and u_i.u_h.
+    only g_i and u_i.u_h. The scalars of the left member pass through.
     """
     ul, ur = left.matrix("u"), right.matrix("u")
     tl, gr = left.scalars("t"), right.scalars("g")
@@ -100,7 +105,8 @@ def angular_spread_kernel(batch: pa.RecordBatch, left: Side, right: Side):
         angle[ml[a:b, None] == mr[None, c:d]] = 0.0
         partial[a:b] = angle.sum(axis=1)
     rows = np.repeat(np.arange(batch.num_rows), np.diff(left.start))
-    return rows, {"member": left.field("member"), "partial": pa.array(partial)}
+    passed = {c: left.field(c) for c in ("member", "n_train", "train_di", "holdout_cosine")}
+    return rows, {**passed, "partial": pa.array(partial)}
 
 
 def overlap_kernel(batch: pa.RecordBatch, left: Side, right: Side):

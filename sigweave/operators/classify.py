@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach
-from .ladder import quantiles, running
+from .ladder import ladder, quantiles
 
 
 def at_least(x: Column | str, cut: Column | float) -> Column:
@@ -38,18 +38,18 @@ def label_by_median(df: DataFrame, by: Sequence[str], x: str, out: str = "label"
     return attach(df, cut, by).withColumn(out, at_least(x, F.col("_cut"))).drop("_cut")
 
 
-def _cells(df: DataFrame, by: Sequence[str], score: str, label: str, weight: str | None) -> DataFrame:
+def _rows(df: DataFrame, by: Sequence[str], score: str, label: str, weight: str | None) -> DataFrame:
+    """Score with its positive weight ``p`` and negative weight ``q``."""
     w = F.col(weight) if weight else F.lit(1).cast("long")
     pos = F.when(F.col(label) == 1, w).otherwise(0)
-    rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    return rows.groupBy(*by, F.col(score).alias("_score")).agg(
-        F.sum(pos).alias("p"), F.sum(w - pos).alias("q"))
+    return df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
+        *by, F.col(score).cast("double").alias("_score"), pos.alias("p"), (w - pos).alias("q"))
 
 
 def auroc(df: DataFrame, by: Sequence[str], score: str, label: str, *,
           weight: str | None = None, out: str = "auroc") -> DataFrame:
     """Area under the ROC curve per group, ties counted half; NULL with one class only."""
-    lad = running(_cells(df, by, score, label, weight), by, ["_score"], ["q"])
+    lad = ladder(_rows(df, by, score, label, weight), by, "_score", ["p", "q"])
     g = lad.groupBy(*by).agg(
         F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"),
         F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2.0)).alias("_u"))
@@ -61,7 +61,7 @@ def auroc(df: DataFrame, by: Sequence[str], score: str, label: str, *,
 def average_precision(df: DataFrame, by: Sequence[str], score: str, label: str, *,
                       weight: str | None = None, out: str = "auprc") -> DataFrame:
     """Step-wise average precision per group; NULL without positives."""
-    lad = running(_cells(df, by, score, label, weight), by, ["_score"], ["p", "q"], descending=True)
+    lad = ladder(_rows(df, by, score, label, weight), by, "_score", ["p", "q"], descending=True)
     tp = F.col("p_before") + F.col("p")
     seen = tp + F.col("q_before") + F.col("q")
     g = lad.groupBy(*by).agg(
@@ -74,7 +74,7 @@ def average_precision(df: DataFrame, by: Sequence[str], score: str, label: str,
 def roc_and_pr(df: DataFrame, by: Sequence[str], score: str, label: str, *,
                weight: str | None = None) -> DataFrame:
     """Both metrics from one descending ladder."""
-    lad = running(_cells(df, by, score, label, weight), by, ["_score"], ["p", "q"], descending=True)
+    lad = ladder(_rows(df, by, score, label, weight), by, "_score", ["p", "q"], descending=True)
     tp = F.col("p_before") + F.col("p")
     seen = tp + F.col("q_before") + F.col("q")
     below = F.col("q_total") - F.col("q_before") - F.col("q") / 2.0
@@ -101,13 +101,11 @@ def one_vs_rest_auroc(df: DataFrame, by: Sequence[str], score: str, cls: str, *,
     ``min_class`` rows. A class with fewer than 2 rows, or all of them, is skipped.
     """
     by = list(by)
-    w = F.sum(weight) if weight else F.count(F.lit(1))
-    rows = df.filter(F.col(score).isNotNull())
-    cells = rows.groupBy(*by, F.col(score).alias("_score"), F.col(cls).alias(cls)).agg(w.alias("c"))
-    everyone = cells.groupBy(*by, "_score").agg(F.sum("c").alias("a"))
-    all_ladder = running(everyone, by, ["_score"], ["a"])
-    own = cells.filter(F.col(cls).isNotNull())
-    own = running(own, [*by, cls], ["_score"], ["c"])
+    w = F.col(weight) if weight else F.lit(1).cast("long")
+    rows = df.filter(F.col(score).isNotNull()).select(
+        *by, cls, F.col(score).cast("double").alias("_score"), w.alias("a"), w.alias("c"))
+    all_ladder = ladder(rows, by, "_score", ["a"])
+    own = ladder(rows.filter(F.col(cls).isNotNull()), [*by, cls], "_score", ["c"])
     j = own.join(all_ladder, [*by, "_score"])
     rest_before = F.col("a_before") - F.col("c_before")
     rest_here = F.col("a") - F.col("c")

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
+
+_HELD: list[DataFrame] = []
 
 
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -20,6 +23,22 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.withColumn("_row", row).select(*df.columns, *[F.col("_row")[c].alias(c) for c in cols])
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Mark a narrow intermediate that several branches of one plan read.
+
+    Lazy: the first branch fills it, partitions spill to local disk, and a lost
+    partition is recomputed from its lineage. ``release`` drops all of them.
+    """
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _HELD.append(held)
+    return held
+
+
+def release() -> None:
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
 def unpivot(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: str,
             value: str) -> DataFrame:
     """Wide score columns to (name, value) rows."""

@@ -30,17 +30,34 @@ def value_bucket(x: Column, resolution: int = RESOLUTION) -> Column:
     return F.floor(F.signum(x) * F.log2(1.0 + F.abs(x) * float(2**30)) * resolution).cast("long")
 
 
+def _bucket(order: str, descending: bool, resolution: int) -> Column:
+    b = value_bucket(F.col(order), resolution)
+    return F.coalesce(-b if descending else b, F.lit(0).cast("long"))
+
+
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str], *,
-            descending: bool = False, resolution: int = RESOLUTION) -> DataFrame:
+            descending: bool = False, resolution: int = RESOLUTION,
+            totals_from: DataFrame | None = None, bounded: bool = False) -> DataFrame:
     """Add ``<s>_before`` (sum over earlier rows of the group) and ``<s>_total``.
 
     ``order[0]`` must be a non-null number; the remaining columns break ties and
-    the whole of ``order`` must be unique within ``by``.
+    the whole of ``order`` must be unique within ``by``. ``totals_from`` may hold the
+    same sums before rows were combined, which spares the totals a shuffle.
+    ``bounded`` says that a group is small by construction (replicates, folds,
+    contexts): then one plain window does.
     """
     by = list(by)
-    bucket = value_bucket(F.col(order[0]), resolution)
-    rows = df.withColumn("_bucket", -bucket if descending else bucket)
-    totals = rows.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    keys = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
+    if bounded:
+        group = Window.partitionBy(*(by or [F.lit(0)]))
+        prior = group.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(
+            "*", *[F.coalesce(F.sum(s).over(prior), F.lit(0)).alias(f"{s}_before") for s in sums],
+            *[F.sum(s).over(group).alias(f"{s}_total") for s in sums])
+    bucket = _bucket(order[0], descending, resolution)
+    rows = df.withColumn("_bucket", bucket)
+    source = rows if totals_from is None else totals_from.withColumn("_bucket", bucket)
+    totals = source.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     group = Window.partitionBy(*(by or [F.lit(0)]))
     earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -48,7 +65,6 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequen
         *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.sum(f"_t_{s}").over(group).alias(f"{s}_total") for s in sums],
     )
-    keys = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
     local = (Window.partitionBy(*by, "_bucket").orderBy(*keys)
              .rowsBetween(Window.unboundedPreceding, -1))
     inside = rows.select(
@@ -62,23 +78,32 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequen
     )
 
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str,
-                 weight: str | None = None) -> DataFrame:
-    """The ladder: distinct non-null values with their (weighted) count ``w``."""
-    w = F.sum(weight) if weight else F.count(F.lit(1))
-    return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(w.alias("w"))
+def ladder(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], *,
+           descending: bool = False, bounded: bool = False) -> DataFrame:
+    """Distinct non-null values of a group with the sums of ``sums`` and their running sums."""
+    rows = df.filter(F.col(value).isNotNull()).select(*by, value, *sums)
+    cells = rows.groupBy(*by, value).agg(*[F.sum(s).alias(s) for s in sums])
+    return running(cells, by, [value], sums, descending=descending, totals_from=rows, bounded=bounded)
+
+
+def weighted(df: DataFrame, weight: str | None) -> DataFrame:
+    """Add ``w``: the given weight, or 1."""
+    return df.withColumn("w", F.col(weight) if weight else F.lit(1).cast("long"))
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None,
-                  rank: str = "rank") -> DataFrame:
+                  rank: str = "rank", bounded: bool = False) -> DataFrame:
     """Per distinct value: mid-rank of its ties, tie size ``w`` and group size ``w_total``."""
-    ladder = running(value_counts(df, by, value, weight), by, [value], ["w"])
-    return ladder.withColumn(rank, F.col("w_before") + (F.col("w") + 1) / 2.0).drop("w_before")
+    lad = ladder(weighted(df, weight), by, value, ["w"], bounded=bounded)
+    return lad.withColumn(rank, F.col("w_before") + (F.col("w") + 1) / 2.0).drop("w_before")
 
 
 def row_index(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "idx", *,
               descending: bool = False) -> DataFrame:
-    """0-based position in the group's order, and the group size ``n``."""
+    """0-based position in the group's order, and the group size ``n``.
+
+    ``order[0]`` must be numeric: index text keys by a hash of theirs and the key.
+    """
     one = running(df.withColumn("_one", F.lit(1).cast("long")), by, order, ["_one"],
                   descending=descending)
     return (one.withColumnRenamed("_one_before", out).withColumnRenamed("_one_total", "n")
@@ -88,7 +113,7 @@ def row_index(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str =
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],
               weight: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of ``probs``."""
-    ladder = running(value_counts(df, by, value, weight), by, [value], ["w"])
+    lad = ladder(weighted(df, weight), by, value, ["w"])
     after = F.col("w_before") + F.col("w")
     aggs = []
     for name, p in probs.items():
@@ -97,7 +122,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
         for tag, pos in (("lo", lo), ("hi", hi)):
             hit = (F.col("w_before") <= pos) & (pos < after)
             aggs.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"_{tag}_{name}"))
-    g = ladder.groupBy(*by).agg(F.max("w_total").alias("_n"), *aggs)
+    g = lad.groupBy(*by).agg(F.max("w_total").alias("_n"), *aggs)
     cols = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_n") - 1)

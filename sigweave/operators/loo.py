@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from . import blocks
+from .common import attach, reuse, unpivot
 from .geometry import vector_sums
 from .rankstats import spearman, wilcoxon_signed_rank
 
@@ -49,16 +50,18 @@ def leave_one_out(df: DataFrame, by: Sequence[str], context: str, *, vec: str =
     """``holdout_rows`` plus the train-side Fréchet variance and transport-stable score."""
     by = list(by)
     rows = holdout_rows(df, by, context, vec=vec, min_train=min_train)
-    coded = rows.withColumn("code", F.xxhash64(context))
-    pairs = blocks.block_pairs(coded, by, context, ["code", "u", "g", "t"], block_size)
-    member = T.StructField("member", df.schema[context].dataType)
-    partial = blocks.map_blocks(pairs, by, blocks.angular_spread_kernel,
-                                [member, T.StructField("partial", T.DoubleType())])
-    spread = partial.groupBy(*by, F.col("member").alias(context)).agg(
-        F.sum("partial").alias("_angles"))
-    joined = rows.drop("u", "g", "t").join(spread, [*by, context])
+    rows = rows.withColumn("code", F.xxhash64(context))
+    payload = ["code", "u", "g", "t", "n_train", "train_di", "holdout_cosine"]
+    pairs = blocks.block_pairs(rows, by, context, payload, block_size, F.col("n_train") + 1)
+    out = [T.StructField("member", df.schema[context].dataType), T.StructField("n_train", T.LongType()),
+           T.StructField("train_di", T.DoubleType()), T.StructField("holdout_cosine", T.DoubleType()),
+           T.StructField("partial", T.DoubleType())]
+    partial = blocks.map_blocks(pairs, by, blocks.angular_spread_kernel, out)
+    whole = partial.groupBy(*by, F.col("member").alias(context)).agg(
+        F.max("n_train").alias("n_train"), F.max("train_di").alias("train_di"),
+        F.max("holdout_cosine").alias("holdout_cosine"), F.sum("partial").alias("_angles"))
     fv = F.col("_angles") / F.col("n_train")
-    return joined.withColumn("train_frechet", fv).withColumn(
+    return whole.withColumn("train_frechet", fv).withColumn(
         "train_ts", F.col("train_di") - float(penalty) * fv).drop("_angles")
 
 
@@ -69,17 +72,23 @@ def sweep_penalty(loo: DataFrame, penalties: Sequence[float], name: str = "penal
     return out.withColumn("train_ts", F.col("train_di") - F.col(name) * F.col("train_frechet"))
 
 
-def fold_table(loo: DataFrame, context: str, *, by: Sequence[str] = (), min_n: int = 20) -> DataFrame:
-    """Per held-out context: Spearman of DI and of TS against the hold-out cosine, strict win."""
+def fold_table(loo: DataFrame, context: str, *, by: Sequence[str] = (), min_n: int = 20,
+               digits: int = 12) -> DataFrame:
+    """Per held-out context: Spearman of DI and of TS against the hold-out cosine, strict win.
+
+    Scores are rounded to ``digits`` so that equal scores tie in every evaluation.
+    """
     keys = [*by, context]
-    named = loo.select(
-        *keys, F.round("train_di", 12).alias("raw"), F.round("train_ts", 12).alias("ts"),
-        F.round("holdout_cosine", 12).alias("holdout_cosine"))
-    raw = spearman(named, keys, "raw", "holdout_cosine", rho="raw_spearman")
-    ts = spearman(named, keys, "ts", "holdout_cosine", rho="ts_spearman").drop("n")
-    folds = raw.filter(F.col("n") >= min_n).join(ts, keys)
-    return folds.withColumn("delta", F.col("ts_spearman") - F.col("raw_spearman")).withColumn(
-        "ts_wins", F.col("ts_spearman") > F.col("raw_spearman"))
+    scores = reuse(loo.select(
+        *keys, F.round("train_di", digits).alias("raw"), F.round("train_ts", digits).alias("ts"),
+        F.round("holdout_cosine", digits).alias("_held")))
+    rho = spearman(unpivot(scores, [*keys, "_held"], ["raw", "ts"], "score", "value"),
+                   [*keys, "score"], "value", "_held")
+    pick = lambda s: F.max(F.when(F.col("score") == s, F.col("rho")))
+    folds = rho.groupBy(*keys).agg(F.max("n").alias("n"), pick("raw").alias("raw_spearman"),
+                                   pick("ts").alias("ts_spearman")).filter(F.col("n") >= min_n)
+    return folds.withColumn("delta", F.round(F.col("ts_spearman") - F.col("raw_spearman"), digits)).withColumn(
+        "ts_wins", F.col("delta") > 0)
 
 
 def fold_summary(folds: DataFrame, *, by: Sequence[str] = (), win_fraction: float = 0.8) -> DataFrame:
@@ -88,6 +97,7 @@ def fold_summary(folds: DataFrame, *, by: Sequence[str] = (), win_fraction: floa
     Fold counts are bounded by the number of contexts, so the medians are built in.
     """
     by = list(by)
+    folds = reuse(folds)
     g = folds.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_folds"),
         F.sum(F.col("ts_wins").cast("int")).alias("wins"),
@@ -97,10 +107,9 @@ def fold_summary(folds: DataFrame, *, by: Sequence[str] = (), win_fraction: floa
     needed = F.ceil(win_fraction * F.col("n_folds"))
     g = g.withColumn("win_fraction", F.col("wins") / F.col("n_folds")).withColumn(
         "needed_wins", needed).withColumn("confirmed", F.col("wins") >= needed)
-    w = wilcoxon_signed_rank(folds, by, "delta", alternative="greater")
+    w = wilcoxon_signed_rank(folds, by, "delta", alternative="greater", bounded=True)
     if by:
         return g.join(w, by, "left")
-    from .common import attach
     return attach(g, w, [])
 
 

@@ -8,25 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues as P
-from .ladder import average_ranks, running, value_counts
+from .ladder import average_ranks, ladder
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, *, weight: str | None = None,
-             rho: str = "rho") -> DataFrame:
+             rho: str = "rho", bounded: bool = False) -> DataFrame:
     """Spearman correlation per group: Pearson on mid-ranks, weights as repeat counts.
 
-    Rows collapse to distinct (x, y) first; ranks come from the ladders of x and y.
-    NULL when either side is constant.
+    Ranks come from the ladders of x and y and join back on the value. NULL when
+    either side is constant. ``bounded`` groups (contexts of an entity, folds) take
+    a single shuffle and plain windows.
     """
     by = list(by)
-    w = F.sum(weight) if weight else F.count(F.lit(1))
-    pairs = (df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-             .groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(w.alias("_w")))
-    joined = pairs
-    for v, c in (("_x", "_cx"), ("_y", "_cy")):
-        ranks = average_ranks(pairs, by, v, "_w", "_r")
-        centred = F.col("_r") - (F.col("w_total") + 1) / 2.0
-        joined = joined.join(ranks.select(*by, v, centred.alias(c)), [*by, v])
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
+        (F.col(weight) if weight else F.lit(1).cast("long")).alias("_w"))
+    if bounded:
+        joined = rows
+        for v, c in (("_x", "_cx"), ("_y", "_cy")):
+            joined = joined.withColumn(c, _window_rank(by, v))
+    else:
+        joined = rows
+        for v, c in (("_x", "_cx"), ("_y", "_cy")):
+            ranks = average_ranks(rows, by, v, "_w", "_r")
+            centred = F.col("_r") - (F.col("w_total") + 1) / 2.0
+            joined = joined.join(ranks.select(*by, v, centred.alias(c)), [*by, v])
     a, b, k = F.col("_cx"), F.col("_cy"), F.col("_w")
     g = joined.groupBy(*by).agg(
         F.sum("_w").alias("n"), F.sum(k * a * b).alias("_xy"),
@@ -36,6 +42,15 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, *, weight: str |
     return g.select(*by, "n", value.alias(rho))
 
 
+def _window_rank(by: Sequence[str], value: str) -> Column:
+    """Centred weighted mid-rank by windows inside one small group."""
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    upto = group.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = group.orderBy(value).rangeBetween(Window.currentRow, Window.currentRow)
+    last, t, n = F.sum("_w").over(upto), F.sum("_w").over(ties), F.sum("_w").over(group)
+    return last - (t - 1) / 2.0 - (n + 1) / 2.0
+
+
 def spearman_test(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Spearman rho, its t statistic on n-2 degrees of freedom, and the two-sided p."""
     s = spearman(df, by, x, y)
@@ -98,9 +113,9 @@ def mann_whitney(df: DataFrame, by: Sequence[str], value: str, group: str, *,
     """
     by = list(by)
     is_one = (F.col(group).cast("int") == 1).cast("long")
-    cells = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(
-        *by, value).agg(F.count(F.lit(1)).alias("w"), F.sum(is_one).alias("n1"))
-    lad = running(cells, by, [value], ["w"])
+    rows = df.filter(F.col(group).isNotNull()).select(
+        *by, value, F.lit(1).cast("long").alias("w"), is_one.alias("n1"))
+    lad = ladder(rows, by, value, ["w", "n1"])
     rank = F.col("w_before") + (F.col("w") + 1) / 2.0
     ties = F.col("w").cast("double") ** 3 - F.col("w")
     g = lad.groupBy(*by).agg(
@@ -121,16 +136,16 @@ def mann_whitney(df: DataFrame, by: Sequence[str], value: str, group: str, *,
 
 
 def wilcoxon_signed_rank(df: DataFrame, by: Sequence[str], delta: str, *,
-                         alternative: str = "greater") -> DataFrame:
+                         alternative: str = "greater", bounded: bool = False) -> DataFrame:
     """Signed-rank test on differences: zeros dropped, tie-corrected, no continuity term.
 
     A group with only zeros has no row.
     """
     by = list(by)
     sized = df.filter(F.col(delta) != 0).select(
-        *by, F.abs(delta).alias("_a"), (F.col(delta) > 0).cast("long").alias("_up"))
-    cells = sized.groupBy(*by, "_a").agg(F.count(F.lit(1)).alias("w"), F.sum("_up").alias("_up"))
-    lad = running(cells, by, ["_a"], ["w"])
+        *by, F.abs(delta).alias("_a"), F.lit(1).cast("long").alias("w"),
+        (F.col(delta) > 0).cast("long").alias("_up"))
+    lad = ladder(sized, by, "_a", ["w", "_up"], bounded=bounded)
     rank = F.col("w_before") + (F.col("w") + 1) / 2.0
     g = lad.groupBy(*by).agg(
         F.sum("w").cast("double").alias("_n"), F.sum(F.col("_up") * rank).alias("w_plus"),
