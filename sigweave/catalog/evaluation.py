@@ -8,6 +8,7 @@ from ..functions import vectors as V
 from ..operators import geometry as G
 from ..operators import loo, matching, resample
 from ..operators.collapse import with_min_contexts
+from ..operators.common import reuse
 from ..operators.geometry import vector_sums
 from ..operators.rankstats import spearman
 from ..sources.lookups import PENALTY_SWEEP
@@ -144,7 +145,7 @@ def frequency_gain(spark, sf):
 SELECT round((SELECT avg(delta) FROM folds), 6) + 0 AS point, count(*) AS n_boot, round(quantile_cont(m, 0.025), 6) + 0 AS ci_lo,
  round(quantile_cont(m, 0.975), 6) + 0 AS ci_hi, round(stddev_pop(m), 6) + 0 AS se FROM bt""")
 def bootstrap_fold_gain(spark, sf):
-    return resample.bootstrap_mean(loo.fold_table(_loo(spark, sf), "context"), "context", "delta", reps=200)
+    return resample.bootstrap_mean(loo.fold_table(_loo(spark, sf), "context"), "context", "delta", reps=200, bounded=True)
 
 
 PERM_REPS = 20
@@ -157,7 +158,7 @@ def train_means(sig, k_min=5):
     return j.select("entity", "context", "vec", V.scale(V.subtract("sum_raw", "vec"), 1.0 / (F.col("k") - 1)).alias("train_mean"))
 
 
-SIGPERM = f"""pp AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY entity) - 1 AS pos,
+SIGPERM = f"""pp AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY ('0x' || substr(md5(entity), 1, 15))::BIGINT, entity) - 1 AS pos,
    count(*) OVER (PARTITION BY context) AS n FROM loo),
 ph AS (SELECT rep, pp.*, row_number() OVER (PARTITION BY context, rep ORDER BY
    ('0x' || substr(md5('7:' || context || ':' || rep || ':' || entity), 1, 15))::BIGINT, entity) - 1 AS k
@@ -166,13 +167,13 @@ pc AS (SELECT h.rep, h.context, round(h.train_di, 12) AS raw, round(h.train_ts,
    round(list_cosine_similarity(d.hv, h.mv), 12) AS hc FROM ph h JOIN pp d ON d.context = h.context AND d.pos = h.k),
 prk AS (SELECT rep, context, {mid_rank('raw', 'rep, context')} AS a, {mid_rank('ts', 'rep, context')} AS b,
    {mid_rank('hc', 'rep, context')} AS c FROM pc),
-pf AS (SELECT rep, context, corr(b, c) - corr(a, c) AS gain FROM prk GROUP BY 1, 2),
+pf AS (SELECT rep, context, round(corr(b, c) - corr(a, c), 12) AS gain FROM prk GROUP BY 1, 2),
 pw AS (SELECT rep, sum((gain > 0)::INT)::BIGINT AS wins, avg(gain) AS mean_delta FROM pf GROUP BY 1)"""
 
 
 def _signature_null(spark, sf):
     sig = A.sales(spark, sf)
-    rows = _loo(spark, sf)
+    rows = reuse(_loo(spark, sf))
     folds = resample.signature_permutations(rows, train_means(sig), "entity", "context", reps=PERM_REPS, seed=7)
     return rows, resample.permutation_wins(folds)
 

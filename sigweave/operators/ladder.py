@@ -15,7 +15,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.draws import hash_number
 from .common import attach
 
 RESOLUTION = 1024
@@ -99,15 +101,19 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | No
 
 
 def row_index(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "idx", *,
-              descending: bool = False) -> DataFrame:
+              descending: bool = False, bounded: bool = False) -> DataFrame:
     """0-based position in the group's order, and the group size ``n``.
 
-    ``order[0]`` must be numeric: index text keys by a hash of theirs and the key.
+    A text key is ordered by a hash of it first, then by itself.
     """
-    one = running(df.withColumn("_one", F.lit(1).cast("long")), by, order, ["_one"],
-                  descending=descending)
+    order = list(order)
+    rows = df.withColumn("_one", F.lit(1).cast("long"))
+    if isinstance(df.schema[order[0]].dataType, T.StringType):
+        rows = rows.withColumn("_key", hash_number(F.col(order[0])))
+        order = ["_key", *order]
+    one = running(rows, by, order, ["_one"], descending=descending, bounded=bounded)
     return (one.withColumnRenamed("_one_before", out).withColumnRenamed("_one_total", "n")
-            .drop("_one"))
+            .drop("_one", "_key"))
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],

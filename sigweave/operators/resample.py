@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.draws import hash_number, position
 from .classify import macro_auroc, roc_and_pr
-from .common import attach, unpivot
+from .common import attach, reuse, unpivot
 from .groups import effect_size
 from .ladder import row_index
 from .rankstats import spearman
@@ -25,13 +25,14 @@ from .rankstats import spearman
 LO, HI = 0.025, 0.975
 
 
-def draw_weights(df: DataFrame, key: str, reps: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+def draw_weights(df: DataFrame, key: str, reps: int, seed: int, by: Sequence[str] = (), *,
+                 bounded: bool = False) -> DataFrame:
     """Rows of ``df`` per replicate with their draw count ``w``; undrawn rows are absent.
 
     With ``by``, each group is resampled on its own to its own size.
     """
     by = list(by)
-    indexed = row_index(df, by, [key], "_i")
+    indexed = reuse(row_index(df, by, [key], "_i", bounded=bounded))
     drawn = indexed.select(
         *by, F.col("_i").alias("_slot"), F.col("n").alias("_n"),
         F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
@@ -64,7 +65,7 @@ def one_sided_p(point: str, stat: str) -> Column:
 def classifier_replicates(df: DataFrame, key: str, scores: Sequence[str], label: str, reps: int,
                           seed: int) -> DataFrame:
     """(rep, metric, auroc, auprc); replicates with one class only are NULL."""
-    drawn = draw_weights(df.select(key, label, *scores), key, reps, seed)
+    drawn = reuse(draw_weights(df.select(key, label, *scores), key, reps, seed))
     long = unpivot(drawn, ["rep", "w", label], scores, "metric", "score")
     return roc_and_pr(long, ["rep", "metric"], "score", label, weight="w")
 
@@ -73,7 +74,7 @@ def bootstrap_classifier(df: DataFrame, key: str, scores: Sequence[str], label:
                          reps: int = 10_000, seed: int = 42) -> DataFrame:
     """AUROC and AUPRC of each score with percentile intervals and SE."""
     point = roc_and_pr(unpivot(df, [label], scores, "metric", "score"), ["metric"], "score", label)
-    boot = classifier_replicates(df, key, scores, label, reps, seed).filter(F.col("auroc").isNotNull())
+    boot = reuse(classifier_replicates(df, key, scores, label, reps, seed)).filter(F.col("auroc").isNotNull())
     out = point
     for stat in ("auroc", "auprc"):
         ci = interval(boot, ["metric"], stat)
@@ -89,7 +90,7 @@ def bootstrap_classifier_difference(df: DataFrame, key: str, base: str, others:
     """Paired difference base - other of AUROC or AUPRC, interval and one-sided p."""
     scores = [base, *others]
     point = roc_and_pr(unpivot(df, [label], scores, "metric", "score"), ["metric"], "score", label)
-    boot = classifier_replicates(df, key, scores, label, reps, seed)
+    boot = reuse(classifier_replicates(df, key, scores, label, reps, seed))
     p_base = point.filter(F.col("metric") == base).select(F.col(stat).alias("_pb"))
     points = attach(point.filter(F.col("metric") != base), p_base, []).select(
         "metric", (F.col("_pb") - F.col(stat)).alias("point_diff"))
@@ -111,7 +112,7 @@ def bootstrap_macro_gap(df: DataFrame, key: str, base: str, other: str, cls: str
         pick = lambda s: F.max(F.when(F.col("metric") == s, F.col("macro_auroc")))
         return m.groupBy(*by).agg(pick(base).alias("macro_base"), pick(other).alias("macro_other"))
     point = macro(df, [])
-    boot = macro(draw_weights(df.select(key, cls, base, other), key, reps, seed), ["rep"], "w")
+    boot = macro(reuse(draw_weights(df.select(key, cls, base, other), key, reps, seed)), ["rep"], "w")
     gaps = boot.withColumn("gap", F.col("macro_other") - F.col("macro_base"))
     ci = interval(gaps, [], "gap")
     return attach(point.withColumn("gap", F.col("macro_other") - F.col("macro_base")), ci, [])
@@ -126,7 +127,7 @@ def bootstrap_spearman(df: DataFrame, key: str, xs: Sequence[str], y: str, *, re
 
 
 def spearman_replicates(df: DataFrame, key: str, xs: Sequence[str], y: str, reps: int, seed: int) -> DataFrame:
-    drawn = draw_weights(df.select(key, y, *xs), key, reps, seed)
+    drawn = reuse(draw_weights(df.select(key, y, *xs), key, reps, seed))
     long = unpivot(drawn, ["rep", "w", y], xs, "metric", "x")
     return spearman(long, ["rep", "metric"], "x", y, weight="w").drop("n")
 
@@ -178,14 +179,16 @@ def bootstrap_mean_diff(df: DataFrame, key: str, value: str, group: str, *, reps
     from .groups import cohens_d
     point = cohens_d(df, [], value, group).select(
         "n1", "n2", (F.col("mean1") - F.col("mean2")).alias("point_diff"))
-    boot = group_replicates(df, key, value, group, reps, seed)
+    boot = reuse(group_replicates(df, key, value, group, reps, seed))
     p = attach(boot, point.select("point_diff"), []).agg(one_sided_p("point_diff", "mean_diff").alias("p_value"))
     return attach(attach(point, interval(boot, [], "mean_diff"), []), p, [])
 
 
-def bootstrap_mean(df: DataFrame, key: str, value: str, *, reps: int = 10_000, seed: int = 42) -> DataFrame:
-    """Interval of a mean, for instance of the per-fold gains."""
-    drawn = draw_weights(df.select(key, value), key, reps, seed)
+def bootstrap_mean(df: DataFrame, key: str, value: str, *, reps: int = 10_000, seed: int = 42,
+                   bounded: bool = False) -> DataFrame:
+    """Interval of a mean, for instance of the per-fold gains (``bounded``)."""
+    df = reuse(df.select(key, value))
+    drawn = draw_weights(df, key, reps, seed, bounded=bounded)
     boot = drawn.groupBy("rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
     return attach(df.agg(F.avg(value).alias("point")), interval(boot, [], "mean"), [])
 
@@ -233,26 +236,29 @@ def signature_permutations(loo: DataFrame, consensus: DataFrame, entity: str, co
     exploded per replicate; each vector is shipped once per replicate it serves.
     Returns rep, context, raw_spearman, ts_spearman.
     """
-    rows = loo.select(entity, context, "train_di", "train_ts").join(consensus, [entity, context])
-    rows = row_index(rows, [context], [entity], "_pos").filter(F.col("n") >= min_n).drop("n")
-    ids = rows.select(entity, context, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    scores = loo.select(entity, context, "train_di", "train_ts").join(
+        consensus.select(entity, context), [entity, context])
+    scores = reuse(row_index(scores, [context], [entity], "_pos").filter(F.col("n") >= min_n).drop("n"))
+    ids = scores.select(entity, context, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     ids = ids.withColumn("_h", hash_number(seed, F.col(context), F.col("rep"), F.col(entity)))
     perm = row_index(ids, [context, "rep"], ["_h", entity], "_pos").drop("n", "_h")
-    donor = rows.select(context, "_pos", F.col("vec").alias("_s"), V.norm("vec").alias("_sn"))
-    own = rows.select(entity, context, "train_di", "train_ts", F.col("train_mean").alias("_m"),
-                      V.norm("train_mean").alias("_mn"))
+    donor = scores.select(entity, context, "_pos").join(consensus, [entity, context]).select(
+        context, "_pos", F.col("vec").alias("_s"), V.norm("vec").alias("_sn"))
+    own = scores.select(entity, context, "train_di", "train_ts").join(consensus, [entity, context]).select(
+        entity, context, "train_di", "train_ts", F.col("train_mean").alias("_m"), V.norm("train_mean").alias("_mn"))
     j = perm.join(donor, [context, "_pos"]).join(own, [entity, context])
     cos = V.cosine(V.dot("_s", "_m"), F.col("_sn"), F.col("_mn"))
-    scored = j.select("rep", context, F.round("train_di", 12).alias("raw"), F.round("train_ts", 12).alias("ts"),
-                      F.round(cos, 12).alias("cos"))
-    raw = spearman(scored, ["rep", context], "raw", "cos", rho="raw_spearman").drop("n")
-    ts = spearman(scored, ["rep", context], "ts", "cos", rho="ts_spearman").drop("n")
-    return raw.join(ts, ["rep", context])
+    scored = reuse(j.select("rep", context, F.round("train_di", 12).alias("raw"),
+                            F.round("train_ts", 12).alias("ts"), F.round(cos, 12).alias("cos")))
+    rho = spearman(unpivot(scored, ["rep", context, "cos"], ["raw", "ts"], "score", "value"),
+                   ["rep", context, "score"], "value", "cos")
+    pick = lambda s: F.max(F.when(F.col("score") == s, F.col("rho")))
+    return rho.groupBy("rep", context).agg(pick("raw").alias("raw_spearman"), pick("ts").alias("ts_spearman"))
 
 
 def permutation_wins(folds: DataFrame) -> DataFrame:
     """Per replicate: number of folds won by TS and the mean gain."""
-    gain = F.col("ts_spearman") - F.col("raw_spearman")
+    gain = F.round(F.col("ts_spearman") - F.col("raw_spearman"), 12)
     return folds.groupBy("rep").agg(F.sum((gain > 0).cast("long")).alias("wins"), F.avg(gain).alias("mean_delta"))
 
 
