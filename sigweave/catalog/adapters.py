@@ -87,7 +87,7 @@ sig AS (SELECT entity, context, max(n) AS n_rep, list(m ORDER BY i) AS vec
 def consensus_by_type(spark: SparkSession, sf: str) -> DataFrame:
     """Target direction per part type: mean over its nations."""
     types = sales(spark, sf, "p_type")
-    c = collapse(types, ["entity"], count="n_sig", min_count=3)
+    c = collapse(types, ["entity"], count="n_sig", min_count=3, dim=MONTHS)
     return c.select(F.col("entity").alias("target"), "n_sig", F.col("vec").alias("direction"))
 
 

@@ -35,7 +35,7 @@ SELECT entity, dose, n_rep, idx, round(x, 6) + 0 AS x FROM (
  SELECT entity, dose, (i - 1)::BIGINT AS idx, count(*) AS n_rep, avg(y) AS x FROM (
   SELECT entity, dose, unnest(vec) AS y, generate_subscripts(vec, 1) AS i FROM sig) GROUP BY 1, 2, 3)""")
 def dose_collapse(spark, sf):
-    c = C.collapse(A.sales(spark, sf, extra=("dose",)), ["entity", "dose"])
+    c = C.collapse(A.sales(spark, sf, extra=("dose",)), ["entity", "dose"], dim=A.MONTHS)
     return _long(c, ["entity", "dose", "n_rep"])
 
 
@@ -68,7 +68,8 @@ def direction_instability(spark, sf):
 SELECT p.entity, k AS n_contexts, round(di, 6) + 0 AS direction_instability FROM ({PAIR_DI}) p
  JOIN (SELECT entity, count(*) AS k FROM sig GROUP BY 1) q ON p.entity = q.entity""")
 def direction_instability_parts(spark, sf):
-    di = G.direction_instability(A.sales(spark, sf, "l_partkey"), ["entity"], {"direction_instability": "vec"})
+    di = G.direction_instability(A.sales(spark, sf, "l_partkey"), ["entity"], {"direction_instability": "vec"},
+                                 dim=A.MONTHS)
     return di.filter("n_contexts >= 2")
 
 
@@ -84,7 +85,8 @@ def masked_instability(spark, sf):
     excluded = spark.createDataFrame([("M5",), ("M6",)], "symbol string")
     mask = G.feature_positions(features, excluded)
     rows = G.masked(attach(A.sales(spark, sf), mask, []), F.col("mask"))
-    return G.direction_instability(rows, ["entity"], {"raw": "vec", "corrected": "vec_masked"}).drop("n_contexts")
+    return G.direction_instability(rows, ["entity"], {"raw": "vec", "corrected": "vec_masked"},
+                                   dim=A.MONTHS).drop("n_contexts")
 
 
 GEO = """geo AS (SELECT t.entity, count(*) AS n_contexts, avg(nrm) AS mean_norm, stddev_pop(nrm) AS sd,
@@ -101,7 +103,7 @@ GEO_SELECT = f"""SELECT g.entity, n_contexts, round(di, 6) + 0 AS direction_inst
 
 @query("entity_geometry", A.ctes(A.SALES, A.UNIT, GEO) + GEO_SELECT)
 def entity_geometry(spark, sf):
-    return G.entity_geometry(A.sales(spark, sf), ["entity"])
+    return G.entity_geometry(A.sales(spark, sf), ["entity"], dim=A.MONTHS)
 
 
 @query("entity_geometry_embeddings", A.ctes(A.EMB, A.UNIT, GEO) + GEO_SELECT)
@@ -123,7 +125,7 @@ PROJ_SELECT = """SELECT proj.entity, count(*) AS n_contexts, round(stddev_pop(p)
 @query("phenotype_projection", A.ctes(A.SALES, A.CONSENSUS, A.TARGETS, PROJ) + PROJ_SELECT)
 def phenotype_projection(spark, sf):
     rows = A.sales(spark, sf).join(A.targets(spark, sf), "entity")
-    return G.phenotype_projection(rows, A.consensus_by_type(spark, sf), ["entity"], ["target"])
+    return G.phenotype_projection(rows, A.consensus_by_type(spark, sf), ["entity"], ["target"], dim=A.MONTHS)
 
 
 TOPMASK = """mask AS (SELECT target, list(i ORDER BY i) AS idx FROM (
@@ -230,7 +232,7 @@ SELECT entity, context, round(di, 6) + 0 AS direction_instability FROM (
  {PAIR_DI.replace('SELECT a.entity', 'SELECT a.entity, a.context').replace('a.context < b.context', 'a.context = b.context AND a.dose < b.dose').replace('GROUP BY 1', 'GROUP BY 1, 2')})""")
 def dose_as_context(spark, sf):
     df = A.sales(spark, sf, extra=("dose",))
-    di = G.direction_instability(df, ["entity", "context"], {"direction_instability": "vec"})
+    di = G.direction_instability(df, ["entity", "context"], {"direction_instability": "vec"}, dim=A.MONTHS)
     return di.filter("n_contexts > 1").drop("n_contexts")
 
 
@@ -273,7 +275,7 @@ SELECT region, entity, k AS n_contexts, round(di, 6) + 0 AS direction_instabilit
 JOIN (SELECT region, entity, count(*) AS k FROM reg GROUP BY 1, 2 HAVING count(*) >= 5) USING (region, entity)""")
 def group_restricted_instability(spark, sf):
     df = C.with_min_contexts(_regioned(spark, sf), ["region", "entity"], "context", 5)
-    return G.direction_instability(df, ["region", "entity"], {"direction_instability": "vec"})
+    return G.direction_instability(df, ["region", "entity"], {"direction_instability": "vec"}, dim=A.MONTHS)
 
 
 @query("variance_masked_instability", A.ctes(A.SALES, REGIONED, """vm AS (
@@ -293,7 +295,8 @@ def variance_masked_instability(spark, sf):
     masks = G.top_variance_features(df, ["region"], 3)
     rows = G.masked(df.join(masks, "region"), F.col("mask"))
     return G.direction_instability(rows, ["region", "entity"],
-                                   {"raw": "vec", "corrected": "vec_masked"}).drop("n_contexts")
+                                   {"raw": "vec", "corrected": "vec_masked"},
+                                   dim=A.MONTHS).drop("n_contexts")
 
 
 @query("coding_vector_instability", """

@@ -47,7 +47,7 @@ folds AS (SELECT *, round(ts_spearman - raw_spearman, 12) AS delta, round(ts_spe
 
 
 def _loo(spark, sf, entity="p_brand"):
-    return loo.leave_one_out(A.sales(spark, sf, entity), ["entity"], "context")
+    return loo.leave_one_out(A.sales(spark, sf, entity), ["entity"], "context", dim=A.MONTHS)
 
 
 @query("loo_scores", A.ctes(A.SALES, A.UNIT, LOO) + LOO_ROWS)
@@ -153,7 +153,7 @@ PERM_REPS = 20
 
 def train_means(sig, k_min=5):
     """Held-out vector and the mean of the other contexts, per (entity, context)."""
-    sums = vector_sums(sig, ["entity"], "vec").filter(F.col("k") >= k_min)
+    sums = vector_sums(sig, ["entity"], "vec", dim=A.MONTHS).filter(F.col("k") >= k_min)
     j = sig.join(sums.select("entity", "k", "sum_raw"), "entity")
     return j.select("entity", "context", "vec", V.scale(V.subtract("sum_raw", "vec"), 1.0 / (F.col("k") - 1)).alias("train_mean"))
 
@@ -206,7 +206,7 @@ GATES = A.ctes(A.SALES_PART, A.UNIT, """di AS (SELECT a.entity, 1 - avg(list_dot
 
 
 def _gated(spark, sf):
-    di = G.direction_instability(A.sales(spark, sf, "l_partkey"), ["entity"], {"raw": "vec"}).filter("n_contexts > 1")
+    di = G.direction_instability(A.sales(spark, sf, "l_partkey"), ["entity"], {"raw": "vec"}, dim=A.MONTHS).filter("n_contexts > 1")
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("entity"), F.col("p_retailprice").alias("price"),
                                         F.col("p_size").cast("double").alias("size"))
     sc = di.select("entity", F.round("raw", 9).alias("raw")).join(p, "entity")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 16
+WIDE = 64  # up to this many features one aggregate with a column per feature does
 EPS_UNIT = 1e-12
 
 
@@ -123,3 +124,13 @@ def assemble(df: DataFrame, by: Sequence[str], names: Sequence[str],
         flat = F.flatten(F.transform(F.col(f"_l_{o}"), lambda s: s["a"]))
         g = g.withColumn(o, F.slice(flat, F.lit(1), F.col("_dim"))).drop(f"_l_{o}")
     return g.drop("_dim")
+
+
+def is_wide(dim: int | None) -> bool:
+    """Is the number of features known and small enough for one accumulator column each?"""
+    return dim is not None and dim <= WIDE
+
+
+def feature_array(vec: str, dim: int, cell) -> Column:
+    """Array of ``cell(x_i)`` over the features, for aggregates of known width."""
+    return F.array(*[cell(F.get(F.col(vec), F.lit(i))) for i in range(dim)])

@@ -1,10 +1,10 @@
 """Statistics over the pairs inside a group without one row per pair or one task per group.
 
-A group's rows are hashed into blocks of about ``block_size``; every block meets
-every block of its group in a row of its own (equi-join on the group and the block
-number), so a group that holds a third of the table becomes many bounded rows that
-spread over the cluster. A numpy kernel does the block product and returns one
-partial result per left member.
+A group's members are hashed into blocks of about ``block_size``; every unordered pair
+of blocks becomes one bounded row, keyed by the group and both block numbers, so a group
+that holds a third of the table turns into many rows that spread over the cluster. A
+group of one block costs one shuffle and no join. A numpy kernel does the block product
+and returns one partial result per member.
 """
 
 from __future__ import annotations
@@ -22,10 +22,9 @@ BLOCK_SIZE = 128
 
 def block_pairs(df: DataFrame, by: Sequence[str], member: str, payload: Sequence[str],
                 block_size: int = BLOCK_SIZE, size: Column | None = None) -> DataFrame:
-    """Rows ``by``, ``left``, ``right``: two arrays of struct(member, *payload).
+    """Rows ``by``, ``items``: array of struct(side, member, *payload), and ``same``.
 
-    ``size`` is the number of members of the row's group where that is known already.
-    Both sides of the join keep the same columns, so they read one shuffle.
+    A row holds the members of one block (``same``), or of two blocks (sides 0 and 1). ``size`` is the number of members of the row's group where that is known.
     """
     by = list(by)
     if size is None:
@@ -34,19 +33,20 @@ def block_pairs(df: DataFrame, by: Sequence[str], member: str, payload: Sequence
     blocks_of = F.ceil(size / F.lit(block_size)).cast("int")
     rows = df.select(*by, F.col(member).alias("member"), *payload, blocks_of.alias("_nb"))
     rows = rows.withColumn("_b", F.pmod(F.xxhash64("member"), F.col("_nb")).cast("int"))
-    blocks = rows.groupBy(*by, "_nb", "_b").agg(
-        F.collect_list(F.struct("member", *payload)).alias("_items"))
-    left = blocks.select(
-        *by, "_nb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_o"),
-        F.col("_items").alias("left"))
-    right = blocks.select(*by, "_nb", F.col("_b").alias("_o"), F.col("_items").alias("right"))
-    return left.join(right, [*by, "_nb", "_o"]).drop("_o", "_nb")
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    low, high = F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi")
+    item = F.struct((F.col("_b") > F.col("_o")).cast("int").alias("side"), "member", *payload)
+    meeting = rows.select(*by, low, high, item.alias("_item"))
+    rows = meeting.groupBy(*by, "_lo", "_hi").agg(F.collect_list("_item").alias("items"))
+    return rows.withColumn("same", F.col("_lo") == F.col("_hi")).drop("_lo", "_hi")
 
 
-class Side:
-    """One array-of-struct column of an Arrow batch: flat members plus row boundaries."""
+class Members:
+    """The array-of-struct column of an Arrow batch: flat members plus row boundaries."""
 
-    def __init__(self, column: pa.ListArray):
+    def __init__(self, batch: pa.RecordBatch):
+        column = batch.column("items")
+        self.same = batch.column("same").to_numpy(zero_copy_only=False)
         offsets = np.asarray(column.offsets)
         self.start = offsets - offsets[0]
         self.items = column.flatten()
@@ -62,8 +62,22 @@ class Side:
         n = len(self.items)
         return values.reshape(n, -1) if n else np.zeros((0, 0))
 
+    def row_of(self) -> np.ndarray:
+        """Batch row of every member."""
+        return np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
 
-Kernel = Callable[[pa.RecordBatch, Side, Side], tuple[np.ndarray, dict[str, pa.Array]]]
+    def meetings(self):
+        """Per batch row: the member positions of both sides, the same object twice for one block."""
+        side = self.scalars("side")
+        for same, a, b in zip(self.same, self.start[:-1], self.start[1:]):
+            if same:
+                one = slice(a, b)
+                yield one, one
+            else:
+                yield a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
+
+
+Kernel = Callable[[pa.RecordBatch, Members], tuple[np.ndarray, dict[str, pa.Array]]]
 
 
 def map_blocks(pairs: DataFrame, by: Sequence[str], kernel: Kernel,
@@ -79,80 +93,70 @@ def map_blocks(pairs: DataFrame, by: Sequence[str], kernel: Kernel,
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            rows, cols = kernel(batch, Side(batch.column("left")), Side(batch.column("right")))
+            rows, cols = kernel(batch, Members(batch))
             keys = [batch.column(k).take(pa.array(rows)) for k in by]
             yield pa.RecordBatch.from_arrays([*keys, *cols.values()], names=[*by, *cols])
 
     return pairs.mapInArrow(run, schema)
 
 
-def angular_spread_kernel(batch: pa.RecordBatch, left: Side, right: Side):
-    """Sum over the right block of squared angles to each left member's held-out mean.
+def angular_spread_kernel(batch: pa.RecordBatch, m: Members):
+    """Squared angles of the other members to each member's held-out mean, summed.
 
     Payload: unit vector ``u``, ``g`` = u.T, and ``t`` = norm of T - u. The mean
     direction without h is (T - u_h) / (t_h + eps (K-1)), so u_i . mean_h needs
-    only g_i and u_i.u_h. The scalars of the left member pass through.
+    only g_i and u_i.u_h. The scalars of a member pass through.
     """
-    ul, ur = left.matrix("u"), right.matrix("u")
-    tl, gr = left.scalars("t"), right.scalars("g")
-    ml, mr = left.scalars("code"), right.scalars("code")
-    partial = np.zeros(len(tl))
-    for r in range(batch.num_rows):
-        a, b, c, d = left.start[r], left.start[r + 1], right.start[r], right.start[r + 1]
-        inner = ul[a:b] @ ur[c:d].T
-        cos = np.clip((gr[None, c:d] - inner) / tl[a:b, None], -1.0, 1.0)
-        angle = np.arccos(cos) ** 2
-        angle[ml[a:b, None] == mr[None, c:d]] = 0.0
-        partial[a:b] = angle.sum(axis=1)
-    rows = np.repeat(np.arange(batch.num_rows), np.diff(left.start))
-    passed = {c: left.field(c) for c in ("member", "n_train", "train_di", "holdout_cosine")}
-    return rows, {**passed, "partial": pa.array(partial)}
-
-
-def overlap_kernel(batch: pa.RecordBatch, left: Side, right: Side):
-    """Jaccard of index sets summed over pairs left < right, and the number of pairs."""
-    ol = left.field("items")
-    orr = right.field("items")
-    vl, vr = ol.flatten().to_numpy(), orr.flatten().to_numpy()
-    sl, sr = np.asarray(ol.offsets), np.asarray(orr.offsets)
-    sl, sr = sl - sl[0], sr - sr[0]
-    ml, mr = left.scalars("code"), right.scalars("code")
+    u, t, g = m.matrix("u"), m.scalars("t"), m.scalars("g")
+    partial = np.zeros(len(t))
+    for x, y in m.meetings():
+        inner = u[x] @ u[y].T
+        toward_x = _squared_angle(g[y][None, :] - inner, t[x])
+        if x is y:
+            np.fill_diagonal(toward_x, 0.0)
+        else:
+            partial[y] += _squared_angle(g[x][None, :] - inner.T, t[y]).sum(axis=1)
+        partial[x] += toward_x.sum(axis=1)
+    passed = {c: m.field(c) for c in ("member", "n_train", "train_di", "holdout_cosine")}
+    return m.row_of(), {**passed, "partial": pa.array(partial)}
+
+
+def _squared_angle(projection: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(projection / length[:, None], -1.0, 1.0)) ** 2
+
+
+def overlap_kernel(batch: pa.RecordBatch, m: Members):
+    """Jaccard of index sets summed over the pairs of the row, and the number of pairs."""
+    items = m.field("items")
+    values, starts = items.flatten().to_numpy(), np.asarray(items.offsets)
+    starts = starts - starts[0]
+    member = np.zeros((len(items), int(values.max(initial=0)) + 1))
+    member[np.repeat(np.arange(len(items)), np.diff(starts)), values] = 1.0
+    size = member.sum(axis=1)
     total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
-    width = int(max(vl.max(initial=0), vr.max(initial=0))) + 1
-    for r in range(batch.num_rows):
-        a, b, c, d = left.start[r], left.start[r + 1], right.start[r], right.start[r + 1]
-        x = _indicator(vl, sl, a, b, width)
-        y = _indicator(vr, sr, c, d, width)
-        both = x @ y.T
-        union = x.sum(1)[:, None] + y.sum(1)[None, :] - both
-        keep = ml[a:b, None] < mr[None, c:d]
+    for r, (x, y) in enumerate(m.meetings()):
+        both = member[x] @ member[y].T
+        union = size[x][:, None] + size[y][None, :] - both
         ratio = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+        keep = np.triu(np.ones(both.shape, dtype=bool), k=1) if x is y else np.ones(both.shape, dtype=bool)
         total[r] = ratio[keep].sum()
         count[r] = keep.sum()
     return np.arange(batch.num_rows), {"partial": pa.array(total), "pairs": pa.array(count)}
 
 
-def _indicator(values, starts, a, b, width):
-    m = np.zeros((b - a, width))
-    sizes = np.diff(starts[a:b + 1])
-    m[np.repeat(np.arange(b - a), sizes), values[starts[a]:starts[b]]] = 1.0
-    return m
-
-
-def ordered_cosine_kernel(batch: pa.RecordBatch, left: Side, right: Side):
-    """Cosine of every pair with left level < right level; zero vectors give no pair."""
-    ul, ur = left.matrix("u"), right.matrix("u")
-    nl, nr = left.scalars("n"), right.scalars("n")
-    ll, lr = left.scalars("level"), right.scalars("level")
+def ordered_cosine_kernel(batch: pa.RecordBatch, m: Members):
+    """Cosine of every pair of different levels, lower level first; zero vectors give no pair."""
+    u, n, level = m.matrix("u"), m.scalars("n"), m.scalars("level")
     rows, lo, hi, cosines = [], [], [], []
-    for r in range(batch.num_rows):
-        a, b, c, d = left.start[r], left.start[r + 1], right.start[r], right.start[r + 1]
-        inner = ul[a:b] @ ur[c:d].T
-        keep = (ll[a:b, None] < lr[None, c:d]) & (nl[a:b, None] > 0) & (nr[None, c:d] > 0)
-        i, j = np.nonzero(keep)
+    for r, (x, y) in enumerate(m.meetings()):
+        inner = u[x] @ u[y].T
+        a, b = level[x][:, None], level[y][None, :]
+        differ = (a < b) if x is y else (a != b)
+        i, j = np.nonzero(differ & (n[x][:, None] > 0) & (n[y][None, :] > 0))
+        first, second = level[x][i], level[y][j]
         rows.append(np.full(len(i), r))
-        lo.append(ll[a:b][i])
-        hi.append(lr[c:d][j])
+        lo.append(np.minimum(first, second))
+        hi.append(np.maximum(first, second))
         cosines.append(inner[i, j])
     cat = np.concatenate
     return cat(rows), {"level_lo": pa.array(cat(lo)), "level_hi": pa.array(cat(hi)),

@@ -12,14 +12,18 @@ from .common import attach
 
 
 def collapse(df: DataFrame, by: Sequence[str], *, vec: str = "vec", count: str = "n_rep",
-             min_count: int = 1) -> DataFrame:
+             min_count: int = 1, dim: int | None = None) -> DataFrame:
     """Mean vector per group and the number of rows behind it.
 
     Keyed by (entity, context) this collapses replicates, with a dose added it keeps
     dose levels apart, keyed by target or class it builds consensus vectors
-    (``min_count`` rows at least).
+    (``min_count`` rows at least). ``dim``, the number of features where known, lets
+    short vectors do with one shuffle.
     """
     by = list(by)
+    if V.is_wide(dim):
+        g = df.groupBy(*by).agg(F.count(F.lit(1)).alias(count), V.feature_array(vec, dim, F.avg).alias(vec))
+        return g.filter(F.col(count) >= min_count)
     width = V.CHUNK
     chunks = V.explode_chunks(df, by, {"v": vec})
     means = chunks.groupBy(*by, "_chunk").agg(

@@ -15,18 +15,21 @@ from ..functions import vectors as V
 from .common import attach
 
 
+def _with_norms(df: DataFrame, by: Sequence[str], vecs: dict[str, str], eps: float) -> DataFrame:
+    """Vectors with their norm ``_n_*`` and its inverse ``_inv_*``."""
+    rows = df.select(*by, *vecs.values(), *[V.norm(c).alias(f"_n_{o}") for o, c in vecs.items()])
+    return rows.select("*", *[V.inverse_norm(F.col(f"_n_{o}"), eps).alias(f"_inv_{o}") for o in vecs])
+
+
 def _unit_chunks(df: DataFrame, by: Sequence[str], vecs: dict[str, str], eps: float) -> DataFrame:
-    prepared = df.select(
-        *by, *vecs.values(),
-        *[V.inverse_norm(V.norm(c), eps).alias(f"_inv_{o}") for o, c in vecs.items()],
-        *[V.norm(c).alias(f"_n_{o}") for o, c in vecs.items()],
-    )
+    prepared = _with_norms(df, by, vecs, eps)
     keep = [*by, *[f"_inv_{o}" for o in vecs], *[f"_n_{o}" for o in vecs]]
     return V.explode_chunks(prepared, keep, vecs)
 
 
 def direction_instability(df: DataFrame, by: Sequence[str], vecs: dict[str, str], *,
-                          eps: float = V.EPS_UNIT, count: str = "n_contexts") -> DataFrame:
+                          eps: float = V.EPS_UNIT, count: str = "n_contexts",
+                          dim: int | None = None) -> DataFrame:
     """1 - mean pairwise cosine of an entity's vectors, for one or more vector columns.
 
     ``vecs`` maps output names to vector columns. sum_{i<j} u_i.u_j equals
@@ -35,6 +38,15 @@ def direction_instability(df: DataFrame, by: Sequence[str], vecs: dict[str, str]
     """
     by = list(by)
     names = list(vecs)
+    if V.is_wide(dim):
+        rows = _with_norms(df, by, vecs, eps)
+        total = rows.groupBy(*by).agg(
+            F.count(F.lit(1)).alias(count),
+            *[F.sum((F.col(f"_n_{o}") * F.col(f"_inv_{o}")) ** 2).alias(f"_s_{o}") for o in names],
+            *[V.feature_array(c, dim, lambda x, o=o: F.sum(x * F.col(f"_inv_{o}"))).alias(f"_v_{o}")
+              for o, c in vecs.items()])
+        return _instability(total.select("*", *[V.sumsq(f"_v_{o}").alias(f"_t_{o}") for o in names]),
+                            by, names, count)
     chunks = _unit_chunks(df, by, vecs, eps)
     sums = chunks.groupBy(*by, "_chunk").agg(
         F.count(F.lit(1)).alias("_k"),
@@ -47,6 +59,10 @@ def direction_instability(df: DataFrame, by: Sequence[str], vecs: dict[str, str]
         *[F.max(f"_s_{o}").alias(f"_s_{o}") for o in names],
         *[F.sum(_square_sum(o)).alias(f"_t_{o}") for o in names],
     )
+    return _instability(total, by, names, count)
+
+
+def _instability(total: DataFrame, by: list[str], names: list[str], count: str) -> DataFrame:
     k = F.col(count)
     scores = [
         F.when(k > 1, 1.0 - (F.col(f"_t_{o}") - F.col(f"_s_{o}")) / (k * (k - 1)))
@@ -63,10 +79,16 @@ def _square_sum(name: str) -> Column:
     return total
 
 
-def vector_sums(df: DataFrame, by: Sequence[str], vec: str, *,
-                eps: float = V.EPS_UNIT) -> DataFrame:
+def vector_sums(df: DataFrame, by: Sequence[str], vec: str, *, eps: float = V.EPS_UNIT,
+                dim: int | None = None) -> DataFrame:
     """Per entity: raw sum ``sum_raw``, unit sum ``sum_unit``, ``k``, and sum of |u|^2."""
     by = list(by)
+    if V.is_wide(dim):
+        rows = _with_norms(df, by, {"v": vec}, eps)
+        return rows.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("k"), F.sum((F.col("_n_v") * F.col("_inv_v")) ** 2).alias("sum_u2"),
+            V.feature_array(vec, dim, F.sum).alias("sum_raw"),
+            V.feature_array(vec, dim, lambda x: F.sum(x * F.col("_inv_v"))).alias("sum_unit"))
     chunks = _unit_chunks(df, by, {"v": vec}, eps)
     sums = chunks.groupBy(*by, "_chunk").agg(
         F.max("_dim").alias("_dim"), F.count(F.lit(1)).alias("_k"),
@@ -81,7 +103,7 @@ def vector_sums(df: DataFrame, by: Sequence[str], vec: str, *,
 
 def entity_geometry(df: DataFrame, by: Sequence[str], *, vec: str = "vec",
                     penalty: float = 1.0, ddof: int = 0, eps: float = V.EPS_UNIT,
-                    mean_eps: float = 1e-10) -> DataFrame:
+                    mean_eps: float = 1e-10, dim: int | None = None) -> DataFrame:
     """Direction instability, Fréchet variance, transport-stable score, norm statistics.
 
     Fréchet variance is the mean squared angle to the normalized mean unit vector.
@@ -89,7 +111,7 @@ def entity_geometry(df: DataFrame, by: Sequence[str], *, vec: str = "vec",
     coefficient of variation of the norms with the given ``ddof``.
     """
     by = list(by)
-    t = vector_sums(df, by, vec, eps=eps)
+    t = vector_sums(df, by, vec, eps=eps, dim=dim)
     stats = t.select(*by, "k", "sum_u2", "sum_unit", V.sumsq("sum_unit").alias("_t2"))
     rows = attach(df.select(*by, F.col(vec).alias("_v"), V.norm(vec).alias("_n")), stats, by)
     cos = (V.dot("_v", "sum_unit") * V.inverse_norm(F.col("_n"), eps) / F.col("k")
@@ -138,7 +160,7 @@ def top_variance_features(df: DataFrame, by: Sequence[str], n: int, *, vec: str
 
 def phenotype_projection(df: DataFrame, directions: DataFrame, by: Sequence[str], on: Sequence[str],
                          *, vec: str = "vec", direction: str = "direction",
-                         agg: str = "std") -> DataFrame:
+                         agg: str = "std", dim: int | None = None) -> DataFrame:
     """How an entity's vectors spread along its target direction.
 
     Each vector is projected on the unit direction; ``agg`` is std (population),
@@ -152,7 +174,7 @@ def phenotype_projection(df: DataFrame, directions: DataFrame, by: Sequence[str]
     proj = rows.select(*by, p.alias("_p"))
     how = {"std": F.stddev_pop("_p"), "mean": F.avg("_p"), "mean_abs": F.avg(F.abs("_p"))}[agg]
     spread = proj.groupBy(*by).agg(how.alias("projected"), F.avg("_p").alias("_mean_p"))
-    sums = vector_sums(df, by, vec).select(
+    sums = vector_sums(df, by, vec, dim=dim).select(
         *by, F.col("k").alias("n_contexts"), (V.norm("sum_raw") / F.col("k")).alias("_mn"))
     dn = rows.groupBy(*by).agg(F.max("_dn").alias("_dn"))
     ok = (F.col("_mn") >= 1e-10) & (F.col("_dn") >= 1e-10)

@@ -16,14 +16,14 @@ from .rankstats import spearman, wilcoxon_signed_rank
 
 
 def holdout_rows(df: DataFrame, by: Sequence[str], context: str, *, vec: str = "vec",
-                 min_train: int = 4, eps: float = 1e-10) -> DataFrame:
+                 min_train: int = 4, eps: float = 1e-10, dim: int | None = None) -> DataFrame:
     """Train-side DI and hold-out cosine of every (entity, held-out context).
 
     With T and M the unit and raw sums of an entity, holding h out leaves T - u_h
     and M - s_h, so each row needs two dot products and no other row.
     """
     by = list(by)
-    sums = vector_sums(df, by, vec, eps=eps).filter(F.col("k") > min_train).select(
+    sums = vector_sums(df, by, vec, eps=eps, dim=dim).filter(F.col("k") > min_train).select(
         "*", V.sumsq("sum_unit").alias("_t2"), V.sumsq("sum_raw").alias("_m2"))
     rows = df.select(*by, context, F.col(vec).alias("_s"), V.norm(vec).alias("_n"))
     rows = rows.join(sums, by)
@@ -46,12 +46,11 @@ def holdout_rows(df: DataFrame, by: Sequence[str], context: str, *, vec: str = "
 
 def leave_one_out(df: DataFrame, by: Sequence[str], context: str, *, vec: str = "vec",
                   min_train: int = 4, penalty: float = 1.0,
-                  block_size: int = blocks.BLOCK_SIZE) -> DataFrame:
+                  block_size: int = blocks.BLOCK_SIZE, dim: int | None = None) -> DataFrame:
     """``holdout_rows`` plus the train-side Fréchet variance and transport-stable score."""
     by = list(by)
-    rows = holdout_rows(df, by, context, vec=vec, min_train=min_train)
-    rows = rows.withColumn("code", F.xxhash64(context))
-    payload = ["code", "u", "g", "t", "n_train", "train_di", "holdout_cosine"]
+    rows = holdout_rows(df, by, context, vec=vec, min_train=min_train, dim=dim)
+    payload = ["u", "g", "t", "n_train", "train_di", "holdout_cosine"]
     pairs = blocks.block_pairs(rows, by, context, payload, block_size, F.col("n_train") + 1)
     out = [T.StructField("member", df.schema[context].dataType), T.StructField("n_train", T.LongType()),
            T.StructField("train_di", T.DoubleType()), T.StructField("holdout_cosine", T.DoubleType()),

@@ -18,9 +18,8 @@ def top_feature_jaccard(df: DataFrame, by: Sequence[str], context: str, n: int,
     """Mean Jaccard of the top-``n`` feature sets over an entity's context pairs."""
     by = list(by)
     rounded = F.transform(vec, lambda x: F.round(x, 9))
-    rows = df.select(*by, context, F.xxhash64(context).alias("code"),
-                     V.top_features(rounded, n).alias("items"))
-    pairs = blocks.block_pairs(rows, by, context, ["code", "items"], block_size)
+    rows = df.select(*by, context, V.top_features(rounded, n).alias("items"))
+    pairs = blocks.block_pairs(rows, by, context, ["items"], block_size)
     partial = blocks.map_blocks(pairs, by, blocks.overlap_kernel,
                                 [T.StructField("partial", T.DoubleType()), T.StructField("pairs", T.LongType())])
     g = partial.groupBy(*by).agg(F.sum("partial").alias("_s"), F.sum("pairs").alias("n_pairs"))
