@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach
-from .ladder import ladder, quantiles
+from .ladder import ladder, quantiles, running
 
 
 def at_least(x: Column | str, cut: Column | float) -> Column:
@@ -49,12 +49,15 @@ def _rows(df: DataFrame, by: Sequence[str], score: str, label: str, weight: str
 def auroc(df: DataFrame, by: Sequence[str], score: str, label: str, *,
           weight: str | None = None, out: str = "auroc") -> DataFrame:
     """Area under the ROC curve per group, ties counted half; NULL with one class only."""
-    lad = ladder(_rows(df, by, score, label, weight), by, "_score", ["p", "q"])
-    g = lad.groupBy(*by).agg(
-        F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"),
-        F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2.0)).alias("_u"))
+    cells = _rows(df, by, score, label, weight).groupBy(*by, "_score").agg(
+        F.sum("p").alias("p"), F.sum("q").alias("q"))
+    lad = running(cells.withColumn("w", F.col("p") + F.col("q")), by, ["_score"], ["w"])
+    rank = F.col("w_before") + (F.col("w") + 1) / 2.0
+    g = lad.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"),
+                             F.sum(F.col("p") * rank).alias("_r"))
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    value = F.when(both, F.try_divide(F.col("_u"), F.col("n_pos").cast("double") * F.col("n_neg")))
+    u = F.col("_r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0
+    value = F.when(both, F.try_divide(u, F.col("n_pos").cast("double") * F.col("n_neg")))
     return g.select(*by, "n_pos", "n_neg", value.alias(out))
 
 

@@ -20,10 +20,17 @@ from pyspark.sql import types as T
 from ..functions.draws import hash_number
 from .common import attach
 
-RESOLUTION = 1024
 
+def default_resolution(df: DataFrame) -> int:
+    """Buckets per factor of two, tied to the session's shuffle width.
 
-def value_bucket(x: Column, resolution: int = RESOLUTION) -> Column:
+    A cluster that sets more shuffle partitions for more data also gets finer buckets.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(16, min(4096, 2 * width))
+
+
+def value_bucket(x: Column, resolution: int) -> Column:
     """Monotone bucket of a number: ``resolution`` buckets per factor of two.
 
     Linear below 2**-30, logarithmic above, symmetric in sign.
@@ -38,14 +45,11 @@ def _bucket(order: str, descending: bool, resolution: int) -> Column:
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str], *,
-            descending: bool = False, resolution: int = RESOLUTION,
-            totals_from: DataFrame | None = None, bounded: bool = False) -> DataFrame:
+            descending: bool = False, resolution: int | None = None, bounded: bool = False) -> DataFrame:
     """Add ``<s>_before`` (sum over earlier rows of the group) and ``<s>_total``.
 
     ``order[0]`` must be a non-null number; the remaining columns break ties and
-    the whole of ``order`` must be unique within ``by``. ``totals_from`` may hold the
-    same sums before rows were combined, which spares the totals a shuffle.
-    ``bounded`` says that a group is small by construction (replicates, folds,
+    the whole of ``order`` must be unique within ``by``. ``bounded`` says that a group is small by construction (replicates, folds,
     contexts): then one plain window does.
     """
     by = list(by)
@@ -56,10 +60,9 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequen
         return df.select(
             "*", *[F.coalesce(F.sum(s).over(prior), F.lit(0)).alias(f"{s}_before") for s in sums],
             *[F.sum(s).over(group).alias(f"{s}_total") for s in sums])
-    bucket = _bucket(order[0], descending, resolution)
+    bucket = _bucket(order[0], descending, resolution or default_resolution(df))
     rows = df.withColumn("_bucket", bucket)
-    source = rows if totals_from is None else totals_from.withColumn("_bucket", bucket)
-    totals = source.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    totals = rows.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     group = Window.partitionBy(*(by or [F.lit(0)]))
     earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -67,12 +70,12 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequen
         *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.sum(f"_t_{s}").over(group).alias(f"{s}_total") for s in sums],
     )
-    local = (Window.partitionBy(*by, "_bucket").orderBy(*keys)
+    local = (Window.partitionBy("_bucket", *by).orderBy(*keys)
              .rowsBetween(Window.unboundedPreceding, -1))
     inside = rows.select(
         "*", *[F.coalesce(F.sum(s).over(local), F.lit(0)).alias(f"_i_{s}") for s in sums]
     )
-    joined = inside.join(offsets, [*by, "_bucket"])
+    joined = inside.join(offsets, ["_bucket", *by])
     return joined.select(
         *df.columns,
         *[(F.col(f"_o_{s}") + F.col(f"_i_{s}")).alias(f"{s}_before") for s in sums],
@@ -82,10 +85,13 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequen
 
 def ladder(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], *,
            descending: bool = False, bounded: bool = False) -> DataFrame:
-    """Distinct non-null values of a group with the sums of ``sums`` and their running sums."""
-    rows = df.filter(F.col(value).isNotNull()).select(*by, value, *sums)
+    """Distinct non-null values of a group with the sums of ``sums`` and their running sums.
+
+    Bucket totals and sorted buckets both read the one shuffle that combines equal values.
+    """
+    rows = df.filter(F.col(value).isNotNull())
     cells = rows.groupBy(*by, value).agg(*[F.sum(s).alias(s) for s in sums])
-    return running(cells, by, [value], sums, descending=descending, totals_from=rows, bounded=bounded)
+    return running(cells, by, [value], sums, descending=descending, bounded=bounded)
 
 
 def weighted(df: DataFrame, weight: str | None) -> DataFrame:

@@ -32,7 +32,7 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, *, weight: str |
         for v, c in (("_x", "_cx"), ("_y", "_cy")):
             ranks = average_ranks(rows, by, v, "_w", "_r")
             centred = F.col("_r") - (F.col("w_total") + 1) / 2.0
-            joined = joined.join(ranks.select(*by, v, centred.alias(c)), [*by, v])
+            joined = joined.join(ranks.select(*by, v, centred.alias(c)), [v, *by])
     a, b, k = F.col("_cx"), F.col("_cy"), F.col("_w")
     g = joined.groupBy(*by).agg(
         F.sum("_w").alias("n"), F.sum(k * a * b).alias("_xy"),
