@@ -1,6 +1,7 @@
 """sigweave: table operators for signature-consistency analytics on PySpark.
 
-Every operator takes DataFrames and returns a DataFrame; none runs an action.
+Every operator takes DataFrames and returns a DataFrame. Operators are lazy, except
+where ``operators.common.reuse`` checkpoints a narrow table read by several branches.
 Key column names are parameters, ``by`` is always a list of grouping columns.
 """
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -23,12 +24,29 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.withColumn("_row", row).select(*df.columns, *[F.col("_row")[c].alias(c) for c in cols])
 
 
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The folder for checkpoints: what the session names in ``spark.checkpoint.dir``.
+
+    Only a local session that names none gets a temporary folder; a cluster never does.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if named is None and sc.master.startswith("local"):
+        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if named and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
+
+
 def reuse(df: DataFrame) -> DataFrame:
-    """Mark a narrow intermediate that several branches of one plan read.
+    """Fix a narrow intermediate that several branches of one plan read.
 
-    Lazy: the first branch fills it, partitions spill to local disk, and a lost
-    partition is recomputed from its lineage. ``release`` drops all of them.
+    It is checkpointed in the shared folder: computed once, safe against lost executors,
+    and the plans above it stay small. Without a folder it is persisted instead, which
+    is lazy and falls back on lineage; ``release`` drops those.
     """
+    if checkpoint_dir(df.sparkSession):
+        return df.checkpoint(eager=True)
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     _HELD.append(held)
     return held

@@ -63,24 +63,26 @@ def one_sided_p(point: str, stat: str) -> Column:
 
 
 def classifier_replicates(df: DataFrame, key: str, scores: Sequence[str], label: str, reps: int,
-                          seed: int) -> DataFrame:
-    """(rep, metric, auroc, auprc); replicates with one class only are NULL."""
-    drawn = reuse(draw_weights(df.select(key, label, *scores), key, reps, seed))
-    long = unpivot(drawn, ["rep", "w", label], scores, "metric", "score")
-    return roc_and_pr(long, ["rep", "metric"], "score", label, weight="w")
+                          seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, rep, metric, auroc, auprc); replicates with one class only are NULL."""
+    by = list(by)
+    drawn = reuse(draw_weights(df.select(*by, key, label, *scores), key, reps, seed, by))
+    long = unpivot(drawn, [*by, "rep", "w", label], scores, "metric", "score")
+    return roc_and_pr(long, [*by, "rep", "metric"], "score", label, weight="w")
 
 
 def bootstrap_classifier(df: DataFrame, key: str, scores: Sequence[str], label: str, *,
-                         reps: int = 10_000, seed: int = 42) -> DataFrame:
-    """AUROC and AUPRC of each score with percentile intervals and SE."""
-    point = roc_and_pr(unpivot(df, [label], scores, "metric", "score"), ["metric"], "score", label)
-    boot = reuse(classifier_replicates(df, key, scores, label, reps, seed)).filter(F.col("auroc").isNotNull())
+                         reps: int = 10_000, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """AUROC and AUPRC of each score with percentile intervals and SE, per group of ``by``."""
+    keys = [*by, "metric"]
+    point = roc_and_pr(unpivot(df, [*by, label], scores, "metric", "score"), keys, "score", label)
+    boot = reuse(classifier_replicates(df, key, scores, label, reps, seed, by)).filter(F.col("auroc").isNotNull())
     out = point
     for stat in ("auroc", "auprc"):
-        ci = interval(boot, ["metric"], stat)
-        ci = ci.select("metric", *( ["n_boot"] if stat == "auroc" else []),
+        ci = interval(boot, keys, stat)
+        ci = ci.select(*keys, *(["n_boot"] if stat == "auroc" else []),
                        *[F.col(c).alias(f"{stat}_{c}") for c in ("ci_lo", "ci_hi", "se")])
-        out = out.join(ci, "metric")
+        out = out.join(ci, keys)
     return out
 
 

@@ -115,7 +115,7 @@ def class_study(scores: DataFrame, key: str, moa: str, predictors: Sequence[str]
                 seed: int = 42) -> DataFrame:
     """Machinery against receptor in the primary reading and with nuclear receptors folded either way.
 
-    Low scores predict machinery; AUROC per predictor and variant.
+    Low scores predict machinery; AUROC and AUPRC with intervals per predictor and variant.
     """
     cls = X.keyword_class(moa, lookups.BROAD_CLASSES, absent="no_annotation", other="excluded")
     rows = scores.withColumn("cls", cls)
@@ -124,8 +124,7 @@ def class_study(scores: DataFrame, key: str, moa: str, predictors: Sequence[str]
     two = v.filter(F.col("cls").isin("machinery", "receptor")).withColumn(
         "label", (F.col("cls") == "machinery").cast("int"))
     two = two.withColumns({p: -F.col(p) for p in predictors})
-    long = unpivot(two, ["variant", "label"], list(predictors), "metric", "score")
-    return classify.roc_and_pr(long, ["variant", "metric"], "score", "label")
+    return resample.bootstrap_classifier(two, key, list(predictors), "label", reps=reps, seed=seed, by=["variant"])
 
 
 def positive_control(scores: DataFrame, key: str, moa: str, score: str, *, reps: int = 10_000,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..operators.common import checkpoint_dir
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -18,19 +20,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names, if it names one."""
-    return spark.conf.get("spark.checkpoint.dir", None)
-
-
 def hand_off(df: DataFrame) -> DataFrame:
-    """Cut the lineage between stages with a reliable checkpoint.
-
-    The directory is the session's ``spark.checkpoint.dir``; only a session without
-    any (a test) has to set one itself beforehand.
-    """
-    spark = df.sparkSession
-    directory = checkpoint_dir(spark)
-    if directory:
-        spark.sparkContext.setCheckpointDir(directory)
+    """Cut the lineage between stages with a reliable checkpoint in ``spark.checkpoint.dir``."""
+    if checkpoint_dir(df.sparkSession) is None:
+        raise ValueError("the session names no spark.checkpoint.dir")
     return df.checkpoint(eager=True)
