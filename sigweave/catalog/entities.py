@@ -86,7 +86,7 @@ def masked_instability(spark, sf):
     mask = G.feature_positions(features, excluded)
     rows = G.masked(attach(A.sales(spark, sf), mask, []), F.col("mask"))
     return G.direction_instability(rows, ["entity"], {"raw": "vec", "corrected": "vec_masked"},
-                                   dim=A.MONTHS).drop("n_contexts")
+                                   dim=A.MONTHS).filter("n_contexts > 1").drop("n_contexts")
 
 
 GEO = """geo AS (SELECT t.entity, count(*) AS n_contexts, avg(nrm) AS mean_norm, stddev_pop(nrm) AS sd,
@@ -152,7 +152,7 @@ SELECT r.entity, round(m.di, 6) + 0 AS di_region, round(r.di, 6) + 0 AS di_all,
 def localization(spark, sf):
     c = A.consensus_by_type(spark, sf).select("target", V.top_features("direction", 4).alias("mask"))
     rows = A.sales(spark, sf).join(A.targets(spark, sf), "entity")
-    return G.localization(rows, c, ["entity"], ["target"]).drop("n_contexts")
+    return G.localization(rows, c, ["entity"], ["target"]).filter("n_contexts > 1").drop("n_contexts")
 
 
 TOP4 = """top4 AS (SELECT entity, context, list(i) AS items FROM (
@@ -296,7 +296,7 @@ def variance_masked_instability(spark, sf):
     rows = G.masked(df.join(masks, "region"), F.col("mask"))
     return G.direction_instability(rows, ["region", "entity"],
                                    {"raw": "vec", "corrected": "vec_masked"},
-                                   dim=A.MONTHS).drop("n_contexts")
+                                   dim=A.MONTHS).filter("n_contexts > 1").drop("n_contexts")
 
 
 @query("coding_vector_instability", """
@@ -312,11 +312,13 @@ q AS (SELECT tr.region, trial, y, (e1 <= e)::INT + (e2 <= e)::INT + (e3 <= e)::I
 x AS (SELECT region, trial, neuron, avg(x) AS x FROM act GROUP BY 1, 2, 3),
 d AS (SELECT q.region, q, neuron, avg(x) FILTER (y = 1) - avg(x) FILTER (y = 0) AS d FROM x
   JOIN q ON x.region = q.region AND x.trial = q.trial GROUP BY 1, 2, 3),
-v AS (SELECT region, q, list(d ORDER BY neuron) AS v FROM d GROUP BY 1, 2)
-SELECT region, 10::BIGINT AS n_neurons, 4::BIGINT AS n_vectors, round(raw, 6) AS raw,
-  round(raw / sqrt(10), 6) AS corrected FROM (
- SELECT a.region, 1 - avg(list_cosine_similarity(a.v, b.v)) AS raw FROM v a JOIN v b
- ON a.region = b.region AND a.q < b.q GROUP BY 1)""")
+nn AS (SELECT region, q, sqrt(sum(d * d)) AS n FROM d GROUP BY 1, 2 HAVING sqrt(sum(d * d)) > 1e-10),
+u AS (SELECT d.region, d.q, neuron, d / n AS u FROM d JOIN nn ON d.region = nn.region AND d.q = nn.q),
+k AS (SELECT region, count(*) AS k FROM nn GROUP BY 1 HAVING count(*) >= 3),
+p AS (SELECT a.region, sum(a.u * b.u) AS s FROM u a JOIN u b ON a.region = b.region AND a.neuron = b.neuron AND a.q < b.q GROUP BY 1),
+c AS (SELECT region, count(DISTINCT neuron) AS nn FROM u GROUP BY 1)
+SELECT k.region, c.nn AS n_neurons, k AS n_vectors, round(1 - 2 * s / (k * (k - 1)), 6) AS raw,
+  round((1 - 2 * s / (k * (k - 1))) / sqrt(c.nn), 6) AS corrected FROM k JOIN p ON p.region = k.region JOIN c ON c.region = k.region""")
 def coding_vectors(spark, sf):
     nat = table(spark, sf, "nation").join(
         table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select(

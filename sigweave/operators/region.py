@@ -37,10 +37,10 @@ def coding_vector_instability(activity: DataFrame, trials: DataFrame, *, window:
     norms = diff.groupBy(region, "q").agg(F.sqrt(F.sum(F.col("_d") ** 2)).alias("_n"),
                                           F.count("_d").alias("_k")).filter(F.col("_n") > 1e-10)
     unit = diff.join(norms, [region, "q"]).withColumn("_u", F.col("_d") / F.col("_n"))
-    sums = unit.groupBy(region, "neuron").agg(F.sum("_u").alias("_t"), F.sum(F.col("_u") ** 2).alias("_s"),
-                                              F.count(F.lit(1)).alias("_k"))
+    sums = unit.groupBy(region, "neuron").agg(F.sum("_u").alias("_t"), F.sum(F.col("_u") ** 2).alias("_s"))
+    vectors = norms.groupBy(region).agg(F.count(F.lit(1)).alias("n_vectors"))
     g = sums.groupBy(region).agg(F.sum(F.col("_t") ** 2).alias("_t2"), F.sum("_s").alias("_s"),
-                                 F.max("_k").alias("n_vectors"), F.count(F.lit(1)).alias("n_neurons"))
+                                 F.count(F.lit(1)).alias("n_neurons")).join(vectors, region)
     g = g.filter(F.col("n_vectors") >= min_vectors)
     k = F.col("n_vectors")
     raw = 1.0 - (F.col("_t2") - F.col("_s")) / (k * (k - 1))
