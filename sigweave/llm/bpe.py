@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, whole_text
+from .common import arrow_map, text_last
 
 #: Characters that a match may depend on from its own start, or past its end (contractions, look-ahead).
 MARGIN = 8
@@ -168,7 +168,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text"
     if keep_ids:
         new["token_ids"] = "array<int>"
     rest = [c for c in docs.columns if c != text and c not in new]
-    frame = docs.select(*rest, whole_text(text).alias("_text"))
+    frame = text_last(docs, rest, text)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:len(rest)]]
     shared = docs.sparkSession.sparkContext.broadcast(data)
 

@@ -51,6 +51,14 @@ def whole_text(text: Column | str = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def text_last(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The columns ``keep`` and, last, the whole text under a name that none of them has."""
+    name = "_text"
+    while name.lower() in {c.lower() for c in keep}:
+        name = "_" + name
+    return docs.select(*[F.col(f"`{c}`") for c in keep], whole_text(text).alias(name))
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
               rows: int = TEXT_BATCH_ROWS) -> DataFrame:
     """mapInArrow over batches of at most ``rows`` rows, and of bounded text size within them."""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, broadcast_if_small, settle, whole_text
+from .common import arrow_map, broadcast_if_small, settle, text_last, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -120,7 +120,7 @@ def occurrences(docs: DataFrame, text: str) -> DataFrame:
     A seed's kind is its own, a candidate's is "?" and its shape.
     """
     rest = [c for c in docs.columns if c != text]
-    frame = docs.select(*rest, whole_text(text).alias("_text"))
+    frame = text_last(docs, rest, text)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:len(rest)]]
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
     seen_type = pa.struct([*span, ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, whole_text
+from .common import arrow_map, text_last, whole_text
 
 CLASSES, WITHIN = 32, 32
 VOCABULARY = CLASSES * WITHIN
@@ -226,7 +226,7 @@ def score(docs: DataFrame, net: Network, frequent: dict[bytes, int], *, text: st
     """All columns but the text, with n_tokens, log_likelihood (sum) and mean_log_likelihood."""
     new = {"n_tokens": "long", "log_likelihood": "double", "mean_log_likelihood": "double"}
     rest = [c for c in docs.columns if c != text and c not in new]
-    frame = docs.select(*rest, whole_text(text).alias("_text"))
+    frame = text_last(docs, rest, text)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:len(rest)]]
     sc = docs.sparkSession.sparkContext
     model, words = sc.broadcast(flatten(net)), sc.broadcast(frequent)

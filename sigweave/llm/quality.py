@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, whole_text
+from .common import arrow_map, text_last
 from .labelled import labelled_texts
 
 STATISTICS = [
@@ -155,7 +155,7 @@ def score(docs: DataFrame, model: Trees, *, text: str = "text", threshold: float
     way to it; repeated rows get the same score.
     """
     rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    frame = docs.select(*rest, whole_text(text).alias("_text"))
+    frame = text_last(docs, rest, text)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:len(rest)]]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

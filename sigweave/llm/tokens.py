@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, whole_text
+from .common import arrow_map, text_last
 
 SPACE_MARK = "▁"
 #: Characters with a column of their own in the transition table: the most frequent in the pieces.
@@ -251,7 +251,7 @@ def token_counts(docs: DataFrame, model: str, *, text: str = "text", limit: int
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     new = {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean"}
     rest = [c for c in docs.columns if c != text and c not in new]
-    frame = docs.select(*rest, whole_text(text).alias("_text"))
+    frame = text_last(docs, rest, text)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = _worker(shared.value)

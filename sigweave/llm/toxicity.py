@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, whole_text
+from .common import arrow_map, text_last
 from .labelled import fit_logistic, labelled_texts
 
 TOKEN = re.compile(r"\w+")
@@ -217,7 +217,7 @@ def score(docs: DataFrame, crf: Field, *, text: str = "text", threshold: float =
     """
     new = {"score": "double", "predicted": "int"} | ({"spans": "array<struct<start:int,end:int>>"} if keep_spans else {})
     rest = [c for c in docs.columns if c != text and c not in new]
-    frame = docs.select(*rest, whole_text(text).alias("_text"))
+    frame = text_last(docs, rest, text)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:len(rest)]]
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     memo: list[Evidence] = []
