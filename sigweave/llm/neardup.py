@@ -268,6 +268,6 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     final = settle(labelled(sets.select("_id"), links))
     of_set = sets.select(F.col("_set").alias("_s"), "_id").join(final, "_id").select("_s", "_component")
     out = prints.join(of_set, F.col("_set") == F.col("_s"), "left")
-    component = F.coalesce("_component", "_id")
+    component = F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id"))
     return out.select(F.col("_id").alias(key), "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
