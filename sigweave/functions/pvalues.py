@@ -21,7 +21,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     value = d
-    for m in range(1, 10_000):
+    for m in range(1, 1_000_000):  # takes about the square root of a + b rounds
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + num * d
@@ -30,25 +30,51 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"the incomplete beta function did not converge for a={a}, b={b}, x={x}")
 
 
-def beta_regularized(a: float, b: float, x: float) -> float:
-    """I_x(a, b)."""
+def _stirling_rest(x: float) -> float:
+    """lgamma(x) less its leading Stirling terms (x - 1/2) ln x - x + ln(2 pi) / 2."""
+    if x < 15.0:
+        return math.lgamma(x) - ((x - 0.5) * math.log(x) - x + 0.5 * math.log(2 * math.pi))
+    r = 1.0 / (x * x)
+    return (1.0 / 12 - r * (1.0 / 360 - r * (1.0 / 1260 - r / 1680))) / x
+
+
+def _log1p_rest(u: float) -> float:
+    """log(1 + u) - u, without cancellation near 0."""
+    if abs(u) > 0.1:
+        return math.log1p(u) - u
+    return -sum((-u) ** k / k for k in range(2, 20))
+
+
+def _beta_front(a: float, b: float, x: float, y: float) -> float:
+    """x^a y^b / B(a, b) with y = 1 - x, from differences of size one and not of size a log a.
+
+    Both logarithms are taken at their distance from the mean a / (a + b).
+    """
+    shift = a * y - b * x
+    power = a * _log1p_rest(-shift / a) + b * _log1p_rest(shift / b)
+    rest = _stirling_rest(a + b) - _stirling_rest(a) - _stirling_rest(b)
+    return math.sqrt(a / (a + b) * b / (2 * math.pi)) * math.exp(power + rest)
+
+
+def beta_regularized(a: float, b: float, x: float, y: float | None = None) -> float:
+    """I_x(a, b); ``y`` is 1 - x where the caller knows it more exactly."""
+    y = 1.0 - x if y is None else y
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if y <= 0.0:
         return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x))
+    front = _beta_front(a, b, x, y)
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    return 1.0 - front * _beta_fraction(b, a, y) / b
 
 
 def student_two_sided(t: float, df: float) -> float:
-    return beta_regularized(df / 2.0, 0.5, df / (df + t * t))
+    return beta_regularized(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def binomial_upper(k: int, n: int, p: float) -> float:
@@ -57,7 +83,11 @@ def binomial_upper(k: int, n: int, p: float) -> float:
 
 
 def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
-    """Sum of the hypergeometric probabilities not above that of the observed table."""
+    """Sum of the hypergeometric probabilities not above that of the observed table.
+
+    Terms further than 60 standard deviations and 60 counts from both the mode and the table
+    are left out: they lie below 1e-300 of the largest one.
+    """
     row, col, n = a + b, a + c, a + b + c + d
     lo, hi = max(0, row + col - n), min(row, col)
     mode = int((row + 1) * (col + 1) / (n + 2)) if n else 0

@@ -126,6 +126,18 @@ def assemble(df: DataFrame, by: Sequence[str], names: Sequence[str],
     return g.drop("_dim")
 
 
+def with_whole_vectors(df: DataFrame, vec: str, dim: int | None) -> DataFrame:
+    """Rows that have a vector (NULL and empty ones go), each of ``dim`` features where that is given.
+
+    A vector of another length fails the query: it is neither cut nor filled.
+    """
+    rows = df.filter(F.size(F.coalesce(F.col(vec), F.array().cast(df.schema[vec].dataType))) > 0)
+    if dim is None:
+        return rows
+    sound = F.when(F.size(vec) == dim, F.col(vec))
+    return rows.withColumn(vec, F.coalesce(sound, F.raise_error(F.lit(f"a vector does not have {dim} features")).cast(df.schema[vec].dataType)))
+
+
 def is_wide(dim: int | None) -> bool:
     """Is the number of features known and small enough for one accumulator column each?"""
     return dim is not None and dim <= WIDE

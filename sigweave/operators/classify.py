@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach
+from .common import attach, join_groups, without_nan
 from .ladder import ladder, quantiles, running
 
 
@@ -42,8 +42,9 @@ def _rows(df: DataFrame, by: Sequence[str], score: str, label: str, weight: str
     """Score with its positive weight ``p`` and negative weight ``q``."""
     w = F.col(weight) if weight else F.lit(1).cast("long")
     pos = F.when(F.col(label) == 1, w).otherwise(0)
-    return df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
-        *by, F.col(score).cast("double").alias("_score"), pos.alias("p"), (w - pos).alias("q"))
+    number = without_nan(F.col(score).cast("double"), "double")
+    return df.filter(number.isNotNull() & F.col(label).isNotNull()).select(
+        *by, number.alias("_score"), pos.alias("p"), (w - pos).alias("q"))
 
 
 def auroc(df: DataFrame, by: Sequence[str], score: str, label: str, *,
@@ -109,7 +110,7 @@ def one_vs_rest_auroc(df: DataFrame, by: Sequence[str], score: str, cls: str, *,
         *by, cls, F.col(score).cast("double").alias("_score"), w.alias("a"), w.alias("c"))
     all_ladder = ladder(rows, by, "_score", ["a"])
     own = ladder(rows.filter(F.col(cls).isNotNull()), [*by, cls], "_score", ["c"])
-    j = own.join(all_ladder, [*by, "_score"])
+    j = join_groups(own, all_ladder, [*by, "_score"])
     rest_before = F.col("a_before") - F.col("c_before")
     rest_here = F.col("a") - F.col("c")
     g = j.groupBy(*by, cls).agg(
@@ -135,10 +136,11 @@ def macro_auroc(df: DataFrame, by: Sequence[str], score: str, cls: str, *, min_c
 def residualize(df: DataFrame, by: Sequence[str], x: str, covariate: str, out: str) -> DataFrame:
     """x minus its least-squares fit on the covariate and an intercept.
 
-    A constant covariate leaves x minus its mean.
+    A constant covariate leaves x minus its mean. Slope and means rest on the same rows,
+    those with both values; other rows get NULL.
     """
     slope = F.coalesce(F.regr_slope(x, covariate), F.lit(0.0))
-    fit = df.groupBy(*by).agg(slope.alias("_b"), F.avg(x).alias("_mx"), F.avg(covariate).alias("_mc"))
+    fit = df.groupBy(*by).agg(slope.alias("_b"), F.regr_avgy(x, covariate).alias("_mx"), F.regr_avgx(x, covariate).alias("_mc"))
     resid = F.col(x) - F.col("_mx") - F.col("_b") * (F.col(covariate) - F.col("_mc"))
     return attach(df, fit, by).withColumn(out, resid).drop("_b", "_mx", "_mc")
 

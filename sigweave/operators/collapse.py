@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .common import attach
+from .common import attach, join_groups
+
+#: Salted parts of the feature panel when it meets the perturbations.
+GRID_PARTS = 32
 
 
 def collapse(df: DataFrame, by: Sequence[str], *, vec: str = "vec", count: str = "n_rep",
@@ -21,6 +24,7 @@ def collapse(df: DataFrame, by: Sequence[str], *, vec: str = "vec", count: str =
     short vectors do with one shuffle.
     """
     by = list(by)
+    df = V.with_whole_vectors(df, vec, dim)
     if V.is_wide(dim):
         g = df.groupBy(*by).agg(F.count(F.lit(1)).alias(count), V.feature_array(vec, dim, F.avg).alias(vec))
         return g.filter(F.col(count) >= min_count)
@@ -40,8 +44,11 @@ def long_to_vectors(df: DataFrame, by: Sequence[str], idx: Column, x: Column, di
                     vec: str = "vec") -> DataFrame:
     """Long (idx, x) rows to one dense vector per group, absent features as 0.
 
-    ``dim`` conditional sums in one aggregate: one shuffled row per group.
+    ``dim`` conditional sums in one aggregate: one shuffled row per group. An index outside
+    [0, dim) is an error, not a feature to leave out.
     """
+    sound = F.when(idx.isNull() | ((idx >= 0) & (idx < dim)), idx)
+    idx = F.coalesce(sound, F.when(idx.isNotNull(), F.raise_error(F.lit(f"a feature index lies outside [0, {dim})")).cast("int")))
     sums = [F.sum(F.when(idx == i, x)) for i in range(dim)]
     return df.groupBy(*by).agg(
         F.array(*[F.coalesce(s.cast("double"), F.lit(0.0)) for s in sums]).alias(vec)
@@ -56,10 +63,14 @@ def with_min_contexts(df: DataFrame, entity: Sequence[str], context: str, k: int
 
 def pick_control_label(cells: DataFrame, label: str,
                        priority: Sequence[str] = ("non-targeting", "control", "")) -> DataFrame:
-    """The first control label, in order of priority, that any cell carries (one row)."""
+    """The first control label, in order of priority, that any cell carries (one row).
+
+    Without any such cell the query fails: there is nothing to compare with.
+    """
     rank = F.coalesce(*[F.when(F.col(label) == p, F.lit(i)) for i, p in enumerate(priority)])
     hits = cells.filter(F.col(label).isin(*priority))
-    return hits.agg(F.min_by(label, rank).alias("control_label"))
+    found = hits.agg(F.min_by(label, rank).alias("control_label"))
+    return found.select(F.coalesce("control_label", F.raise_error(F.lit("no cell carries a control label"))).alias("control_label"))
 
 
 def difference_signature(expr: DataFrame, cells: DataFrame, features: DataFrame, *,
@@ -80,19 +91,18 @@ def difference_signature(expr: DataFrame, cells: DataFrame, features: DataFrame,
     ctl = attach(sums.join(sizes, label), control, [])
     ctl_mean = ctl.filter(F.col(label) == F.col("control_label")).select(
         feature, (F.col("sum_x") / F.col("n_cells")).alias("control_mean"))
-    shared = sums.select(feature).distinct()
     perturbed = sizes.filter(~F.col(label).isin(*controls) & (F.col("n_cells") >= min_cells))
-    # Union of the two sparse sides and one aggregate: absent cells count as zero
-    # without building the label x feature grid first.
-    own = sums.join(perturbed, label).select(
+    # Every perturbation meets every measured feature (that grid is the result); what it
+    # does not express is zero. The join is on a constant key so that the planner may
+    # broadcast the narrower side by its size, and shuffles it in salted parts otherwise.
+    own = join_groups(sums, perturbed, [label]).select(
         label, "n_cells", feature, (F.col("sum_x") / F.col("n_cells")).alias("own"))
-    panel = shared.join(ctl_mean, feature, "left").groupBy().agg(
-        F.collect_list(F.struct(F.col(feature),
-                                F.coalesce("control_mean", F.lit(0.0)).alias("c"))).alias("_panel"))
-    grid = attach(perturbed, panel, []).select(
-        label, "n_cells", F.explode("_panel").alias("_f")).select(
-        label, "n_cells", F.col(f"_f.{feature}").alias(feature), F.col("_f.c").alias("control_mean"))
-    diff = grid.join(own.drop("n_cells"), [label, feature], "left").select(
+    panel = sums.select(feature).distinct().join(ctl_mean, feature, "left").select(
+        feature, F.coalesce("control_mean", F.lit(0.0)).alias("control_mean"),
+        F.explode(F.sequence(F.lit(0), F.lit(GRID_PARTS - 1))).alias("_part"))
+    parts = perturbed.withColumn("_part", F.pmod(F.xxhash64(label), F.lit(GRID_PARTS)).cast("int"))
+    grid = parts.join(panel, "_part").drop("_part")
+    diff = join_groups(grid, own.drop("n_cells"), [label, feature], "left").select(
         label, "n_cells", feature,
         (F.coalesce("own", F.lit(0.0)) - F.col("control_mean")).alias("diff"))
     norms = diff.groupBy(label).agg(F.sqrt(F.sum(F.col("diff") * F.col("diff"))).alias("_norm"))

@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-_HELD: list[DataFrame] = []
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on grouping columns in which NULL is a group like any other.
+
+    The keys travel as one struct: its equality takes NULL fields for equal, and unlike a
+    null-safe comparison of each column it keeps one hash partitioning.
+    """
+    keys = list(keys)
+    pack = F.struct(*[F.col(f"`{k}`") for k in keys])
+    own = right.select(pack.alias("_group"), *[F.col(f"`{c}`") for c in right.columns if c not in keys])
+    return left.withColumn("_group", pack).join(own, "_group", how).drop("_group")
+
+
+def without_nan(x: Column, kind: str) -> Column:
+    """NaN as NULL, for floating columns: rank statistics leave both out."""
+    return F.nanvl(x, F.lit(None).cast(kind)) if kind in ("double", "float") else x
 
 
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -18,43 +33,39 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     Without keys the single row arrives as a scalar subquery, not as a cross join.
     """
     if by:
-        return df.join(stats, list(by))
+        return join_groups(df, stats, by)
     cols = stats.columns
     row = stats.select(F.struct(*cols).alias("_row")).scalar()
     return df.withColumn("_row", row).select(*df.columns, *[F.col("_row")[c].alias(c) for c in cols])
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The folder for checkpoints: what the session names in ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: the context's, else what ``spark.checkpoint.dir`` names.
 
-    Only a local session that names none gets a temporary folder; a cluster never does.
+    A session on a single machine that names none gets a folder of its own, deleted at
+    exit. A cluster must name one: a folder of one machine would be lost with it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if named is None and sc.master.startswith("local"):
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if named and sc.getCheckpointDir() is None:
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="sigweave-checkpoints-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
-    return named
+    return sc.getCheckpointDir()
 
 
 def reuse(df: DataFrame) -> DataFrame:
     """Fix a narrow intermediate that several branches of one plan read.
 
-    It is checkpointed in the shared folder: computed once, safe against lost executors,
-    and the plans above it stay small. Without a folder it is persisted instead, which
-    is lazy and falls back on lineage; ``release`` drops those.
+    It is checkpointed: computed once, safe against lost executors, and the plans above it
+    stay small. Its files go with the context's cleaner, where that is told to
+    (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _HELD.append(held)
-    return held
-
-
-def release() -> None:
-    while _HELD:
-        _HELD.pop().unpersist()
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def unpivot(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: str,

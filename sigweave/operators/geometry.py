@@ -34,10 +34,13 @@ def direction_instability(df: DataFrame, by: Sequence[str], vecs: dict[str, str]
 
     ``vecs`` maps output names to vector columns. sum_{i<j} u_i.u_j equals
     (|T|^2 - sum |u_i|^2) / 2, so only per-feature sums are shuffled. NULL below
-    two vectors.
+    two vectors. A NULL or empty vector is no context; with ``dim``, a vector of another
+    length is an error.
     """
     by = list(by)
     names = list(vecs)
+    for c in vecs.values():
+        df = V.with_whole_vectors(df, c, dim)
     if V.is_wide(dim):
         rows = _with_norms(df, by, vecs, eps)
         total = rows.groupBy(*by).agg(
@@ -83,6 +86,7 @@ def vector_sums(df: DataFrame, by: Sequence[str], vec: str, *, eps: float = V.EP
                 dim: int | None = None) -> DataFrame:
     """Per entity: raw sum ``sum_raw``, unit sum ``sum_unit``, ``k``, and sum of |u|^2."""
     by = list(by)
+    df = V.with_whole_vectors(df, vec, dim)
     if V.is_wide(dim):
         rows = _with_norms(df, by, {"v": vec}, eps)
         return rows.groupBy(*by).agg(
@@ -111,6 +115,7 @@ def entity_geometry(df: DataFrame, by: Sequence[str], *, vec: str = "vec",
     coefficient of variation of the norms with the given ``ddof``.
     """
     by = list(by)
+    df = V.with_whole_vectors(df, vec, dim)
     t = vector_sums(df, by, vec, eps=eps, dim=dim)
     stats = t.select(*by, "k", "sum_u2", "sum_unit", V.sumsq("sum_unit").alias("_t2"))
     rows = attach(df.select(*by, F.col(vec).alias("_v"), V.norm(vec).alias("_n")), stats, by)

@@ -2,11 +2,13 @@
 
 A window ordered over a whole table, or over one hot group, sorts in a single
 task. Here a *ladder* (one row per distinct value, after map-side combining, so
-ties cost one row however many rows share them) is cut into buckets by a fixed
-order-preserving function of the value. Bucket totals are tiny and give the
-offset of each bucket; the sort happens inside (group, bucket).
-The bucket function needs no sampling and no second pass, so it is the same in
-every evaluation and after a lost executor.
+ties cost one row however many rows share them) is cut into buckets by an
+order-preserving function of the value: first a fixed logarithmic one, then, where
+values crowd into one such bucket, evenly between that bucket's own smallest and
+largest value, into as many pieces as its rows ask for. Bucket totals are tiny and
+give the offset of each bucket; the sort happens inside (group, bucket, piece).
+Everything rests on exact counts, minima and maxima and nothing on sampling, so it is
+the same in every evaluation and after a lost executor. A NULL group is a group.
 """
 
 from __future__ import annotations
@@ -18,7 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.draws import hash_number
-from .common import attach
+from .common import attach, join_groups, without_nan
+
+
+#: Rows of a bucket, over all groups, from which it is cut into pieces of about that size.
+PIECE_ROWS = 20_000
 
 
 def default_resolution(df: DataFrame) -> int:
@@ -26,8 +32,7 @@ def default_resolution(df: DataFrame) -> int:
 
     A cluster that sets more shuffle partitions for more data also gets finer buckets.
     """
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, min(4096, 2 * width))
+    return max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def value_bucket(x: Column, resolution: int) -> Column:
@@ -39,18 +44,29 @@ def value_bucket(x: Column, resolution: int) -> Column:
     return F.floor(F.signum(x) * F.log2(1.0 + F.abs(x) * float(2**30)) * resolution).cast("long")
 
 
-def _bucket(order: str, descending: bool, resolution: int) -> Column:
-    b = value_bucket(F.col(order), resolution)
-    return F.coalesce(-b if descending else b, F.lit(0).cast("long"))
+def with_buckets(df: DataFrame, order: str, descending: bool, resolution: int) -> DataFrame:
+    """Add ``_bucket`` and ``_piece``, which together ascend in the direction of the sort.
+
+    ``order`` must be a number that is neither NULL nor NaN.
+    """
+    x = F.col(order).cast("double")
+    rows = df.withColumn("_bucket", value_bucket(x, resolution))
+    crowded = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c"), F.min(x).alias("_lo"), F.max(x).alias("_hi")).filter(
+        (F.col("_c") > PIECE_ROWS) & (F.col("_lo") < F.col("_hi")))
+    share = (x - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    piece = F.coalesce(F.floor(share * F.ceil(F.col("_c") / PIECE_ROWS)), F.lit(0)).cast("long")
+    sign = -1 if descending else 1
+    return rows.join(crowded, "_bucket", "left").select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("_bucket") * sign).alias("_bucket"), (piece * sign).alias("_piece"))
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str], *,
             descending: bool = False, resolution: int | None = None, bounded: bool = False) -> DataFrame:
     """Add ``<s>_before`` (sum over earlier rows of the group) and ``<s>_total``.
 
-    ``order[0]`` must be a non-null number; the remaining columns break ties and
-    the whole of ``order`` must be unique within ``by``. ``bounded`` says that a group is small by construction (replicates, folds,
-    contexts): then one plain window does.
+    ``order[0]`` must be a number, not NULL or NaN; the remaining columns break ties and
+    the whole of ``order`` must be unique within ``by``. ``bounded`` says that a group is
+    small by construction (replicates, folds, contexts): then one plain window does.
     """
     by = list(by)
     keys = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
@@ -60,22 +76,21 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequen
         return df.select(
             "*", *[F.coalesce(F.sum(s).over(prior), F.lit(0)).alias(f"{s}_before") for s in sums],
             *[F.sum(s).over(group).alias(f"{s}_total") for s in sums])
-    bucket = _bucket(order[0], descending, resolution or default_resolution(df))
-    rows = df.withColumn("_bucket", bucket)
-    totals = rows.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    rows = with_buckets(df, order[0], descending, resolution or default_resolution(df))
+    cut = [*by, "_bucket", "_piece"]
+    totals = rows.groupBy(*cut).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     group = Window.partitionBy(*(by or [F.lit(0)]))
-    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = group.orderBy("_bucket", "_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by, "_bucket",
+        *cut,
         *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.sum(f"_t_{s}").over(group).alias(f"{s}_total") for s in sums],
     )
-    local = (Window.partitionBy("_bucket", *by).orderBy(*keys)
-             .rowsBetween(Window.unboundedPreceding, -1))
+    local = Window.partitionBy("_bucket", "_piece", *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.select(
         "*", *[F.coalesce(F.sum(s).over(local), F.lit(0)).alias(f"_i_{s}") for s in sums]
     )
-    joined = inside.join(offsets, ["_bucket", *by])
+    joined = join_groups(inside, offsets, cut)
     return joined.select(
         *df.columns,
         *[(F.col(f"_o_{s}") + F.col(f"_i_{s}")).alias(f"{s}_before") for s in sums],
@@ -85,11 +100,12 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequen
 
 def ladder(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], *,
            descending: bool = False, bounded: bool = False) -> DataFrame:
-    """Distinct non-null values of a group with the sums of ``sums`` and their running sums.
+    """Distinct values of a group (NULL and NaN left out) with the sums of ``sums`` and their running sums.
 
-    Bucket totals and sorted buckets both read the one shuffle that combines equal values.
+    Bucket ranges, bucket totals and sorted buckets all read the one shuffle that combines equal values.
     """
-    rows = df.filter(F.col(value).isNotNull())
+    kind = df.schema[value].dataType.simpleString()
+    rows = df.withColumn(value, without_nan(F.col(value), kind)).filter(F.col(value).isNotNull())
     cells = rows.groupBy(*by, value).agg(*[F.sum(s).alias(s) for s in sums])
     return running(cells, by, [value], sums, descending=descending, bounded=bounded)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues as P
+from .common import join_groups, without_nan
 from .ladder import average_ranks, ladder
 
 
@@ -20,9 +21,9 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, *, weight: str |
     a single shuffle and plain windows.
     """
     by = list(by)
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
-        (F.col(weight) if weight else F.lit(1).cast("long")).alias("_w"))
+    rows = df.select(
+        *by, without_nan(F.col(x).cast("double"), "double").alias("_x"), without_nan(F.col(y).cast("double"), "double").alias("_y"),
+        (F.col(weight) if weight else F.lit(1).cast("long")).alias("_w")).filter("_x IS NOT NULL AND _y IS NOT NULL")
     if bounded:
         joined = rows
         for v, c in (("_x", "_cx"), ("_y", "_cy")):
@@ -32,7 +33,7 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, *, weight: str |
         for v, c in (("_x", "_cx"), ("_y", "_cy")):
             ranks = average_ranks(rows, by, v, "_w", "_r")
             centred = F.col("_r") - (F.col("w_total") + 1) / 2.0
-            joined = joined.join(ranks.select(*by, v, centred.alias(c)), [v, *by])
+            joined = join_groups(joined, ranks.select(*by, v, centred.alias(c)), [v, *by])
     a, b, k = F.col("_cx"), F.col("_cy"), F.col("_w")
     g = joined.groupBy(*by).agg(
         F.sum("_w").alias("n"), F.sum(k * a * b).alias("_xy"),
@@ -86,9 +87,11 @@ def compare_correlations(df: DataFrame, r1: str, n1: str, r2: str, n2: str) -> D
 def steiger(df: DataFrame, by: Sequence[str], common: str, a: str, b: str) -> DataFrame:
     """Do corr(common, a) and corr(common, b) differ, measured on the same rows?
 
-    Williams-type statistic on Fisher z with the covariance of the two correlations.
+    Williams-type statistic on Fisher z with the covariance of the two correlations. Only
+    rows with all three values count, for the correlations and for n alike.
     """
-    g = df.groupBy(*by).agg(
+    whole = df.select(*by, *[without_nan(F.col(c).cast("double"), "double").alias(c) for c in dict.fromkeys((common, a, b))]).na.drop(subset=[common, a, b])
+    g = whole.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.corr(common, a).alias("r_a"),
         F.corr(common, b).alias("r_b"), F.corr(a, b).alias("r_ab"))
     ra, rb, rab = F.col("r_a"), F.col("r_b"), F.col("r_ab")
@@ -164,7 +167,7 @@ def rank_shift(df: DataFrame, by: Sequence[str], key: str, raw: str, corrected:
     by = list(by)
     a = average_ranks(df, by, raw, rank="rank_raw").select(*by, raw, "rank_raw")
     b = average_ranks(df, by, corrected, rank="rank_corrected").select(*by, corrected, "rank_corrected")
-    rows = df.select(*by, key, raw, corrected).join(a, [*by, raw]).join(b, [*by, corrected])
+    rows = join_groups(join_groups(df.select(*by, key, raw, corrected), a, [*by, raw]), b, [*by, corrected])
     return rows.withColumn("shift", F.abs(F.col("rank_raw") - F.col("rank_corrected")))
 
 
@@ -179,7 +182,8 @@ def correction_verdict(df: DataFrame, by: Sequence[str], raw: str, corrected: st
 def holm(df: DataFrame, family: Sequence[str], p: str, test: str, *, bonferroni: bool = False) -> DataFrame:
     """Adjusted p-values within each family of tests.
 
-    A family is a list of hypotheses tested together, so its window stays small.
+    A family is a list of hypotheses tested together, so its window stays small: a task
+    sorts one family.
     """
     w = Window.partitionBy(*family)
     ranked = df.withColumn("_m", F.count(F.lit(1)).over(w)).withColumn(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.common import checkpoint_dir
+from ..operators.common import reuse
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -22,6 +22,4 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 def hand_off(df: DataFrame) -> DataFrame:
     """Cut the lineage between stages with a reliable checkpoint in ``spark.checkpoint.dir``."""
-    if checkpoint_dir(df.sparkSession) is None:
-        raise ValueError("the session names no spark.checkpoint.dir")
-    return df.checkpoint(eager=True)
+    return reuse(df)
