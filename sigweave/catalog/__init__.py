@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import entities, evaluation, labelling, ranking, resampling, studies  # noqa: F401
+from . import entities, evaluation, exchange, labelling, ranking, resampling, studies  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

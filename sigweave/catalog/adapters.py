@@ -112,10 +112,14 @@ TARGETS = """tgt AS (SELECT p_brand AS entity, p_type AS target FROM (
 
 
 def two_contexts(spark: SparkSession, sf: str) -> DataFrame:
-    """Per user: event values by type, first and second half of the month, 5 features each."""
+    """Per user: event values by type, first and second half of the month, 5 features each.
+
+    An event of a type that is not on the axis is an error.
+    """
     e = table(spark, sf, "events").select(
         "user_id", "value", F.when(F.dayofmonth("ts") <= 15, 0).otherwise(1).alias("half"),
-        F.coalesce(*[F.when(F.col("event_type") == t, F.lit(i)) for i, t in enumerate(EVENT_TYPES)]).alias("idx"))
+        F.coalesce(*[F.when(F.col("event_type") == t, F.lit(i)) for i, t in enumerate(EVENT_TYPES)],
+                   F.raise_error(F.concat(F.lit("unknown event type "), "event_type")).cast("int")).alias("idx"))
     return long_to_vectors(e, ["user_id", "half"], F.col("idx"), F.col("value"), len(EVENT_TYPES))
 
 

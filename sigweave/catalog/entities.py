@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import collapse as C
 from ..operators import geometry as G
 from ..operators import groups, pairstats
-from ..operators.common import attach
+from ..operators.common import attach, reuse
 from ..operators.matching import pair_set_overlap, sampled_pairs
 from ..operators.rankstats import spearman
 from ..operators.region import coding_vector_instability
@@ -373,12 +373,25 @@ def near_equal_dose_cosines(spark, sf):
     return g.select("level_hi", "n", "median_cosine")
 
 
-@query("context_overlap_vs_instability", None)
+@query("context_overlap_vs_instability", A.ctes(A.SALES_PART, A.UNIT, f"di AS (SELECT entity, round(di, 9) AS di FROM ({PAIR_DI}))", """
+m AS (SELECT DISTINCT entity, context FROM sig)""", "c AS (SELECT entity, count(*) AS n FROM m GROUP BY 1)", """
+h AS (SELECT entity, di, rep, count(*) OVER (PARTITION BY rep) AS n, row_number() OVER (PARTITION BY rep
+   ORDER BY ('0x' || substr(md5('7:' || rep || ':' || entity), 1, 15))::BIGINT, entity) - 1 AS pos
+  FROM di, (SELECT unnest([1, 2]) AS rep))""", """
+pr AS (SELECT a.rep, a.entity AS ea, b.entity AS eb, a.di AS da, b.di AS db FROM h a
+  JOIN h b ON a.rep = b.rep AND b.pos = (a.pos + 1) % a.n WHERE a.entity <> b.entity)""", """
+s AS (SELECT rep, ea, eb, count(*) AS k FROM pr JOIN m x ON x.entity = ea JOIN m y ON y.entity = eb AND y.context = x.context
+  GROUP BY 1, 2, 3)""", """
+o AS (SELECT coalesce(k, 0)::DOUBLE / (ca.n + cb.n - coalesce(k, 0)) AS j, round(abs(da - db), 9) AS g
+  FROM pr LEFT JOIN s ON pr.rep = s.rep AND pr.ea = s.ea AND pr.eb = s.eb JOIN c ca ON ca.entity = pr.ea JOIN c cb ON cb.entity = pr.eb)""", """
+r AS (SELECT rank() OVER (ORDER BY j) + (count(*) OVER (PARTITION BY j) - 1) / 2.0 AS rj,
+  rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) / 2.0 AS rg FROM o)""") + """
+SELECT count(*) AS n, round(corr(rj, rg), 6) + 0 AS rho FROM r""")
 def context_overlap(spark, sf):
     """Do parts sold in similar sets of nations differ less in instability? A hashed pair sample."""
     sig = A.sales(spark, sf, "l_partkey")
     di = G.direction_instability(sig, ["entity"], {"di": "vec"}).filter("n_contexts >= 2")
-    pairs = sampled_pairs(di.select("entity", F.round("di", 9).alias("di")), "entity", ["di"], 2, 7)
-    o = pair_set_overlap(pairs, sig, "entity", "context")
-    o = o.withColumn("gap", F.round(F.abs(F.col("di_a") - F.col("di_b")), 9))
+    pairs = reuse(sampled_pairs(reuse(di.select("entity", F.round("di", 9).alias("di"))), "entity", ["di"], 2, 7))
+    o = pair_set_overlap(pairs, reuse(sig.select("entity", "context")), "entity", "context")
+    o = reuse(o.withColumn("gap", F.round(F.abs(F.col("di_a") - F.col("di_b")), 9)).select("jaccard", "gap"))
     return spearman(o, [], "jaccard", "gap")

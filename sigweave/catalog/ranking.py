@@ -380,21 +380,25 @@ def set_enrichment(spark, sf):
     return groups.odds_ratio(table(spark, sf, "customer"), ["c_mktsegment"], F.col("c_nationkey") < 8, F.col("c_acctbal") < 0)
 
 
-@query("stratified_effect", """
-SELECT bin, n1, n2, round(m1, 6) + 0 AS mean1, round(m2, 6) + 0 AS mean2,
+STRATA = """SELECT bin, n1, n2, round(m1, 6) + 0 AS mean1, round(m2, 6) + 0 AS mean2,
  round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) + 0 AS cohens_d FROM (
  SELECT bin, count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, avg(x) FILTER (g) AS m1, avg(x) FILTER (NOT g) AS m2,
   var_samp(x) FILTER (g) AS v1, var_samp(x) FILTER (NOT g) AS v2 FROM (
   SELECT l_extendedprice AS x, l_returnflag = 'R' AS g, ((e1 <= l_quantity)::INT + (e2 <= l_quantity)::INT
    + (e3 <= l_quantity)::INT + (e4 <= l_quantity)::INT)::BIGINT AS bin FROM lineitem, (SELECT quantile_cont(l_quantity, 0.2) AS e1,
    quantile_cont(l_quantity, 0.4) AS e2, quantile_cont(l_quantity, 0.6) AS e3, quantile_cont(l_quantity, 0.8) AS e4 FROM lineitem))
- GROUP BY 1)""")
+ GROUP BY 1)"""
+
+
+@query("stratified_effect", STRATA)
 def stratified_effect(spark, sf):
     rows = groups.quantile_group(_returned(spark, sf), [], "l_quantity", 5)
     return groups.stratified_effect(rows, ["bin"], "l_extendedprice", "g")
 
 
-@query("effect_flatness", None)
+@query("effect_flatness", f"""
+SELECT count(cohens_d) AS n_strata, min(cohens_d) AS d_min, max(cohens_d) AS d_max,
+ round(max(cohens_d) - min(cohens_d), 6) + 0 AS d_range, max(cohens_d) - min(cohens_d) <= 0.05 AS flat FROM ({STRATA})""")
 def effect_flatness(spark, sf):
     return groups.flatness(stratified_effect(spark, sf), 0.05)
 

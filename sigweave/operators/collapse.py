@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .common import attach, join_groups
+from .common import attach, join_groups, reuse
 
 #: Salted parts of the feature panel when it meets the perturbations.
 GRID_PARTS = 32
@@ -84,10 +84,10 @@ def difference_signature(expr: DataFrame, cells: DataFrame, features: DataFrame,
     Returns label, n_cells, feature, diff, without perturbations of zero norm.
     """
     control = pick_control_label(cells, label, controls)
-    sizes = cells.groupBy(label).agg(F.count(F.lit(1)).alias("n_cells"))
+    sizes = reuse(cells.groupBy(label).agg(F.count(F.lit(1)).alias("n_cells")))
     labelled = expr.join(features.select(feature).distinct(), feature, "left_semi").join(
         cells.select(cell, label), cell)
-    sums = labelled.groupBy(label, feature).agg(F.sum(x).alias("sum_x"))
+    sums = reuse(labelled.groupBy(label, feature).agg(F.sum(x).alias("sum_x")))
     ctl = attach(sums.join(sizes, label), control, [])
     ctl_mean = ctl.filter(F.col(label) == F.col("control_label")).select(
         feature, (F.col("sum_x") / F.col("n_cells")).alias("control_mean"))

@@ -176,15 +176,14 @@ def phenotype_projection(df: DataFrame, directions: DataFrame, by: Sequence[str]
     d = directions.select(*on, F.col(direction).alias("_d"), V.norm(direction).alias("_dn"))
     rows = df.join(d, on)
     p = V.dot(vec, "_d") * V.inverse_norm(F.col("_dn"), 1e-10)
-    proj = rows.select(*by, p.alias("_p"))
+    proj = rows.select(*by, "_dn", p.alias("_p"))
     how = {"std": F.stddev_pop("_p"), "mean": F.avg("_p"), "mean_abs": F.avg(F.abs("_p"))}[agg]
-    spread = proj.groupBy(*by).agg(how.alias("projected"), F.avg("_p").alias("_mean_p"))
+    spread = proj.groupBy(*by).agg(how.alias("projected"), F.avg("_p").alias("_mean_p"), F.max("_dn").alias("_dn"))
     sums = vector_sums(df, by, vec, dim=dim).select(
         *by, F.col("k").alias("n_contexts"), (V.norm("sum_raw") / F.col("k")).alias("_mn"))
-    dn = rows.groupBy(*by).agg(F.max("_dn").alias("_dn"))
     ok = (F.col("_mn") >= 1e-10) & (F.col("_dn") >= 1e-10)
     enrich = F.when(ok, F.pow(F.try_divide(F.col("_mean_p"), F.col("_mn")), 2)).otherwise(0.0)
-    return spread.join(sums, by).join(dn, by).select(
+    return spread.join(sums, by).select(
         *by, "n_contexts", "projected", enrich.alias("on_target_enrichment"))
 
 

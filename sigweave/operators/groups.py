@@ -163,12 +163,6 @@ def best_match(df: DataFrame, setting: str, score: str, target_mean: Column, tar
         "match_ok", (F.col("mean_err") < 0.05) & (F.col("std_ratio") < 2.0))
 
 
-def class_window_rank(df: DataFrame, by: Sequence[str], order: str, tie: str, n: int) -> DataFrame:
-    """First n rows per key in a stated order (the key's rows must be few, such as duplicates)."""
-    w = Window.partitionBy(*by).orderBy(F.asc(order), F.asc(tie))
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
-
-
 def first_per_key(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One whole row per key, the smallest by ``order``; an aggregate, so hot keys combine early."""
     rest = [c for c in df.columns if c not in by and c not in order]

@@ -8,16 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import hash_number
-from .ladder import with_quantiles
+from .common import attach, reuse, unpivot
+from .ladder import quantiles
 
 
 def quartile_gates(df: DataFrame, a: str, b: str) -> DataFrame:
     """Add ``gate``: high when both columns reach their P75, low when both are within P25."""
-    j = with_quantiles(df, [], a, {"_a25": 0.25, "_a75": 0.75})
-    j = with_quantiles(j, [], b, {"_b25": 0.25, "_b75": 0.75})
-    high = (F.col(a) >= F.col("_a75")) & (F.col(b) >= F.col("_b75"))
-    low = (F.col(a) <= F.col("_a25")) & (F.col(b) <= F.col("_b25"))
-    return j.withColumn("gate", F.when(high, "high").when(low, "low")).drop("_a25", "_a75", "_b25", "_b75")
+    both = unpivot(df, [], [a, b], "_column", "_x")
+    cuts = quantiles(both, ["_column"], "_x", {"_p25": 0.25, "_p75": 0.75})  # one ladder for both columns
+    row = cuts.groupBy().agg(*[F.max(F.when(F.col("_column") == c, F.col(q))).alias(n + q)
+                               for c, n in ((a, "_a"), (b, "_b")) for q in ("_p25", "_p75")])
+    j = reuse(attach(df, row, []))  # both gates filter it
+    high = (F.col(a) >= F.col("_a_p75")) & (F.col(b) >= F.col("_b_p75"))
+    low = (F.col(a) <= F.col("_a_p25")) & (F.col(b) <= F.col("_b_p25"))
+    return j.withColumn("gate", F.when(high, "high").when(low, "low")).drop("_a_p25", "_a_p75", "_b_p25", "_b_p75")
 
 
 def band_join(high: DataFrame, low: DataFrame, x: str, tolerance: float, columns: Sequence[str], *,

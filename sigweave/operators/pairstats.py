@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from . import blocks
+from .common import attach, reuse
 from .groups import fractions, group_summary, ratio_bin
 
 
@@ -59,10 +60,10 @@ def level_summary(cosines: DataFrame, by: Sequence[str]) -> DataFrame:
 def level_overall(cosines: DataFrame, probs: dict[str, float] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """All comparisons together: mean, quantiles, shares beyond 0.3, 0.5, 0.7, 0.9 and the two gates."""
     probs = probs or {f"p{p}": p / 100 for p in (5, 10, 25, 50, 75, 90, 95)}
+    cosines = reuse(cosines.select(*by, "cosine"))  # the block kernel runs once
     c = F.col("cosine")
     f = fractions(cosines, by, {"frac_above_09": c > 0.9, "frac_above_07": c > 0.7,
                                 "frac_below_05": c < 0.5, "frac_below_03": c < 0.3}).drop("n")
-    from .common import attach
     s = attach(group_summary(cosines, by, "cosine", probs), f, by)
     return s.withColumn("passes_median", F.col("p50") > 0.7).withColumn(
         "passes_fraction", F.col("frac_below_05") < 0.20)
@@ -70,7 +71,7 @@ def level_overall(cosines: DataFrame, probs: dict[str, float] | None = None, by:
 
 def level_strata(cosines: DataFrame, edges: Sequence[float], labels: Sequence[str]) -> DataFrame:
     """Summary by dose-ratio bin; ratios outside every bin stay visible as ``unbinned``."""
-    b = cosines.withColumn("bin", ratio_bin(F.col("ratio"), edges, labels))
+    b = reuse(cosines.select(ratio_bin(F.col("ratio"), edges, labels).alias("bin"), "cosine"))
     f = fractions(b, ["bin"], {"frac_below_05": F.col("cosine") < 0.5, "frac_above_09": F.col("cosine") > 0.9})
     return group_summary(b, ["bin"], "cosine").join(f.drop("n"), "bin")
 

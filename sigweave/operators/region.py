@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach
+from .common import attach, reuse
 from .groups import quantile_group
 
 
@@ -32,10 +32,9 @@ def coding_vector_instability(activity: DataFrame, trials: DataFrame, *, window:
     seen = activity.filter((F.col("t") >= lo) & (F.col("t") < hi)).groupBy(region, "trial", "neuron").agg(
         F.avg("x").alias("_x"))
     j = seen.join(t, [region, "trial"])
-    diff = j.groupBy(region, "q", "neuron").agg(
-        (F.avg(F.when(F.col("_c") == 1, F.col("_x"))) - F.avg(F.when(F.col("_c") == 0, F.col("_x")))).alias("_d"))
-    norms = diff.groupBy(region, "q").agg(F.sqrt(F.sum(F.col("_d") ** 2)).alias("_n"),
-                                          F.count("_d").alias("_k")).filter(F.col("_n") > 1e-10)
+    diff = reuse(j.groupBy(region, "q", "neuron").agg(
+        (F.avg(F.when(F.col("_c") == 1, F.col("_x"))) - F.avg(F.when(F.col("_c") == 0, F.col("_x")))).alias("_d")))
+    norms = diff.groupBy(region, "q").agg(F.sqrt(F.sum(F.col("_d") ** 2)).alias("_n")).filter(F.col("_n") > 1e-10)
     unit = diff.join(norms, [region, "q"]).withColumn("_u", F.col("_d") / F.col("_n"))
     sums = unit.groupBy(region, "neuron").agg(F.sum("_u").alias("_t"), F.sum(F.col("_u") ** 2).alias("_s"))
     vectors = norms.groupBy(region).agg(F.count(F.lit(1)).alias("n_vectors"))
