@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import reuse as settle  # noqa: F401  compute once into the shared checkpoint folder
+
 #: Rows per Arrow batch while whole texts travel to Python: bounds a worker's memory.
 TEXT_BATCH_ROWS = 512
 #: The characters that separate words in the contracts.
@@ -20,24 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder; plans above start from its files.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session that names
-    none gets a folder of its own, since there executors and driver are one machine.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="sigweave-checkpoint-")
-        sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
-
-
 def broadcast_if_small(df: DataFrame, limit: int = 50_000) -> DataFrame:
     """A settled table, hinted for broadcast only if counting shows at most ``limit`` rows.
 

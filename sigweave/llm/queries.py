@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, mixing, neardup, pii, pseudolm, quality, rules, tokens, topk, toxicity
-from .common import table
+from .common import SPACE, WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,6 +82,29 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+SQL["op7_mixing"] = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+r AS (SELECT *, stop / w AS ratio FROM (SELECT *, 2::DOUBLE * source_size AS stop,
+   [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM s)),
+l AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(stop) OVER before, 0) AS rest,
+   sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS weights FROM r
+  WINDOW before AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN stop ELSE least(stop, w * level) END AS target FROM (
+   SELECT *, max(CASE WHEN rest / weights <= ratio THEN rest / weights END) OVER () AS level FROM l)),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
+f AS (SELECT d.doc_id, d.size, q.*, ('0x' || substr(md5('7:' || doc_id), 1, 8))::BIGINT % {mixing.DRAW_SPACE} AS first
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+u AS (SELECT f.*, k, ((first * {mixing.MULTIPLIERS}[k + 1] + k) % {mixing.DRAW_SPACE})::DOUBLE / {mixing.DRAW_SPACE} < rate - floor(rate) AS one_more
+  FROM f, (SELECT unnest(range({len(mixing.MULTIPLIERS)})) AS k)),
+e AS (SELECT source, k, abs(floor(any_value(rate)) * any_value(source_size) + sum(CASE WHEN one_more THEN size ELSE 0 END) - any_value(target)) AS off
+  FROM u GROUP BY 1, 2),
+b AS (SELECT source, k FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1),
+c AS (SELECT u.*, (floor(rate) + one_more::INT)::BIGINT AS n_copies FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source AND u.k = b.k)
+SELECT doc_id, size, source_size, target, n_copies, n_copies * size AS taken FROM c
+"""
+
+
 @query
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudolm.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -89,7 +112,45 @@ def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality_rules(table(spark, sf_dir, "documents"))
+    judged = rules.quality_rules(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+def _divergence(a: str, b: str) -> str:
+    """SQL of the Jensen-Shannon distance of two count lists, null if either is empty."""
+    p, q = f"z[1] / list_sum({a})", f"z[2] / list_sum({b})"
+    part = "CASE WHEN {0} > 0 THEN ({0}) * log2(({0}) * 2 / (({0}) + ({1}))) ELSE 0 END"
+    return (f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN sqrt(greatest(list_sum(list_transform(list_zip({a}, {b}), "
+            f"lambda z: {part.format(p, q)} + {part.format(q, p)})) / 2, 0)) END")
+
+
+_KNOWN = " ".join(f"WHEN '{lang}' THEN {words}" for lang, words in rules.COMMON_WORDS.items())
+SQL["op9_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines,
+   regexp_replace(coalesce(text, ''), '[a-z{SPACE}]+', '', 'g') AS rest,
+   CASE lang {_KNOWN} ELSE []::VARCHAR[] END AS known FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i,
+   unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d),
+v AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM x),
+cov AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM v, (SELECT unnest(range(5)) AS o) WHERE n > 1 GROUP BY 1),
+m AS (SELECT d.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, length(rest) AS n_rest,
+   length(regexp_replace(rest, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(rest, '[^0-9]', '', 'g')) AS dig,
+   list_transform(known, lambda k: len(list_filter(w, lambda y: y = k))::DOUBLE) AS common
+  FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id),
+c AS (SELECT *, [word_chars - n_rest, up, dig, n_symbols, n_rest - up - dig - n_symbols]::DOUBLE[] AS classes FROM m),
+rc AS (SELECT lang, list(s ORDER BY i) AS ref_classes FROM (SELECT lang, i, sum(classes[i]) AS s FROM c, (SELECT unnest(range(1, 6)) AS i) GROUP BY 1, 2) GROUP BY 1),
+rw AS (SELECT lang, list(s ORDER BY i) FILTER (s IS NOT NULL) AS ref_common FROM (
+   SELECT lang, i, sum(common[i]) AS s FROM c, (SELECT unnest(range(1, 7)) AS i) GROUP BY 1, 2) GROUP BY 1),
+j AS (SELECT c.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+   CASE WHEN n_words >= 40 THEN {_divergence("classes", "ref_classes")} END AS cd,
+   CASE WHEN list_sum(common) >= 25 THEN {_divergence("common", "ref_common")} END AS wd
+  FROM c JOIN rc ON c.lang IS NOT DISTINCT FROM rc.lang JOIN rw ON c.lang IS NOT DISTINCT FROM rw.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance,
+ NOT base_failed AND coalesce(cd, 0) <= 0.32 AND coalesce(wd, 0) <= 0.8 AS kept FROM j
+"""
 
 
 @query
