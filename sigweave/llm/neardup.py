@@ -6,12 +6,18 @@ tree's hash function of that level, so two sets with similarity s stay together
 probability s per level. A node that is small is compared exhaustively; a large one branches
 again, down to a last level where it is compared in bounded blocks.
 
-Comparing starts with stars: every set of a node is tried against the node's smallest id, so
-a group of thousands of copies costs one comparison per member and not per pair. Confirmed
-links join sets into components. Then all remaining pairs of a node whose members lie in
-different components are tried. A pair is first held against its minwise signatures, with a
-margin that a similar pair misses with a probability below 1e-8, and then confirmed on the
-full sets, which travel to the confirming task once per pair and are never gathered by group.
+Comparing starts with stars: every set of a node is tried against the node's leader, the
+member that stands in the largest nodes over all trees (the least edited copy of a group,
+as a rule), so a group of thousands of copies costs one comparison per member and not per
+pair. A star pair is first held against its minwise signatures, with a margin that a similar
+pair misses with a probability below 1e-8, then confirmed on the full sets, which travel to
+the confirming task once per pair. Confirmed links join sets into components.
+
+What is left are pairs of one node in different components. Members that still have such a
+partner by signature, in the first node that the two share, bring their full sets to the node
+(in blocks, where it is large). There all pairs are compared exactly by counting shared
+shingles over postings, and the links of a spanning forest are returned: rows stay linear in
+the members, however many pairs there are.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ STEP, STEPS, TREES = 2, 2, 16
 LEVELS = STEP * STEPS
 SIGNATURE = TREES * LEVELS
 SMALL_NODE = 64  # members of a node that is compared in one piece
-BLOCK = 512  # members of a block where the last level is still large
+BLOCK = 1024  # members of a block where the last level is still large
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,23 +122,26 @@ def path(tree: int, depth: int) -> Column:
     return F.xxhash64(F.lit(tree), F.lit(depth), *[F.get("_sig", F.lit(tree * LEVELS + d)) for d in range(depth)])
 
 
-def nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, id, size and smallest id of the node) of nodes with two sets and more: small, large.
+def nodes(sets: DataFrame) -> DataFrame:
+    """(_node, _id, _n, _tree, _leader) of nodes with two sets and more.
 
-    Large nodes branch until the last level; what is still large there is returned as such.
+    A node of more than SMALL_NODE sets branches on, down to the last level. ``_tree``
+    orders a set's nodes; the leader is the member with the largest nodes in all trees.
     """
     levels = [F.array(*[path(t, STEP * (s + 1)) for t in range(TREES)]) for s in range(STEPS)]
-    walking = sets.select("_id", F.explode(F.arrays_zip(*[x.alias(f"p{i}") for i, x in enumerate(levels)])).alias("_p"))
-    small = None
+    walking = sets.select("_id", F.posexplode(F.arrays_zip(*[x.alias(f"p{i}") for i, x in enumerate(levels)])).alias("_tree", "_p"))
+    found = None
     for step in range(STEPS):
-        rows = walking.select("_id", "_p", F.col(f"_p.p{step}").alias("_node"))
-        sizes = rows.groupBy("_node").agg(F.count("*").alias("_n"), F.min("_id").alias("_least")).filter("_n > 1")
+        rows = walking.select("_id", "_tree", "_p", F.col(f"_p.p{step}").alias("_node"))
+        sizes = rows.groupBy("_node").agg(F.count("*").alias("_n")).filter("_n > 1")
         placed = settle(rows.join(sizes, "_node"))
-        kept = placed.filter(F.col("_n") <= SMALL_NODE).select("_node", "_id", "_n", "_least")
-        small = kept if small is None else small.unionByName(kept)
-        walking = placed.filter(F.col("_n") > SMALL_NODE).select("_id", "_p")
-        large = placed.filter(F.col("_n") > SMALL_NODE).select("_node", "_id", "_n", "_least")
-    return small, large
+        done = placed if step == STEPS - 1 else placed.filter(F.col("_n") <= SMALL_NODE)
+        done = done.select("_node", "_id", "_n", "_tree")
+        found = done if found is None else found.unionByName(done)
+        walking = placed.filter(F.col("_n") > SMALL_NODE).select("_id", "_tree", "_p")
+    weight = found.groupBy("_id").agg(F.sum("_n").alias("_w"))
+    leaders = found.join(weight, "_id").groupBy("_node").agg(F.max(F.struct("_w", (-F.col("_id")).alias("i"))).alias("_top"))
+    return settle(found.join(leaders.select("_node", (-F.col("_top.i")).alias("_leader")), "_node"))
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -199,27 +208,92 @@ def labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
     return ids.join(components(links), "_id", "left").withColumn("_component", F.coalesce("_component", "_id"))
 
 
-def remaining_pairs(members: DataFrame, by: list[str], agreement: int) -> DataFrame:
-    """Pairs of a node's members in different components with enough agreement.
+def _meetings(rows: DataFrame) -> DataFrame:
+    """Members dealt into pairs of blocks: _node, _x, _y and the member's _side there.
 
-    ``members`` has ``by``, _id, _component, _sig and _side: pairs are taken within side 0
-    (and 2, a block against itself) or between sides 0 and 1. Group sizes are bounded by
-    the node and block sizes.
+    Side 2 is a block that meets itself; small nodes are one block.
     """
+    blocks = F.when(F.col("_n") <= SMALL_NODE, 1).otherwise(F.ceil(F.col("_n") / BLOCK)).cast("int")
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("_id", F.lit(3)), blocks).cast("int"))
+    return dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({
+        "_x": F.least("_b", "_o"), "_y": F.greatest("_b", "_o"),
+        "_side": F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1)}).drop("_b", "_o")
+
+
+MEETING = ["_node", "_x", "_y"]
+
+
+def unsettled_members(members: DataFrame, agreement: int) -> DataFrame:
+    """Members of a meeting with a partner there that is similar by signature, lies in another
+    component, and shares no node of an earlier tree with it (where the two have met)."""
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         sig, comp, side = np.stack(group["_sig"].to_numpy()), group["_component"].to_numpy(), group["_side"].to_numpy()
-        ids = group["_id"].to_numpy()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(len(ids) - 1):
+        earlier = np.stack(group["_earlier"].to_numpy())[:, :int(group["_tree"].iloc[0])]
+        open_ = np.zeros(len(group), bool)
+        for i in range(len(group) - 1):
             rest = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
             if side[i] != 2:
                 rest = rest[side[rest] != side[i]]
-            hits = rest[(sig[rest] == sig[i]).sum(1) >= agreement]
-            found.append((np.full(len(hits), ids[i]), ids[hits]))
-        a, b = (np.concatenate([f[j] for f in found] + [np.zeros(0, np.int64)]) for j in (0, 1))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            rest = rest[(sig[rest] == sig[i]).sum(1) >= agreement]
+            if earlier.shape[1]:
+                rest = rest[~((earlier[rest] == earlier[i]) & (earlier[i] != 0)).any(1)]
+            if len(rest):
+                open_[i] = True
+                open_[rest] = True
+        return group.loc[open_, [*MEETING, "_id", "_component", "_side"]]
 
-    return members.groupBy(*by).applyInPandas(compare, "a long, b long")
+    return members.groupBy(*MEETING).applyInPandas(compare, "_node long, _x int, _y int, _id long, _component long, _side int")
+
+
+def exact_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of a spanning forest over the exact similarities of a meeting's members.
+
+    ``members`` bring their sets (_tokens, sorted 64-bit numbers as bytes). A task holds the
+    sets of two blocks at most.
+    """
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        ids, side = group["_id"].to_numpy(), group["_side"].to_numpy()
+        sets = [np.frombuffer(t, np.uint64) for t in group["_tokens"]]
+        size = np.array([len(t) for t in sets])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        owner = np.repeat(np.arange(len(ids)), size)
+        order = np.argsort(codes, kind="stable")
+        posting, bounds = owner[order], np.searchsorted(codes[order], np.arange(codes.max() + 2))
+        names, of = np.unique(group["_component"].to_numpy(), return_inverse=True)
+        up = list(range(len(names)))  # components that links have joined
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        found, at = [], np.cumsum(size) - size
+        for i in range(len(ids) - 1):
+            lists = [posting[bounds[c]:bounds[c + 1]] for c in codes[at[i]:at[i] + size[i]]]
+            both = np.bincount(np.concatenate(lists), minlength=len(ids))
+            linked = np.flatnonzero(100 * both >= percent * (size[i] + size - both))
+            for j in linked[linked > i]:
+                if side[i] == 2 or side[j] != side[i]:
+                    x, y = find(of[i]), find(of[j])
+                    if x != y:
+                        up[x] = y
+                        found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return members.groupBy(*MEETING).applyInPandas(compare, "a long, b long")
+
+
+def full_sets(wanted: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(_id, _tokens) of the documents in ``wanted`` (_id)."""
+    texts = docs.select(F.col(key).cast("long").alias("_id"), whole_text(text).alias("_t")).filter(F.col("_id").isNotNull())
+    texts = texts.join(wanted.distinct(), "_id", "left_semi").dropDuplicates(["_id"])
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens = [t.tobytes() for t in shingle_sets(batch.column(1).to_pylist(), width)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["_id", "_tokens"])
+
+    return arrow_map(texts, work, "_id long, _tokens binary")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -236,35 +310,23 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     prints = settle(fingerprints(docs, key, text, width))
     known = prints.filter(F.col("_set").isNotNull() & F.col("_id").isNotNull())
     sets = settle(known.groupBy("_set").agg(F.min("_id").alias("_id"), F.any_value("_sig").alias("_sig")))
-    small, large = nodes(sets)
-    every = small.unionByName(large)
-
-    def with_signature(pairs: DataFrame) -> DataFrame:
-        out = pairs
-        for c in ("a", "b"):
-            out = out.join(sets.select(F.col("_id").alias(c), F.col("_sig").alias(f"_s{c}")), c)
-        return out.filter(alike(F.col("_sa"), F.col("_sb")) >= agreement).select("a", "b")
-
-    stars = every.filter("_id <> _least").select(F.col("_least").alias("a"), F.col("_id").alias("b")).distinct()
-    tried = settle(with_signature(stars))
+    every = nodes(sets)
+    stars = every.filter("_id <> _leader").select(F.least("_leader", "_id").alias("a"), F.greatest("_leader", "_id").alias("b")).distinct()
+    for c in ("a", "b"):
+        stars = stars.join(sets.select(F.col("_id").alias(c), F.col("_sig").alias(f"_s{c}")), c)
+    tried = settle(stars.filter(alike(F.col("_sa"), F.col("_sb")) >= agreement).select("a", "b"))
     links = settle(confirm(tried, docs, key, text, width, percent))
-    placed = settle(labelled(sets.select("_id"), links))
-
-    def unsettled(rows: DataFrame) -> DataFrame:
-        """Node rows with component and signature, of nodes that hold several components."""
-        known_rows = rows.join(placed, "_id")
-        mixed = known_rows.groupBy("_node").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).filter("_lo <> _hi")
-        return known_rows.join(mixed.select("_node"), "_node", "left_semi").join(sets.select("_id", "_sig"), "_id")
-
-    one = remaining_pairs(unsettled(small).withColumn("_side", F.lit(2)), ["_node"], agreement)
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    dealt = unsettled(large).withColumn("_b", F.pmod(F.xxhash64("_id", F.lit(3)), blocks).cast("int"))
-    meeting = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "_node", "_id", "_component", "_sig", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"),
-        F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1).alias("_side"))
-    two = remaining_pairs(meeting, ["_node", "_x", "_y"], agreement)
-    more = settle(one.unionByName(two).distinct().join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(confirm(more, docs, key, text, width, percent))
+    placed = labelled(sets.select("_id"), links)
+
+    mine = every.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_tree", "_node"))).alias("_m"))  # at most one node per tree
+    earlier = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(0).cast("long")))
+    facts = settle(placed.join(mine, "_id").join(sets.select("_id", "_sig"), "_id").select("_id", "_component", "_sig", earlier.alias("_earlier")))
+    rows = every.drop("_leader").join(facts.select("_id", "_component"), "_id")
+    mixed = rows.groupBy("_node").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).filter("_lo <> _hi")
+    rows = rows.join(mixed.select("_node"), "_node", "left_semi").join(facts.select("_id", "_sig", "_earlier"), "_id")
+    members = settle(unsettled_members(_meetings(rows), agreement))
+    more = exact_links(members.join(full_sets(members.select("_id"), docs, key, text, width), "_id"), percent)
+    links = links.unionByName(more)
     final = settle(labelled(sets.select("_id"), links))
     of_set = sets.select(F.col("_set").alias("_s"), "_id").join(final, "_id").select("_s", "_component")
     out = prints.join(of_set, F.col("_set") == F.col("_s"), "left")
