@@ -104,37 +104,43 @@ def marginals(crf: Field, levels: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def train_field(crf: Field, levels: list[np.ndarray], toxic: np.ndarray, *, rounds: int = 40, rate: float = 2.0) -> Field:
-    """Gradient ascent on the log-likelihood of the token labels (mean per labelled token kind)."""
-    keep = [i for i, x in enumerate(levels) if len(x)]
-    if not keep:
-        return crf
-    grid, order, lens = lanes([levels[i] for i in keep])
-    truth = (grid >= STRONG) & np.asarray(toxic, bool)[np.array(keep)[order]][None, :]
+LANES = 256  # sequences whose messages are in memory at a time while training
+
+
+def gradient(crf: Field, levels: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Observed less expected emission levels, transitions and toxic tokens of some sequences;
+    and the number of toxic tokens."""
+    grid, order, lens = lanes(levels)
+    truth = (grid >= STRONG) & toxic[order][None, :]
     inside = np.arange(len(grid))[:, None] < lens[None, :]
     before, after = np.zeros_like(grid), np.zeros_like(grid)
     before[1:], after[:-1] = grid[:-1], grid[1:]
-    pairs = inside[1:]
-    scale = max(1, truth.sum())
-    speed = np.full((3, len(LEVELS) + 1), 1e-8), np.full((2, 2), 1e-8), 1e-8  # squared gradients so far (AdaGrad)
+    psi, ahead, back = messages(crf, grid, lens)
+    wrong = np.where(inside, truth - ahead * back / (1 + ahead * back), 0.0)
+    by_level = np.array([np.bincount(g[inside], wrong[inside], len(LEVELS) + 1) for g in (before, grid, after)])
+    left = np.stack([np.ones_like(ahead[:-1]), ahead[:-1]])
+    right = np.stack([np.ones_like(back[1:]), psi[1:] * back[1:]])
+    joint = left[:, None] * np.exp(crf.moves)[:, :, None, None] * right[None]
+    joint /= joint.sum((0, 1))
+    seen = np.array([[np.sum(((truth[:-1] == i) & (truth[1:] == j))[inside[1:]]) for j in (0, 1)] for i in (0, 1)])
+    return by_level, seen - np.where(inside[1:], joint, 0).sum((2, 3)), float(wrong.sum()), int(truth.sum())
+
+
+def train_field(crf: Field, levels: list[np.ndarray], toxic: np.ndarray, *, rounds: int = 40, rate: float = 0.5) -> Field:
+    """AdaGrad ascent on the log-likelihood of the token labels, summed over LANES sequences at a time."""
+    order = sorted((i for i, x in enumerate(levels) if len(x)), key=lambda i: -len(levels[i]))
+    if not order:
+        return crf
+    parts = [([levels[i] for i in order[s:s + LANES]], np.asarray(toxic, bool)[order[s:s + LANES]]) for s in range(0, len(order), LANES)]
+    speed = [np.full((3, len(LEVELS) + 1), 1e-8), np.full((2, 2), 1e-8), 1e-8]  # squared gradients so far
     for _ in range(rounds):
-        psi, ahead, back = messages(crf, grid, lens)
-        p = ahead * back / (1 + ahead * back)
-        wrong = np.where(inside, truth - p, 0.0)
-        by_level = [np.bincount(g[inside], wrong[inside], len(LEVELS) + 1) for g in (before, grid, after)]
-        move = np.exp(crf.moves)
-        left = np.stack([np.ones_like(ahead[:-1]), ahead[:-1]])
-        right = np.stack([np.ones_like(back[1:]), psi[1:] * back[1:]])
-        joint = left[:, None] * move[:, :, None, None] * right[None]
-        joint /= joint.sum((0, 1))
-        seen = np.array([[np.sum(((truth[:-1] == i) & (truth[1:] == j))[pairs]) for j in (0, 1)] for i in (0, 1)])
-        shift = seen - np.where(pairs, joint, 0).sum((2, 3))
-        g_emit, g_moves, g_bias = np.array(by_level) / scale - 1e-3 * crf.emit, shift / scale - 1e-3 * crf.moves, wrong.sum() / scale
-        speed = speed[0] + g_emit**2, speed[1] + g_moves**2, speed[2] + g_bias**2
-        step = rate / 4
-        crf.emit = crf.emit + step * g_emit / np.sqrt(speed[0])
-        crf.moves = crf.moves + step * g_moves / np.sqrt(speed[1])
-        crf.bias += step * g_bias / np.sqrt(speed[2])
+        sums = [gradient(crf, *p) for p in parts]
+        emit, moves, bias, count = (sum(s[k] for s in sums) for k in range(4))
+        scale = max(1, count)
+        step = [emit / scale - 1e-3 * crf.emit, moves / scale - 1e-3 * crf.moves, bias / scale]
+        speed = [v + g**2 for v, g in zip(speed, step, strict=True)]
+        crf.emit, crf.moves, crf.bias = (
+            w + rate * g / np.sqrt(v) for w, g, v in zip((crf.emit, crf.moves, crf.bias), step, speed, strict=True))
     return crf
 
 
