@@ -1,17 +1,20 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 The network sees the two words on either side of a position and predicts the word in it, in
-two steps: one of 32 classes, then one of the class's 32 words. Words are the corpus's most
-frequent ones, counted over all documents; rarer words share hash buckets. Training masks a
-share of all positions of all documents. It is data-parallel: in a round every partition
-trains a copy in numpy on its own documents, and Spark averages the copies, weighted by the
-positions they saw, so what is gathered grows with the number of partitions. Each round takes
-another part of the documents, all rounds together take each once. Scoring then predicts
+two steps: a class, then one of the class's words. Words are counted over all documents. Every
+word that occurs often enough has a place of its own, so the network grows with the corpus;
+rarer words share hash buckets, and within its bucket a word has its share of the bucket's
+occurrences, joined from the table of counts. The probabilities of all words of the corpus
+thus add up to one. Training is data-parallel: in a round every partition trains a copy in
+numpy on its own documents, and Spark averages the copies, weighted by the positions they saw.
+Each round takes another part of the documents, all rounds together take each once, and the
+masks of a round take turns until every position has been a target once. Scoring then predicts
 every token of every text from both sides and sums the conditional log-probabilities.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,18 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_last, whole_text
+from .common import arrow_map, settle, text_last, whole_text
 
-CLASSES, WITHIN = 32, 32
-VOCABULARY = CLASSES * WITHIN
-BUCKETS = 64  # hash buckets for words outside the frequent ones
+CLASSES = 32  # of the smallest network; a class holds as many words as there are classes
+VOCABULARY = CLASSES * CLASSES
+BUCKETS = 64  # hash buckets for words outside the frequent ones, in the smallest network
 PAD = VOCABULARY
+OFTEN = 1000  # a word that occurs so often has a place of its own, however many there are
 CONTEXT = (-2, -1, 1, 2)
 EMBED, HIDDEN = 12, 24
-SHAPES = {
-    "embed": (VOCABULARY + 1, EMBED), "mix": (len(CONTEXT) * EMBED, HIDDEN), "mix_bias": (HIDDEN,),
-    "cls": (HIDDEN, CLASSES), "cls_bias": (CLASSES,), "word": (CLASSES, HIDDEN, WITHIN), "word_bias": (CLASSES, WITHIN)}
-SIZES = {k: int(np.prod(v)) for k, v in SHAPES.items()}
 MEMO_ITEMS = 400_000
 COUNTER_ITEMS = 300_000
 BLOCK = 512  # parameters per row while copies are averaged
@@ -42,16 +42,27 @@ BATCH = 4096
 Network = dict[str, np.ndarray]
 
 
+def shapes(classes: int) -> dict[str, tuple[int, ...]]:
+    return {"embed": (classes * classes + 1, EMBED), "mix": (len(CONTEXT) * EMBED, HIDDEN), "mix_bias": (HIDDEN,),
+            "cls": (HIDDEN, classes), "cls_bias": (classes,), "word": (classes, HIDDEN, classes), "word_bias": (classes, classes)}
+
+
+def classes_for(n_frequent: int) -> int:
+    """Classes that hold the frequent words and one bucket for each fifteen of them."""
+    return max(CLASSES, math.ceil(math.sqrt(n_frequent * VOCABULARY / (VOCABULARY - BUCKETS))))
+
+
 class Ids(dict):
-    """Word to id, memoised in bounded space."""
+    """Word to id, memoised in bounded space; ids from ``first_bucket`` on are buckets, ``pad`` is no word."""
 
     def __init__(self, frequent: dict[bytes, int]):
-        self.frequent = frequent
+        self.frequent, self.first_bucket = frequent, max(len(frequent), VOCABULARY - BUCKETS)
+        self.pad = classes_for(len(frequent)) ** 2
 
     def __missing__(self, word: bytes) -> int:
         n = self.frequent.get(word)
         if n is None:
-            n = VOCABULARY - BUCKETS + zlib.crc32(word) % BUCKETS
+            n = self.first_bucket + zlib.crc32(word) % (self.pad - self.first_bucket)
         if len(self) >= MEMO_ITEMS:
             self.clear()
         self[word] = n
@@ -80,44 +91,57 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(whole_text(text).alias("t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, text: str = "text") -> dict[bytes, int]:
-    """Ids of the most frequent words by rank, ties by bytes."""
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS).collect()
-    return {bytes(r["word"]): i for i, r in enumerate(top)}
+def frequent_words(counts: DataFrame) -> dict[bytes, int]:
+    """Ids, by rank, ties by bytes, of the words that occur ``OFTEN`` times; of the first 960 if those are fewer."""
+    top = counts.filter(F.col("n") >= OFTEN).collect()
+    if len(top) < VOCABULARY - BUCKETS:
+        top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS).collect()
+    return {w: i for i, (_, w) in enumerate(sorted((-r["n"], bytes(r["word"])) for r in top))}
+
 
+def bucket_shares(counts: DataFrame, frequent: dict[bytes, int]) -> DataFrame:
+    """(word, log_share) of every word without a place of its own: the log of its share of its bucket."""
+    ids = Ids(frequent)
+    own = counts.sparkSession.createDataFrame([(bytearray(w),) for w in frequent], "word binary")
+    rare = counts.join(F.broadcast(own), "word", "left_anti").withColumn(
+        "bucket", F.crc32("word") % F.lit(ids.pad - ids.first_bucket))
+    total = rare.groupBy("bucket").agg(F.sum("n").alias("total"))  # fewer rows than the network has words
+    return rare.join(F.broadcast(total), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
 
-def class_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def class_of(ids: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Class and place in the class: words of neighbouring rank lie in different classes."""
-    return ids % CLASSES, ids // CLASSES
+    return ids % classes, ids // classes
 
 
-def fresh(seed: int = 11) -> Network:
-    rng = np.random.default_rng(seed)
-    out = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in SHAPES.items()}
-    return out | {k: np.zeros(SHAPES[k], np.float32) for k in ("mix_bias", "cls_bias", "word_bias")}
+def fresh(seed: int = 11, classes: int = CLASSES) -> Network:
+    rng, shape = np.random.default_rng(seed), shapes(classes)
+    out = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in shape.items()}
+    return out | {k: np.zeros(shape[k], np.float32) for k in ("mix_bias", "cls_bias", "word_bias")}
 
 
 def flatten(net: Network) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in SHAPES])
+    return np.concatenate([v.ravel() for v in net.values()])
 
 
-def unflatten(flat: np.ndarray) -> Network:
+def unflatten(flat: np.ndarray, classes: int) -> Network:
     at, out = 0, {}
-    for k, shape in SHAPES.items():
-        out[k] = np.asarray(flat[at:at + SIZES[k]], np.float32).reshape(shape)
-        at += SIZES[k]
+    for k, shape in shapes(classes).items():
+        n = math.prod(shape)
+        out[k] = np.asarray(flat[at:at + n], np.float32).reshape(shape)
+        at += n
     return out
 
 
-def stream(texts: list[str], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts with two pads around each; positions of the words; words per text."""
-    parts, lens = [np.full(2, PAD, np.int64)], []
-    for t in texts:
-        words = words_of(t)
-        parts += [np.fromiter(map(ids.__getitem__, words), np.int64, len(words)), np.full(2, PAD, np.int64)]
+def stream(texts: list[list[bytes]], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts' words with two pads around each text; positions of the words; words per text."""
+    gap = np.full(2, ids.pad, np.int64)
+    parts, lens = [gap], []
+    for words in texts:
+        parts += [np.fromiter(map(ids.__getitem__, words), np.int64, len(words)), gap]
         lens.append(len(words))
     flat = np.concatenate(parts)
-    return flat, np.flatnonzero(flat != PAD), np.array(lens, np.int64)
+    return flat, np.flatnonzero(flat != ids.pad), np.array(lens, np.int64)
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -131,22 +155,22 @@ def hidden(net: Network, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     return near, seen, np.tanh(seen @ net["mix"] + net["mix_bias"])
 
 
-def by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Order that groups equal classes, and where each class begins in it."""
     order = np.argsort(cls, kind="stable")
-    return order, np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    return order, np.searchsorted(cls[order], np.arange(classes + 1))
 
 
 def log_probabilities(net: Network, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Conditional log-probability of the word at every position ``at``."""
-    out = np.empty(len(at))
+    out, classes = np.empty(len(at)), len(net["cls_bias"])
     for s in range(0, len(at), 4 * BATCH):
         here = at[s:s + 4 * BATCH]
         _, _, h = hidden(net, flat, here)
-        cls, place = class_of(flat[here])
+        cls, place = class_of(flat[here], classes)
         total = log_softmax(h @ net["cls"] + net["cls_bias"])[np.arange(len(here)), cls]
-        order, starts = by_class(cls)
-        for c in range(CLASSES):
+        order, starts = by_class(cls, classes)
+        for c in range(classes):
             rows = order[starts[c]:starts[c + 1]]
             if len(rows):
                 total[rows] += log_softmax(h[rows] @ net["word"][c] + net["word_bias"][c])[np.arange(len(rows)), place[rows]]
@@ -156,16 +180,17 @@ def log_probabilities(net: Network, flat: np.ndarray, at: np.ndarray) -> np.ndar
 
 def train_step(net: Network, speed: Network, flat: np.ndarray, at: np.ndarray, rate: float) -> None:
     """One AdaGrad step on the masked positions ``at``."""
+    classes = len(net["cls_bias"])
     near, seen, h = hidden(net, flat, at)
-    cls, place = class_of(flat[at])
+    cls, place = class_of(flat[at], classes)
     n = np.float32(len(at))
     d_cls = np.exp(log_softmax(h @ net["cls"] + net["cls_bias"]))
     d_cls[np.arange(len(at)), cls] -= 1
     grad = {"cls": h.T @ d_cls / n, "cls_bias": d_cls.sum(0) / n,
-            "word": np.zeros(SHAPES["word"], np.float32), "word_bias": np.zeros(SHAPES["word_bias"], np.float32)}
+            "word": np.zeros_like(net["word"]), "word_bias": np.zeros_like(net["word_bias"])}
     d_h = d_cls @ net["cls"].T
-    order, starts = by_class(cls)
-    for c in range(CLASSES):
+    order, starts = by_class(cls, classes)
+    for c in range(classes):
         rows = order[starts[c]:starts[c + 1]]
         if len(rows):
             d = np.exp(log_softmax(h[rows] @ net["word"][c] + net["word_bias"][c]))
@@ -175,31 +200,40 @@ def train_step(net: Network, speed: Network, flat: np.ndarray, at: np.ndarray, r
     d_mix = d_h * (1 - h * h)
     grad["mix"], grad["mix_bias"] = seen.T @ d_mix / n, d_mix.sum(0) / n
     d_seen = (d_mix @ net["mix"].T).reshape(-1, EMBED) / n
-    grad["embed"] = np.column_stack([np.bincount(near.ravel(), d_seen[:, k], VOCABULARY + 1) for k in range(EMBED)])
+    grad["embed"] = np.column_stack([np.bincount(near.ravel(), d_seen[:, k], len(net["embed"])) for k in range(EMBED)])
     for k, g in grad.items():
         speed[k] += np.square(g, dtype=np.float32)
         net[k] -= (rate * g / np.sqrt(speed[k] + 1e-10)).astype(np.float32)
 
 
+def masks(at: np.ndarray, masked: float, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Masks of a share ``masked`` of the positions each, in steps of bounded size: every position is in one of them."""
+    at = rng.permutation(at)
+    share = max(1, math.ceil(len(at) * masked))
+    for m in range(0, len(at), share):
+        mask = at[m:m + share]
+        for s in range(0, len(mask), BATCH):
+            yield mask[s:s + BATCH]
+
+
 def train(docs: DataFrame, frequent: dict[bytes, int], *, key: str = "doc_id", text: str = "text", rounds: int = 2,
           masked: float = 0.15, rate: float = 0.05, seed: int = 11) -> Network:
-    """Rounds of local training and averaging; a document takes part in the round its key draws."""
+    """Rounds of local training and averaging; a document takes part in the round its key draws, with all its positions."""
     sc = docs.sparkSession.sparkContext
-    words = sc.broadcast(frequent)
-    net = fresh(seed)
+    words, classes = sc.broadcast(frequent), classes_for(len(frequent))
+    net = fresh(seed, classes)
     for r in range(rounds):
         start = sc.broadcast(flatten(net))
 
         def run(batches: Iterator[pa.RecordBatch], start=start, r=r) -> Iterator[pa.RecordBatch]:
-            ids, mine = Ids(words.value), unflatten(start.value.copy())
-            speed = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
+            ids, mine = Ids(words.value), unflatten(start.value.copy(), classes)
+            speed = {k: np.zeros_like(v) for k, v in mine.items()}
             rng = np.random.default_rng([seed, r, TaskContext.get().partitionId()])
             weight = 0
             for batch in batches:
-                flat, at, _ = stream(batch.column(0).to_pylist(), ids)
-                at = rng.permutation(at[rng.random(len(at)) < masked])
-                for s in range(0, len(at), BATCH):
-                    train_step(mine, speed, flat, at[s:s + BATCH], rate)
+                flat, at, _ = stream([words_of(t) for t in batch.column(0).to_pylist()], ids)
+                for mask in masks(at, masked, rng):
+                    train_step(mine, speed, flat, mask, rate)
                 weight += len(at)
             values = flatten(mine)
             starts = np.arange(0, len(values), BLOCK)
@@ -216,39 +250,58 @@ def train(docs: DataFrame, frequent: dict[bytes, int], *, key: str = "doc_id", t
             F.round(F.sum(F.col("v").cast("double") * F.col("weight")) / F.sum("weight"), 6).alias("v"))
         got = mean.toPandas()
         if len(got):
-            flat = np.zeros(sum(SIZES.values()), np.float32)
+            flat = np.zeros(len(got), np.float32)
             flat[got["i"].to_numpy()] = got["v"].to_numpy()
-            net = unflatten(flat)
+            net = unflatten(flat, classes)
     return net
 
 
-def score(docs: DataFrame, net: Network, frequent: dict[bytes, int], *, text: str = "text") -> DataFrame:
-    """All columns but the text, with n_tokens, log_likelihood (sum) and mean_log_likelihood."""
-    new = {"n_tokens": "long", "log_likelihood": "double", "mean_log_likelihood": "double"}
+def score(docs: DataFrame, net: Network, frequent: dict[bytes, int], shares: DataFrame, *, text: str = "text") -> DataFrame:
+    """All columns but the text, with n_tokens, log_likelihood (sum) and mean_log_likelihood.
+
+    The network gives the probability of a word or of its bucket, ``shares`` (word, log_share)
+    that of the word within the bucket. Such words are below the frequent ones, so no key of
+    the join is hot.
+    """
+    new = ["n_tokens", "log_likelihood", "mean_log_likelihood"]
     rest = [c for c in docs.columns if c != text and c not in new]
     frame = text_last(docs, rest, text)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:len(rest)]]
+    names = [f"_c{i}" for i in range(len(rest))]
+    fields = [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, frame.schema.fields[:len(rest)], strict=True)]
     sc = docs.sparkSession.sparkContext
-    model, words = sc.broadcast(flatten(net)), sc.broadcast(frequent)
+    model, words, classes = sc.broadcast(flatten(net)), sc.broadcast(frequent), len(net["cls_bias"])
+    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
     memo: list[Ids] = []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not memo:
             memo.append(Ids(words.value))
-        flat, at, lens = stream(batch.column(len(rest)).to_pylist(), memo[0])
-        p = log_probabilities(unflatten(model.value), flat, at)
+        texts = [words_of(t) for t in batch.column(len(rest)).to_pylist()]
+        flat, at, lens = stream(texts, memo[0])
+        p = log_probabilities(unflatten(model.value, classes), flat, at)
         total = np.bincount(np.repeat(np.arange(len(lens)), lens), p, len(lens))
-        mean = pa.array(np.divide(total, lens, out=np.zeros(len(lens)), where=lens > 0), mask=lens == 0)
-        return pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], pa.array(lens), pa.array(total), mean], names=[*rest, *new])
+        rare = [[{"word": w, "n": n} for w, n in Counter(t).items() if w not in words.value] for t in texts]
+        return pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], pa.array(lens), pa.array(total), pa.array(rare, rare_type)],
+                                          names=[*names, "_n", "_total", "_rare"])
 
-    return arrow_map(frame, work, ", ".join([*fields, *(f"{k} {v}" for k, v in new.items())]))
+    scored = arrow_map(frame, work, ", ".join([*fields, "_n long", "_total double", "_rare array<struct<word:binary,n:int>>"]))
+    scored = settle(scored.withColumn("_row", F.monotonically_increasing_id()))
+    # Rounded: the order of a sum must not tell copies of a text apart.
+    within = scored.select("_row", F.inline("_rare")).join(shares, "word").groupBy("_row").agg(
+        F.round(F.sum(F.col("n") * F.col("log_share")), 6).alias("_within"))
+    total = F.col("_total") + F.coalesce("_within", F.lit(0.0))
+    return scored.drop("_rare").join(within, "_row", "left").select(
+        *[F.col(n).alias(c) for n, c in zip(names, rest, strict=True)], F.col("_n").alias("n_tokens"),
+        total.alias("log_likelihood"), F.when(F.col("_n") > 0, total / F.col("_n")).alias("mean_log_likelihood"))
 
 
 def pseudo_likelihood(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rounds: int = 2, masked: float = 0.15) -> DataFrame:
-    """Train on all documents, then score each of them.
+    """Train on all positions of all documents, then score each of them.
 
     A null or empty text has no tokens, log-likelihood 0 and a null mean. Repeated rows count
     as often as they occur and get equal scores; an empty table gives an empty result.
     """
-    frequent = frequent_words(docs, text)
-    return score(docs, train(docs, frequent, key=key, text=text, rounds=rounds, masked=masked), frequent, text=text)
+    counts = settle(word_counts(docs, text))
+    frequent = frequent_words(counts)
+    net = train(docs, frequent, key=key, text=text, rounds=rounds, masked=masked)
+    return score(docs, net, frequent, bucket_shares(counts, frequent), text=text)

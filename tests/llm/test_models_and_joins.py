@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -181,6 +182,30 @@ def test_network_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_rare_words_are_scored_by_their_counts(spark):
+    """Two words of one bucket differ by what the corpus counts for them, and every frequent word has its own place."""
+    buckets, first, pair = pseudolm.BUCKETS, {}, None
+    for i in range(1000):
+        word = f"rare{i}"
+        if (other := first.setdefault(zlib.crc32(word.encode()) % buckets, word)) != word:
+            pair = (other, word)
+            break
+    fill = [" ".join(f"w{i}" for i in range(960))] * 30  # the frequent words
+    texts = [*fill, *[f"w1 w2 {pair[0]} w3 w4"] * 16, *[f"w1 w2 {pair[1]} w3 w4"] * 2]
+    got = {r["doc_id"]: r for r in pseudolm.pseudo_likelihood(frame(spark, texts)).collect()}
+    assert got[30]["log_likelihood"] - got[46]["log_likelihood"] == pytest.approx(np.log(16 / 2), abs=1e-4)
+    assert got[30]["log_likelihood"] == got[31]["log_likelihood"]
+    often = spark.createDataFrame([(f"v{i}".encode(), pseudolm.OFTEN) for i in range(3000)], "word binary, n long")
+    places = pseudolm.Ids(pseudolm.frequent_words(often))
+    assert len({places[f"v{i}".encode()] for i in range(3000)}) == 3000 and places.first_bucket == 3000 < places.pad
+
+
+def test_every_position_is_a_target_once():
+    for n, masked in ((0, 0.15), (1, 0.15), (1000, 0.15), (30_000, 0.5), (10, 1.0)):
+        steps = list(pseudolm.masks(np.arange(n), masked, np.random.default_rng(1)))
+        assert sorted(i for s in steps for i in s) == list(range(n)) and all(len(s) <= pseudolm.BATCH for s in steps)
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in rng.normal(size=20)]) for i in range(400)]
