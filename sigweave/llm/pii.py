@@ -1,16 +1,19 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are what fixed patterns find (email, ip, card, phone). One pass over the texts yields,
-per document, its seeds and its candidates: other tokens that look like identifiers, each with
-the words around it. The words induce lexical patterns. Spark then scores the graph of
-patterns and instances in rounds: a pattern is as reliable as the mean of its instances, a
-candidate as its best pattern. Instances whose score reaches the threshold are identifiers
-too, wherever they occur, with the kind of the pattern that found them.
+per document, its seeds and its candidates: other tokens, runs of digit groups and spelled-out
+addresses that look like identifiers, each with the words around it. The words make lexical
+patterns. Spark then scores the graph of patterns and instances in rounds: seeds and the
+instances accepted so far induce patterns, a pattern is as reliable as the mean of its
+instances, a candidate as its best pattern. Instances whose score reaches the threshold are
+identifiers too, wherever they occur, with the kind of the pattern that found them.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +33,14 @@ _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\s,;:<>()\[\]{}\"'=]*[0-9@][^\s,;:<>()\[\]{}\"'=]*")
 _TRIM = ".!?-_/"
 LEAST_DIGITS, LONGEST = 6, 80
+#: What may stand between the digit groups of one candidate; a run of more digits is a list of numbers.
+_GROUP = re.compile(r"[0-9]+")
+_GAP = re.compile(r"[\x20./-]|\x20[/-]\x20|\)[\x20./-]?|\x20?\(")
+MOST_DIGITS = 19
+_AT = re.compile(r"\x20?[(\[{]\x20?at\x20?[)\]}]\x20?|\x20at\x20", re.IGNORECASE)
+_DOT = r"(?:\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?|\x20dot\x20|\.)"
+_BEFORE_AT = re.compile(rf"(?<![A-Za-z0-9_%+.-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*$", re.IGNORECASE)
+_AFTER_AT = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
 #: Which candidates a kind's patterns may find, by shape.
 SHAPES = {"email": "at", "ip": "dotted", "card": "digits", "phone": "digits"}
 
@@ -70,11 +81,55 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def spelled_addresses(text: str) -> list[tuple[int, int]]:
+    """Spans like "name at host dot org" or "name [at] host.org"."""
+    out = []
+    for m in _AT.finditer(text):
+        low = max(0, m.start() - LONGEST, out[-1][1] if out else 0)
+        if (after := _AFTER_AT.match(text, m.end())) and (before := _BEFORE_AT.search(text[low:m.start()])):
+            out.append((low + before.start(), after.end()))
+    return out
+
+
+def digit_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of two or more digit groups, joined as numbers are written, outside the sorted spans ``taken``."""
+    runs, i, reach = [], 0, 0
+    for m in _GROUP.finditer(text):
+        a, b = m.span()
+        while i < len(taken) and taken[i][0] < b:
+            reach = max(reach, taken[i][1])
+            i += 1
+        if reach > a or text[a - 1:a].isalpha() or text[b:b + 1].isalpha():
+            continue
+        if runs and a - runs[-1][1] <= 3 and reach <= runs[-1][0] and _GAP.fullmatch(text, runs[-1][1], a):
+            run = runs[-1]
+            runs[-1] = (run[0], b, run[2] + b - a, run[3] + 1)
+        else:
+            runs.append((a, b, b - a, 1))
+    out = []
+    for a, b, digits, groups in runs:
+        if groups > 1 and LEAST_DIGITS <= digits <= MOST_DIGITS and digits >= 2 * groups and not (groups == 4 and text.count(".", a, b) == 3):
+            out.append((a - (text[a - 1:a] == "(" and ")" in text[a:b]), b))
+    return out
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """(shape, start, end) of identifier-like tokens outside the spans ``taken``."""
+    """(shape, start, end) of identifier-like spans outside the spans ``taken``: spelled-out
+    addresses, runs of digit groups, and single tokens that neither covers."""
+    spans = sorted((a, b) for _, a, b in taken)
+    ends = list(accumulate((b for _, b in spans), max))
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(spans, (b,))
+        return b - a <= LONGEST and (k == 0 or ends[k - 1] <= a)
+
+    out = [("at", a, b) for a, b in spelled_addresses(text) if free(a, b)]
     if "@" not in text and not _DIGIT.search(text):
-        return []
-    out, spans, i = [], sorted((a, b) for _, a, b in taken), 0
+        return out
+    spans = sorted([*spans, *((a, b) for _, a, b in out)])
+    runs = digit_runs(text, spans)
+    out += [("digits", a, b) for a, b in runs]
+    spans, i = sorted([*spans, *runs]), 0
     reach = 0  # the furthest end of a span that starts before the token
     for m in _TOKEN.finditer(text):
         start, end = m.span()
@@ -139,30 +194,36 @@ def occurrences(docs: DataFrame, text: str) -> DataFrame:
     return arrow_map(frame, work, ", ".join([*fields, f"_base array<{_SPAN}>", f"_seen array<{_SEEN}>"]))
 
 
-def score_graph(seen: DataFrame, *, rounds: int, min_instances: int, pattern_threshold: float) -> DataFrame:
+def score_graph(seen: DataFrame, *, rounds: int, min_instances: int, pattern_threshold: float,
+                instance_threshold: float) -> DataFrame:
     """(instance, kind, score) of candidates, from the distinct edges of pattern and instance.
 
-    ``seen``: pattern, instance, kind ("?shape" for a candidate). A pattern counts for one
-    kind, with at least ``min_instances`` distinct seeds of that kind; its reliability is the
-    mean score of all its instances of the kind's shape, seeds counting 1.
+    ``seen``: pattern, instance, kind ("?shape" for a candidate). In every round a pattern
+    counts for one kind, with at least ``min_instances`` distinct instances that are seeds of
+    that kind or accepted for it so far; its reliability is the mean score of all its instances
+    of the kind's shape, seeds counting 1.
     """
-    seeds = seen.filter(~F.col("kind").startswith("?")).withColumn("score", F.lit(1.0))
-    # One row for each (pattern, kind) that seeds support, however many there are.
-    induced = settle(seeds.groupBy("pattern", "kind").agg(F.count("*").alias("n_seeds")).filter(F.col("n_seeds") >= min_instances))
+    seen = settle(seen)
+    seeds = seen.filter(~F.col("kind").startswith("?")).select("pattern", F.col("kind").alias("p_kind"), F.lit(1).alias("seed"))
     shape = F.create_map(*[F.lit(x) for k in KINDS for x in (k, "?" + SHAPES[k])])[F.col("p_kind")]
-    edges = settle(seen.filter(F.col("kind").startswith("?")).join(induced.withColumnRenamed("kind", "p_kind"), "pattern")
-                   .filter(F.col("kind") == shape).select("pattern", "p_kind", "n_seeds", "instance"))
-    scores = edges.select("instance", F.col("p_kind").alias("kind")).distinct().withColumn("score", F.lit(0.0))
+    found = seen.filter(F.col("kind").startswith("?"))
+    scores = found.limit(0).select("instance", F.col("kind").alias("p_kind"), F.lit(0.0).alias("score"))
     for _ in range(rounds):
-        known = edges.join(scores.withColumnRenamed("kind", "p_kind"), ["instance", "p_kind"])
-        reliable = known.groupBy("pattern", "p_kind").agg(
+        accepted = scores.filter(F.col("score") >= instance_threshold)
+        more = found.join(accepted, "instance").filter(F.col("kind") == shape).select("pattern", "p_kind", F.lit(0).alias("seed"))
+        # One row for each (pattern, kind) that has support, however many there are.
+        induced = seeds.unionByName(more).groupBy("pattern", "p_kind").agg(
+            F.count("*").alias("n"), F.sum("seed").alias("n_seeds")).filter(F.col("n") >= min_instances).drop("n")
+        edges = settle(found.join(induced, "pattern").filter(F.col("kind") == shape).select("pattern", "p_kind", "n_seeds", "instance")
+                       .join(scores, ["instance", "p_kind"], "left").fillna(0.0, ["score"]))
+        reliable = edges.groupBy("pattern", "p_kind").agg(
             ((F.first("n_seeds") + F.sum("score")) / (F.first("n_seeds") + F.count("*"))).alias("reliability"))
         # A candidate's own score must not speak for itself at the start: patterns below the
         # threshold hand on half of what they have.
         passed = F.when(F.col("reliability") >= pattern_threshold, F.col("reliability")).otherwise(F.col("reliability") / 2)
-        scores = settle(edges.join(reliable, ["pattern", "p_kind"]).groupBy("instance", F.col("p_kind").alias("kind")).agg(
-            F.max(passed).alias("score")))
-    return scores
+        scores = settle(edges.select("pattern", "p_kind", "instance").join(reliable, ["pattern", "p_kind"])
+                        .groupBy("instance", "p_kind").agg(F.max(passed).alias("score")))
+    return scores.withColumnRenamed("p_kind", "kind")
 
 
 def _listed(spans: Column) -> Column:
@@ -181,7 +242,8 @@ def _searched(docs: DataFrame, key: str, text: str, rounds: int, min_instances:
     found = settle(occurrences(given, "_doc_text"))
     single = found.select("_digest", F.explode("_seen").alias("s")).select("_digest", "s.*")
     edges = single.select(F.explode("patterns").alias("pattern"), "instance", "kind").distinct()
-    scores = score_graph(edges, rounds=rounds, min_instances=min_instances, pattern_threshold=pattern_threshold)
+    scores = score_graph(edges, rounds=rounds, min_instances=min_instances, pattern_threshold=pattern_threshold,
+                         instance_threshold=instance_threshold)
     best = Window.partitionBy("instance").orderBy(F.desc("score"), "kind")
     accepted = settle(scores.filter(F.col("score") >= instance_threshold).withColumn("r", F.row_number().over(best))
                       .filter("r = 1").select("instance", F.col("kind").alias("found_kind")))

@@ -153,6 +153,30 @@ def test_extraction_finds_unseen_identifiers(spark, empty):
     assert pii.find_spans(empty).count() == 0 and pii.mask(empty).count() == 0
 
 
+def test_candidates_are_whole_numbers_and_addresses():
+    for text, want in (("ring 030 1234 5678 now", [("digits", "030 1234 5678")]), ("at (555) 123-4567.", [("digits", "(555) 123-4567")]),
+                       ("card 4111 1111 1111 1112", [("digits", "4111 1111 1111 1112")]), ("to jane dot doe at site dot org now", [("at", "jane dot doe at site dot org")]),
+                       ("to jane [at] site.org", [("at", "jane [at] site.org")]), ("ip 300.1.1.1", [("dotted", "300.1.1.1")]),
+                       ("1 2 3 4 5 6 7 8", []), ("in 1999. 2000 people", []), ("call at noon", [])):
+        assert [(k, text[a:b]) for k, a, b in pii.candidates(text, pii.base_spans(text))] == want
+    for text in ("1 " * 50_000, "12 at " * 20_000, "a.b at " * 20_000, "a@b.co 12-34 " * 5_000):  # linear
+        pii.candidates(text, pii.base_spans(text))
+
+
+def test_extraction_reaches_spaced_numbers_and_a_second_hop(spark):
+    """(030) numbers stand beside seeds' words; they alone induce the pattern that finds the last one."""
+    texts = [f"please call me at +1 (222) 555-{1000 + i} now" for i in range(20)]
+    texts += [f"please call me at (030) 1234 567{i} now" for i in range(4)]
+    texts += [f"desk line is (030) 1234 567{i} thanks" for i in range(4)]
+    texts += ["desk line is 040 7654 3210 thanks", "lottery draw was 11 2233 4455 today"]
+    texts += [f"please write to a{i}@b.org today" for i in range(6)] + ["please write to jane dot doe at site dot org today"]
+    docs = frame(spark, texts)
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()}
+    assert masked[20] == "please call me at [PHONE] now" and masked[24] == "desk line is [PHONE] thanks"
+    assert masked[28] == "desk line is [PHONE] thanks" and masked[29] == texts[29]
+    assert masked[36] == "please write to [EMAIL] today"
+
+
 def test_scoring_learns_order(spark, empty):
     rnd = random.Random(6)
     cycle = ["one", "two", "three", "four", "five", "six"]
