@@ -36,6 +36,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def normal(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)]
+    nullable = [c for c in df.columns if isinstance(df[c].dtype, pd.Int64Dtype) and df[c].isna().any()]
+    df = df.astype({c: "float64" for c in nullable})  # as Spark hands over integers with nulls
     return df.sort_values(list(df.columns), kind="stable", na_position="last").reset_index(drop=True)
 
 
