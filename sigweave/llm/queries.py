@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, mixing, neardup, pii, pseudolm, quality, rules, tokens, topk, toxicity, vectorcodes
+from . import bpe, fim, mixing, neardup, pii, pseudolm, quality, rules, setjoin, tokens, topk, toxicity, vectorcodes
 from .common import SPACE, WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +211,8 @@ r AS (SELECT vec_id, string_agg(printf('%02x', best % 16), '' ORDER BY part) AS
 SELECT r.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
 FROM r JOIN k ON r.vec_id = k.vec_id, s
 """
+
+
+@query
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
