@@ -9,7 +9,7 @@ inverted lists, and a heavy set is compared with the members of the lists that i
 at the threshold shares one of the first s - ceil(share * s) + 1 shingles of either set in any
 common order, so only these enter lists; the order puts shingles that many documents share
 last, which keeps lists short and changes no result. The boundary is the size at which the
-enumeration, counted exactly, costs more than the scan, measured on the lists.
+enumeration, counted exactly, shuffles more rows than the scan, measured on the lists.
 
 No list is ever expanded into pairs. Members of a list are tried against its leader first (the
 member with the most company over all lists), which joins a group of thousands of copies with
@@ -38,6 +38,8 @@ from .neardup import exact_links, full_sets, labelled, shingle_sets
 
 #: Sizes up to this one may be light: beyond it subsets outnumber any scan.
 LIGHT_MOST = 40
+#: Rows shuffled for a subset, for a list entry, and for an entry of a list with company.
+SUBSET_ROWS, ENTRY_ROWS, SHARED_ROWS = 2, 2, 8
 #: Shingles looked at together when frequent ones are counted, and the count from which one of them is noted.
 COUNTED_TOGETHER, NOTED = 4_000_000, 8
 #: Shingles that the common order puts last, most frequent last: a bound on what is broadcast, not on results.
@@ -117,15 +119,17 @@ def in_order(tokens: np.ndarray, wanted: int, names: np.ndarray, places: np.ndar
     return rare[:wanted]
 
 
-def parity_bits(tokens: np.ndarray) -> bytes:
-    """Bitmap in which a shingle flips one bit; four to eight bits a shingle, a power of two, 256 at least."""
+def parity_bits(tokens: np.ndarray) -> tuple[bytes, bytes]:
+    """Bitmap in which a shingle flips one bit, four to eight bits a shingle (a power of two, 256
+    at least), and the same folded to an eighth of its length."""
     bits = max(256, 1 << (4 * len(tokens) - 1).bit_length())
     flips = np.bincount((tokens >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
-    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
+    packed = np.packbits((flips & 1).astype(np.uint8), bitorder="little")
+    return packed.tobytes(), np.bitwise_xor.reduce(packed.reshape(8, -1), axis=0).tobytes()
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """_id, n_shingles, _set (hash of the set, null if empty), _first (shingles in the common order) and _bits.
+    """_id, n_shingles, _set (hash of the set, null if empty), _first (shingles in the common order), _bits and _small.
 
     _first holds what enters inverted lists, and the whole set where it may be light.
     """
@@ -138,13 +142,14 @@ def fingerprints(docs: DataFrame, key: str, text: str, width: int, percent: int,
         digests = [hashlib.blake2b(t.tobytes(), digest_size=16).digest() if len(t) else None for t in sets]
         first = [in_order(t, len(t) if len(t) <= LIGHT_MOST else prefix_length(len(t), percent), names, places).view(np.int64) if len(t) else None
                  for t in sets]
-        bits = [parity_bits(t) if len(t) else None for t in sets]
+        bits = [parity_bits(t) if len(t) else (None, None) for t in sets]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(first, pa.list_(pa.int64())),
-             pa.array(bits, pa.binary())], names=["_id", "n_shingles", "_set", "_first", "_bits"])
+             pa.array([b for b, _ in bits], pa.binary()), pa.array([b for _, b in bits], pa.binary())],
+            names=["_id", "n_shingles", "_set", "_first", "_bits", "_small"])
 
     frame = docs.select(F.col(key).cast("long").alias("_id"), whole_text(text).alias("_text"))
-    return arrow_map(frame, work, "_id long, n_shingles long, _set binary, _first array<long>, _bits binary")
+    return arrow_map(frame, work, "_id long, n_shingles long, _set binary, _first array<long>, _bits binary, _small binary")
 
 
 def inverted_lists(sets: DataFrame, percent: int) -> DataFrame:
@@ -156,11 +161,11 @@ def inverted_lists(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def boundary(sets: DataFrame, lists: DataFrame, percent: int) -> int:
-    """Largest light size: the one that minimises enumerated subsets below it plus list entries scanned above it."""
+    """Largest light size: the one that minimises the rows to shuffle, of subsets up to it and of list entries above it."""
     small = {r["_n"]: r["c"] for r in sets.filter(F.col("_n") <= LIGHT_MOST).groupBy("_n").agg(F.count("*").alias("c")).collect()}
-    scanned = {r["_n"]: r["m"] for r in lists.filter(F.col("_n") <= LIGHT_MOST).groupBy("_n").agg(F.sum("_m").alias("m")).collect()}
-    light = np.cumsum([0] + [small.get(n, 0) * subset_count(n, percent) for n in range(1, LIGHT_MOST + 1)])
-    heavy = [small.get(n, 0) * prefix_length(n, percent) + scanned.get(n, 0) for n in range(1, LIGHT_MOST + 1)]
+    shared = {r["_n"]: r["c"] for r in lists.filter(F.col("_n") <= LIGHT_MOST).groupBy("_n").agg(F.count("*").alias("c")).collect()}
+    light = np.cumsum([0] + [SUBSET_ROWS * small.get(n, 0) * subset_count(n, percent) for n in range(1, LIGHT_MOST + 1)])
+    heavy = [ENTRY_ROWS * small.get(n, 0) * prefix_length(n, percent) + SHARED_ROWS * shared.get(n, 0) for n in range(1, LIGHT_MOST + 1)]
     above = np.concatenate([np.cumsum(heavy[::-1])[::-1], [0]])
     best = np.flatnonzero(light + above == (light + above).min())
     return int(best[-1])
@@ -204,11 +209,12 @@ def as_pairs(rows: DataFrame, x: Column, y: Column) -> DataFrame:
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a < b").distinct()
 
 
-def leader_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of every list member with the list's leader, the member with the most company in all its lists."""
+def leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of every list member with the list's leader, the member with the most company in all its lists, where their sizes fit."""
     company = lists.groupBy("_id").agg(F.sum("_m").alias("_w"))
-    leaders = lists.join(company, "_id").groupBy("_node").agg(F.max(F.struct("_w", (-F.col("_id")).alias("i"))).alias("_top"))
-    return as_pairs(lists.join(leaders, "_node"), F.col("_id"), -F.col("_top.i"))
+    leaders = lists.join(company, "_id").groupBy("_node").agg(F.max(F.struct("_w", (-F.col("_id")).alias("i"), "_n")).alias("_top"))
+    fits = F.least("_n", "_top._n") * 100 >= F.greatest("_n", "_top._n") * percent
+    return as_pairs(lists.join(leaders, "_node").filter(fits), F.col("_id"), -F.col("_top.i"))
 
 
 def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -230,21 +236,18 @@ def may_link(differ: np.ndarray, s: np.ndarray, t: np.ndarray, percent: int) ->
     return (s + t - differ) * (100 + percent) >= 2 * percent * (s + t)
 
 
-def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes fit and whose bitmaps do not rule them out."""
-    sized = pairs
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int, bits: str) -> DataFrame:
+    """The pairs whose sizes fit and whose bitmaps (column ``bits``) do not rule them out."""
+    both = pairs
     for c in ("a", "b"):
-        sized = sized.join(sets.select(F.col("_id").alias(c), F.col("_n").alias(f"_n{c}")), c)
-    sized = sized.filter(F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent)
-    for c in ("a", "b"):
-        sized = sized.join(sets.select(F.col("_id").alias(c), F.col("_bits").alias(f"_b{c}")), c)
+        both = both.join(sets.select(F.col("_id").alias(c), F.col("_n").alias(f"_n{c}"), F.col(bits).alias(f"_b{c}")), c)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         s, t = batch.column(2).to_numpy(), batch.column(3).to_numpy()
         differ = differing(batch.column(4).to_pylist(), batch.column(5).to_pylist())
         return batch.select([0, 1]).filter(pa.array(may_link(differ, s, t, percent)))
 
-    return arrow_map(sized.select("a", "b", "_na", "_nb", "_ba", "_bb"), work, "a long, b long", rows=4096)
+    return arrow_map(both.select("a", "b", "_na", "_nb", "_ba", "_bb"), work, "a long, b long", rows=4096)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
@@ -345,26 +348,16 @@ OPEN = "_node long, _x int, _y int, _side int, _id long, _n long"
 OPEN_COLUMNS = [c.split()[0] for c in OPEN.split(", ")]
 
 
-def facing(rows: DataFrame, light: int, percent: int) -> DataFrame:
-    """Members that face one of another component and of a fitting size."""
+def closest(rows: DataFrame, light: int, percent: int, bits: str) -> DataFrame:
+    """Members with a partner of another component and of a fitting size that bitmaps (column
+    ``bits``) do not rule out, and the closest of them (_partner)."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.zeros(batch.num_rows, bool)
-        for i, j in list_pairs(batch, light, percent):
-            found[i] = found[j] = True
-        return batch.select(OPEN_COLUMNS).filter(pa.array(found))
-
-    return by_meeting(rows.select(*OPEN_COLUMNS, "_component"), work, OPEN)
-
-
-def closest(rows: DataFrame, light: int, percent: int) -> DataFrame:
-    """Members with a partner of another component that bitmaps do not rule out, and the closest of them (_partner)."""
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, ids, bits = batch.column("_n").to_numpy(), batch.column("_id").to_numpy(), batch.column("_bits").to_pylist()
+        n, ids, maps = batch.column("_n").to_numpy(), batch.column("_id").to_numpy(), batch.column(bits).to_pylist()
         gap, partner = np.full(batch.num_rows, np.inf), np.zeros(batch.num_rows, np.int64)
         for i, j in list_pairs(batch, light, percent):
             for at in range(0, len(i), 4096):
                 a, b = i[at:at + 4096], j[at:at + 4096]
-                differ = differing([bits[k] for k in a], [bits[k] for k in b])
+                differ = differing([maps[k] for k in a], [maps[k] for k in b])
                 good = may_link(differ, n[a], n[b], percent)
                 a, b, share = a[good], b[good], (differ / (n[a] + n[b]))[good]
                 for x, y in ((a, b), (b, a)):  # within one step every row occurs once on each side
@@ -373,7 +366,7 @@ def closest(rows: DataFrame, light: int, percent: int) -> DataFrame:
         out = batch.select(OPEN_COLUMNS)
         return pa.RecordBatch.from_arrays([*out.columns, pa.array(partner)], names=[*OPEN_COLUMNS, "_partner"]).filter(pa.array(np.isfinite(gap)))
 
-    return by_meeting(rows.select(*OPEN_COLUMNS, "_component", "_bits"), work, OPEN + ", _partner long")
+    return by_meeting(rows.select(*OPEN_COLUMNS, "_component", bits), work, OPEN + ", _partner long")
 
 
 def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -387,26 +380,35 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
     """
     prints = settle(fingerprints(docs, key, text, width, percent, frequent_shingles(docs, text, width)))
     known = prints.filter(F.col("_set").isNotNull() & F.col("_id").isNotNull())
-    sets = settle(known.groupBy("_set").agg(F.min("_id").alias("_id"), F.any_value("n_shingles").alias("_n"), F.any_value("_first").alias("_first"),
-                                            F.any_value("_bits").alias("_bits")))
+    sets = settle(known.groupBy("_set").agg(
+        F.min("_id").alias("_id"), F.any_value("n_shingles").alias("_n"), *[F.any_value(c).alias(c) for c in ("_first", "_bits", "_small")]))
     lists = settle(inverted_lists(sets, percent))
     light = boundary(sets, lists, percent)
     lists = lists.filter(F.col("_n") >= -(-percent * (light + 1) // 100))
-    tried = settle(plausible(leader_pairs(lists).unionByName(light_pairs(sets, light, percent)).distinct(), sets, percent))
+    given = leader_pairs(lists, percent).unionByName(light_pairs(sets, light, percent)).distinct()
+    tried = settle(plausible(settle(plausible(given, sets, percent, "_small")), sets, percent, "_bits"))
     links = settle(confirmed(tried, docs, key, text, width, percent))
 
-    placed = settle(labelled(sets.select("_id"), links))
-    left = facing(meetings(mixed_lists(lists, placed)), light, percent)
-    bits = sets.select("_id", "_bits")
-    left = settle(closest(left.join(bits, "_id").join(placed, "_id"), light, percent))
-    more = as_pairs(left, F.col("_id"), F.col("_partner")).join(tried, ["a", "b"], "left_anti")
-    links = settle(links.unionByName(confirmed(more, docs, key, text, width, percent)))
+    def bitmaps(column: str) -> DataFrame:
+        return sets.select("_id", column)
 
-    placed = settle(labelled(sets.select("_id"), links))
-    rows = mixed_lists(left.drop("_partner"), placed)
-    last = settle(closest(rows.join(bits, "_id"), light, percent).drop("_partner", "_n").join(placed, "_id"))
-    exact = exact_links(last.join(full_sets(last.select("_id"), docs, key, text, width), "_id"), percent)
-    final = settle(labelled(sets.select("_id"), links.unionByName(exact)))
+    def placed_by(links: DataFrame) -> DataFrame:
+        return settle(labelled(sets.select("_id"), links))
+
+    final = placed_by(links)
+    mixed = mixed_lists(lists, final).join(bitmaps("_small"), "_id")
+    left = settle(closest(meetings(mixed), light, percent, "_small").drop("_partner"))
+    left = settle(closest(left.join(bitmaps("_bits"), "_id").join(final, "_id"), light, percent, "_bits"))
+    more = as_pairs(left, F.col("_id"), F.col("_partner")).join(tried, ["a", "b"], "left_anti")
+    more = settle(confirmed(more, docs, key, text, width, percent))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        final = placed_by(links)
+    rows = mixed_lists(left.drop("_partner"), final)
+    last = settle(closest(rows.join(bitmaps("_bits"), "_id"), light, percent, "_bits").drop("_partner", "_n").join(final, "_id"))
+    exact = settle(exact_links(last.join(full_sets(last.select("_id"), docs, key, text, width), "_id"), percent))
+    if not exact.isEmpty():
+        final = placed_by(links.unionByName(exact))
     of_set = sets.select(F.col("_set").alias("_s"), "_id").join(final, "_id").select("_s", "_component")
     out = prints.join(of_set, F.col("_set") == F.col("_s"), "left")
     return out.select(F.col("_id").alias(key), "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("component_id"))
