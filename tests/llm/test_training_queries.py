@@ -14,7 +14,9 @@ COLUMNS = {
     "op5": ["doc_id", "held_out", "score", "predicted"], "op6": ["doc_id", "held_out", "score", "predicted"],
     "op7": ["doc_id", "size", "source_size", "target", "taken"], "op8": ["doc_id", "n_tokens", "log_likelihood"],
     "op9": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
-    "op10": ["doc_id", "n_shingles", "component_id", "kept"]}
+    "op10": ["doc_id", "n_shingles", "component_id", "kept"],
+    "op11": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    "op12": ["vec_id", "code", "error", "label_error", "codebooks_sha256"], "op13": ["doc_id", "n_shingles", "component_id"]}
 
 
 def test_all_are_registered():
