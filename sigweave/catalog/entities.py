@@ -339,7 +339,7 @@ def coding_vectors(spark, sf):
 WITH cells AS (SELECT o_orderkey AS cell_id, o_orderpriority AS perturbation FROM orders),
 ctl AS (SELECT '1-URGENT' AS label),
 sz AS (SELECT perturbation, count(*) AS n FROM cells GROUP BY 1),
-ex AS (SELECT l_orderkey AS cell_id, 'L' || l_linenumber AS feature, l_quantity AS x FROM lineitem WHERE l_linenumber <= 5),
+ex AS (SELECT l_orderkey AS cell_id, 'L' || l_linenumber AS feature, l_quantity AS x FROM lineitem),
 s AS (SELECT perturbation, feature, sum(x) AS s FROM ex JOIN cells USING (cell_id) GROUP BY 1, 2),
 m AS (SELECT perturbation, feature, s / n AS m FROM s JOIN sz USING (perturbation))
 SELECT a.perturbation, sz.n AS n_cells, a.feature, round(a.m - c.m, 6) + 0 AS diff FROM m a JOIN m c
@@ -351,8 +351,7 @@ def difference_signature(spark, sf):
     expr = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("cell_id"), F.concat(F.lit("L"), "l_linenumber").alias("feature"),
         F.col("l_quantity").alias("x"))
-    panel = spark.createDataFrame([(f"L{i}",) for i in range(1, 6)], "feature string")
-    return C.difference_signature(expr, cells, panel, controls=("0-NONE", "1-URGENT", ""))
+    return C.difference_signature(expr, cells, controls=("0-NONE", "1-URGENT", ""))
 
 
 @query("replicate_depth", """

@@ -15,6 +15,7 @@ from ..sources.lookups import PENALTY_SWEEP
 from . import adapters as A
 from .ranking import mid_rank, normal_upper_sql
 from .registry import query, table
+from .resampling import boot_sql, mixed_sql, numbers_sql
 
 # Brute force: the train set of every (entity, held-out context) is built and scored.
 LOO = """train AS (SELECT h.entity, h.context AS held, h.vec AS hv, t.context, t.vec, t.u FROM unit h
@@ -138,17 +139,18 @@ def frequency_gain(spark, sf):
     return spearman(f, [], "size", "delta", bounded=True)
 
 
-@query("bootstrap_fold_gain", A.ctes(A.SALES, A.UNIT, LOO, folds_sql(), """ix AS (
-  SELECT delta, row_number() OVER (ORDER BY context) - 1 AS i, count(*) OVER () AS n FROM folds)""", """dr AS (
-  SELECT rep, ('0x' || substr(md5('42:' || rep || ':' || i), 1, 15))::BIGINT % n AS i FROM ix, (SELECT unnest(range(1, 201)) AS rep))""",
-  "bt AS (SELECT rep, avg(delta) AS m FROM dr JOIN ix ON ix.i = dr.i GROUP BY 1)") + """
+GAIN_REPS = 10_000
+
+
+@query("bootstrap_fold_gain", A.ctes(A.SALES, A.UNIT, LOO, folds_sql(), boot_sql("folds", "context", reps=GAIN_REPS),
+       "g AS (SELECT rep, avg(delta) AS m FROM bt GROUP BY 1)") + """
 SELECT round((SELECT avg(delta) FROM folds), 6) + 0 AS point, count(*) AS n_boot, round(quantile_cont(m, 0.025), 6) + 0 AS ci_lo,
- round(quantile_cont(m, 0.975), 6) + 0 AS ci_hi, round(stddev_pop(m), 6) + 0 AS se FROM bt""")
+ round(quantile_cont(m, 0.975), 6) + 0 AS ci_hi, round(stddev_pop(m), 6) + 0 AS se FROM g""")
 def bootstrap_fold_gain(spark, sf):
-    return resample.bootstrap_mean(loo.fold_table(_loo(spark, sf), "context"), "context", "delta", reps=200, bounded=True)
+    return resample.bootstrap_mean(loo.fold_table(_loo(spark, sf), "context"), "context", "delta", reps=GAIN_REPS, bounded=True)
 
 
-PERM_REPS = 20
+PERM_REPS = 1_000
 
 
 def train_means(sig, k_min=5):
@@ -158,11 +160,11 @@ def train_means(sig, k_min=5):
     return j.select("entity", "context", "vec", V.scale(V.subtract("sum_raw", "vec"), 1.0 / (F.col("k") - 1)).alias("train_mean"))
 
 
-SIGPERM = f"""pp AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY ('0x' || substr(md5(entity), 1, 15))::BIGINT, entity) - 1 AS pos,
+SIGPERM = f"""pp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY context ORDER BY ('0x' || substr(md5(entity), 1, 15))::BIGINT, entity) - 1 AS pos,
    count(*) OVER (PARTITION BY context) AS n FROM loo),
-ph AS (SELECT rep, pp.*, row_number() OVER (PARTITION BY context, rep ORDER BY
-   ('0x' || substr(md5('7:' || context || ':' || rep || ':' || entity), 1, 15))::BIGINT, entity) - 1 AS k
-   FROM pp, (SELECT unnest(range(1, {PERM_REPS + 1})) AS rep) WHERE n >= 20),
+pn AS MATERIALIZED ({numbers_sql(7, PERM_REPS, "(SELECT DISTINCT context AS g FROM pp WHERE n >= 20)", "g")}),
+ph AS (SELECT *, row_number() OVER (PARTITION BY context, rep ORDER BY h, pos) - 1 AS k
+   FROM ({mixed_sql("(SELECT pp.*, rep, num FROM pp JOIN pn ON pn.g = pp.context)", "pos", "num")})),
 pc AS (SELECT h.rep, h.context, round(h.train_di, 12) AS raw, round(h.train_ts, 12) AS ts,
    round(list_cosine_similarity(d.hv, h.mv), 12) AS hc FROM ph h JOIN pp d ON d.context = h.context AND d.pos = h.k),
 prk AS (SELECT rep, context, {mid_rank('raw', 'rep, context')} AS a, {mid_rank('ts', 'rep, context')} AS b,
@@ -316,16 +318,19 @@ def key_prefix_join(spark, sf):
     return s.join(first, "k").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("first_supplier").alias("first_supplier"))
 
 
-@query("random_pair_null", A.ctes(A.TWO, """ab AS (SELECT a.user_id, a.vec AS a, b.vec AS b,
-  row_number() OVER (ORDER BY a.user_id) - 1 AS pos FROM two a JOIN two b ON a.user_id = b.user_id AND a.half = 0 AND b.half = 1)""", """pm AS (
-  SELECT rep, user_id, a, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5('5:' || rep || ':' || user_id), 1, 15))::BIGINT, user_id) - 1 AS pos
-  FROM ab, (SELECT unnest(range(1, 51)) AS rep))""") + """
+PAIR_REPS = 1_000
+
+
+@query("random_pair_null", A.ctes(A.TWO, """ab AS MATERIALIZED (SELECT a.user_id, a.vec AS a, b.vec AS b,
+  row_number() OVER (ORDER BY a.user_id) - 1 AS pos FROM two a JOIN two b ON a.user_id = b.user_id AND a.half = 0 AND b.half = 1)""",
+  f"pn AS MATERIALIZED ({numbers_sql(5, PAIR_REPS)})",
+  f"pm AS (SELECT rep, a, row_number() OVER (PARTITION BY rep ORDER BY h, pos) - 1 AS k FROM ({mixed_sql('ab, pn', 'pos', 'num')}))") + """
 SELECT rep, count(*) AS n, round(avg(d), 6) + 0 AS mean, round(stddev_pop(d), 6) + 0 AS std FROM (
- SELECT pm.rep, 1 - abs(list_cosine_similarity(pm.a, ab.b)) AS d FROM pm JOIN ab ON ab.pos = pm.pos) GROUP BY 1""")
+ SELECT pm.rep, 1 - abs(list_cosine_similarity(pm.a, ab.b)) AS d FROM pm JOIN ab ON ab.pos = pm.k) GROUP BY 1""")
 def random_pair_null(spark, sf):
     t = A.two_contexts(spark, sf)
     w = t.groupBy("user_id").agg(F.max(F.when(F.col("half") == 0, F.col("vec"))).alias("a"),
                                  F.max(F.when(F.col("half") == 1, F.col("vec"))).alias("b")).dropna()
-    null = resample.random_pair_null(w, "user_id", "a", "b", reps=50, seed=5)
+    null = resample.random_pair_null(w, "user_id", "a", "b", reps=PAIR_REPS, seed=5)
     return null.groupBy("rep").agg(F.count("instability").alias("n"), F.avg("instability").alias("mean"),
                                    F.stddev_pop("instability").alias("std"))

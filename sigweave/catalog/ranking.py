@@ -265,10 +265,10 @@ SEG = ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE"]
 
 
 @query("ordinal_spearman", A.ctes(A.CUST, """o AS (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'AUTOMOBILE' THEN 1
-  WHEN 'MACHINERY' THEN 2 END AS k, mean_price FROM cust WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY'))""") + f"""
+  WHEN 'MACHINERY' THEN 2 WHEN 'HOUSEHOLD' THEN 3 WHEN 'FURNITURE' THEN 4 END AS k, mean_price FROM cust)""") + f"""
 SELECT count(*) AS n, round(corr(a, b), 6) + 0 AS rho FROM (SELECT {mid_rank('k')} AS a, {mid_rank('mean_price')} AS b FROM o)""")
 def ordinal_spearman(spark, sf):
-    c = A.customer_scores(spark, sf).withColumn("k", ordinal("c_mktsegment", SEG[:3]))
+    c = A.customer_scores(spark, sf).withColumn("k", ordinal("c_mktsegment", SEG))
     return rankstats.spearman(c, [], "k", "mean_price")
 
 
@@ -329,10 +329,33 @@ k AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PAR
 @query("holm_adjustment", A.ctes(A.CUST, HOLM) + """
 SELECT family, test, round(p, 6) AS p, round(least(1, max(p * (m - r + 1)) OVER (PARTITION BY family ORDER BY r)), 6) AS p_adjusted FROM k""")
 def holm_adjustment(spark, sf):
+    return rankstats.holm(_family_tests(spark, sf), ["family"], "p", "test")
+
+
+def _family_tests(spark, sf):
     c = A.customer_scores(spark, sf).groupBy(F.col("c_nationkey").cast("long").alias("family"),
                                              F.col("c_mktsegment").alias("test")).agg(F.avg("mean_price").alias("a"))
-    c = c.select("family", "test", F.round(F.least(F.lit(1.0), (F.col("a") - F.floor("a")) / 5), 9).alias("p"))
-    return rankstats.holm(c, ["family"], "p", "test")
+    return c.select("family", "test", F.round(F.least(F.lit(1.0), (F.col("a") - F.floor("a")) / 5), 9).alias("p"))
+
+
+@query("bonferroni_adjustment", A.ctes(A.CUST, HOLM) + """
+SELECT family, test, round(p, 6) AS p, round(least(1, p * m), 6) AS p_adjusted FROM k""")
+def bonferroni_adjustment(spark, sf):
+    return rankstats.holm(_family_tests(spark, sf), ["family"], "p", "test", bonferroni=True)
+
+
+@query("holm_one_family", """
+WITH p AS (SELECT l_orderkey * 8 + l_linenumber AS test, round(l_extendedprice / 1e6, 9) AS p FROM lineitem),
+k AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, test) AS r FROM p)
+SELECT count(*) AS n_tests, count(*) FILTER (a < 0.05) AS n_below, round(min(a), 6) AS least, round(avg(a), 6) AS mean FROM (
+ SELECT least(1, max(p * (m - r + 1)) OVER (ORDER BY r)) AS a FROM k)""")
+def holm_one_family(spark, sf):
+    """Every line is a test of one family, so the running maximum goes over the whole table."""
+    t = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("test"),
+                                            F.round(F.col("l_extendedprice") / 1e6, 9).alias("p"))
+    a = F.col("p_adjusted")
+    return rankstats.holm(t, [], "p", "test").agg(F.count(F.lit(1)).alias("n_tests"), F.count_if(a < 0.05).alias("n_below"),
+                                                  F.min(a).alias("least"), F.avg(a).alias("mean"))
 
 
 @query("steiger_test", A.ctes(A.CUST, """g AS (SELECT c_mktsegment, count(*) AS n, corr(max_price, mean_price) AS ra,
@@ -422,6 +445,43 @@ def matched_effect(spark, sf):
     return groups.cohens_d(groups.matched_rows(o, ["s"], "g", "o_orderkey"), ["s"], "o_totalprice", "g")
 
 
+SIZED = A.ctes(A.CUST, "z AS (SELECT c_custkey, c_acctbal, mean_price, (n_orders >= 10)::INT AS g FROM cust)",
+               "e AS (SELECT " + ", ".join(f"quantile_cont(mean_price, {i} / 10.0) AS e{i}" for i in range(1, 10)) + " FROM z)",
+               "b AS (SELECT z.*, (" + " + ".join(f"(e{i} <= mean_price)::INT" for i in range(1, 10)) + ")::BIGINT AS bin FROM z, e)",
+               """r AS (SELECT *, row_number() OVER (PARTITION BY bin, g ORDER BY ('0x' || substr(md5('0:' || c_custkey), 1, 12))::BIGINT, c_custkey) AS rn FROM b)""",
+               "k AS (SELECT bin, sum(g)::BIGINT AS n1, sum(1 - g)::BIGINT AS n2, least(sum(g), sum(1 - g))::BIGINT AS n_matched FROM b GROUP BY 1)",
+               "m AS (SELECT r.* FROM r JOIN k ON r.bin = k.bin WHERE rn <= n_matched)")
+
+
+def _sized(spark, sf):
+    return A.customer_scores(spark, sf).select("c_custkey", "c_acctbal", "mean_price", (F.col("n_orders") >= 10).cast("int").alias("g"))
+
+
+@query("size_matched_effect", SIZED + """
+SELECT n1, n2, n1_all - n1 AS unmatched1, n2_all - n2 AS unmatched2, round(m1, 6) + 0 AS mean1, round(m2, 6) + 0 AS mean2,
+ round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) + 0 AS cohens_d FROM (
+ SELECT count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 0) AS n2, avg(c_acctbal) FILTER (g = 1) AS m1, avg(c_acctbal) FILTER (g = 0) AS m2,
+  var_samp(c_acctbal) FILTER (g = 1) AS v1, var_samp(c_acctbal) FILTER (g = 0) AS v2 FROM m),
+ (SELECT sum(n1)::BIGINT AS n1_all, sum(n2)::BIGINT AS n2_all FROM k)""")
+def size_matched_effect(spark, sf):
+    """Balances of frequent against other customers, matched within deciles of the mean order price."""
+    return groups.size_matched_effect(_sized(spark, sf), "c_custkey", "c_acctbal", "g", "mean_price", 10)
+
+
+@query("size_match_report", SIZED + """
+SELECT bin, n1, n2, n_matched, n1 - n_matched AS unmatched1, n2 - n_matched AS unmatched2 FROM k""")
+def size_match_report(spark, sf):
+    return groups.match_report(groups.quantile_group(_sized(spark, sf), [], "mean_price", 10), ["bin"], "g")
+
+
+@query("metric_outcome_correlations", A.ctes(A.CUST, "q AS (SELECT " + ", ".join(
+    f"{mid_rank(c)} AS {c}" for c in ("c_acctbal", "mean_price", "max_price", "n_orders")) + " FROM cust)") + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, '{o}' AS outcome, count(*) AS n, round(corr({m}, {o}), 6) + 0 AS rho FROM q"
+    for m in ("c_acctbal", "mean_price") for o in ("max_price", "n_orders")))
+def metric_outcome_correlations(spark, sf):
+    return rankstats.rank_correlations(A.customer_scores(spark, sf), "c_custkey", ["c_acctbal", "mean_price"], ["max_price", "n_orders"])
+
+
 @query("normalized_spread", """
 SELECT g, n1, n2, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) + 0 AS cohens_d FROM (
  SELECT 1::BIGINT AS g, count(sp) FILTER (k = 1) AS n1, count(sp) FILTER (k = 0) AS n2, avg(sp) FILTER (k = 1) AS m1,

@@ -1,29 +1,49 @@
-"""Queries on bootstrap and permutation replicates. Draws come from md5, so SQL repeats them."""
+"""Queries on bootstrap and permutation replicates, at the published replicate counts.
+
+Draws are made of md5 and 32-bit mixing, so SQL repeats them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import MIX_STEP, SLOT_STEP
 from ..operators import resample as R
 from ..operators.groups import cohens_d
 from . import adapters as A
 from .ranking import LONG, METRICS, ap_sql, auroc_sql, mid_rank
 from .registry import query, table
 
-REPS = 100
-_REP = f"(SELECT unnest(range(1, {REPS + 1})) AS rep)"
+#: Replicates of intervals and label permutations, of the difference of two rank correlations, and of the macro gap.
+REPS, DIFFERENCE_REPS, MACRO_REPS = 10_000, 5_000, 2_000
+
+
+def mixed_sql(src: str, slot: str, number: str) -> str:
+    """SELECT adding ``h``, the 32-bit draw of a slot in the replicate with this number."""
+    step = lambda i: f"xor(x{i}, x{i} >> 16) * {MIX_STEP} & 4294967295 AS x{i + 1}"
+    return (f"SELECT *, ({slot} * {SLOT_STEP} + ({number} & 4294967295)) & 4294967295 AS x0, {step(0)}, {step(1)}, "
+            f"xor(xor(x2, x2 >> 16), {number} >> 32) AS x3, {step(3)}, {step(4)}, xor(x5, x5 >> 16) AS h FROM {src}")
+
+
+def numbers_sql(seed: int, reps: int, groups: str = "", prefix: str = "") -> str:
+    """(rep, number) of every replicate, for each row of ``groups`` with ``prefix`` before the replicate."""
+    tag = f"{prefix} || ':' || " if prefix else ""
+    keys = f"{groups}, " if groups else ""
+    return f"SELECT *, ('0x' || substr(md5('{seed}:' || {tag}rep), 1, 15))::BIGINT AS num FROM {keys}(SELECT unnest(range(1, {reps + 1})) AS rep)"
 
 
-def boot_sql(src: str, key: str, name: str = "bt", seed: int = 42, by: str = "") -> str:
+def boot_sql(src: str, key: str, name: str = "bt", seed: int = 42, by: str = "", reps: int = REPS) -> str:
     """CTEs: the rows of ``src`` resampled per replicate, one row per draw."""
     part = f"PARTITION BY {by} " if by else ""
-    tag = f"|| {by} || ':' " if by else ""
-    on = f"AND d.g = x.{by}" if by else ""
-    g = f", {by} AS g" if by else ""
-    return f"""{name}_ix AS (SELECT *, row_number() OVER ({part}ORDER BY {key}) - 1 AS i0,
+    groups = f"(SELECT DISTINCT {by} AS g FROM {src})" if by else ""
+    on = f"ON r.g = x.{by}" if by else "ON true"
+    same = f"AND d.{by} = x.{by}" if by else ""
+    keep = f", x.{by}" if by else ""
+    return f"""{name}_ix AS MATERIALIZED (SELECT *, row_number() OVER ({part}ORDER BY {key}) - 1 AS i0,
    count(*) OVER ({'PARTITION BY ' + by if by else ''}) AS n0 FROM {src}),
-{name}_d AS (SELECT rep{g}, ('0x' || substr(md5('{seed}:' {tag}|| rep || ':' || i0), 1, 15))::BIGINT % n0 AS j FROM {name}_ix, {_REP}),
-{name} AS (SELECT d.rep, x.* FROM {name}_d d JOIN {name}_ix x ON x.i0 = d.j {on})"""
+{name}_r AS MATERIALIZED ({numbers_sql(seed, reps, groups, "g" if by else "")}),
+{name}_d AS (SELECT rep, h * n0 >> 32 AS j{', ' + by if by else ''} FROM ({mixed_sql(f"(SELECT r.rep, r.num, x.i0, x.n0{keep} FROM {name}_ix x JOIN {name}_r r {on})", "i0", "num")})),
+{name} AS (SELECT d.rep, x.* FROM {name}_d d JOIN {name}_ix x ON x.i0 = d.j {same})"""
 
 
 def ci(stat: str, prefix: str = "") -> str:
@@ -68,39 +88,45 @@ def bootstrap_auprc_difference(spark, sf):
                                              "quality", stat="auprc", reps=REPS)
 
 
-MACRO = """u AS (SELECT * FROM {src} UNPIVOT (score FOR metric IN (p_retailprice, p_size)))"""
+def macro_sql(src: str, name: str, by: str = "") -> str:
+    """CTEs: mean over the classes of ``ok`` of the one-vs-rest AUROC, per metric (and ``by``), from rank sums."""
+    g = f"{by}, " if by else ""
+    return f"""{name}_u AS (SELECT {g}cls, metric, score FROM (SELECT * FROM {src} UNPIVOT (score FOR metric IN (p_retailprice, p_size)))),
+{name}_k AS (SELECT *, {mid_rank('score', g + 'metric')} AS rk, count(*) OVER (PARTITION BY {g}metric) AS n FROM {name}_u),
+{name}_c AS (SELECT {g}metric, cls, count(*) AS n1, any_value(n) AS n, sum(rk) AS s FROM {name}_k WHERE cls IN (SELECT k FROM ok) GROUP BY ALL),
+{name} AS (SELECT {g}metric, avg((s - n1 * (n1 + 1) / 2) / (n1 * (n - n1))) AS m FROM {name}_c WHERE n1 >= 2 AND n1 < n GROUP BY ALL)"""
 
 
 @query("bootstrap_macro_gap", A.ctes("c AS (SELECT p_partkey, p_type AS cls, p_retailprice, p_size::DOUBLE AS p_size FROM part)",
-       "ok AS (SELECT cls AS k FROM c GROUP BY 1 HAVING count(*) >= 10)", boot_sql("c", "p_partkey"),
-       "bu AS (SELECT bt.rep, bt.cls, k, metric, score, (cls = k)::INT AS y FROM (SELECT * FROM bt UNPIVOT (score FOR metric IN (p_retailprice, p_size))) bt, ok)",
-       "pu AS (SELECT cls, k, metric, score, (cls = k)::INT AS y FROM (SELECT * FROM c UNPIVOT (score FOR metric IN (p_retailprice, p_size))) c, ok)",
-       f"ba AS (SELECT rep, avg(auroc) FILTER (metric = 'p_size') - avg(auroc) FILTER (metric = 'p_retailprice') AS gap FROM ({auroc_sql('bu', 'rep, k, metric', 'score', 'y')}) WHERE n_pos >= 2 GROUP BY 1)",
-       f"pa AS (SELECT avg(auroc) FILTER (metric = 'p_retailprice') AS mb, avg(auroc) FILTER (metric = 'p_size') AS mo FROM ({auroc_sql('pu', 'k, metric', 'score', 'y')}))") + f"""
-SELECT round(mb, 6) AS macro_base, round(mo, 6) AS macro_other, round(mo - mb, 6) + 0 AS gap, count(*) AS n_boot, {ci('ba.gap')} FROM ba, pa GROUP BY mb, mo""")
+       "ok AS (SELECT cls AS k FROM c GROUP BY 1 HAVING count(*) >= 10)", boot_sql("c", "p_partkey", reps=MACRO_REPS),
+       macro_sql("bt", "bm", "rep"), macro_sql("c", "pm"),
+       "bg AS (SELECT rep, max(m) FILTER (metric = 'p_size') - max(m) FILTER (metric = 'p_retailprice') AS gap FROM bm GROUP BY 1)",
+       "pg AS (SELECT max(m) FILTER (metric = 'p_retailprice') AS mb, max(m) FILTER (metric = 'p_size') AS mo FROM pm)") + f"""
+SELECT round(mb, 6) AS macro_base, round(mo, 6) AS macro_other, round(mo - mb, 6) + 0 AS gap, count(*) AS n_boot, {ci('bg.gap')} FROM bg, pg GROUP BY mb, mo""")
 def bootstrap_macro_gap(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("cls"), "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
-    return R.bootstrap_macro_gap(p, "p_partkey", "p_retailprice", "p_size", "cls", reps=REPS)
+    return R.bootstrap_macro_gap(p, "p_partkey", "p_retailprice", "p_size", "cls", reps=MACRO_REPS)
 
 
-RHO = A.ctes(A.CUST, boot_sql("cust", "c_custkey"),
-             f"r AS (SELECT rep, {mid_rank('c_acctbal', 'rep')} AS a, {mid_rank('mean_price', 'rep')} AS b, {mid_rank('max_price', 'rep')} AS y FROM bt)",
-             "rho AS (SELECT rep, corr(a, y) AS a, corr(b, y) AS b FROM r GROUP BY 1)",
-             f"pr AS (SELECT {mid_rank('c_acctbal')} AS a, {mid_rank('mean_price')} AS b, {mid_rank('max_price')} AS y FROM cust)",
-             "p AS (SELECT count(*) AS n, corr(a, y) AS a, corr(b, y) AS b FROM pr)")
+def rho_sql(reps: int) -> str:
+    return A.ctes(A.CUST, boot_sql("cust", "c_custkey", reps=reps),
+                  f"r AS (SELECT rep, {mid_rank('c_acctbal', 'rep')} AS a, {mid_rank('mean_price', 'rep')} AS b, {mid_rank('max_price', 'rep')} AS y FROM bt)",
+                  "rho AS (SELECT rep, corr(a, y) AS a, corr(b, y) AS b FROM r GROUP BY 1)",
+                  f"pr AS (SELECT {mid_rank('c_acctbal')} AS a, {mid_rank('mean_price')} AS b, {mid_rank('max_price')} AS y FROM cust)",
+                  "p AS (SELECT count(*) AS n, corr(a, y) AS a, corr(b, y) AS b FROM pr)")
 
 
-@query("bootstrap_spearman", RHO + " UNION ALL ".join(f"""
+@query("bootstrap_spearman", rho_sql(REPS) + " UNION ALL ".join(f"""
 SELECT '{m}' AS metric, p.n, round(p.{c}, 6) + 0 AS rho, count(*) AS n_boot, {ci(f'rho.{c}')} FROM p, rho GROUP BY p.n, p.{c}"""
        for m, c in (("c_acctbal", "a"), ("mean_price", "b"))))
 def bootstrap_spearman(spark, sf):
     return R.bootstrap_spearman(A.customer_scores(spark, sf), "c_custkey", ["c_acctbal", "mean_price"], "max_price", reps=REPS)
 
 
-@query("bootstrap_spearman_difference", RHO + f"""
+@query("bootstrap_spearman_difference", rho_sql(DIFFERENCE_REPS) + f"""
 SELECT round(p.b - p.a, 6) + 0 AS diff, count(*) AS n_boot, {ci('rho.b - rho.a')} FROM p, rho GROUP BY p.a, p.b""")
 def bootstrap_spearman_difference(spark, sf):
-    return R.bootstrap_spearman_difference(A.customer_scores(spark, sf), "c_custkey", "c_acctbal", "mean_price", "max_price", reps=REPS)
+    return R.bootstrap_spearman_difference(A.customer_scores(spark, sf), "c_custkey", "c_acctbal", "mean_price", "max_price", reps=DIFFERENCE_REPS)
 
 
 GROUPS = A.ctes("o AS (SELECT c_custkey, (c_mktsegment = 'BUILDING')::INT AS g, c_acctbal AS v FROM customer)",
@@ -145,8 +171,9 @@ def bootstrap_effect_vs_null_table(spark, sf):
 
 
 PERM = A.ctes("o AS (SELECT c_custkey, (c_mktsegment = 'BUILDING')::INT AS g, c_acctbal AS v FROM customer)",
-              f"""ph AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5('42:' || rep || ':' || c_custkey), 1, 15))::BIGINT, c_custkey) - 1 AS pos
-   FROM o, {_REP})""",
+              "ix AS MATERIALIZED (SELECT v, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM o)",
+              f"pr AS MATERIALIZED ({numbers_sql(42, REPS)})",
+              f"ph AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY h, i) - 1 AS pos FROM ({mixed_sql('ix, pr', 'i', 'num')}))",
               "nd AS (SELECT rep, avg(v) FILTER (pos < n1) - avg(v) FILTER (pos >= n1) AS stat FROM ph, (SELECT sum(g) AS n1 FROM o) GROUP BY 1)",
               "ob AS (SELECT avg(v) FILTER (g = 1) - avg(v) FILTER (g = 0) AS o FROM o)")
 

@@ -1,12 +1,24 @@
-"""Deterministic pseudo-random draws from md5, equal in every SQL engine.
+"""Deterministic pseudo-random draws, equal in every SQL engine.
 
-A draw depends only on (seed, keys, replicate, slot): a lost task repeats it exactly.
+A draw depends only on (seed, keys, replicate, slot): a lost task repeats it exactly. A
+replicate has a 60-bit number from md5; a slot's draw mixes that number with the slot in 32-bit
+steps (xor-shift and multiplication by a constant below 2**31, so that products stay in 63
+bits), which numpy does for whole replicates at once.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Multipliers of slots and of the mixing steps.
+SLOT_STEP, MIX_STEP = 2654435761, 73244475
+_LOW, _HALF = np.uint64(2**32 - 1), np.uint64(16)
 
 
 def hash_number(*parts: Column | int | str) -> Column:
@@ -15,6 +27,35 @@ def hash_number(*parts: Column | int | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 15), 16, 10).cast("long")
 
 
-def position(n: Column, *parts: Column | int | str) -> Column:
-    """Uniform position in [0, n)."""
-    return hash_number(*parts) % n
+def replicate_number(*parts: object) -> int:
+    """What ``hash_number`` gives for texts and integers, on its own."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        x = ((x ^ (x >> _HALF)) * np.uint64(MIX_STEP)) & _LOW
+    return x ^ (x >> _HALF)
+
+
+def mixed(numbers: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """32-bit draws of ``slots`` in the replicates with these numbers (shapes broadcast)."""
+    numbers = np.asarray(numbers).astype(np.uint64)
+    x = (np.asarray(slots).astype(np.uint64) * np.uint64(SLOT_STEP) + (numbers & _LOW)) & _LOW
+    return _mix(_mix(x) ^ (numbers >> np.uint64(32)))
+
+
+def drawn_positions(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Position in [0, n) that each of n slots draws, one row per replicate number."""
+    return ((mixed(np.asarray(numbers)[:, None], np.arange(n)[None, :]) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+@F.pandas_udf(T.LongType())
+def slot_draw(number: pd.Series, slot: pd.Series) -> pd.Series:
+    """32-bit draw of a slot in a replicate, for tables of (replicate, slot) rows."""
+    return pd.Series(mixed(number.to_numpy(), slot.to_numpy()).astype(np.int64))
+
+
+def position(n: Column, number: Column, slot: Column) -> Column:
+    """Position in [0, n) that a slot draws in the replicate with this number."""
+    return F.shiftright(slot_draw(number, slot) * n, 32)

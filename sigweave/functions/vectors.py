@@ -61,6 +61,11 @@ def cosine(d: Column, na: Column, nb: Column, *, zero_vector: str = "zero",
     return F.coalesce(value, F.lit(0.0)) if zero_vector == "zero" else value
 
 
+def one_length(x: Column) -> Column:
+    """``x`` if the group's vectors (lengths from ``_least`` to ``_most``) have one length, else an error."""
+    return F.when(F.min("_least") == F.max("_most"), x).otherwise(F.raise_error(F.lit("vectors of a group differ in length")).cast("long"))
+
+
 def clip_unit(x: Column) -> Column:
     """Clamp to [-1, 1]; acos of 1 + 2e-16 is NaN."""
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))

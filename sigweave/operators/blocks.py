@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_SIZE = 128
+#: Pairs of padded members that a kernel looks at in one step.
+PADDED_CELLS = 1_000_000
 
 
 def block_pairs(df: DataFrame, by: Sequence[str], member: str, payload: Sequence[str],
@@ -58,23 +60,42 @@ class Members:
         return self.field(name).to_numpy(zero_copy_only=False)
 
     def matrix(self, name: str) -> np.ndarray:
-        values = self.field(name).flatten().to_numpy(zero_copy_only=False)
-        n = len(self.items)
-        return values.reshape(n, -1) if n else np.zeros((0, 0))
+        """A vector field as rows; vectors of different lengths are an error."""
+        field = self.field(name)
+        if len(field) == 0:
+            return np.zeros((0, 0))
+        lengths = field.value_lengths().to_numpy(zero_copy_only=False)
+        if not (lengths == lengths[0]).all():
+            raise ValueError(f"vectors of different lengths: {np.unique(lengths[lengths == lengths]).tolist()}")
+        return field.flatten().to_numpy(zero_copy_only=False).reshape(len(field), -1)
 
     def row_of(self) -> np.ndarray:
         """Batch row of every member."""
         return np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
 
-    def meetings(self):
-        """Per batch row: the member positions of both sides, the same object twice for one block."""
+    def small(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of one block, many at a time: row numbers (R), member positions (R x m) and which of them are real.
+
+        Rows of about the same size go together, the shorter ones padded.
+        """
+        one = np.flatnonzero(self.same)
+        size = np.diff(self.start)[one]
+        padded = 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(int)
+        for m in np.unique(padded):
+            rows = one[padded == m]
+            step = max(1, PADDED_CELLS // (m * m))
+            for s in range(0, len(rows), step):
+                r = rows[s:s + step]
+                place = np.arange(m)[None, :]
+                real = place < (self.start[r + 1] - self.start[r])[:, None]
+                yield r, np.where(real, self.start[r][:, None] + place, 0), real
+
+    def large(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Rows of two blocks: row number and the member positions of both sides."""
         side = self.scalars("side")
-        for same, a, b in zip(self.same, self.start[:-1], self.start[1:]):
-            if same:
-                one = slice(a, b)
-                yield one, one
-            else:
-                yield a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
+        for r in np.flatnonzero(~self.same):
+            a, b = self.start[r], self.start[r + 1]
+            yield r, a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
 
 
 Kernel = Callable[[pa.RecordBatch, Members], tuple[np.ndarray, dict[str, pa.Array]]]
@@ -109,20 +130,21 @@ def angular_spread_kernel(batch: pa.RecordBatch, m: Members):
     """
     u, t, g = m.matrix("u"), m.scalars("t"), m.scalars("g")
     partial = np.zeros(len(t))
-    for x, y in m.meetings():
+    for _, at, real in m.small():
+        x = u[at]
+        toward = _squared_angle(g[at][:, None, :] - x @ x.transpose(0, 2, 1), t[at])
+        toward *= real[:, None, :] & ~np.eye(at.shape[1], dtype=bool)
+        partial[at[real]] = toward.sum(axis=2)[real]
+    for _, x, y in m.large():
         inner = u[x] @ u[y].T
-        toward_x = _squared_angle(g[y][None, :] - inner, t[x])
-        if x is y:
-            np.fill_diagonal(toward_x, 0.0)
-        else:
-            partial[y] += _squared_angle(g[x][None, :] - inner.T, t[y]).sum(axis=1)
-        partial[x] += toward_x.sum(axis=1)
+        partial[x] += _squared_angle(g[y][None, :] - inner, t[x]).sum(axis=1)
+        partial[y] += _squared_angle(g[x][None, :] - inner.T, t[y]).sum(axis=1)
     passed = {c: m.field(c) for c in ("member", "n_train", "train_di", "holdout_cosine")}
     return m.row_of(), {**passed, "partial": pa.array(partial)}
 
 
 def _squared_angle(projection: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(projection / length[:, None], -1.0, 1.0)) ** 2
+    return np.arccos(np.clip(projection / length[..., None], -1.0, 1.0)) ** 2
 
 
 def overlap_kernel(batch: pa.RecordBatch, m: Members):
@@ -134,30 +156,41 @@ def overlap_kernel(batch: pa.RecordBatch, m: Members):
     member[np.repeat(np.arange(len(items)), np.diff(starts)), values] = 1.0
     size = member.sum(axis=1)
     total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
-    for r, (x, y) in enumerate(m.meetings()):
-        both = member[x] @ member[y].T
-        union = size[x][:, None] + size[y][None, :] - both
-        ratio = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
-        keep = np.triu(np.ones(both.shape, dtype=bool), k=1) if x is y else np.ones(both.shape, dtype=bool)
-        total[r] = ratio[keep].sum()
-        count[r] = keep.sum()
+
+    def ratios(both: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
+        union = sx + sy - both
+        return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+
+    for r, at, real in m.small():
+        x = member[at]
+        keep = real[:, :, None] & real[:, None, :] & np.triu(np.ones((at.shape[1],) * 2, dtype=bool), k=1)
+        ratio = ratios(x @ x.transpose(0, 2, 1), size[at][:, :, None], size[at][:, None, :])
+        total[r], count[r] = (ratio * keep).sum(axis=(1, 2)), keep.sum(axis=(1, 2))
+    for r, x, y in m.large():
+        ratio = ratios(member[x] @ member[y].T, size[x][:, None], size[y][None, :])
+        total[r], count[r] = ratio.sum(), ratio.size
     return np.arange(batch.num_rows), {"partial": pa.array(total), "pairs": pa.array(count)}
 
 
 def ordered_cosine_kernel(batch: pa.RecordBatch, m: Members):
     """Cosine of every pair of different levels, lower level first; zero vectors give no pair."""
     u, n, level = m.matrix("u"), m.scalars("n"), m.scalars("level")
-    rows, lo, hi, cosines = [], [], [], []
-    for r, (x, y) in enumerate(m.meetings()):
-        inner = u[x] @ u[y].T
-        a, b = level[x][:, None], level[y][None, :]
-        differ = (a < b) if x is y else (a != b)
-        i, j = np.nonzero(differ & (n[x][:, None] > 0) & (n[y][None, :] > 0))
-        first, second = level[x][i], level[y][j]
-        rows.append(np.full(len(i), r))
+    rows, lo, hi, cosines = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]
+    fine = n > 0
+
+    def take(of: np.ndarray, first: np.ndarray, second: np.ndarray, inner: np.ndarray) -> None:
+        rows.append(of)
         lo.append(np.minimum(first, second))
         hi.append(np.maximum(first, second))
-        cosines.append(inner[i, j])
+        cosines.append(inner)
+
+    for r, at, real in m.small():
+        x, ok = u[at], real & fine[at]
+        k, i, j = np.nonzero((level[at][:, :, None] < level[at][:, None, :]) & ok[:, :, None] & ok[:, None, :])
+        take(r[k], level[at[k, i]], level[at[k, j]], (x @ x.transpose(0, 2, 1))[k, i, j])
+    for r, x, y in m.large():
+        i, j = np.nonzero((level[x][:, None] != level[y][None, :]) & fine[x][:, None] & fine[y][None, :])
+        take(np.full(len(i), r), level[x][i], level[y][j], (u[x] @ u[y].T)[i, j])
     cat = np.concatenate
     return cat(rows), {"level_lo": pa.array(cat(lo)), "level_hi": pa.array(cat(hi)),
                        "cosine": pa.array(cat(cosines))}

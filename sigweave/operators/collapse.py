@@ -73,11 +73,11 @@ def pick_control_label(cells: DataFrame, label: str,
     return found.select(F.coalesce("control_label", F.raise_error(F.lit("no cell carries a control label"))).alias("control_label"))
 
 
-def difference_signature(expr: DataFrame, cells: DataFrame, features: DataFrame, *,
+def difference_signature(expr: DataFrame, cells: DataFrame, features: DataFrame | None = None, *,
                          cell: str = "cell_id", label: str = "perturbation",
                          feature: str = "feature", x: str = "x", min_cells: int = 10,
                          controls: Sequence[str] = ("non-targeting", "control", "")) -> DataFrame:
-    """Mean expression of each perturbation minus the control mean, on the feature panel.
+    """Mean expression of each perturbation minus the control mean, on the feature panel (all features of ``expr`` unless given).
 
     ``expr`` is sparse and long: a missing (cell, feature) is a zero, so sums are
     divided by the number of cells of the label and not by the number of rows.
@@ -85,8 +85,9 @@ def difference_signature(expr: DataFrame, cells: DataFrame, features: DataFrame,
     """
     control = pick_control_label(cells, label, controls)
     sizes = reuse(cells.groupBy(label).agg(F.count(F.lit(1)).alias("n_cells")))
-    labelled = expr.join(features.select(feature).distinct(), feature, "left_semi").join(
-        cells.select(cell, label), cell)
+    if features is not None:
+        expr = expr.join(features.select(feature).distinct(), feature, "left_semi")
+    labelled = expr.join(cells.select(cell, label), cell)
     sums = reuse(labelled.groupBy(label, feature).agg(F.sum(x).alias("sum_x")))
     ctl = attach(sums.join(sizes, label), control, [])
     ctl_mean = ctl.filter(F.col(label) == F.col("control_label")).select(

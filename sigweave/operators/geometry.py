@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .common import attach
+from .common import attach, join_groups
 
 
 def _with_norms(df: DataFrame, by: Sequence[str], vecs: dict[str, str], eps: float) -> DataFrame:
@@ -52,13 +52,13 @@ def direction_instability(df: DataFrame, by: Sequence[str], vecs: dict[str, str]
                             by, names, count)
     chunks = _unit_chunks(df, by, vecs, eps)
     sums = chunks.groupBy(*by, "_chunk").agg(
-        F.count(F.lit(1)).alias("_k"),
+        F.count(F.lit(1)).alias("_k"), F.min("_dim").alias("_least"), F.max("_dim").alias("_most"),
         *[F.sum((F.col(f"_n_{o}") * F.col(f"_inv_{o}")) ** 2).alias(f"_s_{o}") for o in names],
         *[F.sum(F.col(f"{o}_{j}") * F.col(f"_inv_{o}")).alias(f"{o}_{j}")
           for o in names for j in range(V.CHUNK)],
     )
     total = sums.groupBy(*by).agg(
-        F.max("_k").alias(count),
+        V.one_length(F.max("_k")).alias(count),
         *[F.max(f"_s_{o}").alias(f"_s_{o}") for o in names],
         *[F.sum(_square_sum(o)).alias(f"_t_{o}") for o in names],
     )
@@ -95,13 +95,13 @@ def vector_sums(df: DataFrame, by: Sequence[str], vec: str, *, eps: float = V.EP
             V.feature_array(vec, dim, lambda x: F.sum(x * F.col("_inv_v"))).alias("sum_unit"))
     chunks = _unit_chunks(df, by, {"v": vec}, eps)
     sums = chunks.groupBy(*by, "_chunk").agg(
-        F.max("_dim").alias("_dim"), F.count(F.lit(1)).alias("_k"),
+        F.max("_dim").alias("_dim"), F.min("_dim").alias("_least"), F.max("_dim").alias("_most"), F.count(F.lit(1)).alias("_k"),
         F.sum((F.col("_n_v") * F.col("_inv_v")) ** 2).alias("_s"),
         *[F.sum(f"v_{j}").alias(f"m_{j}") for j in range(V.CHUNK)],
         *[F.sum(F.col(f"v_{j}") * F.col("_inv_v")).alias(f"t_{j}") for j in range(V.CHUNK)],
     )
     out = V.assemble(sums, by, ["m", "t"],
-                     extra=[F.max("_k").alias("k"), F.max("_s").alias("sum_u2")])
+                     extra=[V.one_length(F.max("_k")).alias("k"), F.max("_s").alias("sum_u2")])
     return out.select(*by, "k", "sum_u2", F.col("m").alias("sum_raw"), F.col("t").alias("sum_unit"))
 
 
@@ -174,7 +174,7 @@ def phenotype_projection(df: DataFrame, directions: DataFrame, by: Sequence[str]
     """
     by, on = list(by), list(on)
     d = directions.select(*on, F.col(direction).alias("_d"), V.norm(direction).alias("_dn"))
-    rows = df.join(d, on)
+    rows = join_groups(df, d, on)
     p = V.dot(vec, "_d") * V.inverse_norm(F.col("_dn"), 1e-10)
     proj = rows.select(*by, "_dn", p.alias("_p"))
     how = {"std": F.stddev_pop("_p"), "mean": F.avg("_p"), "mean_abs": F.avg(F.abs("_p"))}[agg]
@@ -183,19 +183,22 @@ def phenotype_projection(df: DataFrame, directions: DataFrame, by: Sequence[str]
         *by, F.col("k").alias("n_contexts"), (V.norm("sum_raw") / F.col("k")).alias("_mn"))
     ok = (F.col("_mn") >= 1e-10) & (F.col("_dn") >= 1e-10)
     enrich = F.when(ok, F.pow(F.try_divide(F.col("_mean_p"), F.col("_mn")), 2)).otherwise(0.0)
-    return spread.join(sums, by).select(
+    return join_groups(spread, sums, by).select(
         *by, "n_contexts", "projected", enrich.alias("on_target_enrichment"))
 
 
 def localization(df: DataFrame, masks: DataFrame, by: Sequence[str], on: Sequence[str], *,
                  vec: str = "vec", mask: str = "mask") -> DataFrame:
-    """DI over the masked-in features divided by DI over all; NULL when the latter is 0."""
-    rows = df.join(masks.select(*on, F.col(mask).alias("_mask")), list(on))
-    rows = rows.withColumn("_in", V.gather(vec, F.col("_mask")))
-    inside = direction_instability(rows, by, {"di_region": "_in"})
-    whole = direction_instability(rows, by, {"di_all": vec}).drop("n_contexts")
+    """DI over the masked-in features divided by DI over all; NULL when the latter is 0.
+
+    The features outside the mask are zeroed, which leaves the angles of those inside, so
+    both scores come from one pass over the rows. NULL keys are keys.
+    """
+    rows = join_groups(df, masks.select(*on, F.col(mask).alias("_mask")), on)
+    inside = F.transform(vec, lambda x, i: F.when(F.array_contains("_mask", i), x).otherwise(0.0))
+    di = direction_instability(rows.withColumn("_in", inside), by, {"di_region": "_in", "di_all": vec})
     ratio = F.when(F.abs("di_all") > 1e-12, F.try_divide(F.col("di_region"), F.col("di_all")))
-    return inside.join(whole, list(by)).withColumn("localization", ratio)
+    return di.withColumn("localization", ratio)
 
 
 def two_context_cosine(a: DataFrame, b: DataFrame, on: Sequence[str], *, vec: str = "vec") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach
+from .common import attach, join_groups, reuse
 from .ladder import quantiles, row_index
 
 
@@ -101,15 +101,40 @@ def flatness(effects: DataFrame, tolerance: float = 0.5) -> DataFrame:
     return g.withColumn("d_range", spread).withColumn("flat", spread <= tolerance)
 
 
+def match_report(df: DataFrame, strata: Sequence[str], group: str) -> DataFrame:
+    """Per stratum: rows of either group, how many of each can be matched, and how many cannot.
+
+    NULL is a stratum like any other; rows of neither group do not count.
+    """
+    one, zero = [F.count_if(F.col(group).cast("int") == g) for g in (1, 0)]
+    g = df.groupBy(*strata).agg(one.alias("n1"), zero.alias("n2"))
+    matched = F.least("n1", "n2")
+    return g.select(*strata, "n1", "n2", matched.alias("n_matched"), (F.col("n1") - matched).alias("unmatched1"),
+                    (F.col("n2") - matched).alias("unmatched2"))
+
+
 def matched_rows(df: DataFrame, strata: Sequence[str], group: str, key: str, *, seed: int = 0) -> DataFrame:
-    """Equally many rows of both groups per stratum, the choice fixed by a hash of the key."""
+    """Equally many rows of both groups per stratum (NULL is one), the choice fixed by a hash of the key."""
     order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 12),
                    16, 10).cast("long")
+    both = reuse(df.filter(F.col(group).cast("int").isin(0, 1)))
     by = [*strata, group]
-    placed = row_index(df.withColumn("_h", order), by, ["_h", key], "_pos").drop("_h", "n")
-    sizes = df.groupBy(*strata).agg(
-        F.least(F.sum((F.col(group) == 1).cast("long")), F.sum((F.col(group) == 0).cast("long"))).alias("_k"))
-    return placed.join(sizes, list(strata)).filter(F.col("_pos") < F.col("_k")).drop("_pos", "_k")
+    placed = row_index(both.withColumn("_h", order), by, ["_h", key], "_pos").drop("_h", "n")
+    sizes = match_report(both, strata, group).select(*strata, F.col("n_matched").alias("_k"))
+    return attach(placed, sizes, strata).filter(F.col("_pos") < F.col("_k")).drop("_pos", "_k")
+
+
+def size_matched_effect(df: DataFrame, key: str, value: str, group: str, size: str, bins: int, *, seed: int = 0) -> DataFrame:
+    """Effect size between the groups after coarsened matching on a size column.
+
+    The size is cut at its quantiles over both groups, each bin keeps equally many rows of
+    either, and what is left without a partner is counted. Rows without a size form a bin of their own.
+    """
+    rows = df.filter(F.col(group).cast("int").isin(0, 1)).select(key, value, group, size)
+    binned = reuse(quantile_group(rows, [], size, bins, "_bin"))
+    effect = cohens_d(matched_rows(binned, ["_bin"], group, key, seed=seed), [], value, group)
+    left = match_report(binned, ["_bin"], group).agg(F.sum("unmatched1").alias("unmatched1"), F.sum("unmatched2").alias("unmatched2"))
+    return attach(effect, left, []).select("n1", "n2", "unmatched1", "unmatched2", "mean1", "mean2", "cohens_d")
 
 
 def normalized_spread(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -138,14 +163,14 @@ def detection_limit(df: DataFrame, k: str, sigma: str, score: str, *, power: flo
     Returns every (k, sigma) with its share above, plus the limit of its k.
     """
     start = df.groupBy(k).agg(F.min(sigma).alias("_s0"))
-    null = df.join(start, k).filter(F.col(sigma) == F.col("_s0"))
+    null = join_groups(df, start, [k]).filter(F.col(sigma) == F.col("_s0"))
     cut = quantiles(null, [k], score, {"null_threshold": 0.95})
-    above = df.join(cut, k).groupBy(k, sigma).agg(
+    above = join_groups(df, cut, [k]).groupBy(k, sigma).agg(
         F.max("null_threshold").alias("null_threshold"),
         F.avg((F.col(score) > F.col("null_threshold")).cast("double")).alias("frac_above"))
     limit = above.groupBy(k).agg(
         F.min(F.when(F.col("frac_above") >= power, F.col(sigma))).alias("limit_sigma"))
-    return above.join(limit, k)
+    return join_groups(above, limit, [k])
 
 
 def best_match(df: DataFrame, setting: str, score: str, target_mean: Column, target_std: Column) -> DataFrame:

@@ -2,13 +2,14 @@
 
 A window ordered over a whole table, or over one hot group, sorts in a single
 task. Here a *ladder* (one row per distinct value, after map-side combining, so
-ties cost one row however many rows share them) is cut into buckets by an
-order-preserving function of the value: first a fixed logarithmic one, then, where
-values crowd into one such bucket, evenly between that bucket's own smallest and
-largest value, into as many pieces as its rows ask for. Bucket totals are tiny and
-give the offset of each bucket; the sort happens inside (group, bucket, piece).
-Everything rests on exact counts, minima and maxima and nothing on sampling, so it is
-the same in every evaluation and after a lost executor. A NULL group is a group.
+ties cost one row however many rows share them) is fixed once as a narrow table and
+cut into pieces by an order-preserving function of the value: first a fixed
+logarithmic one, then, where more than ``PIECE_ROWS`` rows fall into one piece, evenly
+between that piece's own smallest and largest value, and again until every piece that holds
+two different values is below the budget. Piece totals are tiny and give the offset
+of each piece; the sort happens inside (group, piece). A table within the budget takes one
+plain window. Everything rests on exact counts, minima and maxima and nothing on sampling, so
+it is the same in every evaluation and after a lost executor. A NULL group is a group.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.draws import hash_number
-from .common import attach, join_groups, without_nan
+from .common import attach, join_groups, reuse, without_nan
 
 
-#: Rows of a bucket, over all groups, from which it is cut into pieces of about that size.
+#: Rows of a piece, over all groups, above which it is cut further.
 PIECE_ROWS = 20_000
+#: Pieces that a crowded one is cut into, per PIECE_ROWS of its rows: uneven values then seldom need another round.
+FINENESS = 4
 
 
 def default_resolution(df: DataFrame) -> int:
@@ -44,57 +47,92 @@ def value_bucket(x: Column, resolution: int) -> Column:
     return F.floor(F.signum(x) * F.log2(1.0 + F.abs(x) * float(2**30)) * resolution).cast("long")
 
 
-def with_buckets(df: DataFrame, order: str, descending: bool, resolution: int) -> DataFrame:
-    """Add ``_bucket`` and ``_piece``, which together ascend in the direction of the sort.
+def _extents(rows: DataFrame, order: str) -> DataFrame:
+    x = F.col(order).cast("double")
+    return rows.groupBy("_bucket", "_piece").agg(F.count(F.lit(1)).alias("_c"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+
+
+def _crowded() -> Column:
+    return (F.col("_c") > PIECE_ROWS) & (F.col("_lo") < F.col("_hi"))
+
 
+def with_pieces(rows: DataFrame, order: str, resolution: int) -> DataFrame | None:
+    """Add ``_bucket`` and ``_piece`` (the path of the row's piece, one number a round), which
+    together ascend with ``order``; None if the whole table is within the budget of one piece.
+
+    ``rows`` is read once to count and once per round of refinement, so it should be fixed.
     ``order`` must be a number that is neither NULL nor NaN.
     """
     x = F.col(order).cast("double")
-    rows = df.withColumn("_bucket", value_bucket(x, resolution))
-    crowded = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c"), F.min(x).alias("_lo"), F.max(x).alias("_hi")).filter(
-        (F.col("_c") > PIECE_ROWS) & (F.col("_lo") < F.col("_hi")))
-    share = (x - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    piece = F.coalesce(F.floor(share * F.ceil(F.col("_c") / PIECE_ROWS)), F.lit(0)).cast("long")
-    sign = -1 if descending else 1
-    return rows.join(crowded, "_bucket", "left").select(
-        *[F.col(f"`{c}`") for c in df.columns], (F.col("_bucket") * sign).alias("_bucket"), (piece * sign).alias("_piece"))
+    placed = rows.withColumn("_bucket", value_bucket(x, resolution)).withColumn("_piece", F.array().cast("array<int>"))
+    extents = _extents(placed, order)
+    size = extents.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), F.count_if(_crowded()).alias("crowded")).first()
+    if size["n"] <= PIECE_ROWS:
+        return None
+    fresh, crowded = placed, size["crowded"]
+    while crowded:
+        cells = reuse(extents.filter(_crowded()).select("_bucket", "_piece", "_c", "_lo", "_hi"))
+        placed, fresh = _cut(placed, cells, x, "left"), _cut(fresh, cells, x, "inner")
+        extents = _extents(fresh, order)
+        crowded = extents.agg(F.count_if(_crowded()).alias("crowded")).first()["crowded"]
+    return placed
+
+
+def _cut(rows: DataFrame, cells: DataFrame, x: Column, how: str) -> DataFrame:
+    """Rows of the crowded ``cells`` get the number of their even share of the cell appended to their path."""
+    pieces = F.ceil(F.col("_c") * FINENESS / F.lit(float(PIECE_ROWS)))
+    share = (x / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+    path = F.array_append("_piece", F.floor(share * pieces).cast("int"))
+    return rows.join(cells, ["_bucket", "_piece"], how).select(
+        *[F.col(f"`{c}`") for c in rows.columns if c != "_piece"],
+        F.when(F.col("_c").isNull(), F.col("_piece")).otherwise(path).alias("_piece"))
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str], *,
-            descending: bool = False, resolution: int | None = None, bounded: bool = False) -> DataFrame:
-    """Add ``<s>_before`` (sum over earlier rows of the group) and ``<s>_total``.
+            maxima: Sequence[str] = (), descending: bool = False, resolution: int | None = None, bounded: bool = False) -> DataFrame:
+    """Add ``<s>_before`` (sum over earlier rows of the group) and ``<s>_total``, and for each of
+    ``maxima`` its running maximum ``<m>_max``, the row itself included.
 
     ``order[0]`` must be a number, not NULL or NaN; the remaining columns break ties and
     the whole of ``order`` must be unique within ``by``. ``bounded`` says that a group is
-    small by construction (replicates, folds, contexts): then one plain window does.
+    small by construction (replicates, folds, contexts): then one plain window does, and
+    nothing is computed ahead. Else ``df`` is fixed first.
     """
     by = list(by)
-    keys = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
-    if bounded:
-        group = Window.partitionBy(*(by or [F.lit(0)]))
+    direct = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    keys = [direct(o) for o in order]
+    rows = None
+    if not bounded:
+        df = reuse(df)
+        rows = with_pieces(df, order[0], resolution or default_resolution(df))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    if rows is None:
         prior = group.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
         return df.select(
             "*", *[F.coalesce(F.sum(s).over(prior), F.lit(0)).alias(f"{s}_before") for s in sums],
-            *[F.sum(s).over(group).alias(f"{s}_total") for s in sums])
-    rows = with_buckets(df, order[0], descending, resolution or default_resolution(df))
+            *[F.sum(s).over(group).alias(f"{s}_total") for s in sums],
+            *[F.max(m).over(group.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)).alias(f"{m}_max") for m in maxima])
     cut = [*by, "_bucket", "_piece"]
-    totals = rows.groupBy(*cut).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    earlier = group.orderBy("_bucket", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*cut).agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(s).alias(f"_t_{s}") for s in sums],
+                                    *[F.max(m).alias(f"_m_{m}") for m in maxima])
+    earlier = group.orderBy(direct("_bucket"), direct("_piece")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *cut,
         *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.sum(f"_t_{s}").over(group).alias(f"{s}_total") for s in sums],
+        *[F.max(f"_m_{m}").over(earlier).alias(f"_p_{m}") for m in maxima],
     )
-    local = Window.partitionBy("_bucket", "_piece", *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    place = Window.partitionBy("_bucket", "_piece", *by).orderBy(*keys)
+    local, upto = place.rowsBetween(Window.unboundedPreceding, -1), place.rowsBetween(Window.unboundedPreceding, 0)
     inside = rows.select(
-        "*", *[F.coalesce(F.sum(s).over(local), F.lit(0)).alias(f"_i_{s}") for s in sums]
-    )
+        "*", *[F.coalesce(F.sum(s).over(local), F.lit(0)).alias(f"_i_{s}") for s in sums],
+        *[F.max(m).over(upto).alias(f"_i_{m}_max") for m in maxima])
     joined = join_groups(inside, offsets, cut)
     return joined.select(
         *df.columns,
         *[(F.col(f"_o_{s}") + F.col(f"_i_{s}")).alias(f"{s}_before") for s in sums],
         *[f"{s}_total" for s in sums],
+        *[F.greatest(f"_p_{m}", f"_i_{m}_max").alias(f"{m}_max") for m in maxima],
     )
 
 
@@ -102,7 +140,7 @@ def ladder(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], *,
            descending: bool = False, bounded: bool = False) -> DataFrame:
     """Distinct values of a group (NULL and NaN left out) with the sums of ``sums`` and their running sums.
 
-    Bucket ranges, bucket totals and sorted buckets all read the one shuffle that combines equal values.
+    The distinct values are fixed once; cuts, piece totals and sorted pieces all read that table.
     """
     kind = df.schema[value].dataType.simpleString()
     rows = df.withColumn(value, without_nan(F.col(value), kind)).filter(F.col(value).isNotNull())

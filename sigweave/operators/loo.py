@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from . import blocks
-from .common import attach, reuse, unpivot
+from .common import attach, join_groups, reuse, unpivot
 from .geometry import vector_sums
 from .rankstats import spearman, wilcoxon_signed_rank
 
@@ -26,7 +26,7 @@ def holdout_rows(df: DataFrame, by: Sequence[str], context: str, *, vec: str = "
     sums = vector_sums(df, by, vec, eps=eps, dim=dim).filter(F.col("k") > min_train).select(
         "*", V.sumsq("sum_unit").alias("_t2"), V.sumsq("sum_raw").alias("_m2"))
     rows = df.select(*by, context, F.col(vec).alias("_s"), V.norm(vec).alias("_n"))
-    rows = rows.join(sums, by)
+    rows = join_groups(rows, sums, by)
     inv = V.inverse_norm(F.col("_n"), eps)
     rows = rows.select(
         *by, context, "k", "sum_u2", "_t2", "_m2", "_n", "_s", inv.alias("_inv"),
@@ -108,7 +108,7 @@ def fold_summary(folds: DataFrame, *, by: Sequence[str] = (), win_fraction: floa
         "needed_wins", needed).withColumn("confirmed", F.col("wins") >= needed)
     w = wilcoxon_signed_rank(folds, by, "delta", alternative="greater", bounded=True)
     if by:
-        return g.join(w, by, "left")
+        return join_groups(g, w, by, "left")
     return attach(g, w, [])
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues as P
-from .common import join_groups, without_nan
-from .ladder import average_ranks, ladder
+from .common import attach, join_groups, reuse, unpivot, without_nan
+from .ladder import average_ranks, ladder, running
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, *, weight: str | None = None,
@@ -43,6 +43,40 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, *, weight: str |
     return g.select(*by, "n", value.alias(rho))
 
 
+def rank_matrix(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``key`` and the mid-ranks of the columns, all from one ladder; NULL where a value is missing. Keys must be unique."""
+    long = reuse(unpivot(df, [key], columns, "_name", "_x"))
+    ranks = average_ranks(long, ["_name"], "_x").select("_name", "_x", "rank")
+    placed = join_groups(long, ranks, ["_name", "_x"], "left")
+    return placed.groupBy(key).agg(*[F.max(F.when(F.col("_name") == c, F.col("rank"))).alias(c) for c in columns])
+
+
+def rank_correlations(df: DataFrame, key: str, metrics: Sequence[str], outcomes: Sequence[str]) -> DataFrame:
+    """(metric, outcome, n, rho): Spearman of every metric with every outcome, over the rows that have both.
+
+    Columns without gaps are ranked once, and all their correlations are cross moments of one
+    pass over the rank matrix. Pairs with a gap are ranked on the rows they share.
+    """
+    columns = list(dict.fromkeys([*metrics, *outcomes]))
+    rows = reuse(df.select(key, *[without_nan(F.col(c).cast("double"), "double").alias(c) for c in columns]))
+    filled = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in columns]).first()
+    whole = {c for c in columns if filled[c] == filled["_n"]}
+    pairs = [(m, o) for m in metrics for o in outcomes]
+    plain = [(m, o) for m, o in pairs if m in whole and o in whole]
+    parts = []
+    if plain:
+        ranks = rank_matrix(rows, key, [c for c in columns if c in whole])
+        one = ranks.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.struct(
+            F.lit(m).alias("metric"), F.lit(o).alias("outcome"), F.corr(m, o).alias("rho")) for m, o in plain]).alias("_r"))
+        parts.append(one.select("n", F.inline("_r")).select("metric", "outcome", "n", "rho"))
+    gaps = [(m, o) for m, o in pairs if (m, o) not in plain]
+    if gaps:
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(o).alias("outcome"), F.col(m).alias("x"), F.col(o).alias("y")) for m, o in gaps]))
+        long = rows.select(each.alias("_p")).select("_p.*")
+        parts.append(spearman(long, ["metric", "outcome"], "x", "y").select("metric", "outcome", "n", "rho"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def _window_rank(by: Sequence[str], value: str) -> Column:
     """Centred weighted mid-rank by windows inside one small group."""
     group = Window.partitionBy(*(by or [F.lit(0)]))
@@ -180,20 +214,23 @@ def correction_verdict(df: DataFrame, by: Sequence[str], raw: str, corrected: st
 
 
 def holm(df: DataFrame, family: Sequence[str], p: str, test: str, *, bonferroni: bool = False) -> DataFrame:
-    """Adjusted p-values within each family of tests.
+    """Adjusted p-values (``p_adjusted``) within each family of tests.
 
-    A family is a list of hypotheses tested together, so its window stays small: a task
-    sorts one family.
+    Places and the running maximum of the steps come from distributed scans, so one family may
+    be the whole table. Tests without a p-value do not count and get none. ``test`` names a
+    test within its family.
     """
-    w = Window.partitionBy(*family)
-    ranked = df.withColumn("_m", F.count(F.lit(1)).over(w)).withColumn(
-        "_k", F.row_number().over(w.orderBy(p, test)))
+    family = list(family)
+    tested = df.filter(F.col(p).isNotNull())
     if bonferroni:
-        return ranked.withColumn("p_adjusted", F.least(F.lit(1.0), F.col(p) * F.col("_m"))).drop("_m", "_k")
-    step = F.col(p) * (F.col("_m") - F.col("_k") + 1)
-    upto = w.orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("_s", step).withColumn(
-        "p_adjusted", F.least(F.lit(1.0), F.max("_s").over(upto))).drop("_m", "_k", "_s")
+        sizes = tested.groupBy(*family).agg(F.count(F.lit(1)).alias("_m"))
+        done = attach(tested, sizes, family).withColumn("p_adjusted", F.least(F.lit(1.0), F.col(p) * F.col("_m"))).drop("_m")
+    else:
+        placed = running(tested.withColumn("_one", F.lit(1).cast("long")), family, [p, test], ["_one"])
+        step = placed.select(*df.columns, (F.col(p) * (F.col("_one_total") - F.col("_one_before"))).alias("_s"))
+        done = running(step, family, [p, test], [], maxima=["_s"]).withColumn("p_adjusted", F.least(F.lit(1.0), F.col("_s_max"))).drop("_s", "_s_max")
+    untested = df.filter(F.col(p).isNull()).withColumn("p_adjusted", F.lit(None).cast("double"))
+    return done.unionByName(untested)
 
 
 def binomial_tail(df: DataFrame, by: Sequence[str], success: Column, p0: float = 0.5) -> DataFrame:

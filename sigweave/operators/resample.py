@@ -3,21 +3,29 @@
 A bootstrap replicate is a set of integer weights, not a copied table: every row is
 also a slot that draws a row position per replicate, and the counts of the drawn
 positions are the weights. All metrics of a replicate use the same weights, which is
-what makes differences paired. Slots are repartitioned once on the drawn position and
-stay there for the count and for the join to the rows.
+what makes differences paired.
+
+Tables within the bounds of ``replicates`` take its kernels: replicates are spread over the
+tasks and each works on whole vectors of weights over value orders that are fixed once. Larger
+tables take relational plans with the same draws: slots are repartitioned once on the
+drawn position and stay there for the count and for the join to the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from ..functions.draws import hash_number, position
+from ..functions.draws import hash_number, position, replicate_number, slot_draw
+from . import replicates as K
 from .classify import macro_auroc, roc_and_pr
-from .common import attach, reuse, unpivot
+from .common import attach, join_groups, reuse, unpivot
 from .groups import effect_size
 from .ladder import row_index
 from .rankstats import spearman
@@ -25,21 +33,29 @@ from .rankstats import spearman
 LO, HI = 0.025, 0.975
 
 
-def draw_weights(df: DataFrame, key: str, reps: int, seed: int, by: Sequence[str] = (), *,
+#: How far past the requested replicates a search for valid ones may go.
+OVERDRAW = 3
+
+
+def _number(seed: int, by: Sequence[str]) -> Column:
+    return hash_number(seed, *[F.col(b) for b in by], F.col("rep"))
+
+
+def draw_weights(df: DataFrame, key: str, reps: int | range, seed: int, by: Sequence[str] = (), *,
                  bounded: bool = False) -> DataFrame:
     """Rows of ``df`` per replicate with their draw count ``w``; undrawn rows are absent.
 
-    With ``by``, each group is resampled on its own to its own size.
+    With ``by``, each group (NULL is one) is resampled on its own to its own size.
     """
     by = list(by)
+    reps = range(1, reps + 1) if isinstance(reps, int) else reps
     indexed = reuse(row_index(df, by, [key], "_i", bounded=bounded))
     drawn = indexed.select(
         *by, F.col("_i").alias("_slot"), F.col("n").alias("_n"),
-        F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    parts = [seed, *[F.col(b) for b in by], F.col("rep"), F.col("_slot")]
-    drawn = drawn.select(*by, "rep", position(F.col("_n"), *parts).alias("_i"))
+        F.explode(F.sequence(F.lit(reps.start), F.lit(reps.stop - 1))).alias("rep"))
+    drawn = drawn.select(*by, "rep", position(F.col("_n"), _number(seed, by), F.col("_slot")).alias("_i"))
     counts = drawn.repartition(*by, "_i").groupBy(*by, "_i", "rep").agg(F.count(F.lit(1)).alias("w"))
-    return indexed.drop("n").join(counts, [*by, "_i"]).drop("_i")
+    return join_groups(indexed.drop("n"), counts, [*by, "_i"]).drop("_i")
 
 
 def interval(reps: DataFrame, by: Sequence[str], stat: str, *, min_valid: int = 1) -> DataFrame:
@@ -62,13 +78,33 @@ def one_sided_p(point: str, stat: str) -> Column:
     return F.avg(beyond)
 
 
+def _classifier_range(df: DataFrame, index: K.Index | None, key: str, scores: Sequence[str], label: str, reps: range,
+                      seed: int, by: list[str]) -> DataFrame:
+    if index is not None:
+        return K.run(df, index, reps, K.roc_and_pr(seed, scores, label), "metric string, auroc double, auprc double")
+    drawn = reuse(draw_weights(df.select(*by, key, label, *scores), key, reps, seed, by))
+    long = unpivot(drawn, [*by, "rep", "w", label], scores, "metric", "score")
+    return roc_and_pr(long, [*by, "rep", "metric"], "score", label, weight="w").drop("n_pos", "n_neg")
+
+
 def classifier_replicates(df: DataFrame, key: str, scores: Sequence[str], label: str, reps: int,
                           seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """(by, rep, metric, auroc, auprc); replicates with one class only are NULL."""
+    """(by, rep, metric, auroc, auprc): the first ``reps`` replicates that hold both classes.
+
+    Where a group and metric has fewer of them, numbers up to OVERDRAW times the request are
+    drawn as well.
+    """
     by = list(by)
-    drawn = reuse(draw_weights(df.select(*by, key, label, *scores), key, reps, seed, by))
-    long = unpivot(drawn, [*by, "rep", "w", label], scores, "metric", "score")
-    return roc_and_pr(long, [*by, "rep", "metric"], "score", label, weight="w")
+    index = K.build(df, key, [label, *scores], by)
+    found = reuse(_classifier_range(df, index, key, scores, label, range(1, reps + 1), seed, by))
+    valid = found.filter(F.col("auroc").isNotNull())
+    short = found.groupBy(*by, "metric").agg(F.count("auroc").alias("n")).filter(F.col("n") < reps)
+    if short.isEmpty():
+        return valid
+    more = _classifier_range(df, index, key, scores, label, range(reps + 1, OVERDRAW * reps + 1), seed, by)
+    each = Window.partitionBy(*by, "metric").orderBy("rep")
+    kept = valid.unionByName(more.filter(F.col("auroc").isNotNull())).withColumn("_r", F.row_number().over(each))
+    return reuse(kept.filter(F.col("_r") <= reps).drop("_r"))
 
 
 def bootstrap_classifier(df: DataFrame, key: str, scores: Sequence[str], label: str, *,
@@ -76,13 +112,13 @@ def bootstrap_classifier(df: DataFrame, key: str, scores: Sequence[str], label:
     """AUROC and AUPRC of each score with percentile intervals and SE, per group of ``by``."""
     keys = [*by, "metric"]
     point = roc_and_pr(unpivot(df, [*by, label], scores, "metric", "score"), keys, "score", label)
-    boot = reuse(classifier_replicates(df, key, scores, label, reps, seed, by)).filter(F.col("auroc").isNotNull())
+    boot = classifier_replicates(df, key, scores, label, reps, seed, by)
     out = point
     for stat in ("auroc", "auprc"):
         ci = interval(boot, keys, stat)
         ci = ci.select(*keys, *(["n_boot"] if stat == "auroc" else []),
                        *[F.col(c).alias(f"{stat}_{c}") for c in ("ci_lo", "ci_hi", "se")])
-        out = out.join(ci, keys)
+        out = join_groups(out, ci, keys)
     return out
 
 
@@ -92,7 +128,7 @@ def bootstrap_classifier_difference(df: DataFrame, key: str, base: str, others:
     """Paired difference base - other of AUROC or AUPRC, interval and one-sided p."""
     scores = [base, *others]
     point = roc_and_pr(unpivot(df, [label], scores, "metric", "score"), ["metric"], "score", label)
-    boot = reuse(classifier_replicates(df, key, scores, label, reps, seed))
+    boot = classifier_replicates(df, key, scores, label, reps, seed)
     p_base = point.filter(F.col("metric") == base).select(F.col(stat).alias("_pb"))
     points = attach(point.filter(F.col("metric") != base), p_base, []).select(
         "metric", (F.col("_pb") - F.col(stat)).alias("point_diff"))
@@ -107,14 +143,22 @@ def bootstrap_classifier_difference(df: DataFrame, key: str, base: str, others:
 def bootstrap_macro_gap(df: DataFrame, key: str, base: str, other: str, cls: str, *, min_class: int = 10,
                         reps: int = 2_000, seed: int = 42) -> DataFrame:
     """Interval of macro-AUROC(other) - macro-AUROC(base) over the classes eligible in the data."""
-    eligible = df.groupBy(cls).count().filter(F.col("count") >= min_class).select(cls)
+    eligible = reuse(df.groupBy(cls).count().filter((F.col("count") >= min_class) & F.col(cls).isNotNull()).select(cls))
+    pick = lambda s: F.max(F.when(F.col("metric") == s, F.col("macro_auroc")))
+    both = [pick(base).alias("macro_base"), pick(other).alias("macro_other")]
+
     def macro(rows, by, w=None):
         long = unpivot(rows, [*by, cls, *([w] if w else [])], [base, other], "metric", "score")
-        m = macro_auroc(long, [*by, "metric"], "score", cls, classes=eligible, weight=w)
-        pick = lambda s: F.max(F.when(F.col("metric") == s, F.col("macro_auroc")))
-        return m.groupBy(*by).agg(pick(base).alias("macro_base"), pick(other).alias("macro_other"))
+        return macro_auroc(long, [*by, "metric"], "score", cls, classes=eligible, weight=w).groupBy(*by).agg(*both)
+
     point = macro(df, [])
-    boot = macro(reuse(draw_weights(df.select(key, cls, base, other), key, reps, seed)), ["rep"], "w")
+    numbered = row_index(eligible, [], [cls], "_class").drop("n")
+    index = K.build(df.select(key, cls, base, other).join(numbered, cls, "left"), key, ["_class", base, other])
+    if index is not None:
+        found = K.run(df, index, range(1, reps + 1), K.one_vs_rest(seed, [base, other], "_class"), "metric string, macro_auroc double")
+        boot = found.groupBy("rep").agg(*both)
+    else:
+        boot = macro(reuse(draw_weights(df.select(key, cls, base, other), key, reps, seed)), ["rep"], "w")
     gaps = boot.withColumn("gap", F.col("macro_other") - F.col("macro_base"))
     ci = interval(gaps, [], "gap")
     return attach(point.withColumn("gap", F.col("macro_other") - F.col("macro_base")), ci, [])
@@ -129,6 +173,10 @@ def bootstrap_spearman(df: DataFrame, key: str, xs: Sequence[str], y: str, *, re
 
 
 def spearman_replicates(df: DataFrame, key: str, xs: Sequence[str], y: str, reps: int, seed: int) -> DataFrame:
+    """(rep, metric, rho)."""
+    index = K.build(df, key, list(dict.fromkeys([*xs, y])))
+    if index is not None:
+        return K.run(df, index, range(1, reps + 1), K.spearman(seed, xs, y), "metric string, rho double")
     drawn = reuse(draw_weights(df.select(key, y, *xs), key, reps, seed))
     long = unpivot(drawn, ["rep", "w", y], xs, "metric", "x")
     return spearman(long, ["rep", "metric"], "x", y, weight="w").drop("n")
@@ -144,6 +192,25 @@ def bootstrap_spearman_difference(df: DataFrame, key: str, a: str, b: str, y: st
     return attach(point, interval(boot, [], "diff"), [])
 
 
+def drawn_moments(df: DataFrame, key: str, value: str, reps: int, seed: int, by: Sequence[str] = (), *,
+                  bounded: bool = False) -> DataFrame:
+    """(by, rep, n, mean, var): moments of each group's drawn values, around the group's own mean."""
+    by = list(by)
+    rows = df.filter(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias(value))
+    index = K.build(rows, key, [value], by)
+    if index is not None:
+        return K.run(rows, index, range(1, reps + 1), K.moments(seed, value), "n long, mean double, var double")
+    means = rows.groupBy(*by).agg(F.avg(value).alias("_mu"))
+    drawn = attach(draw_weights(rows, key, reps, seed, by, bounded=bounded), means, by)
+    c = F.col(value) - F.col("_mu")
+    m = drawn.groupBy(*by, "rep").agg(
+        F.sum("w").alias("n"), F.max("_mu").alias("_mu"), F.sum(F.col("w") * c).alias("s"),
+        F.sum(F.col("w") * c * c).alias("q"))
+    return m.select(*by, "rep", "n", (F.col("_mu") + F.col("s") / F.col("n")).alias("mean"),
+                    F.when(F.col("n") > 1, F.try_divide(
+                        F.col("q") - F.col("s") ** 2 / F.col("n"), (F.col("n") - 1).cast("double"))).alias("var"))
+
+
 def group_replicates(df: DataFrame, key: str, value: str, group: str, reps: int, seed: int) -> DataFrame:
     """(rep, mean_diff, cohens_d): both groups drawn independently, weighted moments.
 
@@ -151,15 +218,7 @@ def group_replicates(df: DataFrame, key: str, value: str, group: str, reps: int,
     """
     rows = df.filter(F.col(group).isin(0, 1) & F.col(value).isNotNull()).select(
         key, F.col(group).cast("int").alias(group), F.col(value).cast("double").alias(value))
-    means = rows.groupBy(group).agg(F.avg(value).alias("_mu"))
-    drawn = draw_weights(rows, key, reps, seed, by=[group]).join(means, group)
-    c = F.col(value) - F.col("_mu")
-    m = drawn.groupBy("rep", group).agg(
-        F.sum("w").alias("n"), F.max("_mu").alias("_mu"), F.sum(F.col("w") * c).alias("s"),
-        F.sum(F.col("w") * c * c).alias("q"))
-    m = m.select("rep", group, "n", (F.col("_mu") + F.col("s") / F.col("n")).alias("mean"),
-                 F.when(F.col("n") > 1, F.try_divide(
-                     F.col("q") - F.col("s") ** 2 / F.col("n"), (F.col("n") - 1).cast("double"))).alias("var"))
+    m = drawn_moments(rows, key, value, reps, seed, [group])
     side = lambda g, c: F.max(F.when(F.col(group) == g, F.col(c)))
     wide = m.groupBy("rep").agg(*[side(g, c).alias(f"{c}{g}") for g in (0, 1) for c in ("n", "mean", "var")])
     return wide.select(
@@ -190,8 +249,7 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, *, reps: int = 10_000, s
                    bounded: bool = False) -> DataFrame:
     """Interval of a mean, for instance of the per-fold gains (``bounded``)."""
     df = reuse(df.select(key, value))
-    drawn = draw_weights(df, key, reps, seed, bounded=bounded)
-    boot = drawn.groupBy("rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
+    boot = drawn_moments(df, key, value, reps, seed, bounded=bounded)
     return attach(df.agg(F.avg(value).alias("point")), interval(boot, [], "mean"), [])
 
 
@@ -199,18 +257,21 @@ def label_permutations(df: DataFrame, key: str, value: str, label: str, *, reps:
                        seed: int = 42) -> DataFrame:
     """(rep, stat): difference of group means under permuted labels, group sizes kept.
 
-    A permutation is the order of (hash, key); its first n1 rows become group 1.
+    A permutation is the order of (draw, position of the key); its first n1 rows become group 1.
+    Rows without value or label take no part; with one class only there is no statistic.
     """
-    rows = df.select(key, F.col(value).cast("double").alias("_v"))
-    sizes = df.agg(F.sum((F.col(label) == 1).cast("long")).alias("_n1"), F.count(F.lit(1)).alias("_n"),
-                   F.sum(F.col(value).cast("double")).alias("_all"))
-    shuffled = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    shuffled = shuffled.withColumn("_h", hash_number(seed, F.col("rep"), F.col(key)))
-    placed = attach(row_index(shuffled, ["rep"], ["_h", key], "_pos").drop("n"), sizes, [])
+    rows = df.select(key, F.col(value).cast("double").alias("_v"), F.col(label).alias("_l")).dropna(subset=["_v", "_l"])
+    index = K.build(rows, key, ["_v", "_l"])
+    if index is not None:
+        return K.run(rows, index, range(1, reps + 1), K.label_shuffle(seed, "_v", "_l"), "stat double").filter(F.col("stat").isNotNull())
+    sizes = rows.agg(F.sum((F.col("_l") == 1).cast("long")).alias("_n1"), F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_all"))
+    placed = row_index(rows, [], [key], "_i").drop("n").select("_i", "_v", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    shuffled = placed.withColumn("_h", slot_draw(_number(seed, []), F.col("_i")))
+    placed = attach(row_index(shuffled, ["rep"], ["_h", "_i"], "_pos").drop("n"), sizes, [])
     g = placed.filter(F.col("_pos") < F.col("_n1")).groupBy("rep").agg(
         F.sum("_v").alias("_s1"), F.max("_n1").alias("_n1"), F.max("_n").alias("_n"), F.max("_all").alias("_all"))
-    diff = F.col("_s1") / F.col("_n1") - (F.col("_all") - F.col("_s1")) / (F.col("_n") - F.col("_n1"))
-    return g.select("rep", diff.alias("stat"))
+    diff = F.col("_s1") / F.col("_n1") - F.try_divide(F.col("_all") - F.col("_s1"), (F.col("_n") - F.col("_n1")).cast("double"))
+    return g.select("rep", diff.alias("stat")).filter(F.col("stat").isNotNull())
 
 
 def null_summary(null: DataFrame, observed: DataFrame, stat: str, *, alternative: str = "two-sided") -> DataFrame:
@@ -229,26 +290,76 @@ def null_summary(null: DataFrame, observed: DataFrame, stat: str, *, alternative
         ((b + 1) / (n + 1)).alias("p_plus_one"))
 
 
-def signature_permutations(loo: DataFrame, consensus: DataFrame, entity: str, context: str, *, reps: int,
+#: Numbers of a group's vectors up to which one task holds them, and replicates that share a copy of them.
+VECTOR_CELLS, REPS_PER_TASK = 4_000_000, 500
+
+
+def _dealt(rows: DataFrame, group: Sequence[str], key: str, reps: int, seed: int, own: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups small enough for a kernel, once for each REPS_PER_TASK replicates, and the rows of larger groups."""
+    group = list(group)
+    sized = attach(rows, rows.groupBy(*group).agg((F.count(F.lit(1)) * F.max(F.size(own))).alias("_cells")), group)
+    small = sized.filter(F.col("_cells") <= VECTOR_CELLS).drop("_cells")
+    tag = F.concat_ws(":", *[F.col(g).cast("string") for g in group])
+    small = small.select("*", tag.alias("_tag"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(K.key_order(rows, key))]).alias("_order"),
+                         F.explode(F.sequence(F.lit(0), F.lit(-(-reps // REPS_PER_TASK) - 1))).alias("_chunk"))
+    return small, sized.filter(F.col("_cells") > VECTOR_CELLS).drop("_cells")
+
+
+def _chunk(rows: pd.DataFrame, reps: int, seed: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Rows in key order, replicate ids of the rows' chunk and their numbers."""
+    rows = rows.iloc[sorted(range(len(rows)), key=[tuple(o.values()) for o in rows["_order"]].__getitem__)]
+    first = int(rows["_chunk"].iloc[0]) * REPS_PER_TASK
+    ids = np.arange(first + 1, min(reps, first + REPS_PER_TASK) + 1)
+    tag = rows["_tag"].iloc[0]
+    return rows, ids, np.array([replicate_number(*[seed, *([tag] if tag else [])], r) for r in ids], np.uint64)
+
+
+def signature_permutations(loo: DataFrame, consensus: DataFrame, entity: str, context: str, *, reps: int = 1000,
                            seed: int, min_n: int = 20) -> DataFrame:
     """Per replicate and fold: hold-out vectors shuffled across entities, train side fixed.
 
     ``loo``: entity, context, train_di, train_ts; ``consensus``: entity, context,
-    ``vec`` (held-out vector) and ``train_mean``. Only positions are permuted and
-    exploded per replicate; each vector is shipped once per replicate it serves.
-    Returns rep, context, raw_spearman, ts_spearman.
+    ``vec`` (held-out vector) and ``train_mean``. A fold whose vectors fit a task is shipped
+    once for each REPS_PER_TASK replicates, and they gather from its cosines; in larger folds
+    positions are permuted by a relational plan and each vector is shipped once per replicate.
+    Both make the same draws. Returns rep, context, raw_spearman, ts_spearman.
     """
-    scores = loo.select(entity, context, "train_di", "train_ts").join(
-        consensus.select(entity, context), [entity, context])
-    scores = reuse(row_index(scores, [context], [entity], "_pos").filter(F.col("n") >= min_n).drop("n"))
-    ids = scores.select(entity, context, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    ids = ids.withColumn("_h", hash_number(seed, F.col(context), F.col("rep"), F.col(entity)))
-    perm = row_index(ids, [context, "rep"], ["_h", entity], "_pos").drop("n", "_h")
-    donor = scores.select(entity, context, "_pos").join(consensus, [entity, context]).select(
+    scores = loo.select(entity, context, "train_di", "train_ts")
+    rows = join_groups(scores, consensus.select(entity, context, "vec", "train_mean"), [entity, context])
+    sizes = rows.groupBy(context).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_n)
+    rows = reuse(join_groups(rows, sizes.select(context), [context]))
+    small, large = _dealt(rows, [context], entity, reps, seed, "vec", "train_mean")
+    out = T.StructType([T.StructField("rep", T.LongType()), loo.schema[context], T.StructField("raw_spearman", T.DoubleType()),
+                        T.StructField("ts_spearman", T.DoubleType())])
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        group, ids, numbers = _chunk(group, reps, seed)
+        cos = K.shuffled_cosines(np.stack(group["train_mean"].to_numpy()), np.stack(group["vec"].to_numpy()), numbers, zero=0.0, eps=0.0).round(12)
+        found = {"rep": ids, context: [group[context].iloc[0]] * len(ids)}
+        for name, column in (("raw_spearman", "train_di"), ("ts_spearman", "train_ts")):
+            score = group[column].to_numpy(np.float64).round(12)
+            ok = ~np.isnan(score)
+            found[name] = K.row_correlations(K.midranks(score[None, ok]), K.midranks(cos[:, ok]))
+        return pd.DataFrame(found)[out.fieldNames()]
+
+    done = small.groupBy(context, "_chunk").applyInPandas(work, out)
+    if large.isEmpty():
+        return done
+    return done.unionByName(_permuted_by_joins(large, entity, context, reps, seed))
+
+
+def _permuted_by_joins(rows: DataFrame, entity: str, context: str, reps: int, seed: int) -> DataFrame:
+    """The same for folds of any size: only positions are exploded per replicate."""
+    scores = reuse(row_index(rows.select(entity, context, "train_di", "train_ts"), [context], [entity], "_pos").drop("n"))
+    ids = scores.select(entity, context, F.col("_pos").alias("_slot"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    ids = ids.withColumn("_h", slot_draw(_number(seed, [context]), F.col("_slot")))
+    perm = row_index(ids, [context, "rep"], ["_h", "_slot"], "_pos").drop("n", "_h", "_slot")
+    vectors = rows.select(entity, context, "vec", "train_mean")
+    donor = join_groups(scores.select(entity, context, "_pos"), vectors, [entity, context]).select(
         context, "_pos", F.col("vec").alias("_s"), V.norm("vec").alias("_sn"))
-    own = scores.select(entity, context, "train_di", "train_ts").join(consensus, [entity, context]).select(
+    own = join_groups(scores.drop("_pos"), vectors, [entity, context]).select(
         entity, context, "train_di", "train_ts", F.col("train_mean").alias("_m"), V.norm("train_mean").alias("_mn"))
-    j = perm.join(donor, [context, "_pos"]).join(own, [entity, context])
+    j = join_groups(join_groups(perm, donor, [context, "_pos"]), own, [entity, context])
     cos = V.cosine(V.dot("_s", "_m"), F.col("_sn"), F.col("_mn"))
     scored = reuse(j.select("rep", context, F.round("train_di", 12).alias("raw"),
                             F.round("train_ts", 12).alias("ts"), F.round(cos, 12).alias("cos")))
@@ -264,13 +375,30 @@ def permutation_wins(folds: DataFrame) -> DataFrame:
     return folds.groupBy("rep").agg(F.sum((gain > 0).cast("long")).alias("wins"), F.avg(gain).alias("mean_delta"))
 
 
-def random_pair_null(df: DataFrame, key: str, a: str, b: str, *, reps: int, seed: int) -> DataFrame:
-    """1 - |cos| between vector ``a`` of a row and vector ``b`` of a randomly matched row."""
-    rows = row_index(df.select(key, a, b), [], [key], "_pos").drop("n")
-    ids = rows.select(key, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    ids = ids.withColumn("_h", hash_number(seed, F.col("rep"), F.col(key)))
-    perm = row_index(ids, ["rep"], ["_h", key], "_pos").drop("n", "_h")
+def random_pair_null(df: DataFrame, key: str, a: str, b: str, *, reps: int = 1000, seed: int) -> DataFrame:
+    """1 - |cos| between vector ``a`` of a row and vector ``b`` of a randomly matched row.
+
+    (rep, key, instability); NULL where a vector is zero. As above, tables that fit a task are
+    shipped once for each REPS_PER_TASK replicates, larger ones once per replicate.
+    """
+    whole = df.select(key, a, b).dropna(subset=[a, b])
+    small, large = _dealt(whole, [], key, reps, seed, a, b)
+    out = T.StructType([T.StructField("rep", T.LongType()), df.schema[key], T.StructField("instability", T.DoubleType())])
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        group, ids, numbers = _chunk(group, reps, seed)
+        cos = K.shuffled_cosines(np.stack(group[a].to_numpy()), np.stack(group[b].to_numpy()), numbers, zero=np.nan, eps=1e-12)
+        return pd.DataFrame({"rep": np.repeat(ids, len(group)), key: np.tile(group[key].to_numpy(), len(ids)),
+                             "instability": (1.0 - np.abs(cos)).ravel()})
+
+    done = small.groupBy("_chunk").applyInPandas(work, out).withColumn("instability", F.nanvl("instability", F.lit(None).cast("double")))
+    if large.isEmpty():
+        return done
+    rows = reuse(row_index(large, [], [key], "_pos").drop("n"))
+    ids = rows.select(key, F.col("_pos").alias("_slot"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    ids = ids.withColumn("_h", slot_draw(_number(seed, []), F.col("_slot")))
+    perm = row_index(ids, ["rep"], ["_h", "_slot"], "_pos").drop("n", "_h", "_slot")
     j = perm.join(rows.select("_pos", F.col(b).alias("_b")), "_pos").join(
         rows.select(key, F.col(a).alias("_a")), key)
     cos = V.cosine(V.dot("_a", "_b"), V.norm("_a"), V.norm("_b"), zero_vector="null", eps=1e-12)
-    return j.select("rep", key, (1.0 - F.abs(cos)).alias("instability"))
+    return done.unionByName(j.select("rep", key, (1.0 - F.abs(cos)).alias("instability")))

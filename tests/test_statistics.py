@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigweave.functions import pvalues
 from sigweave.operators import classify, groups, ladder, matching, rankstats, resample
+from sigweave.operators import replicates as K
 
 
 def frame(spark, **cols):
@@ -168,3 +169,50 @@ def test_set_overlap_sample(spark):
     for r in rows:
         a, b = set(range(r["entity_a"] % 4 + 1)), set(range(r["entity_b"] % 4 + 1))
         assert r["jaccard"] == pytest.approx(len(a & b) / len(a | b))
+
+
+def test_size_matching_counts_what_it_leaves_out(spark):
+    rng = np.random.default_rng(7)
+    size = np.r_[rng.normal(0, 1, 200), rng.normal(1, 1, 100)]
+    g = np.r_[np.zeros(200), np.ones(100)].astype(int)
+    df = frame(spark, k=np.arange(300), v=size * 2 + rng.normal(0, 0.1, 300), g=g, size=size)
+    r = groups.size_matched_effect(df, "k", "v", "g", "size", 10).first()
+    assert r["n1"] == r["n2"] and r["n1"] + r["unmatched1"] == 100 and r["n2"] + r["unmatched2"] == 200
+    assert abs(r["cohens_d"]) < 0.35 < groups.cohens_d(df, [], "v", "g").first()["cohens_d"]
+    gap = df.withColumn("size", F.when(F.col("k") % 4 > 0, F.col("size")))
+    report = groups.match_report(groups.quantile_group(gap, [], "size", 5), ["bin"], "g").collect()
+    assert sum(x["n1"] for x in report) == 100 and None in {x["bin"] for x in report}
+    kept = groups.matched_rows(gap.withColumn("s", F.when(F.col("k") % 4 > 0, 1)), ["s"], "g", "k").groupBy("s", "g").count().collect()
+    assert {(x["s"], x["g"]) for x in kept} == {(None, 0), (None, 1), (1, 0), (1, 1)}
+
+
+def test_rank_correlations_with_and_without_gaps(spark):
+    rng = np.random.default_rng(8)
+    data = {c: rng.integers(0, 20, 120).astype(float) for c in "abcd"}
+    data["b"][::7] = np.nan
+    df = frame(spark, k=np.arange(120), **data)
+    got = {(r["metric"], r["outcome"]): (r["n"], r["rho"]) for r in rankstats.rank_correlations(df, "k", ["a", "b"], ["c", "d"]).collect()}
+    assert len(got) == 4
+    for (m, o), (n, rho) in got.items():
+        ok = ~np.isnan(data[m])
+        x, y = (K.midranks(data[c][ok][None])[0] for c in (m, o))
+        assert n == ok.sum() and rho == pytest.approx(np.corrcoef(x, y)[0, 1])
+
+
+@pytest.mark.parametrize("piece", [None, 50])
+def test_holm_over_a_family_of_any_size(spark, monkeypatch, piece):
+    if piece:
+        monkeypatch.setattr(ladder, "PIECE_ROWS", piece)
+    rng = np.random.default_rng(9)
+    rows = [(f, i, None if i == 3 else float(np.round(rng.random() ** 4, 3))) for f in ("a", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "f string, test long, p double")
+    for f, part in (("a", rows[:400]), (None, rows[400:])):
+        order = sorted((p, i) for _, i, p in part if p is not None)
+        m, best, want = len(order), 0.0, {3: None}
+        for k, (p, i) in enumerate(order):
+            best = max(best, p * (m - k))
+            want[i] = min(1.0, best)
+        got = {r["test"]: r["p_adjusted"] for r in rankstats.holm(df, ["f"], "p", "test").filter(F.col("f").eqNullSafe(f)).collect()}
+        assert got == {i: v if v is None else pytest.approx(v) for i, v in want.items()}
+    plain = rankstats.holm(df, ["f"], "p", "test", bonferroni=True).filter("f = 'a' AND test = 5").first()
+    assert plain["p_adjusted"] == pytest.approx(min(1.0, plain["p"] * 399))
