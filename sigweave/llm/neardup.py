@@ -223,20 +223,26 @@ def _meetings(rows: DataFrame) -> DataFrame:
 MEETING = ["_node", "_x", "_y"]
 
 
-def unsettled_members(members: DataFrame, agreement: int) -> DataFrame:
-    """Members of a meeting with a partner there that is similar by signature, lies in another
-    component, and shares no node of an earlier tree with it (where the two have met)."""
+def unsettled_members(members: DataFrame, agreement: int, percent: int) -> DataFrame:
+    """Members of a meeting with a partner there of a fitting size that is similar by signature, lies in another
+    component, and shares no node of an earlier tree with it (where the two have met).
+
+    Members come in the order of their sizes, so each looks only at the next ones, until the
+    size no longer fits.
+    """
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sig, comp, side = np.stack(group["_sig"].to_numpy()), group["_component"].to_numpy(), group["_side"].to_numpy()
+        group = group.sort_values("_size", kind="stable")
+        sig, comp, side, size = np.stack(group["_sig"].to_numpy()), group["_component"].to_numpy(), group["_side"].to_numpy(), group["_size"].to_numpy()
         earlier = np.stack(group["_earlier"].to_numpy())[:, :int(group["_tree"].iloc[0])]
+        end = np.searchsorted(size, size * 100 // percent, side="right")
         open_ = np.zeros(len(group), bool)
         for i in range(len(group) - 1):
-            rest = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
+            rest = np.flatnonzero(comp[i + 1:end[i]] != comp[i]) + i + 1
             if side[i] != 2:
                 rest = rest[side[rest] != side[i]]
-            rest = rest[(sig[rest] == sig[i]).sum(1) >= agreement]
             if earlier.shape[1]:
                 rest = rest[~((earlier[rest] == earlier[i]) & (earlier[i] != 0)).any(1)]
+            rest = rest[(sig[rest] == sig[i]).sum(1) >= agreement]
             if len(rest):
                 open_[i] = True
                 open_[rest] = True
@@ -309,7 +315,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     agreement = least_agreement(percent)
     prints = settle(fingerprints(docs, key, text, width))
     known = prints.filter(F.col("_set").isNotNull() & F.col("_id").isNotNull())
-    sets = settle(known.groupBy("_set").agg(F.min("_id").alias("_id"), F.any_value("_sig").alias("_sig")))
+    sets = settle(known.groupBy("_set").agg(F.min("_id").alias("_id"), F.any_value("_sig").alias("_sig"), F.any_value("n_shingles").alias("_size")))
     every = nodes(sets)
     stars = every.filter("_id <> _leader").select(F.least("_leader", "_id").alias("a"), F.greatest("_leader", "_id").alias("b")).distinct()
     for c in ("a", "b"):
@@ -320,11 +326,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     mine = every.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_tree", "_node"))).alias("_m"))  # at most one node per tree
     earlier = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(0).cast("long")))
-    facts = settle(placed.join(mine, "_id").join(sets.select("_id", "_sig"), "_id").select("_id", "_component", "_sig", earlier.alias("_earlier")))
+    facts = settle(placed.join(mine, "_id").join(sets.select("_id", "_sig", "_size"), "_id").select(
+        "_id", "_component", "_sig", "_size", earlier.alias("_earlier")))
     rows = every.drop("_leader").join(facts.select("_id", "_component"), "_id")
     mixed = rows.groupBy("_node").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).filter("_lo <> _hi")
-    rows = rows.join(mixed.select("_node"), "_node", "left_semi").join(facts.select("_id", "_sig", "_earlier"), "_id")
-    members = settle(unsettled_members(_meetings(rows), agreement))
+    rows = rows.join(mixed.select("_node"), "_node", "left_semi").join(facts.select("_id", "_sig", "_size", "_earlier"), "_id")
+    members = settle(unsettled_members(_meetings(rows), agreement, percent))
     more = exact_links(members.join(full_sets(members.select("_id"), docs, key, text, width), "_id"), percent)
     links = links.unionByName(more)
     final = settle(labelled(sets.select("_id"), links))
