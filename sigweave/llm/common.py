@@ -34,6 +34,13 @@ def whole_text(text: Column | str = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def text_last(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     """The columns ``keep`` and, last, the whole text under a name that none of them has."""
     name = "_text"
@@ -44,7 +51,7 @@ def text_last(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
               rows: int = TEXT_BATCH_ROWS) -> DataFrame:
-    """mapInArrow over batches of at most ``rows`` rows, and of bounded text size within them."""
+    """mapInArrow over batches of at most ``rows`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

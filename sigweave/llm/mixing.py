@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, settle, whole_text
+from .common import WORD, broadcast_if_small, free_name, settle, whole_text
 
 #: Draws are 31-bit numbers; draw k of a document is (first * MULTIPLIERS[k] + k) mod 2**31.
 #: Fixed odd multipliers: 2 * k-th multiple of the golden ratio's 31 bits, plus 1.
@@ -112,10 +112,16 @@ def mix_counts(docs: DataFrame, *, key: str = "doc_id", source: str = "source",
 
 def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text",
         weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """The mix itself: every row of ``docs`` as many times as it is taken, all columns kept."""
+    """The mix itself: every row of ``docs`` as many times as it is taken, all columns kept.
+
+    Null text counts as empty: such rows are drawn by their source's rate and add no words;
+    sources without words are left out. Null sources form one source, repeated rows share a
+    draw, an empty table gives an empty result.
+    """
     _, chosen = rates(docs, key=key, source=source, text=text, weights=weights, share=share, most=most, seed=seed)
-    own = broadcast_if_small(chosen.select(F.struct("_s", "rate", "draw").alias("_mix_rate")))
-    joined = docs.join(own, docs[source].eqNullSafe(F.col("_mix_rate._s")))
-    n = copies(F.col("_mix_rate.rate"), F.col("_mix_rate.draw"), docs[key], seed).cast("int")
-    again = joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), n)))
+    rate, copy = free_name(docs, "_mix_rate"), free_name(docs, "_mix_copy")
+    own = broadcast_if_small(chosen.select(F.struct("_s", "rate", "draw").alias(rate)))
+    joined = docs.join(own, docs[source].eqNullSafe(F.col(f"{rate}._s")))
+    n = copies(F.col(f"{rate}.rate"), F.col(f"{rate}.draw"), docs[key], seed).cast("int")
+    again = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), n)))
     return again.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, broadcast_if_small, settle, text_last, whole_text
+from .common import arrow_map, broadcast_if_small, free_name, settle, text_last, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -284,13 +284,15 @@ def mask(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rounds: in
          pattern_threshold: float = 0.5, instance_threshold: float = 0.6) -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets, e.g. [EMAIL].
 
-    Overlapping spans are replaced together, under the name of the first. Null texts stay null.
+    Overlapping spans are replaced together, under the name of the first. Null texts stay null,
+    repeated rows are masked each, an empty table gives an empty result, and all other columns stay.
     """
     _, more = _searched(docs, key, text, rounds, min_instances, pattern_threshold, instance_threshold)
-    own = broadcast_if_small(more.select(F.struct("_digest", "_more").alias("_pii")))
-    joined = docs.join(own, F.sha2(whole_text(text), 256) == F.col("_pii._digest"), "left")
+    found = free_name(docs, "_pii")
+    own = broadcast_if_small(more.select(F.struct("_digest", "_more").alias(found)))
+    joined = docs.join(own, F.sha2(whole_text(text), 256) == F.col(f"{found}._digest"), "left")
     columns = docs.columns
-    frame = joined.select(*[F.col(f"`{c}`") for c in columns], F.col("_pii._more").alias("_pii_more"))
+    frame = joined.select(*[F.col(f"`{c}`") for c in columns], F.col(f"{found}._more").alias(f"{found}_more"))
     at = columns.index(text)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:len(columns)]]
 

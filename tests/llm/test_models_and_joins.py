@@ -340,3 +340,19 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
         assert not plain_spans(masked[r["doc_id"]] or "")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_stages_take_clashing_names_and_repeated_rows(spark):
+    rnd = random.Random(4)
+    text = " ".join(rnd.choice("abcdefgh") + str(i) for i in range(60))
+    rows = [(1, text), (1, text), (2, text + " more"), (3, "call +49 30 1234567 now"), (3, "call +49 30 1234567 now"), (None, text), (None, text), (None, None), (4, None), (5, "")]
+    names = "doc_id long, text string, source string, _pii string, _pii_more string, _mix_rate string, _mix_copy string, _Pii_more2 string"
+    docs = spark.createDataFrame([(i, t, None if i == 2 else "s", *"abcde") for i, t in rows], names)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(0, ""), (0, text), (1, text), (3, rows[3][1]), (4, ""), (5, "")])
+    masked = pii.mask(docs)
+    assert masked.columns == docs.columns and masked.count() == len(rows)
+    assert {r["text"] for r in masked.filter("doc_id = 3").collect()} == {"call [PHONE] now"}
+    mixed = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert mixed.columns == docs.columns and {r["text"] for r in mixed.collect()} <= {t for _, t in rows}
