@@ -2,12 +2,12 @@
 
 Quality classifier, near-duplicates, personal data, mixing, byte-level BPE. Every stage works
 on all that its predecessor kept; all but the last return the columns of ``documents``.
-Stage files go to a new folder under the session's ``spark.checkpoint.dir``.
+Stage files go to a new folder under the session's ``spark.checkpoint.dir`` and stay there for
+whoever wants to look at a stage; delete the folder when the result has been used.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigweave.llm import bpe, mixing, neardup, pii, quality
-from sigweave.llm.common import table
+from sigweave.llm.common import settle, table
+from sigweave.operators.common import checkpoint_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +28,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of every group that shares 80 % of its five-word shingles.
 
-    Documents with a null id or without words belong to no group and stay.
+    Rows that repeat an id are one document: one of them stays. Documents without words belong
+    to no group and stay. Rows without an id belong to no group either; of those with the same text one stays.
     """
     found = neardup.near_duplicates(docs, width=5, percent=80)
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = settle(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    known = kept.filter(F.col("doc_id").isNotNull())
+    once = known.join(again, "doc_id", "left_anti").select(*docs.columns)
+    repeated = known.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    unnamed = kept.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
+    return once.unionByName(repeated).unionByName(unnamed)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +70,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sigweave-pipeline-")
-    folder = f"{top.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
