@@ -205,7 +205,7 @@ SELECT count(*) AS n, round(avg(cosine), 6) + 0 AS mean, round(stddev_pop(cosine
  round(avg((cosine < 0.5)::INT), 6) AS frac_below_05, round(avg((cosine < 0.3)::INT), 6) AS frac_below_03,
  quantile_cont(cosine, 0.5) > 0.7 AS passes_median, avg((cosine < 0.5)::INT) < 0.2 AS passes_fraction FROM cos""")
 def dose_overall(spark, sf):
-    return pairstats.level_overall(_dose_cosines(spark, sf))
+    return pairstats.level_overall(A.sales(spark, sf, extra=("dose",)), ["entity", "context"], "dose")
 
 
 @query("dose_ratio_bins", A.ctes(A.SALES_DOSE, A.UNIT, COS) + """
@@ -216,7 +216,7 @@ SELECT CASE WHEN ratio >= 1 AND ratio < 2 THEN '1-2x' WHEN ratio >= 2 AND ratio
  round(quantile_cont(cosine, 0.5), 6) + 0 AS median, round(avg((cosine < 0.5)::INT), 6) AS frac_below_05,
  round(avg((cosine > 0.9)::INT), 6) AS frac_above_09 FROM cos GROUP BY 1""")
 def dose_ratio_bins(spark, sf):
-    return pairstats.level_strata(_dose_cosines(spark, sf), DOSE_RATIO_EDGES, DOSE_RATIO_LABELS)
+    return pairstats.level_strata(A.sales(spark, sf, extra=("dose",)), ["entity", "context"], "dose", DOSE_RATIO_EDGES, DOSE_RATIO_LABELS)
 
 
 @query("worst_entities", A.ctes(A.SALES_DOSE, A.UNIT, COS) + """

@@ -226,12 +226,20 @@ SELECT h.entity AS high_entity, l.entity AS low_entity, round(abs(h.raw - l.raw)
 FROM gt h JOIN gt l ON h.gate = 'high' AND l.gate = 'low' AND round(abs(h.raw - l.raw), 9) <= 0.002
 ORDER BY round(h.price - l.price, 6) DESC, h.entity, l.entity LIMIT 200""")
 def band_join_pairs(spark, sf):
+    """The 200 pairs furthest apart in price, found without the other pairs."""
     g = _gated(spark, sf)
-    cols = ["entity", "raw", "price"]
-    pairs = matching.band_join(g.filter("gate = 'high'"), g.filter("gate = 'low'"), "raw", 0.002, cols, salts=2)
-    out = pairs.select("high_entity", "low_entity", "raw_gap",
-                       F.round(F.col("high_price") - F.col("low_price"), 6).alias("price_gap"))
-    return out.orderBy(F.desc("price_gap"), "high_entity", "low_entity").limit(200)
+    top = matching.top_band_pairs(g.filter("gate = 'high'"), g.filter("gate = 'low'"), "raw", 0.002, ["entity"], "price", 200, salts=2)
+    return top.select("high_entity", "low_entity", "raw_gap", "price_gap")
+
+
+@query("band_join_table", GATES + """
+SELECT h.entity AS high_entity, l.entity AS low_entity, round(abs(h.raw - l.raw), 6) AS raw_gap, round(h.price - l.price, 6) AS price_gap
+FROM gt h JOIN gt l ON h.gate = 'high' AND l.gate = 'low' AND round(abs(h.raw - l.raw), 9) <= 0.0005""")
+def band_join_table(spark, sf):
+    """All pairs within a narrower band."""
+    g = _gated(spark, sf)
+    pairs = matching.band_join(g.filter("gate = 'high'"), g.filter("gate = 'low'"), "raw", 0.0005, ["entity", "raw", "price"], salts=2)
+    return pairs.select("high_entity", "low_entity", "raw_gap", F.round(F.col("high_price") - F.col("low_price"), 6).alias("price_gap"))
 
 
 @query("band_join_count", GATES + """

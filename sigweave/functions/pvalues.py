@@ -1,11 +1,14 @@
-"""p-values as Arrow UDFs. They run on aggregated rows only, never on the scoring path."""
+"""p-values of aggregated rows: binomial and Fisher tails as native expressions, normal and
+Student tails as Arrow UDFs. None runs on the scoring path."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -117,11 +120,100 @@ def student_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _series(student_two_sided, t, df)
 
 
-@F.pandas_udf(DoubleType())
-def binomial_upper_p(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-    return _series(lambda a, b, c: binomial_upper(int(a), int(b), c), k, n, p)
+# Exact tails as native expressions: probabilities from saddle-point terms, sums by the ratio of
+# neighbouring terms, outwards from the largest one until what is left is below 1e-15 of the sum.
 
+#: Standard deviations, and counts on top, after which the remaining terms are left out.
+REACH_SD, REACH = 12.0, 40
 
-@F.pandas_udf(DoubleType())
-def fisher_two_sided_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return _series(lambda w, x, y, z: fisher_two_sided(int(w), int(x), int(y), int(z)), a, b, c, d)
+
+def _stirling_error(x: Column) -> Column:
+    """ln x! less sqrt(2 pi x) (x / e)^x in logarithms, for whole x >= 0."""
+    known = F.array(*[F.lit(_stirling_rest(float(i)) if i else 0.0) for i in range(16)])
+    small = F.get(known, F.least(x, F.lit(15)).cast("int"))
+    r = 1.0 / (x * x)
+    series = (1.0 / 12 - r * (1.0 / 360 - r * (1.0 / 1260 - r / 1680))) / x
+    # ln x! = ln gamma(x) + ln x: both sides of the Stirling form move by ln x, so the rests agree.
+    return F.when(x <= 15, small).otherwise(series)
+
+
+def _deviance(x: Column, mean: Column) -> Column:
+    """x ln(x / mean) + mean - x; ``mean`` itself at x = 0."""
+    d = (mean - x) / F.when(x > 0, x)
+    return F.when(x > 0, x * (d - F.log1p(d))).otherwise(mean)
+
+
+def _binomial_term(k: Column, n: Column, p: Column) -> Column:
+    """P(X = k), 0 < p < 1 and 0 <= k <= n."""
+    rest = n - k
+    inner = F.exp(_stirling_error(n) - _stirling_error(k) - _stirling_error(rest) - _deviance(k, n * p) - _deviance(rest, n * (1.0 - p)))
+    scaled = inner * F.sqrt(n / (2.0 * math.pi * F.when((k > 0) & (rest > 0), k * rest)))
+    return F.when(k == 0, F.exp(n * F.log1p(-p))).when(rest == 0, F.exp(n * F.log(p))).otherwise(scaled)
+
+
+def _ratio_sum(steps: Column, ratio: Callable[[Column], Column]) -> Column:
+    """1 + r(1) + r(1) r(2) + ... over ``steps`` terms."""
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+
+    def add(acc: Column, i: Column) -> Column:
+        t = acc["t"] * ratio(i)
+        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+
+    terms = F.when(steps > 0, F.sequence(F.lit(1).cast("long"), steps)).otherwise(F.array().cast("array<long>"))
+    return F.aggregate(terms, start, add, lambda acc: acc["s"])
+
+
+def binomial_upper_p(k: Column, n: Column, p: Column) -> Column:
+    """P(X >= k) for X ~ Bin(n, p), 0 < p < 1; NULL where an argument is."""
+    x, m = k.cast("double"), n.cast("double")
+    reach = F.ceil(REACH_SD * F.sqrt(m * p * (1.0 - p)) + REACH)
+    up = _binomial_term(x, m, p) * _ratio_sum(F.least(m - x, reach).cast("long"), lambda i: (m - x - i + 1) / (x + i) * p / (1.0 - p))
+    y = x - 1.0
+    down = _binomial_term(y, m, p) * _ratio_sum(F.least(y, reach).cast("long"), lambda i: (y - i + 1) / (m - y + i) * (1.0 - p) / p)
+    tail = F.when(x > m * p, up).otherwise(1.0 - down)
+    return F.when(k.isNull() | n.isNull() | p.isNull(), None).when(k <= 0, 1.0).when(k > n, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
+
+
+def fisher_two_sided_p(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Two-sided p of a 2 x 2 table: the tables with the same margins that are not likelier than this one.
+
+    Terms are taken relative to the likeliest table, outwards on both sides.
+    """
+    a, b, c, d = [x.cast("double") for x in (a, b, c, d)]
+    row, col, n = a + b, a + c, a + b + c + d
+    low, high = F.greatest(F.lit(0.0), row + col - n), F.least(row, col)
+    mode = F.greatest(low, F.least(high, F.floor((row + 1) * (col + 1) / (n + 2)).cast("double")))
+    share = row / F.greatest(n, F.lit(1.0))
+    reach = F.ceil(REACH_SD * 5 * F.sqrt(F.greatest(col * share * (1 - share), F.lit(1.0))) + REACH + 20) + F.abs(a - mode)
+
+    def next_term(x: Column) -> Column:
+        """Term at x + 1 over the term at x."""
+        return (row - x) * (col - x) / ((x + 1) * (n - row - col + x + 1))
+
+    def steps(count: Column) -> Column:
+        return F.when(count >= 1, F.sequence(F.lit(1).cast("long"), count.cast("long"))).otherwise(F.array().cast("array<long>"))
+
+    def step(t: Column, i: Column, upwards: bool) -> Column:
+        return t * next_term(mode + i - 1.0) if upwards else t / next_term(mode - i)
+
+    one = F.lit(1.0)
+    here = F.aggregate(steps(a - mode), F.aggregate(steps(mode - a), one, lambda t, i: step(t, i, False)), lambda t, i: step(t, i, True))
+    cut = F.struct((here * (1 + 1e-7)).alias("cut"))
+
+    def side(count: Column, upwards: bool, cut: Column) -> Column:
+        """Sum of a side's terms, and of those that are not above ``cut``."""
+        def add(acc: Column, i: Column) -> Column:
+            t = step(acc["t"], i, upwards)
+            return F.struct(t.alias("t"), (acc["s"] + t).alias("s"), (acc["low"] + F.when(t <= cut, t).otherwise(0.0)).alias("low"))
+
+        return F.aggregate(steps(F.least(count, reach)), F.struct(one.alias("t"), F.lit(0.0).alias("s"), F.lit(0.0).alias("low")), add)
+
+    def share_of(c: Column) -> Column:
+        sides = F.array(side(high - mode, True, c["cut"]), side(mode - low, False, c["cut"]))
+        start = F.struct(one.alias("s"), F.when(c["cut"] >= 1.0, 1.0).otherwise(0.0).alias("low"))
+        whole = F.aggregate(sides, start, lambda acc, x: F.struct((acc["s"] + x["s"]).alias("s"), (acc["low"] + x["low"]).alias("low")),
+                            lambda acc: acc["low"] / acc["s"])
+        return F.least(one, whole)
+
+    missing = a.isNull() | b.isNull() | c.isNull() | d.isNull()
+    return F.when(~missing, F.transform(F.array(cut), share_of)[0])  # the cut is worked out once

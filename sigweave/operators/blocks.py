@@ -172,25 +172,25 @@ def overlap_kernel(batch: pa.RecordBatch, m: Members):
     return np.arange(batch.num_rows), {"partial": pa.array(total), "pairs": pa.array(count)}
 
 
-def ordered_cosine_kernel(batch: pa.RecordBatch, m: Members):
-    """Cosine of every pair of different levels, lower level first; zero vectors give no pair."""
+def ordered_cosines(m: Members) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch row, lower level, higher level, cosine) of every pair of different levels, a bounded part at a time.
+
+    Zero vectors give no pair.
+    """
     u, n, level = m.matrix("u"), m.scalars("n"), m.scalars("level")
-    rows, lo, hi, cosines = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]
     fine = n > 0
-
-    def take(of: np.ndarray, first: np.ndarray, second: np.ndarray, inner: np.ndarray) -> None:
-        rows.append(of)
-        lo.append(np.minimum(first, second))
-        hi.append(np.maximum(first, second))
-        cosines.append(inner)
-
     for r, at, real in m.small():
         x, ok = u[at], real & fine[at]
         k, i, j = np.nonzero((level[at][:, :, None] < level[at][:, None, :]) & ok[:, :, None] & ok[:, None, :])
-        take(r[k], level[at[k, i]], level[at[k, j]], (x @ x.transpose(0, 2, 1))[k, i, j])
+        yield r[k], level[at[k, i]], level[at[k, j]], (x @ x.transpose(0, 2, 1))[k, i, j]
     for r, x, y in m.large():
         i, j = np.nonzero((level[x][:, None] != level[y][None, :]) & fine[x][:, None] & fine[y][None, :])
-        take(np.full(len(i), r), level[x][i], level[y][j], (u[x] @ u[y].T)[i, j])
-    cat = np.concatenate
-    return cat(rows), {"level_lo": pa.array(cat(lo)), "level_hi": pa.array(cat(hi)),
-                       "cosine": pa.array(cat(cosines))}
+        first, second = level[x][i], level[y][j]
+        yield np.full(len(i), r), np.minimum(first, second), np.maximum(first, second), (u[x] @ u[y].T)[i, j]
+
+
+def ordered_cosine_kernel(batch: pa.RecordBatch, m: Members):
+    """All of ``ordered_cosines`` as rows."""
+    parts = list(ordered_cosines(m))
+    rows, lo, hi, cosine = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64 if k == 0 else float) for k in range(4)]
+    return rows, {"level_lo": pa.array(lo), "level_hi": pa.array(hi), "cosine": pa.array(cosine)}

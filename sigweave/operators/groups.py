@@ -153,7 +153,7 @@ def odds_ratio(df: DataFrame, by: Sequence[str], in_set: Column, hit: Column) ->
                    F.try_divide(F.col("a").cast("double") * F.col("d"),
                                 F.col("b").cast("double") * F.col("c")))
     return g.withColumn("odds_ratio", ratio).withColumn(
-        "fisher_p", fisher_two_sided_p("a", "b", "c", "d"))
+        "fisher_p", fisher_two_sided_p(*[F.col(x) for x in "abcd"]))
 
 
 def detection_limit(df: DataFrame, k: str, sigma: str, score: str, *, power: float = 0.95) -> DataFrame:

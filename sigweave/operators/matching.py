@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import hash_number
@@ -47,6 +48,44 @@ def band_join(high: DataFrame, low: DataFrame, x: str, tolerance: float, columns
         F.col(f"{x}_gap") <= tolerance).drop("_cell", "_salt")
 
 
+def top_band_pairs(high: DataFrame, low: DataFrame, x: str, tolerance: float, columns: Sequence[str], order: str, n: int, *,
+                   digits: int = 6, salts: int = 1) -> DataFrame:
+    """The ``n`` pairs of ``band_join`` with the largest gap of ``order`` (high less low), without the other pairs.
+
+    The gap is rounded to ``digits`` (column ``<order>_gap``); ties go to the smaller first
+    column of the high side, then of the low side. Two rows of one cell are within the tolerance, so the
+    best few rows of every cell give n true pairs and with them a gap that the answer reaches. A
+    row then stays only if its gap to the best row of the other side in its own and the
+    neighbouring cells reaches that bound, and only what stays is joined.
+    """
+    first, slack = columns[0], 10.0 ** -digits
+    cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
+    sides = {}
+    for name, df in (("high", high), ("low", low)):
+        rows = df.filter(F.col(x).isNotNull() & F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double")))
+        sides[name] = reuse(rows.select(*dict.fromkeys([*columns, x, order])).withColumn("_cell", cell(x)))
+    h, lo = sides["high"], sides["low"]
+    few = math.isqrt(n - 1) + 1
+    best_h = Window.partitionBy("_cell").orderBy(F.desc(order), first)
+    best_l = Window.partitionBy("_cell").orderBy(order, first)
+    seed_h = h.withColumn("_r", F.row_number().over(best_h)).filter(F.col("_r") <= few).select("_cell", F.col(x).alias("_hx"), F.col(order).alias("_h"))
+    seed_l = lo.withColumn("_r", F.row_number().over(best_l)).filter(F.col("_r") <= few).select("_cell", F.col(x).alias("_lx"), F.col(order).alias("_l"))
+    seeds = seed_h.join(seed_l, "_cell").filter(F.abs(F.col("_hx") - F.col("_lx")) <= tolerance).select(F.round(F.col("_h") - F.col("_l"), digits).alias("_g"))
+    reached = seeds.orderBy(F.desc("_g")).limit(n).agg(F.count("_g").alias("n"), F.min("_g").alias("g")).first()
+    bound = reached["g"] - slack if reached["n"] == n else None
+    if bound is not None:
+        around = lambda df, stat: df.groupBy("_cell").agg(stat.alias("_s")).select(
+            F.explode(F.sequence(F.col("_cell") - 1, F.col("_cell") + 1)).alias("_cell"), "_s")
+        least = around(lo, F.min(order)).groupBy("_cell").agg(F.min("_s").alias("_s"))
+        most = around(h, F.max(order)).groupBy("_cell").agg(F.max("_s").alias("_s"))
+        h = h.join(least, "_cell").filter(F.col(order) - F.col("_s") >= bound).drop("_s")
+        lo = lo.join(most, "_cell").filter(F.col("_s") - F.col(order) >= bound).drop("_s")
+    pairs = band_join(h, lo, x, tolerance, list(dict.fromkeys([*columns, x, order])), salts=salts)
+    gap = f"{order}_gap"
+    pairs = pairs.withColumn(gap, F.round(F.col(f"high_{order}") - F.col(f"low_{order}"), digits))
+    return pairs.orderBy(F.desc(gap), f"high_{first}", f"low_{first}").limit(n)
+
+
 def with_fallback(df: DataFrame, first: DataFrame, second: DataFrame, on: Sequence[str], column: str) -> DataFrame:
     """Left lookup in ``first``, and in ``second`` where that gave nothing."""
     a = first.select(*on, F.col(column).alias("_a")).dropDuplicates(list(on))

@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,24 @@ def test_block_kernels_treat_uneven_groups_alike(spark):
     cosines = [sorted((r["entity"], r["level_lo"], r["level_hi"], round(r["cosine"], 12)) for r in pairstats.level_cosines(
         df, ["entity"], "context", block_size=b).collect()) for b in (4, 128)]
     assert cosines[0] == cosines[1]
+
+
+@pytest.mark.parametrize("block", [3, 128])
+def test_pair_distribution_equals_the_pairs(spark, block):
+    rows = [(f"e{n}", float(c + 1), [float((c * 7 + n) % 5) - 1, float(c % 3), float(n % 2)]) for n in (2, 3, 9, 14) for c in range(n)]
+    rows += [("same", float(c), [1.0, 1.0, 0.0]) for c in range(1, 8)] + [("zero", 1.0, [0.0] * 3), ("zero", 2.0, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "entity string, dose double, vec array<double>")
+    pairs = pairstats.level_cosines(df, ["entity"], "dose", block_size=block).toPandas()
+    pairs["cosine"] = pairs["cosine"].round(9)
+    pairs["bin"] = pd.cut(pairs["ratio"], [1, 2, 5, 100], right=False, labels=["a", "b", "c"]).astype(object)
+    probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p77": 0.77, "p100": 1.0}
+    for edges, names in (([], []), ([1, 2, 5, 100], ["a", "b", "c"])):
+        got = {r["bin"]: r for r in pairstats.level_distribution(df, ["entity"], "dose", probs, edges=edges, labels=names, block_size=block).collect()}
+        want = dict(list(pairs.groupby("bin"))) if names else {"unbinned": pairs}
+        assert got.keys() == want.keys()
+        for b, part in want.items():
+            c = part["cosine"]
+            assert got[b]["n"] == len(c) and got[b]["mean"] == pytest.approx(c.mean()) and got[b]["std"] == pytest.approx(c.std(ddof=0))
+            assert all(got[b][k] == pytest.approx(c.quantile(p)) for k, p in probs.items())
+            assert got[b]["frac_below_05"] == pytest.approx((c < 0.5).mean()) and got[b]["frac_above_09"] == pytest.approx((c > 0.9).mean())
+    assert pairstats.level_distribution(df.limit(0), ["entity"], "dose", probs).count() == 0

@@ -216,3 +216,37 @@ def test_holm_over_a_family_of_any_size(spark, monkeypatch, piece):
         assert got == {i: v if v is None else pytest.approx(v) for i, v in want.items()}
     plain = rankstats.holm(df, ["f"], "p", "test", bonferroni=True).filter("f = 'a' AND test = 5").first()
     assert plain["p_adjusted"] == pytest.approx(min(1.0, plain["p"] * 399))
+
+
+@pytest.mark.parametrize("n", [1, 7, 60, 10_000])
+def test_top_band_pairs_equal_the_sorted_join(spark, n):
+    rng = np.random.default_rng(10)
+    sides = [frame(spark, e=[f"{s}{i:03d}" for i in range(m)], x=np.round(rng.random(m), 3), y=rng.integers(0, 15, m) * 1.0)
+             for s, m in (("h", 90), ("l", 110))]
+    sides[0] = sides[0].unionByName(spark.createDataFrame([("h_null", None, 99.0), ("h_none", 0.5, None)], "e string, x double, y double"))
+    pairs = matching.band_join(*sides, "x", 0.05, ["e", "x", "y"]).dropna().withColumn("y_gap", F.col("high_y") - F.col("low_y"))
+    want = [(r["high_e"], r["low_e"], r["y_gap"]) for r in pairs.orderBy(F.desc("y_gap"), "high_e", "low_e").limit(n).collect()]
+    got = [(r["high_e"], r["low_e"], r["y_gap"]) for r in matching.top_band_pairs(*sides, "x", 0.05, ["e"], "y", n, salts=3).collect()]
+    assert got == want
+
+
+def test_native_tails_equal_exact_sums(spark):
+    cases = [(k, n, p) for n in (1, 2, 15, 16, 17, 60, 400) for p in (0.5, 0.2, 0.97) for k in range(-1, n + 2, max(1, n // 9))]
+    df = spark.createDataFrame([*cases, (None, 5, 0.5)], "k long, n long, p double")
+    for r in df.select("*", pvalues.binomial_upper_p(F.col("k"), F.col("n"), F.col("p")).alias("u")).collect():
+        if r["k"] is None:
+            assert r["u"] is None
+            continue
+        want = math.fsum(math.comb(r["n"], j) * r["p"] ** j * (1 - r["p"]) ** (r["n"] - j) for j in range(max(0, r["k"]), r["n"] + 1))
+        assert r["u"] == pytest.approx(min(1.0, want), rel=1e-9, abs=1e-15)
+    big = spark.createDataFrame([(500_900, 1_000_000, 0.5)], "k long, n long, p double")
+    assert big.select(pvalues.binomial_upper_p(F.col("k"), F.col("n"), F.col("p"))).first()[0] == pytest.approx(
+        pvalues.binomial_upper(500_900, 1_000_000, 0.5), rel=1e-9)
+    rng = np.random.default_rng(11)
+    tables = [tuple(int(x) for x in rng.integers(0, m, 4)) for m in (2, 6, 30, 200) for _ in range(12)] + [(0, 0, 0, 0), (9, 0, 0, 9), (0, 7, 5, 0)]
+    rows = spark.createDataFrame(tables, "a long, b long, c long, d long")
+    for r in rows.select("*", pvalues.fisher_two_sided_p(*[F.col(x) for x in "abcd"]).alias("u")).collect():
+        row, col, n = r["a"] + r["b"], r["a"] + r["c"], r["a"] + r["b"] + r["c"] + r["d"]
+        ways = {x: math.comb(col, x) * math.comb(n - col, row - x) for x in range(max(0, row + col - n), min(row, col) + 1)}
+        want = sum(w for w in ways.values() if w <= ways[r["a"]] * (1 + 1e-7)) / sum(ways.values())
+        assert r["u"] == pytest.approx(want, rel=1e-9)
