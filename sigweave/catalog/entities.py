@@ -300,9 +300,10 @@ def variance_masked_instability(spark, sf):
 
 
 @query("coding_vector_instability", """
-WITH act AS (SELECT r_name AS region, l_orderkey AS trial, ceil(l_quantity / 5)::BIGINT AS neuron, l_linenumber AS t,
+WITH every AS (SELECT r_name AS region, l_orderkey AS trial, ceil(l_quantity / 5)::BIGINT AS neuron, l_linenumber AS t,
   l_extendedprice AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-  JOIN region ON n_regionkey = r_regionkey WHERE l_linenumber >= 1 AND l_linenumber < 6),
+  JOIN region ON n_regionkey = r_regionkey),
+act AS (SELECT * FROM every WHERE t >= 1 AND t < 6),
 tr AS (SELECT DISTINCT region, trial, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS y, o_totalprice AS e
   FROM act JOIN orders ON trial = o_orderkey),
 ed AS (SELECT region, quantile_cont(e, 0.25) AS e1, quantile_cont(e, 0.5) AS e2, quantile_cont(e, 0.75) AS e3
@@ -316,7 +317,7 @@ nn AS (SELECT region, q, sqrt(sum(d * d)) AS n FROM d GROUP BY 1, 2 HAVING sqrt(
 u AS (SELECT d.region, d.q, neuron, d / n AS u FROM d JOIN nn ON d.region = nn.region AND d.q = nn.q),
 k AS (SELECT region, count(*) AS k FROM nn GROUP BY 1 HAVING count(*) >= 3),
 p AS (SELECT a.region, sum(a.u * b.u) AS s FROM u a JOIN u b ON a.region = b.region AND a.neuron = b.neuron AND a.q < b.q GROUP BY 1),
-c AS (SELECT region, count(DISTINCT neuron) AS nn FROM u GROUP BY 1)
+c AS (SELECT region, count(DISTINCT neuron) AS nn FROM every GROUP BY 1)
 SELECT k.region, c.nn AS n_neurons, k AS n_vectors, round(1 - 2 * s / (k * (k - 1)), 6) AS raw,
   round((1 - 2 * s / (k * (k - 1))) / sqrt(c.nn), 6) AS corrected FROM k JOIN p ON p.region = k.region JOIN c ON c.region = k.region""")
 def coding_vectors(spark, sf):

@@ -17,7 +17,8 @@ def coding_vector_instability(activity: DataFrame, trials: DataFrame, *, window:
     ``activity(region, trial, neuron, t, x)``, ``trials(region, trial, y)`` with the
     lowest two y values as the classes. Quartiles are those of ``evidence``, by default
     of |y - mean y|. All in long form: vectors are never collected, the pair sum follows from the per-neuron
-    sums of the unit vectors. ``corrected`` is raw / sqrt(neurons).
+    sums of the unit vectors. ``corrected`` is raw / sqrt(n_neurons), all neurons recorded in the
+    region, in the window and kept quartiles or not.
     """
     mean_y = trials.groupBy(region).agg(F.avg("y").alias("_my"), F.min("y").alias("_y0"))
     t = trials.join(mean_y, region).withColumn(
@@ -38,8 +39,8 @@ def coding_vector_instability(activity: DataFrame, trials: DataFrame, *, window:
     unit = diff.join(norms, [region, "q"]).withColumn("_u", F.col("_d") / F.col("_n"))
     sums = unit.groupBy(region, "neuron").agg(F.sum("_u").alias("_t"), F.sum(F.col("_u") ** 2).alias("_s"))
     vectors = norms.groupBy(region).agg(F.count(F.lit(1)).alias("n_vectors"))
-    g = sums.groupBy(region).agg(F.sum(F.col("_t") ** 2).alias("_t2"), F.sum("_s").alias("_s"),
-                                 F.count(F.lit(1)).alias("n_neurons")).join(vectors, region)
+    neurons = activity.select(region, "neuron").distinct().groupBy(region).agg(F.count("neuron").alias("n_neurons"))
+    g = sums.groupBy(region).agg(F.sum(F.col("_t") ** 2).alias("_t2"), F.sum("_s").alias("_s")).join(vectors, region).join(neurons, region)
     g = g.filter(F.col("n_vectors") >= min_vectors)
     k = F.col("n_vectors")
     raw = 1.0 - (F.col("_t2") - F.col("_s")) / (k * (k - 1))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.draws import drawn_positions, hash_number, mixed, replicate_number
+from .common import reuse
 
 #: Size up to which a table travels whole to every task (64 MB of numbers at most).
 INDEX_ROWS, INDEX_CELLS = 1_000_000, 8_000_000
@@ -94,9 +95,9 @@ class Index:
 def build(df: DataFrame, key: str, columns: Sequence[str], by: Sequence[str] = ()) -> Index | None:
     """The index of a table, or None beyond the size bounds. ``columns`` must be numbers."""
     by = list(by)
-    rows = df.select(*by, F.concat_ws(":", *[F.col(b).cast("string") for b in by]).alias("_tag"),
-                     *[o.alias(f"_o{i}") for i, o in enumerate(key_order(df, key))],
-                     *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
+    rows = reuse(df.select(*by, F.concat_ws(":", *[F.col(b).cast("string") for b in by]).alias("_tag"),
+                           *[o.alias(f"_o{i}") for i, o in enumerate(key_order(df, key))],
+                           *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]))
     n = rows.count()
     if n > INDEX_ROWS or n * (len(columns) + 2) > INDEX_CELLS:
         return None

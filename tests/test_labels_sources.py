@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +156,17 @@ def test_class_and_control_studies(spark):
     p = studies.positive_control(df, "k", "moa", "di", reps=100).first()
     assert p["passes"] and p["auroc"] == 1 and p["rank_biserial"] == -1
     assert studies.group_separation(df, "moa", "di").count() == 3
+
+
+def test_many_keywords_equal_few(spark, monkeypatch):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abAB é") for _ in range(rnd.randint(1, 5))) for _ in range(60)]
+    table = spark.createDataFrame([(f"c{i % 7}", i % 9, w) for i, w in enumerate(words)], "class string, priority int, keyword string")
+    texts = ["", None, "ÉA", *["".join(rnd.choice("abAB éx") for _ in range(rnd.randint(1, 30))) for _ in range(150)]]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "id long, t string, cls0 string")
+    native = X.classify_by_table(df, "t", table, absent="none", out="cls").orderBy("id").collect()
+    monkeypatch.setattr(X, "FEW_KEYWORDS", 0)
+    assert X.classify_by_table(df, "t", table, absent="none", out="cls").orderBy("id").collect() == native
+    many = [(f"kw{i:05d}x", i) for i in range(10_000)]
+    automaton = X.KeywordAutomaton(many)
+    assert automaton.least("... kw00420x kw00007x kw0000") == 7 and automaton.least("kw00001 x") is None
