@@ -227,28 +227,26 @@ def unsettled_members(members: DataFrame, agreement: int, percent: int) -> DataF
     """Members of a meeting with a partner there of a fitting size that is similar by signature, lies in another
     component, and shares no node of an earlier tree with it (where the two have met).
 
-    Members come in the order of their sizes, so each looks only at the next ones, until the
-    size no longer fits.
+    All meetings of an Arrow batch are compared together; most have two or three members.
     """
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_size", kind="stable")
-        sig, comp, side, size = np.stack(group["_sig"].to_numpy()), group["_component"].to_numpy(), group["_side"].to_numpy(), group["_size"].to_numpy()
-        earlier = np.stack(group["_earlier"].to_numpy())[:, :int(group["_tree"].iloc[0])]
-        end = np.searchsorted(size, size * 100 // percent, side="right")
-        open_ = np.zeros(len(group), bool)
-        for i in range(len(group) - 1):
-            rest = np.flatnonzero(comp[i + 1:end[i]] != comp[i]) + i + 1
-            if side[i] != 2:
-                rest = rest[side[rest] != side[i]]
-            if earlier.shape[1]:
-                rest = rest[~((earlier[rest] == earlier[i]) & (earlier[i] != 0)).any(1)]
-            rest = rest[(sig[rest] == sig[i]).sum(1) >= agreement]
-            if len(rest):
-                open_[i] = True
-                open_[rest] = True
-        return group.loc[open_, [*MEETING, "_id", "_component", "_side"]]
-
-    return members.groupBy(*MEETING).applyInPandas(compare, "_node long, _x int, _y int, _id long, _component long, _side int")
+    from .setjoin import by_meeting, list_pairs  # the join over lists has the same meetings
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sig = batch.column("_sig").flatten().to_numpy().reshape(-1, SIGNATURE)
+        earlier = batch.column("_earlier").flatten().to_numpy().reshape(-1, TREES)
+        tree, open_ = batch.column("_tree").to_numpy(), np.zeros(batch.num_rows, bool)
+        for every, other in list_pairs(batch, 0, percent):
+            for s in range(0, len(every), 4096):
+                i, j = every[s:s + 4096], other[s:s + 4096]
+                near = (sig[i] == sig[j]).sum(1) >= agreement
+                i, j = i[near], j[near]
+                met = (earlier[i] == earlier[j]) & (earlier[i] != 0) & (np.arange(TREES)[None, :] < tree[i][:, None])
+                fresh = ~met.any(1)
+                open_[i[fresh]] = open_[j[fresh]] = True
+        return batch.select([*MEETING, "_id", "_component", "_side"]).filter(pa.array(open_))
+
+    rows = members.select(*MEETING, "_side", "_id", F.col("_size").alias("_n"), "_component", "_tree", "_sig", "_earlier")
+    return by_meeting(rows, compare, "_node long, _x int, _y int, _id long, _component long, _side int")
 
 
 def exact_links(members: DataFrame, percent: int) -> DataFrame:
