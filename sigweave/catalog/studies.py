@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import labels
+from ..operators.resample import OVERDRAW
 from ..plans import studies
 from ..sources import lookups as W
 from . import adapters as A
@@ -93,7 +94,7 @@ def projection_verdict(spark, sf):
 
 
 # Suppliers with a mechanism and a compound name from the published lists, dealt by key.
-MECHANISMS = [w for pair in zip(W.NUCLEAR_RECEPTOR, W.CONSTITUTIVE_MACHINERY, strict=False) for w in pair] + W.BROAD_RECEPTOR + W.BROAD_KINASE + ["unknown"]
+MECHANISMS = [w for three in zip(W.NUCLEAR_RECEPTOR, W.CONSTITUTIVE_MACHINERY, W.BROAD_RECEPTOR, strict=False) for w in three] + W.BROAD_KINASE + ["unknown"]
 COMPOUNDS = W.CONTEXT_SPECIFIC_DRUGS + W.BROAD_MECHANISM_DRUGS + W.KNOWN_CYTOTOXIC
 
 
@@ -122,11 +123,12 @@ tw AS (SELECT variant, s_suppkey, s_acctbal, s_nationkey, (cls = 'machinery')::I
 _LONG = "(SELECT * FROM {} UNPIVOT (score FOR metric IN (s_acctbal, s_nationkey)))"
 
 
-@query("class_study", A.ctes(SUPPLIERS, CLASSED, boot_sql("tw", "s_suppkey", by="variant"), f"bl AS {_LONG.format('bt')}", f"pl AS {_LONG.format('tw')}",
+@query("class_study", A.ctes(SUPPLIERS, CLASSED, boot_sql("tw", "s_suppkey", by="variant", reps=OVERDRAW * REPS), f"bl AS {_LONG.format('bt')}", f"pl AS {_LONG.format('tw')}",
        f"ba AS ({auroc_sql('bl', 'rep, variant, metric', 'score', 'label')})", f"bp AS ({ap_sql('bl', 'rep, variant, metric', 'score', 'label')})",
        f"pa AS ({auroc_sql('pl', 'variant, metric', 'score', 'label')})", f"pp AS ({ap_sql('pl', 'variant, metric', 'score', 'label')})",
-       f"""c AS (SELECT variant, metric, count(*) AS n_boot, {ci('auroc', 'auroc_')}, {ci('auprc', 'auprc_')} FROM ba JOIN bp USING (rep, variant, metric)
-  WHERE auroc IS NOT NULL GROUP BY 1, 2)""") + """
+       f"""v AS (SELECT variant, metric, auroc, auprc FROM ba JOIN bp USING (rep, variant, metric) WHERE auroc IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY variant, metric ORDER BY rep) <= {REPS})""",
+       f"c AS (SELECT variant, metric, count(*) AS n_boot, {ci('auroc', 'auroc_')}, {ci('auprc', 'auprc_')} FROM v GROUP BY 1, 2)") + """
 SELECT pa.variant, pa.metric, pa.n_pos, pa.n_neg, round(pa.auroc, 6) + 0 AS auroc, round(pp.auprc, 6) + 0 AS auprc, n_boot,
  auroc_ci_lo, auroc_ci_hi, auroc_se, auprc_ci_lo, auprc_ci_hi, auprc_se
 FROM pa JOIN pp USING (variant, metric) JOIN c USING (variant, metric)""")
