@@ -33,8 +33,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = neardup.near_duplicates(docs, width=5, percent=80)
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    again = settle(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = settle(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"))
+    if again.isEmpty():  # every row has an id of its own: texts are read once
+        return kept
     known = kept.filter(F.col("doc_id").isNotNull())
     once = known.join(again, "doc_id", "left_anti").select(*docs.columns)
     repeated = known.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
