@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,15 @@ def key_order(df: DataFrame, key: str) -> list:
     return [*([hash_number(F.col(key))] if text else []), F.col(key)]
 
 
+def group_tag(by: Sequence[str]) -> Column:
+    """The keys of a group as they stand between the seed and the replicate in the text that is hashed."""
+    return F.substring(F.concat_ws(":", F.lit("."), *[F.col(b).cast("string") for b in by]), 2, 1 << 30)
+
+
+def tagged_numbers(seed: int, tag: str, reps: np.ndarray) -> np.ndarray:
+    return np.array([replicate_number(f"{seed}{tag}:{r}") for r in reps], np.uint64)
+
+
 @dataclass
 class Order:
     """Rows of a group sorted by a value, missing ones left out, and where each distinct value starts."""
@@ -95,7 +104,7 @@ class Index:
 def build(df: DataFrame, key: str, columns: Sequence[str], by: Sequence[str] = ()) -> Index | None:
     """The index of a table, or None beyond the size bounds. ``columns`` must be numbers."""
     by = list(by)
-    rows = reuse(df.select(*by, F.concat_ws(":", *[F.col(b).cast("string") for b in by]).alias("_tag"),
+    rows = reuse(df.select(*by, group_tag(by).alias("_tag"),
                            *[o.alias(f"_o{i}") for i, o in enumerate(key_order(df, key))],
                            *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]))
     n = rows.count()
@@ -118,8 +127,7 @@ def build(df: DataFrame, key: str, columns: Sequence[str], by: Sequence[str] = (
 
 
 def numbers(seed: int, group: Group, reps: np.ndarray) -> np.ndarray:
-    parts = [seed, *([group.tag] if group.tag else [])]
-    return np.array([replicate_number(*parts, r) for r in reps], np.uint64)
+    return tagged_numbers(seed, group.tag, reps)
 
 
 def draw_counts(seed: int, group: Group, reps: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from ..functions.draws import hash_number, position, replicate_number, slot_draw
+from ..functions.draws import hash_number, position, slot_draw
 from . import replicates as K
 from .classify import macro_auroc, roc_and_pr
 from .common import attach, join_groups, reuse, unpivot
@@ -299,8 +299,7 @@ def _dealt(rows: DataFrame, group: Sequence[str], key: str, reps: int, seed: int
     group = list(group)
     sized = attach(rows, rows.groupBy(*group).agg((F.count(F.lit(1)) * F.max(F.size(own))).alias("_cells")), group)
     small = sized.filter(F.col("_cells") <= VECTOR_CELLS).drop("_cells")
-    tag = F.concat_ws(":", *[F.col(g).cast("string") for g in group])
-    small = small.select("*", tag.alias("_tag"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(K.key_order(rows, key))]).alias("_order"),
+    small = small.select("*", K.group_tag(group).alias("_tag"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(K.key_order(rows, key))]).alias("_order"),
                          F.explode(F.sequence(F.lit(0), F.lit(-(-reps // REPS_PER_TASK) - 1))).alias("_chunk"))
     return small, sized.filter(F.col("_cells") > VECTOR_CELLS).drop("_cells")
 
@@ -310,8 +309,7 @@ def _chunk(rows: pd.DataFrame, reps: int, seed: int) -> tuple[pd.DataFrame, np.n
     rows = rows.iloc[sorted(range(len(rows)), key=[tuple(o.values()) for o in rows["_order"]].__getitem__)]
     first = int(rows["_chunk"].iloc[0]) * REPS_PER_TASK
     ids = np.arange(first + 1, min(reps, first + REPS_PER_TASK) + 1)
-    tag = rows["_tag"].iloc[0]
-    return rows, ids, np.array([replicate_number(*[seed, *([tag] if tag else [])], r) for r in ids], np.uint64)
+    return rows, ids, K.tagged_numbers(seed, rows["_tag"].iloc[0], ids)
 
 
 def signature_permutations(loo: DataFrame, consensus: DataFrame, entity: str, context: str, *, reps: int = 1000,

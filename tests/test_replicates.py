@@ -38,7 +38,7 @@ def ordered(df, *cols):
 def scores(spark):
     rng = np.random.default_rng(1)
     rows = [(i, g, float(rng.integers(0, 12)), float(rng.normal()) if i % 9 else None, int(rng.integers(0, 2)), ["x", "y", "z"][i % 3])
-            for i, g in enumerate(["a"] * 40 + [None] * 30)]
+            for i, g in enumerate(["a"] * 40 + [None] * 30 + [""] * 25)]
     return spark.createDataFrame(rows, "k long, g string, s double, t double, y int, cls string")
 
 
