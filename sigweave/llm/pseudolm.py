@@ -36,8 +36,9 @@ CONTEXT = (-2, -1, 1, 2)
 EMBED, HIDDEN = 12, 24
 MEMO_ITEMS = 400_000
 COUNTER_ITEMS = 300_000
-BLOCK = 512  # parameters per row while copies are averaged
-BATCH = 4096
+BLOCK = 4096  # parameters per row while copies are averaged
+FAN = 64  # first-level means of a block
+BATCH = 8192  # positions of a training step
 
 Network = dict[str, np.ndarray]
 
@@ -144,9 +145,20 @@ def stream(texts: list[list[bytes]], ids: Ids) -> tuple[np.ndarray, np.ndarray,
     return flat, np.flatnonzero(flat != ids.pad), np.array(lens, np.int64)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Softmax of every row, in place."""
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
+
+
+def chosen_log(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Log of the softmax of every row at its ``place``; overwrites ``x``."""
+    x -= x.max(-1, keepdims=True)
+    chosen = x[np.arange(len(x)), place]
+    np.exp(x, out=x)
+    return chosen - np.log(x.sum(-1))
 
 
 def hidden(net: Network, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,49 +173,69 @@ def by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(cls[order], np.arange(classes + 1))
 
 
+def word_logits(net: Network, h: np.ndarray, starts: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Logits within the class, for rows grouped by class; ``filled`` are the classes that have rows."""
+    x = np.empty((len(h), len(net["cls_bias"])), np.float32)
+    for c in filled:
+        rows = slice(starts[c], starts[c + 1])
+        np.matmul(h[rows], net["word"][c], out=x[rows])
+        x[rows] += net["word_bias"][c]
+    return x
+
+
 def log_probabilities(net: Network, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Conditional log-probability of the word at every position ``at``."""
     out, classes = np.empty(len(at)), len(net["cls_bias"])
-    for s in range(0, len(at), 4 * BATCH):
-        here = at[s:s + 4 * BATCH]
-        _, _, h = hidden(net, flat, here)
+    for s in range(0, len(at), 2 * BATCH):
+        here = at[s:s + 2 * BATCH]
         cls, place = class_of(flat[here], classes)
-        total = log_softmax(h @ net["cls"] + net["cls_bias"])[np.arange(len(here)), cls]
         order, starts = by_class(cls, classes)
-        for c in range(classes):
-            rows = order[starts[c]:starts[c + 1]]
-            if len(rows):
-                total[rows] += log_softmax(h[rows] @ net["word"][c] + net["word_bias"][c])[np.arange(len(rows)), place[rows]]
-        out[s:s + len(here)] = total
+        _, _, h = hidden(net, flat, here[order])
+        x = word_logits(net, h, starts, np.flatnonzero(np.diff(starts)))
+        out[s + order] = chosen_log(x, place[order]) + chosen_log(h @ net["cls"] + net["cls_bias"], cls[order])
     return out
 
 
+def descend(value: np.ndarray, speed: np.ndarray, grad: np.ndarray, rate: float, rows: object = ...) -> None:
+    """AdaGrad on the ``rows`` that have a gradient; a zero gradient would leave the others as they are."""
+    grad = grad.astype(np.float32, copy=False)
+    seen = speed[rows] + grad * grad
+    speed[rows] = seen
+    value[rows] -= np.float32(rate) * grad / np.sqrt(seen + np.float32(1e-10))
+
+
 def train_step(net: Network, speed: Network, flat: np.ndarray, at: np.ndarray, rate: float) -> None:
-    """One AdaGrad step on the masked positions ``at``."""
-    classes = len(net["cls_bias"])
-    near, seen, h = hidden(net, flat, at)
+    """One AdaGrad step on the masked positions ``at``; costs what they touch, not the vocabulary."""
+    classes, n = len(net["cls_bias"]), np.float32(len(at))
     cls, place = class_of(flat[at], classes)
-    n = np.float32(len(at))
-    d_cls = np.exp(log_softmax(h @ net["cls"] + net["cls_bias"]))
-    d_cls[np.arange(len(at)), cls] -= 1
-    grad = {"cls": h.T @ d_cls / n, "cls_bias": d_cls.sum(0) / n,
-            "word": np.zeros_like(net["word"]), "word_bias": np.zeros_like(net["word_bias"])}
-    d_h = d_cls @ net["cls"].T
     order, starts = by_class(cls, classes)
-    for c in range(classes):
-        rows = order[starts[c]:starts[c + 1]]
-        if len(rows):
-            d = np.exp(log_softmax(h[rows] @ net["word"][c] + net["word_bias"][c]))
-            d[np.arange(len(rows)), place[rows]] -= 1
-            grad["word"][c], grad["word_bias"][c] = h[rows].T @ d / n, d.sum(0) / n
-            d_h[rows] += d @ net["word"][c].T
+    near, seen, h = hidden(net, flat, at[order])
+    cls, place, each = cls[order], place[order], np.arange(len(at))
+    d_cls = softmax(h @ net["cls"] + net["cls_bias"])
+    d_cls[each, cls] -= 1
+    d_cls /= n
+    d_h = d_cls @ net["cls"].T
+    filled = np.flatnonzero(np.diff(starts))
+    d = softmax(word_logits(net, h, starts, filled))
+    d[each, place] -= 1
+    d /= n
+    d_word = np.empty((len(filled), HIDDEN, classes), np.float32)
+    for i, c in enumerate(filled):
+        rows = slice(starts[c], starts[c + 1])
+        d_h[rows] += d[rows] @ net["word"][c].T
+        np.matmul(h[rows].T, d[rows], out=d_word[i])
+    descend(net["word"], speed["word"], d_word, rate, filled)
+    descend(net["word_bias"], speed["word_bias"], np.add.reduceat(d, starts[filled], axis=0), rate, filled)
     d_mix = d_h * (1 - h * h)
-    grad["mix"], grad["mix_bias"] = seen.T @ d_mix / n, d_mix.sum(0) / n
-    d_seen = (d_mix @ net["mix"].T).reshape(-1, EMBED) / n
-    grad["embed"] = np.column_stack([np.bincount(near.ravel(), d_seen[:, k], len(net["embed"])) for k in range(EMBED)])
-    for k, g in grad.items():
-        speed[k] += np.square(g, dtype=np.float32)
-        net[k] -= (rate * g / np.sqrt(speed[k] + 1e-10)).astype(np.float32)
+    d_seen = (d_mix @ net["mix"].T).reshape(-1, EMBED)
+    touched = np.flatnonzero(np.bincount(near.ravel(), minlength=len(net["embed"])))
+    short = np.empty(len(net["embed"]), np.int64)
+    short[touched] = np.arange(len(touched))
+    short = short[near.ravel()]
+    d_embed = np.column_stack([np.bincount(short, d_seen[:, k], len(touched)) for k in range(EMBED)])
+    descend(net["embed"], speed["embed"], d_embed, rate, touched)
+    for k, grad in (("cls", h.T @ d_cls), ("cls_bias", d_cls.sum(0)), ("mix", seen.T @ d_mix), ("mix_bias", d_mix.sum(0))):
+        descend(net[k], speed[k], grad, rate)
 
 
 def masks(at: np.ndarray, masked: float, rng: np.random.Generator) -> Iterator[np.ndarray]:
@@ -216,6 +248,16 @@ def masks(at: np.ndarray, masked: float, rng: np.random.Generator) -> Iterator[n
             yield mask[s:s + BATCH]
 
 
+def block_mean(rows: pa.Table) -> pa.Table:
+    """Weighted mean of the copies of one block of parameters, with their summed weight."""
+    weight = rows.column("weight").to_numpy()
+    order = np.argsort(rows.column("copy").to_numpy(), kind="stable")
+    values = np.stack(rows.column("values").to_numpy(zero_copy_only=False)).astype(np.float64)
+    mean = (values[order] * weight[order, None]).sum(0) / weight.sum()
+    return pa.table({"at": rows.column("at").slice(0, 1), "copy": rows.column("copy").slice(order[0], 1),
+                     "weight": pa.array([weight.sum()], pa.int64()), "values": pa.array([mean], pa.list_(pa.float64()))})
+
+
 def train(docs: DataFrame, frequent: dict[bytes, int], *, key: str = "doc_id", text: str = "text", rounds: int = 2,
           masked: float = 0.15, rate: float = 0.05, seed: int = 11) -> Network:
     """Rounds of local training and averaging; a document takes part in the round its key draws, with all its positions."""
@@ -240,19 +282,19 @@ def train(docs: DataFrame, frequent: dict[bytes, int], *, key: str = "doc_id", t
             ends = pa.array([*starts, len(values)], pa.int32())
             if weight:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(starts, pa.int64()), pa.array(np.full(len(starts), weight), pa.int64()),
-                     pa.ListArray.from_arrays(ends, pa.array(values, pa.float32()))], names=["at", "weight", "values"])
+                    [pa.array(starts, pa.int64()), pa.array(np.full(len(starts), TaskContext.get().partitionId()), pa.int64()),
+                     pa.array(np.full(len(starts), weight), pa.int64()),
+                     pa.ListArray.from_arrays(ends, pa.array(values, pa.float32()))], names=["at", "copy", "weight", "values"])
 
         own = docs.filter(F.pmod(F.xxhash64(key), F.lit(rounds)) == r).select(whole_text(text).alias("t"))
-        copies = own.mapInArrow(run, "at long, weight long, values array<float>")
-        cells = copies.select("at", "weight", F.posexplode("values").alias("_pos", "v"))
-        mean = cells.groupBy((F.col("at") + F.col("_pos")).alias("i")).agg(
-            F.round(F.sum(F.col("v").cast("double") * F.col("weight")) / F.sum("weight"), 6).alias("v"))
-        got = mean.toPandas()
-        if len(got):
-            flat = np.zeros(len(got), np.float32)
-            flat[got["i"].to_numpy()] = got["v"].to_numpy()
-            net = unflatten(flat, classes)
+        copies = own.mapInArrow(run, "at long, copy long, weight long, values array<float>")
+        # In two levels, so that no task holds a block of every copy.
+        some = copies.groupBy("at", F.pmod("copy", F.lit(FAN)).alias("_part")).applyInArrow(
+            block_mean, "at long, copy long, weight long, values array<double>")
+        mean = some.groupBy("at").applyInArrow(block_mean, "at long, copy long, weight long, values array<double>")
+        got = sorted((row["at"], row["values"]) for row in mean.select("at", "values").toLocalIterator())
+        if got:
+            net = unflatten(np.round(np.concatenate([values for _, values in got]), 6), classes)
     return net
 
 

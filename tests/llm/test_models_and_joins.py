@@ -356,3 +356,37 @@ def test_stages_take_clashing_names_and_repeated_rows(spark):
     assert {r["text"] for r in masked.filter("doc_id = 3").collect()} == {"call [PHONE] now"}
     mixed = corpus_pipeline.mixing_stage(spark, docs, "")
     assert mixed.columns == docs.columns and {r["text"] for r in mixed.collect()} <= {t for _, t in rows}
+
+
+def test_window_network_descends_its_gradient():
+    rng = np.random.default_rng(3)
+    net = {k: v.astype(np.float64) for k, v in pseudolm.fresh().items()}
+    ids = rng.integers(0, 40, 30)
+    flat = np.concatenate([[pseudolm.PAD] * 2, ids, [pseudolm.PAD] * 2])
+    at, moved = np.arange(2, 32), {k: v.astype(np.float32) for k, v in net.items()}
+    speed = {k: np.zeros_like(v) for k, v in moved.items()}
+    pseudolm.train_step(moved, speed, flat, at, 0.05)
+    for k in net:  # the first step's squared gradient is what AdaGrad has seen
+        for i in rng.permutation(np.flatnonzero(speed[k] > 1e-8))[:6]:
+            step = {}
+            for sign in (1, -1):
+                other = {n: v.copy() for n, v in net.items()}
+                other[k].ravel()[i] += sign * 1e-3
+                step[sign] = -pseudolm.log_probabilities({n: v.astype(np.float32) for n, v in other.items()}, flat, at).mean()
+            slope = (step[1] - step[-1]) / 2e-3
+            assert abs(slope * slope - speed[k].ravel()[i]) < 1e-3 * max(1.0, abs(slope)) and abs(
+                abs(slope) - np.sqrt(speed[k].ravel()[i])) < 2e-3
+            assert (moved[k].ravel()[i] - net[k].ravel()[i]) * slope < 0
+    untouched = np.setdiff1d(np.arange(pseudolm.VOCABULARY), ids)
+    assert (moved["embed"][untouched] == net["embed"][untouched].astype(np.float32)).all()
+
+
+def test_copies_are_averaged_by_weight_in_any_order(spark):
+    rng = np.random.default_rng(4)
+    values, weight = rng.normal(size=(150, 3)), rng.integers(1, 9, 150)
+    rows = [(0, int(i), int(weight[i]), values[i].tolist()) for i in rng.permutation(150)]
+    kind = "at long, copy long, weight long, values array<double>"
+    copies = spark.createDataFrame(rows, kind).repartition(7)
+    some = copies.groupBy("at", F.pmod("copy", F.lit(pseudolm.FAN)).alias("_part")).applyInArrow(pseudolm.block_mean, kind)
+    (mean,) = some.groupBy("at").applyInArrow(pseudolm.block_mean, kind).collect()
+    assert np.allclose(mean["values"], (values * weight[:, None]).sum(0) / weight.sum()) and mean["weight"] == weight.sum()
