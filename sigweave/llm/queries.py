@@ -113,7 +113,7 @@ def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.quality_rules(table(spark, sf_dir, "documents"))
-    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "letter_distance", "word_distance")})
 
 
 def _divergence(a: str, b: str) -> str:
@@ -124,11 +124,18 @@ def _divergence(a: str, b: str) -> str:
             f"lambda z: {part.format(p, q)} + {part.format(q, p)})) / 2, 0)) END")
 
 
+def _reference(counts: str, n: int) -> str:
+    """SQL of the summed counts of each language's anchored documents."""
+    return (f"r_{counts} AS (SELECT lang, coalesce(list(s ORDER BY i) FILTER (s IS NOT NULL), []) AS ref_{counts} FROM ("
+            f"SELECT lang, i, sum(own * {counts}[i]::DOUBLE) AS s FROM o, (SELECT unnest(range(1, {n + 1})) AS i) GROUP BY 1, 2) GROUP BY 1)")
+
+
 _KNOWN = " ".join(f"WHEN '{lang}' THEN {words}" for lang, words in rules.COMMON_WORDS.items())
 SQL["op9_quality_rules"] = f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines,
    regexp_replace(coalesce(text, ''), '[a-z{SPACE}]+', '', 'g') AS rest,
+   translate(coalesce(text, ''), '{rules.UPPER}', '{rules.LOWER}') AS folded,
    CASE lang {_KNOWN} ELSE []::VARCHAR[] END AS known FROM documents),
 x AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i,
    unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d),
@@ -138,18 +145,27 @@ m AS (SELECT d.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w
    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, length(rest) AS n_rest,
    length(regexp_replace(rest, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(rest, '[^0-9]', '', 'g')) AS dig,
-   list_transform(known, lambda k: len(list_filter(w, lambda y: y = k))::DOUBLE) AS common
+   list_transform(string_split('{rules.LETTERS}', ''), lambda c: length(folded) - length(replace(folded, c, '')))
+     || [length(regexp_replace(folded, '[\\x00-\\x7F]+', '', 'g'))] AS letters, known,
+   regexp_extract_all(folded, '[^{rules.NO_LETTER}]+') AS plain
   FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id),
-c AS (SELECT *, [word_chars - n_rest, up, dig, n_symbols, n_rest - up - dig - n_symbols]::DOUBLE[] AS classes FROM m),
-rc AS (SELECT lang, list(s ORDER BY i) AS ref_classes FROM (SELECT lang, i, sum(classes[i]) AS s FROM c, (SELECT unnest(range(1, 6)) AS i) GROUP BY 1, 2) GROUP BY 1),
-rw AS (SELECT lang, list(s ORDER BY i) FILTER (s IS NOT NULL) AS ref_common FROM (
-   SELECT lang, i, sum(common[i]) AS s FROM c, (SELECT unnest(range(1, 7)) AS i) GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT *, [word_chars - n_rest, up, dig, n_symbols, n_rest - up - dig - n_symbols]::DOUBLE[] AS classes,
+   CASE WHEN len(known) = 0 THEN []::DOUBLE[] ELSE list_transform(known, lambda k: len(list_filter(plain, lambda y: y = k))::DOUBLE)
+     || [len(list_filter(plain, lambda y: NOT list_contains(known, y)))::DOUBLE] END AS common FROM m),
+o AS (SELECT *, CASE WHEN len(common) = 0 OR (list_sum(common) > 0
+     AND 100 * (list_sum(common) - common[-1]) >= {rules.ANCHOR_PERCENT} * list_sum(common)) THEN 1 ELSE 0 END AS own FROM c),
+{_reference("classes", len(rules.CLASSES))},
+{_reference("letters", len(rules.LETTERS) + 1)},
+{_reference("common", 1 + max(map(len, rules.COMMON_WORDS.values())))},
 j AS (SELECT c.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
    CASE WHEN n_words >= 40 THEN {_divergence("classes", "ref_classes")} END AS cd,
-   CASE WHEN list_sum(common) >= 25 THEN {_divergence("common", "ref_common")} END AS wd
-  FROM c JOIN rc ON c.lang IS NOT DISTINCT FROM rc.lang JOIN rw ON c.lang IS NOT DISTINCT FROM rw.lang)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance,
- NOT base_failed AND coalesce(cd, 0) <= 0.32 AND coalesce(wd, 0) <= 0.8 AS kept FROM j
+   CASE WHEN (CASE WHEN len(known) > 0 THEN len(plain) ELSE n_words END) >= 80 THEN {_divergence("letters", "ref_letters")} END AS ld,
+   CASE WHEN len(known) > 0 AND len(plain) >= 80 THEN coalesce({_divergence("common", "ref_common")}, 1) END AS wd
+  FROM o AS c JOIN r_classes a ON c.lang IS NOT DISTINCT FROM a.lang JOIN r_letters b ON c.lang IS NOT DISTINCT FROM b.lang
+  JOIN r_common e ON c.lang IS NOT DISTINCT FROM e.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS class_distance,
+ round(ld, 6) AS letter_distance, round(wd, 6) AS word_distance,
+ NOT base_failed AND coalesce(cd, 0) <= 0.32 AND coalesce(ld, 0) <= 0.25 AND coalesce(wd, 0) <= 0.33 AS kept FROM j
 """
 
 

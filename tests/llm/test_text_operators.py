@@ -130,6 +130,60 @@ def test_divergence_rule_drops_the_odd_one(spark):
     assert [i for i, k in got.items() if not k] == [99]
 
 
+CONTENT = {
+    "en": "water house light which tree night school friend bread window thought people".split(),
+    "fr": "maison lumière eau arbre nuit école ami pain fenêtre pensée gens beaucoup".split(),
+    "de": "wasser haus licht baum nacht schule freund brot fenster gedanke leute zwischen".split(),
+    "es": "agua casa luz árbol noche escuela amigo pan ventana pensamiento gente mucho".split(),
+}
+
+
+def prose(rnd, lang, n=300, common=0.35):
+    words = [rnd.choice(rules.COMMON_WORDS[lang] if rnd.random() < common else CONTENT[lang]) for _ in range(n)]
+    return " ".join(" ".join(words[i:i + 10]).capitalize() + "." for i in range(0, n, 10))
+
+
+def test_divergence_rule_tells_languages_gibberish_and_salad(spark):
+    rnd = random.Random(5)
+    rows, clean, strange = [], [], []
+
+    def add(text, lang, ids):
+        ids.append(len(rows))
+        rows.append((len(rows), text, lang))
+
+    def gibberish():
+        return " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 9))) for _ in range(500))
+
+    for lang in ("en", "fr", "de"):
+        for _ in range(30):
+            add(prose(rnd, lang), lang, clean)
+        add(prose(rnd, lang).replace(" the ", " The, "), lang, clean)
+        add(gibberish(), lang, strange)
+        add(prose(rnd, lang, common=0.0), lang, strange)  # a salad of its words
+        for other in CONTENT:
+            if other != lang:
+                add(prose(rnd, other), lang, strange)
+    for _ in range(20):
+        add(gibberish(), "es", strange)  # junk alone: no reference for itself
+    for lang in ("xx", None):
+        for _ in range(20):
+            add(prose(rnd, "en"), lang, clean)  # no list: by characters
+    got = {r["doc_id"]: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [i for i in clean if not got[i]["kept"]] == []
+    assert [i for i in strange if got[i]["kept"]] == []
+
+
+def test_letters_and_common_words_are_counted(spark, odd):
+    more = spark.createDataFrame([(1000, "The THE, the. of\x00of É é 7", "en", "s", "", ""), (1001, "jazz ünd", None, "s", "", "")], SCHEMA)
+    for r in rules.text_counts(odd.unionByName(more)).join(odd.unionByName(more).select(F.col("doc_id").alias("_key"), "text"), "_key").collect():
+        folded = re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")
+        assert r["letters"] == [folded.count(c) for c in rules.LETTERS] + [sum(ord(c) > 127 for c in folded)]
+        plain = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", folded)
+        known = rules.COMMON_WORDS.get(r["_lang"])
+        assert r["common"] == ([plain.count(k) for k in known] + [sum(w not in known for w in plain)] if known else [])
+
+
 def brute_targets(sizes, weights=(5, 2, 1)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {n: weights[i % 3] for i, n in enumerate(names)}
