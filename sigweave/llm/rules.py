@@ -35,18 +35,22 @@ def without(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
-def _by_language(lang: Column, of, otherwise: Column) -> Column:
-    """``of(words)`` for the common words of a row's language."""
-    cases = otherwise
-    for name, known in COMMON_WORDS.items():
-        cases = F.when(lang == name, of(known)).otherwise(cases)
+def _known(lang: Column) -> Column:
+    """The common words of a row's language; none for a language without a list."""
+    cases = F.array().cast("array<string>")
+    for name, words in COMMON_WORDS.items():
+        cases = F.when(lang == name, F.array(*map(F.lit, words))).otherwise(cases)
     return cases
 
 
-def _counts(known: list[str], found: Column, words: Column) -> Column:
-    """How often each of ``known`` occurs in ``found``, then how many ``words`` are none of them."""
-    return F.array(*[(F.size(found) - F.size(F.array_remove(found, k))).cast("long") for k in known],
-                   (F.size(words) - F.size(found)).cast("long"))
+def _counts(known: Column, found: Column, words: Column) -> Column:
+    """How often each of ``known`` occurs in ``found``, then how many ``words`` are none of them.
+
+    One expression for all languages: a branch for each would make a method too large to compile.
+    """
+    each = F.transform(known, lambda k: (F.size(found) - F.size(F.array_remove(found, k))).cast("long"))
+    rest = F.array((F.size(words) - F.size(found)).cast("long"))
+    return F.when(F.size(known) > 0, F.concat(each, rest)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _letters(folded: Column) -> Column:
@@ -86,7 +90,7 @@ def text_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lan
     four = beside(F.col("_v2"), F.col("_v2"), 2)
     hashed = F.slice(beside(four, F.col("_v"), WINDOW - 1), 1, F.greatest(F.size(w) - WINDOW + 1, F.lit(0)))
     words = cut.select(
-        "_key", "_lang", "_folded", "_rest", F.filter(F.split("_folded", rf"[{NO_LETTER}]+"), lambda x: x != "").alias("_plain"), F.size(w).cast("long").alias("n_words"),
+        "_key", "_lang", _known(F.col("_lang")).alias("_known"), "_folded", "_rest", F.filter(F.split("_folded", rf"[{NO_LETTER}]+"), lambda x: x != "").alias("_plain"), F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         hashed.alias("_h"))
@@ -100,7 +104,7 @@ def text_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lan
     o = F.col("_o")
     again = F.filter(o, lambda x, i: (F.get(o, i - 1)["h"] == x["h"]) | (F.get(o, i + 1)["h"] == x["h"]))
     plain = F.col("_plain")
-    found = _by_language(F.col("_lang"), lambda known: F.filter(plain, lambda x: x.isin(known)), F.array().cast("array<string>"))
+    found = F.filter(plain, lambda x: F.array_contains("_known", x))
     placed = seen.withColumns({"_at": F.sort_array(F.transform(again, lambda x: x["i"])), "_found": found})
     at = F.col("_at")
     gaps = F.zip_with(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))),
@@ -113,8 +117,7 @@ def text_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lan
         F.array(F.col("word_chars") - rest, "_n_upper", "_n_digit", "_n_symbol",
                 rest - F.col("_n_upper") - F.col("_n_digit") - F.col("_n_symbol")).alias("classes"),
         _letters(F.col("_folded")).alias("letters"),
-        _by_language(F.col("_lang"), lambda known: _counts(known, F.col("_found"), plain),
-                     F.array().cast("array<bigint>")).alias("common"))
+        _counts(F.col("_known"), F.col("_found"), plain).alias("common"))
 
 
 def anchored(common: Column) -> Column:
