@@ -8,7 +8,7 @@ from ..functions import vectors as V
 from ..operators import geometry as G
 from ..operators import loo, matching, resample
 from ..operators.collapse import with_min_contexts
-from ..operators.common import reuse
+from ..operators.common import half_away, reuse
 from ..operators.geometry import vector_sums
 from ..operators.rankstats import spearman
 from ..sources.lookups import PENALTY_SWEEP
@@ -229,7 +229,7 @@ def band_join_pairs(spark, sf):
     """The 200 pairs furthest apart in price, found without the other pairs."""
     g = _gated(spark, sf)
     top = matching.top_band_pairs(g.filter("gate = 'high'"), g.filter("gate = 'low'"), "raw", 0.002, ["entity"], "price", 200, salts=2)
-    return top.select("high_entity", "low_entity", "raw_gap", "price_gap")
+    return top.select("high_entity", "low_entity", half_away(F.col("raw_gap"), 6).alias("raw_gap"), "price_gap")
 
 
 @query("band_join_table", GATES + """
@@ -239,7 +239,8 @@ def band_join_table(spark, sf):
     """All pairs within a narrower band."""
     g = _gated(spark, sf)
     pairs = matching.band_join(g.filter("gate = 'high'"), g.filter("gate = 'low'"), "raw", 0.0005, ["entity", "raw", "price"], salts=2)
-    return pairs.select("high_entity", "low_entity", "raw_gap", F.round(F.col("high_price") - F.col("low_price"), 6).alias("price_gap"))
+    return pairs.select("high_entity", "low_entity", half_away(F.col("raw_gap"), 6).alias("raw_gap"),
+                        F.round(F.col("high_price") - F.col("low_price"), 6).alias("price_gap"))
 
 
 @query("band_join_count", GATES + """
