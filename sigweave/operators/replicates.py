@@ -1,9 +1,10 @@
 """Replicates of a bounded table by whole-replicate kernels.
 
 Resampling is parallel over replicates. Where the resampled table is narrow and its counted
-size is within ``INDEX_ROWS`` and ``INDEX_CELLS``, it travels to the tasks once, in key order,
-as an *index*: every metric's value order, and the bounds of its ties, are worked out once per
-task. A replicate is then a vector of draw counts, and all its metrics follow from sums over
+size is within ``INDEX_ROWS``, it travels to the tasks once, in key order,
+as an *index*: rows of equal values share a *cell*, a row is the number of its cell, and every metric's value
+order over the cells, with the bounds of its ties, is worked out once per
+task. A replicate is then a vector of draw counts of the cells, and all its metrics follow from sums over
 the fixed orders, for a block of replicates at a time. Nothing is exploded, joined or sorted per
 replicate, and only the results leave the tasks. Beyond the bounds ``build`` gives None and
 the caller takes its relational plan, which makes the same draws.
@@ -23,10 +24,10 @@ from pyspark.sql import types as T
 from ..functions.draws import drawn_positions, hash_number, mixed, replicate_number
 from .common import reuse
 
-#: Size up to which a table travels whole to every task (64 MB of numbers at most).
-INDEX_ROWS, INDEX_CELLS = 1_000_000, 8_000_000
+#: Size up to which a table travels to every task: rows (4 bytes each), and numbers of its distinct rows (8 bytes each).
+INDEX_ROWS, INDEX_CELLS = 16_000_000, 32_000_000
 #: Draw counts that a kernel holds at once: replicates of a block times rows of a group.
-BLOCK_CELLS = 2_000_000
+BLOCK_CELLS = 400_000
 
 
 def key_order(df: DataFrame, key: str) -> list:
@@ -61,26 +62,61 @@ class Order:
         """Sums per distinct value of each row of ``weights``."""
         if not len(self.starts):
             return np.zeros((len(weights), 0))
-        return np.add.reduceat(weights[:, self.rows].astype(np.float64), self.starts, axis=1)
+        placed = np.take(weights, self.rows, axis=1).astype(np.float64, copy=False)
+        return placed if len(self.starts) == len(self.rows) else np.add.reduceat(placed, self.starts, axis=1)
+
+    def lengths(self) -> np.ndarray:
+        """Rows of each distinct value."""
+        return np.diff(np.append(self.starts, len(self.rows)))
 
     def ranks(self, weights: np.ndarray) -> np.ndarray:
         """Weighted mid-rank of every row; 0 where the value is missing."""
         w = self.sums(weights)
-        mid = np.cumsum(w, axis=1) - w + (w + 1) / 2
+        mid = np.cumsum(w, axis=1)
+        mid -= (w - 1) / 2
         out = np.zeros(weights.shape)
-        if len(self.rows):
-            of = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(self.rows))))
-            out[:, self.rows] = mid[:, of]
+        if len(self.starts) == len(self.rows):
+            out[:, self.rows] = mid
+        else:
+            out[:, self.rows] = np.repeat(mid, self.lengths(), axis=1)
         return out
 
 
 @dataclass
 class Group:
-    """Rows of one group in key order: their number, the text of its keys, and columns as float64, NaN where missing."""
+    """Rows of one group: their number, the text of its keys, the cell of each row in key order (None: every row is its
+    own), and columns of the cells as float64, NaN where missing."""
     n: int
     tag: str
     columns: dict[str, np.ndarray]
+    cell: np.ndarray | None = None
     orders: dict = field(default_factory=dict)
+    spaces: dict = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, n: int, tag: str, columns: dict[str, np.ndarray]) -> Group:
+        """Rows in key order, those of equal values combined where that leaves at most half of them."""
+        code = np.zeros(n, np.int64)
+        for values in columns.values():
+            distinct, own = np.unique(values, return_inverse=True)
+            code, own = code * len(distinct), own.astype(np.int64, copy=False)
+            code += own
+            found, code = np.unique(code, return_inverse=True)
+            if 2 * len(found) > n:
+                return cls(n, tag, columns)
+        first = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
+        first[code] = np.arange(n)
+        return cls(n, tag, {c: v[first] for c, v in columns.items()}, code.astype(np.int32))
+
+    @property
+    def size(self) -> int:
+        """Cells."""
+        return self.n if self.cell is None else len(next(iter(self.columns.values())))
+
+    def rows(self, column: str) -> np.ndarray:
+        """A column of the rows, in key order."""
+        v = self.columns[column]
+        return v if self.cell is None else v[self.cell]
 
     def order(self, value: str, *needed: str, descending: bool = False) -> Order:
         """Value order over the rows that have the value and the ``needed`` columns; made once."""
@@ -90,6 +126,31 @@ class Group:
             for c in needed:
                 present &= ~np.isnan(self.columns[c])
             self.orders[name] = Order.of(self.columns[value], present, descending)
+            if len(self.columns) > 1 and needed and present.all():  # the same rows whatever else is needed
+                self.orders[name] = self.orders.setdefault((value, (), descending), self.orders[name])
+        return self.orders[name]
+
+    def space(self, name: str, *shape: object) -> np.ndarray:
+        """Memory that kernels use again from block to block (new pages cost more than the arithmetic): rows, columns, type."""
+        rows, width, kind = *shape[:2], shape[2] if len(shape) > 2 else np.float64
+        if name not in self.spaces or self.spaces[name].size < rows * width:
+            self.spaces[name] = np.empty(rows * width, kind)
+        return self.spaces[name][:rows * width].reshape(rows, width)
+
+    def ties(self, order: Order) -> tuple[np.ndarray, np.ndarray]:
+        """The last row of every distinct value, and of every row the number of its value; made once."""
+        name = id(order)
+        if name not in self.orders:
+            self.orders[name] = np.append(order.starts[1:], len(order.rows)) - 1, np.repeat(np.arange(len(order.starts)), order.lengths())
+        return self.orders[name]
+
+    def within(self, order: Order, other: Order) -> np.ndarray:
+        """Where the rows of one order, in turn, stand in another order of the same rows; made once."""
+        name = (id(order), id(other))
+        if name not in self.orders:
+            place = np.empty(self.size, np.int64)
+            place[other.rows] = np.arange(len(other.rows))
+            self.orders[name] = place[order.rows]
         return self.orders[name]
 
 
@@ -104,26 +165,22 @@ class Index:
 def build(df: DataFrame, key: str, columns: Sequence[str], by: Sequence[str] = ()) -> Index | None:
     """The index of a table, or None beyond the size bounds. ``columns`` must be numbers."""
     by = list(by)
-    rows = reuse(df.select(*by, group_tag(by).alias("_tag"),
-                           *[o.alias(f"_o{i}") for i, o in enumerate(key_order(df, key))],
+    rows = reuse(df.select(*by, *[o.alias(f"_o{i}") for i, o in enumerate(key_order(df, key))],
                            *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]))
     n = rows.count()
-    if n > INDEX_ROWS or n * (len(columns) + 2) > INDEX_CELLS:
+    if n > INDEX_ROWS:
         return None
     order = [c for c in rows.columns if c.startswith("_o")]
-    t = rows.orderBy(*by, *order).drop(*order).toArrow()
-    new = np.zeros(t.num_rows, bool)
-    new[:1] = True
-    for b in by:
-        x = t.column(b).combine_chunks()
-        codes = x.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        new[1:] |= codes[1:] != codes[:-1]
-    starts = np.flatnonzero(new)
-    tags = t.column("_tag").take(pa.array(starts)).to_pylist()
-    values = {c: t.column(f"_c{i}").to_numpy().astype(np.float64) for i, c in enumerate(columns)}
-    ends = np.append(starts[1:], t.num_rows)
-    groups = [Group(int(e - s), tag, {c: v[s:e] for c, v in values.items()}) for s, e, tag in zip(starts, ends, tags, strict=True)]
-    return Index(groups, t.select(by).take(pa.array(starts)), [df.schema[b] for b in by])
+    sizes = rows.groupBy(*by, group_tag(by).alias("_tag")).agg(F.count(F.lit(1)).alias("_n"))
+    keys = (sizes.orderBy(*by) if by else sizes).toArrow()
+    ends = np.cumsum(keys.column("_n").to_numpy())
+    t = rows.orderBy(*by, *order).select(*[f"_c{i}" for i in range(len(columns))]).toArrow()
+    values = {c: t.column(f"_c{i}").to_numpy().astype(np.float64, copy=False) for i, c in enumerate(columns)}
+    groups = [Group.of(int(e - s), tag, {c: v[s:e] for c, v in values.items()})
+              for s, e, tag in zip(np.append(0, ends[:-1]), ends, keys.column("_tag").to_pylist(), strict=True)]
+    if sum(g.size for g in groups) * len(columns) > INDEX_CELLS:
+        return None
+    return Index(groups, keys.select(by), [df.schema[b] for b in by])
 
 
 def numbers(seed: int, group: Group, reps: np.ndarray) -> np.ndarray:
@@ -131,16 +188,24 @@ def numbers(seed: int, group: Group, reps: np.ndarray) -> np.ndarray:
 
 
 def draw_counts(seed: int, group: Group, reps: np.ndarray) -> np.ndarray:
-    """How often each row of the group is drawn, one row per replicate."""
-    at = drawn_positions(numbers(seed, group, reps), group.n)
-    flat = (np.arange(len(reps))[:, None] * group.n + at).ravel()
-    return np.bincount(flat, minlength=len(reps) * group.n).reshape(len(reps), group.n)
+    """How often each cell of the group is drawn, one row per replicate."""
+    at = drawn_positions(numbers(seed, group, reps), group.n, group.cell)
+    at += np.arange(len(reps))[:, None] * group.size
+    return np.bincount(at.ravel(), minlength=len(reps) * group.size).reshape(len(reps), group.size)
 
 
 def draw_order(seed: int, group: Group, reps: np.ndarray) -> np.ndarray:
     """A random order per replicate: draw and row as one number, so that no two rows tie."""
-    draws = mixed(numbers(seed, group, reps)[:, None], np.arange(group.n)[None, :])
-    return (draws << np.uint64(31)) | np.arange(group.n, dtype=np.uint64)[None, :]
+    return shuffle_keys(numbers(seed, group, reps), group.n)
+
+
+def shuffle_keys(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Draw and position of each of n rows as one number, one row per replicate number."""
+    slots = np.arange(n, dtype=np.uint64)[None, :]
+    keys = mixed(np.asarray(numbers)[:, None], slots).astype(np.uint64)
+    keys <<= np.uint64(31)
+    keys |= slots
+    return keys
 
 
 Kernel = Callable[[Group, np.ndarray], dict[str, np.ndarray]]
@@ -208,22 +273,53 @@ def roc_and_pr(seed: int, scores: Sequence[str], label: str) -> Kernel:
 
 
 def spearman(seed: int, xs: Sequence[str], y: str) -> Kernel:
-    """Spearman of each x with y, draw counts as repeat counts."""
+    """Spearman of each x with y, draw counts as repeat counts.
+
+    Ranks of y are worked out in the order of y; counts and ranks of y then are gathered in the order of x, where
+    the ranks of x are running sums.
+    """
     def kernel(group: Group, reps: np.ndarray) -> dict[str, np.ndarray]:
         w = draw_counts(seed, group, reps)
-        found = {}
+        found, side = {}, None
         for x in xs:
             a, b = group.order(x, y), group.order(y, x)
-            here = np.sort(a.rows)
-            k = w[:, here].astype(np.float64)
-            middle = (k.sum(1, keepdims=True) + 1) / 2
-            rx, ry = a.ranks(w)[:, here] - middle, b.ranks(w)[:, here] - middle
-            found[x] = {"rho": _ratio((k * rx * ry).sum(1), np.sqrt((k * rx * rx).sum(1) * (k * ry * ry).sum(1)))}
+            if side is None or side[0] is not b:
+                k = group.space("k", len(w), len(b.rows))
+                k[:] = w if len(b.rows) == 0 else np.take(w, b.rows, axis=1, out=group.space("w", len(w), len(b.rows), np.int64), mode="clip")
+                side = (b, k, *_centred(group, "y", k, b))
+            _, k, ry, yy = side
+            at = group.within(a, b)
+            kx = np.take(k, at, axis=1, out=group.space("kx", *k.shape), mode="clip")
+            rx, xx = _centred(group, "x", kx, a)
+            kx *= rx
+            xy = np.vecdot(kx, np.take(ry, at, axis=1, out=group.space("rx", *k.shape), mode="clip"))
+            found[x] = {"rho": _ratio(xy, np.sqrt(xx * yy))}
         return _by_metric(reps, found)
 
     return kernel
 
 
+def _centred(group: Group, name: str, k: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
+    """Of counts in the value order: mid-ranks less their mean, and the weighted sum of their squares, one row per replicate."""
+    plain = len(order.starts) == len(order.rows)
+    sums = np.cumsum(k, axis=1, out=group.space("sums", *k.shape))
+    if not plain:  # at the last row of every distinct value
+        ends, of = group.ties(order)
+        sums = np.take(sums, ends, axis=1, out=group.space("ends", len(k), len(ends)), mode="clip")
+    rank, ties = (group.space(f"{part} {name}", *sums.shape) for part in ("rank", "ties"))
+    if sums.shape[1]:
+        rank[:, :1], ties[:, :1] = sums[:, :1], sums[:, :1]
+        np.add(sums[:, 1:], sums[:, :-1], out=rank[:, 1:])
+        np.subtract(sums[:, 1:], sums[:, :-1], out=ties[:, 1:])
+        rank -= sums[:, -1:]
+        rank *= 0.5
+    ties *= rank
+    squares = np.vecdot(ties, rank)
+    if not plain:
+        rank = np.take(rank, of, axis=1, out=group.space(f"rows {name}", *k.shape), mode="clip")
+    return rank, squares
+
+
 def one_vs_rest(seed: int, scores: Sequence[str], cls: str) -> Kernel:
     """Mean over the classes (numbers in column ``cls``) of the AUROC of the class against all other rows.
 
@@ -250,7 +346,7 @@ def moments(seed: int, value: str) -> Kernel:
     """n, mean and sample variance of the drawn values, around the group's mean so that squares do not cancel."""
     def kernel(group: Group, reps: np.ndarray) -> dict[str, np.ndarray]:
         v = group.columns[value]
-        w, n, mu = draw_counts(seed, group, reps).astype(np.float64), float(group.n), v.mean()
+        w, n, mu = draw_counts(seed, group, reps).astype(np.float64), float(group.n), group.rows(value).mean()
         s, q = w @ (v - mu), w @ (v - mu) ** 2
         var = (q - s * s / n) / (n - 1) if n > 1 else np.full(len(reps), np.nan)
         return {"rep": reps.astype(np.int64), "n": np.full(len(reps), group.n), "mean": mu + s / n, "var": var}
@@ -261,7 +357,7 @@ def moments(seed: int, value: str) -> Kernel:
 def label_shuffle(seed: int, value: str, label: str) -> Kernel:
     """Difference of group means under permuted labels: the first n1 rows of a random order are group 1."""
     def kernel(group: Group, reps: np.ndarray) -> dict[str, np.ndarray]:
-        v, n1 = group.columns[value], int((group.columns[label] == 1).sum())
+        v, n1 = group.rows(value), int((group.rows(label) == 1).sum())
         if not 0 < n1 < group.n:
             return {"rep": reps.astype(np.int64), "stat": np.full(len(reps), np.nan)}
         order = np.argpartition(draw_order(seed, group, reps), n1 - 1, axis=1)
@@ -292,24 +388,32 @@ def row_correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _ratio((a * b).sum(1), np.sqrt((a * a).sum(1) * (b * b).sum(1)))
 
 
-def shuffled_cosines(own: np.ndarray, other: np.ndarray, numbers: np.ndarray, *, zero: float, eps: float) -> np.ndarray:
+def shuffled_blocks(own: np.ndarray, other: np.ndarray, numbers: np.ndarray, *, zero: float, eps: float) -> Iterator[tuple[slice, np.ndarray]]:
     """Cosine of every row of ``own`` with the row of ``other`` that a replicate's random order deals to it.
 
-    With fewer rows than replicates all cosines are worked out once, as one block product, and
-    replicates gather single numbers; else each replicate takes its products alone. A vector whose norm
-    is at most ``eps`` gives ``zero``.
+    Some replicates at a time: which, and their cosines. With fewer rows than replicates all cosines are worked out
+    once, as one block product, and replicates gather single numbers; else each replicate takes its products alone.
+    A vector whose norm is at most ``eps`` gives ``zero``.
     """
     n = len(own)
-    draws = (mixed(numbers[:, None], np.arange(n)[None, :]) << np.uint64(31)) | np.arange(n, dtype=np.uint64)[None, :]
-    dealt = np.argsort(np.argsort(draws, axis=1), axis=1)
 
     def unit(x: np.ndarray) -> np.ndarray:
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return np.divide(x, norm, out=np.full(x.shape, np.nan), where=norm > eps)
 
     a, b = unit(own), unit(other)
-    if n <= len(numbers):
-        cos = (a @ b.T)[np.arange(n)[None, :], dealt]
-    else:
-        cos = np.stack([(a * b[d]).sum(1) for d in dealt])
-    return np.where(np.isnan(cos), zero, cos)
+    whole = a @ b.T if n <= len(numbers) else None
+    step = max(1, BLOCK_CELLS // max(1, n))
+    for s in range(0, len(numbers), step):
+        keys = shuffle_keys(numbers[s:s + step], n)
+        keys.sort(axis=1)
+        order = (keys & np.uint64(2**31 - 1)).view(np.int64)  # the row that comes k-th is dealt row k of ``other``
+        cos = np.empty(order.shape)
+        for i, rows in enumerate(order):
+            cos[i, rows] = whole[rows, np.arange(n)] if whole is not None else np.einsum("ij,ij->i", a[rows], b)
+        yield slice(s, s + len(order)), np.where(np.isnan(cos), zero, cos)
+
+
+def shuffled_cosines(own: np.ndarray, other: np.ndarray, numbers: np.ndarray, *, zero: float, eps: float) -> np.ndarray:
+    """``shuffled_blocks`` of all replicates, one row each."""
+    return np.concatenate([cos for _, cos in shuffled_blocks(own, other, numbers, zero=zero, eps=eps)])

@@ -5,7 +5,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sigweave.operators import matching
+from sigweave.functions import draws
+from sigweave.operators import matching, resample
+from sigweave.operators import replicates as K
 from sigweave.operators.common import half_away
 
 
@@ -26,3 +28,38 @@ def test_band_edges_equal_sql(spark):
     pd.testing.assert_frame_equal(got.sort_values(keys).reset_index(drop=True), want.sort_values(keys).reset_index(drop=True), check_dtype=False, rtol=0, atol=1e-12)
     count = matching.band_pair_count(*sides, "raw", 0.0005).agg(F.sum("n_partners")).first()[0]
     assert count == len(want)
+
+
+def test_repeated_rows_share_cells(spark):
+    """Groups with many equal rows draw the same as their relational plan (tests of tables without them are elsewhere)."""
+    rows = spark.range(600).select("id", (F.col("id") % 7).cast("double").alias("a"), F.when(F.col("id") % 5 > 0, (F.col("id") * 3) % 7 + 0.5).alias("b"),
+                                   (F.col("id") % 35 % 4).cast("double").alias("c"), F.col("id").cast("string").alias("t"))
+    index = K.build(rows, "id", ["a", "b", "c"])
+    assert index.groups[0].size <= 35 and index.groups[0].n == 600
+    brute = rows.orderBy("id").toPandas()
+    got = resample.spearman_replicates(rows, "id", ["a", "b"], "c", 8, 3).toPandas()
+    for r in got.itertuples():
+        at = draws.drawn_positions(np.array([draws.replicate_number(3, r.rep)], np.uint64), 600)[0]
+        drawn = brute.iloc[at].dropna(subset=[r.metric])
+        assert abs(r.rho - drawn[r.metric].rank().corr(drawn["c"].rank())) < 1e-12
+    moments = resample.drawn_moments(rows, "id", "a", 5, 3).toPandas()
+    for r in moments.itertuples():
+        v = brute["a"].to_numpy()[draws.drawn_positions(np.array([draws.replicate_number(3, r.rep)], np.uint64), 600)[0]]
+        assert abs(r.mean - v.mean()) < 1e-12 and abs(r.var - v.var(ddof=1)) < 1e-12
+
+
+def test_a_million_rows_stay_in_the_kernels(spark):
+    """1.2 million parts: beyond a million rows the joins made a row for every draw."""
+    rows = spark.range(1_200_000).select("id", (F.col("id") % 101).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    index = K.build(rows, "id", ["a", "b"])
+    assert index is not None and index.groups[0].size == 707
+    w = K.draw_counts(1, index.groups[0], np.arange(1, 3))
+    assert w.sum(1).tolist() == [1_200_000] * 2
+
+
+def test_shuffles_leave_in_bounded_blocks():
+    """Memory follows the rows of one block of replicates, not all replicates of a task."""
+    n, reps = 120_000, 50
+    vec = np.random.default_rng(1).normal(size=(n, 2))
+    sizes = [cos.shape for _, cos in K.shuffled_blocks(vec, vec, np.arange(reps, dtype=np.uint64), zero=np.nan, eps=0.0)]
+    assert sum(r for r, _ in sizes) == reps and max(r * n for r, _ in sizes) <= K.BLOCK_CELLS
