@@ -13,10 +13,11 @@ drawn position and stay there for the count and for the join to the rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -290,26 +291,38 @@ def null_summary(null: DataFrame, observed: DataFrame, stat: str, *, alternative
         ((b + 1) / (n + 1)).alias("p_plus_one"))
 
 
-#: Numbers of a group's vectors up to which one task holds them, and replicates that share a copy of them.
-VECTOR_CELLS, REPS_PER_TASK = 4_000_000, 500
+#: Numbers of a group's vectors up to which one task holds them, and replicates that share a copy of them: of groups of up to
+#: COPY_CELLS numbers, and of larger ones, whose replicates then spread over more tasks.
+VECTOR_CELLS, COPY_CELLS, REPS_PER_TASK, REPS_PER_LARGE = 4_000_000, 100_000, 500, 50
 
 
 def _dealt(rows: DataFrame, group: Sequence[str], key: str, reps: int, seed: int, own: str, other: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of groups small enough for a kernel, once for each REPS_PER_TASK replicates, and the rows of larger groups."""
+    """Rows of groups small enough for a kernel, once for each ``_per`` replicates, and the rows of larger groups."""
     group = list(group)
     sized = attach(rows, rows.groupBy(*group).agg((F.count(F.lit(1)) * F.max(F.size(own))).alias("_cells")), group)
-    small = sized.filter(F.col("_cells") <= VECTOR_CELLS).drop("_cells")
+    small = sized.filter(F.col("_cells") <= VECTOR_CELLS).withColumn("_per", F.when(F.col("_cells") <= COPY_CELLS, REPS_PER_TASK).otherwise(REPS_PER_LARGE)).drop("_cells")
     small = small.select("*", K.group_tag(group).alias("_tag"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(K.key_order(rows, key))]).alias("_order"),
-                         F.explode(F.sequence(F.lit(0), F.lit(-(-reps // REPS_PER_TASK) - 1))).alias("_chunk"))
+                         F.explode(F.sequence(F.lit(0), F.ceil(F.lit(reps) / F.col("_per")).cast("int") - 1)).alias("_chunk"))
     return small, sized.filter(F.col("_cells") > VECTOR_CELLS).drop("_cells")
 
 
-def _chunk(rows: pd.DataFrame, reps: int, seed: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+def _chunk(batches: Iterator[pa.RecordBatch], reps: int, seed: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """Rows in key order, replicate ids of the rows' chunk and their numbers."""
-    rows = rows.iloc[sorted(range(len(rows)), key=[tuple(o.values()) for o in rows["_order"]].__getitem__)]
-    first = int(rows["_chunk"].iloc[0]) * REPS_PER_TASK
-    ids = np.arange(first + 1, min(reps, first + REPS_PER_TASK) + 1)
-    return rows, ids, K.tagged_numbers(seed, rows["_tag"].iloc[0], ids)
+    rows = pa.Table.from_batches(batches)
+    order = rows.column("_order").combine_chunks().flatten()
+    place = pa.table(order, names=[str(i) for i in range(len(order))])
+    rows = rows.take(pc.sort_indices(place, sort_keys=[(c, "ascending") for c in place.column_names]))
+    chunk, per = rows.column("_chunk")[0].as_py(), rows.column("_per")[0].as_py()
+    ids = np.arange(chunk * per + 1, min(reps, (chunk + 1) * per) + 1)
+    return rows, ids, K.tagged_numbers(seed, rows.column("_tag")[0].as_py(), ids)
+
+
+def _matrix(rows: pa.Table, column: str) -> np.ndarray:
+    """Vectors as rows; vectors of different lengths are an error."""
+    vectors = rows.column(column).combine_chunks()
+    if len(np.unique(vectors.value_lengths().to_numpy(zero_copy_only=False))) > 1:
+        raise ValueError(f"vectors of different lengths in {column}")
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
 def signature_permutations(loo: DataFrame, consensus: DataFrame, entity: str, context: str, *, reps: int = 1000,
@@ -318,7 +331,7 @@ def signature_permutations(loo: DataFrame, consensus: DataFrame, entity: str, co
 
     ``loo``: entity, context, train_di, train_ts; ``consensus``: entity, context,
     ``vec`` (held-out vector) and ``train_mean``. A fold whose vectors fit a task is shipped
-    once for each REPS_PER_TASK replicates, and they gather from its cosines; in larger folds
+    once for each REPS_PER_TASK (or REPS_PER_LARGE) replicates, and they gather from its cosines; in larger folds
     positions are permuted by a relational plan and each vector is shipped once per replicate.
     Both make the same draws. Returns rep, context, raw_spearman, ts_spearman.
     """
@@ -330,17 +343,16 @@ def signature_permutations(loo: DataFrame, consensus: DataFrame, entity: str, co
     out = T.StructType([T.StructField("rep", T.LongType()), loo.schema[context], T.StructField("raw_spearman", T.DoubleType()),
                         T.StructField("ts_spearman", T.DoubleType())])
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group, ids, numbers = _chunk(group, reps, seed)
-        cos = K.shuffled_cosines(np.stack(group["train_mean"].to_numpy()), np.stack(group["vec"].to_numpy()), numbers, zero=0.0, eps=0.0).round(12)
-        found = {"rep": ids, context: [group[context].iloc[0]] * len(ids)}
-        for name, column in (("raw_spearman", "train_di"), ("ts_spearman", "train_ts")):
-            score = group[column].to_numpy(np.float64).round(12)
-            ok = ~np.isnan(score)
-            found[name] = K.row_correlations(K.midranks(score[None, ok]), K.midranks(cos[:, ok]))
-        return pd.DataFrame(found)[out.fieldNames()]
-
-    done = small.groupBy(context, "_chunk").applyInPandas(work, out)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, numbers = _chunk(batches, reps, seed)
+        scores = [group.column(c).to_numpy().astype(np.float64).round(12) for c in ("train_di", "train_ts")]
+        for part, cos in K.shuffled_blocks(_matrix(group, "train_mean"), _matrix(group, "vec"), numbers, zero=0.0, eps=0.0):
+            cos = cos.round(12)
+            same = group.column(context).combine_chunks().take(pa.array(np.zeros(len(cos), np.int64)))
+            rho = [K.row_correlations(K.midranks(s[None, ~np.isnan(s)]), K.midranks(cos[:, ~np.isnan(s)])) for s in scores]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), same, *[pa.array(r, from_pandas=True) for r in rho]], names=out.fieldNames())
+
+    done = small.groupBy(context, "_chunk").applyInArrow(work, out)
     if large.isEmpty():
         return done
     return done.unionByName(_permuted_by_joins(large, entity, context, reps, seed))
@@ -377,19 +389,20 @@ def random_pair_null(df: DataFrame, key: str, a: str, b: str, *, reps: int = 100
     """1 - |cos| between vector ``a`` of a row and vector ``b`` of a randomly matched row.
 
     (rep, key, instability); NULL where a vector is zero. As above, tables that fit a task are
-    shipped once for each REPS_PER_TASK replicates, larger ones once per replicate.
+    shipped once for some replicates, whose rows leave the task a block at a time; larger ones once per replicate.
     """
     whole = df.select(key, a, b).dropna(subset=[a, b])
     small, large = _dealt(whole, [], key, reps, seed, a, b)
     out = T.StructType([T.StructField("rep", T.LongType()), df.schema[key], T.StructField("instability", T.DoubleType())])
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group, ids, numbers = _chunk(group, reps, seed)
-        cos = K.shuffled_cosines(np.stack(group[a].to_numpy()), np.stack(group[b].to_numpy()), numbers, zero=np.nan, eps=1e-12)
-        return pd.DataFrame({"rep": np.repeat(ids, len(group)), key: np.tile(group[key].to_numpy(), len(ids)),
-                             "instability": (1.0 - np.abs(cos)).ravel()})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, numbers = _chunk(batches, reps, seed)
+        keys = group.column(key).combine_chunks()
+        for part, cos in K.shuffled_blocks(_matrix(group, a), _matrix(group, b), numbers, zero=np.nan, eps=1e-12):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part], len(keys))), pa.concat_arrays([keys] * len(cos)),
+                                              pa.array((1.0 - np.abs(cos)).ravel(), from_pandas=True)], names=out.fieldNames())
 
-    done = small.groupBy("_chunk").applyInPandas(work, out).withColumn("instability", F.nanvl("instability", F.lit(None).cast("double")))
+    done = small.groupBy("_chunk").applyInArrow(work, out)
     if large.isEmpty():
         return done
     rows = reuse(row_index(large, [], [key], "_pos").drop("n"))
