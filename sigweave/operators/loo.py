@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from . import blocks
-from .common import attach, join_groups, reuse, unpivot
+from .common import attach, join_groups, reuse
 from .geometry import vector_sums
-from .rankstats import spearman, wilcoxon_signed_rank
+from .rankstats import spearman_columns, wilcoxon_signed_rank
 
 
 def holdout_rows(df: DataFrame, by: Sequence[str], context: str, *, vec: str = "vec",
@@ -78,14 +78,10 @@ def fold_table(loo: DataFrame, context: str, *, by: Sequence[str] = (), min_n: i
     Scores are rounded to ``digits`` so that equal scores tie in every evaluation.
     """
     keys = [*by, context]
-    scores = reuse(loo.select(
-        *keys, F.round("train_di", digits).alias("raw"), F.round("train_ts", digits).alias("ts"),
-        F.round("holdout_cosine", digits).alias("_held")))
-    rho = spearman(unpivot(scores, [*keys, "_held"], ["raw", "ts"], "score", "value"),
-                   [*keys, "score"], "value", "_held")
-    pick = lambda s: F.max(F.when(F.col("score") == s, F.col("rho")))
-    folds = rho.groupBy(*keys).agg(F.max("n").alias("n"), pick("raw").alias("raw_spearman"),
-                                   pick("ts").alias("ts_spearman")).filter(F.col("n") >= min_n)
+    scores = loo.select(
+        *keys, F.round("train_di", digits).alias("raw_spearman"), F.round("train_ts", digits).alias("ts_spearman"),
+        F.round("holdout_cosine", digits).alias("_held"))
+    folds = spearman_columns(scores, keys, ["raw_spearman", "ts_spearman"], "_held").filter(F.col("n") >= min_n)
     return folds.withColumn("delta", F.round(F.col("ts_spearman") - F.col("raw_spearman"), digits)).withColumn(
         "ts_wins", F.col("delta") > 0)
 
