@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sigweave.functions import draws
-from sigweave.operators import common, ladder, matching, rankstats, resample
+from sigweave.operators import common, groups, ladder, matching, rankstats, resample
 from sigweave.operators import replicates as K
 from sigweave.operators.common import half_away
 
@@ -86,3 +86,10 @@ def test_columns_are_ranked_once_in_crowded_pieces(spark, monkeypatch):
     placed = ladder.with_pieces(common.reuse(spark.createDataFrame(data[["z"]])), "z", 16)
     plan = placed._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_rows_of_a_large_region_stay_spread(spark):
+    """Edges of a group's quantiles come to its rows; before, the rows of a group met them in one task."""
+    rows = spark.range(4000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("x"))
+    plan = groups.quantile_group(rows, ["g"], "x", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
