@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ COUNTER_ITEMS = 300_000
 BLOCK = 4096  # parameters per row while copies are averaged
 FAN = 64  # first-level means of a block
 BATCH = 8192  # positions of a training step
+PIECE = 1024  # rows whose logits are computed together
+SAFE = 60.0  # logits below it are exponentiated as they are
 
 Network = dict[str, np.ndarray]
 
@@ -74,6 +77,17 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words per text, the number of every word's entry, and the distinct words (as ``words_of`` cuts them)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = split.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)  # a text that begins or ends with space has empty ends
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    ends = np.asarray(split.offsets) - split.offsets[0].as_py()
+    coded = flat.filter(real).dictionary_encode()
+    return np.diff(before[ends]), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary())
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all documents; partitions add up their own words before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,65 +148,99 @@ def unflatten(flat: np.ndarray, classes: int) -> Network:
     return out
 
 
-def stream(texts: list[list[bytes]], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts' words with two pads around each text; positions of the words; words per text."""
-    gap = np.full(2, ids.pad, np.int64)
-    parts, lens = [gap], []
-    for words in texts:
-        parts += [np.fromiter(map(ids.__getitem__, words), np.int64, len(words)), gap]
-        lens.append(len(words))
-    flat = np.concatenate(parts)
-    return flat, np.flatnonzero(flat != ids.pad), np.array(lens, np.int64)
+def stream(lens: np.ndarray, entry: np.ndarray, words: pa.Array, ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts' words with two pads around each text; positions of the words; ids of the distinct words."""
+    own = np.fromiter(map(ids.__getitem__, words.to_pylist()), np.int64, len(words))
+    flat = np.full(len(entry) + 2 * len(lens) + 2, ids.pad, np.int64)
+    at = np.arange(len(entry)) + 2 + 2 * np.repeat(np.arange(len(lens)), lens)
+    flat[at] = own[entry]
+    return flat, at, own
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    """Softmax of every row, in place."""
-    x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
+def with_one(h: np.ndarray) -> np.ndarray:
+    """Hidden states with a last 1, which a bias as last row of the weights meets."""
+    return np.column_stack([h, np.ones(len(h), h.dtype)])
 
 
-def chosen_log(x: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Log of the softmax of every row at its ``place``; overwrites ``x``."""
-    x -= x.max(-1, keepdims=True)
-    chosen = x[np.arange(len(x)), place]
-    np.exp(x, out=x)
-    return chosen - np.log(x.sum(-1))
+def with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights with their bias as last row."""
+    return np.concatenate([weights, bias[..., None, :]], axis=-2)
+
+
+def stays_safe(*weights: np.ndarray) -> bool:
+    """Whether no logit can leave exp's range: states are within [-1, 1]."""
+    return max(np.abs(w).sum(-2).max() for w in weights) < SAFE
 
 
 def hidden(net: Network, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     near = flat[at[:, None] + np.array(CONTEXT)[None, :]]
-    seen = net["embed"][near].reshape(len(at), -1)
-    return near, seen, np.tanh(seen @ net["mix"] + net["mix_bias"])
+    seen = net["embed"].take(near, axis=0).reshape(len(at), -1)
+    h = seen @ net["mix"]
+    h += net["mix_bias"]
+    return near, seen, np.tanh(h, out=h)
 
 
 def by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Order that groups equal classes, and where each class begins in it."""
-    order = np.argsort(cls, kind="stable")
-    return order, np.searchsorted(cls[order], np.arange(classes + 1))
+    order = np.argsort(cls.astype(np.uint16) if classes < 1 << 16 else cls, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=classes))])
+
+
+def pieces(starts: np.ndarray) -> Iterator[tuple[slice, list[tuple[int, slice]]]]:
+    """Whole classes, few enough rows at a time that their logits stay in cache, with each one's rows within the piece.
+
+    ``starts`` are where the classes begin; a class of many rows is a piece of its own.
+    """
+    groups: list[tuple[int, slice]] = []
+    first = 0
+    for c in np.flatnonzero(np.diff(starts)).tolist():
+        groups.append((c, slice(int(starts[c]) - first, int(starts[c + 1]) - first)))
+        if starts[c + 1] - first >= PIECE or starts[c + 1] == starts[-1]:
+            yield slice(first, int(starts[c + 1])), groups
+            groups, first = [], int(starts[c + 1])
+
+
+def word_logits(words: np.ndarray, h: np.ndarray, groups: list[tuple[int, slice]]) -> np.ndarray:
+    """Logits within the class, for rows grouped by class; ``words`` are the weights of the ``groups`` in turn."""
+    x = np.empty((len(h), words.shape[2]), np.float32)
+    for own, (_, rows) in zip(words, groups, strict=True):
+        np.matmul(h[rows], own, out=x[rows])
+    return x
 
 
-def word_logits(net: Network, h: np.ndarray, starts: np.ndarray, filled: np.ndarray) -> np.ndarray:
-    """Logits within the class, for rows grouped by class; ``filled`` are the classes that have rows."""
-    x = np.empty((len(h), len(net["cls_bias"])), np.float32)
-    for c in filled:
-        rows = slice(starts[c], starts[c + 1])
-        np.matmul(h[rows], net["word"][c], out=x[rows])
-        x[rows] += net["word_bias"][c]
+def softmax_slope(x: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Gradient of the mean negative log-softmax at ``place`` over ``n`` rows; overwrites ``x``."""
+    if x.max() > SAFE or x.min() < -SAFE:
+        x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x *= (1 / (x @ np.ones(x.shape[1], x.dtype) * n))[:, None]
+    x[np.arange(len(x)), place] -= np.float32(1 / n)
     return x
 
 
+def chosen_log(x: np.ndarray, place: np.ndarray, safe: bool) -> np.ndarray:
+    """Log of the softmax of every row at its ``place``; overwrites ``x``."""
+    if not safe:
+        x -= x.max(-1, keepdims=True)
+    chosen = x[np.arange(len(x)), place]
+    np.exp(x, out=x)
+    return chosen - np.log(x.sum(-1))
+
+
 def log_probabilities(net: Network, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Conditional log-probability of the word at every position ``at``."""
     out, classes = np.empty(len(at)), len(net["cls_bias"])
+    cls_w, word_w = with_bias(net["cls"], net["cls_bias"]), with_bias(net["word"], net["word_bias"])
+    safe = stays_safe(cls_w, word_w)
     for s in range(0, len(at), 2 * BATCH):
         here = at[s:s + 2 * BATCH]
         cls, place = class_of(flat[here], classes)
         order, starts = by_class(cls, classes)
-        _, _, h = hidden(net, flat, here[order])
-        x = word_logits(net, h, starts, np.flatnonzero(np.diff(starts)))
-        out[s + order] = chosen_log(x, place[order]) + chosen_log(h @ net["cls"] + net["cls_bias"], cls[order])
+        h = with_one(hidden(net, flat, here[order])[2])
+        cls, place = cls[order], place[order]
+        for piece, groups in pieces(starts):
+            x = word_logits(word_w[[c for c, _ in groups]], h[piece], groups)
+            out[s + order[piece]] = chosen_log(x, place[piece], safe) + chosen_log(h[piece] @ cls_w, cls[piece], safe)
     return out
 
 
@@ -206,35 +254,39 @@ def descend(value: np.ndarray, speed: np.ndarray, grad: np.ndarray, rate: float,
 
 def train_step(net: Network, speed: Network, flat: np.ndarray, at: np.ndarray, rate: float) -> None:
     """One AdaGrad step on the masked positions ``at``; costs what they touch, not the vocabulary."""
-    classes, n = len(net["cls_bias"]), np.float32(len(at))
+    classes, n = len(net["cls_bias"]), len(at)
     cls, place = class_of(flat[at], classes)
     order, starts = by_class(cls, classes)
-    near, seen, h = hidden(net, flat, at[order])
-    cls, place, each = cls[order], place[order], np.arange(len(at))
-    d_cls = softmax(h @ net["cls"] + net["cls_bias"])
-    d_cls[each, cls] -= 1
-    d_cls /= n
-    d_h = d_cls @ net["cls"].T
-    filled = np.flatnonzero(np.diff(starts))
-    d = softmax(word_logits(net, h, starts, filled))
-    d[each, place] -= 1
-    d /= n
-    d_word = np.empty((len(filled), HIDDEN, classes), np.float32)
-    for i, c in enumerate(filled):
-        rows = slice(starts[c], starts[c + 1])
-        d_h[rows] += d[rows] @ net["word"][c].T
-        np.matmul(h[rows].T, d[rows], out=d_word[i])
-    descend(net["word"], speed["word"], d_word, rate, filled)
-    descend(net["word_bias"], speed["word_bias"], np.add.reduceat(d, starts[filled], axis=0), rate, filled)
-    d_mix = d_h * (1 - h * h)
-    d_seen = (d_mix @ net["mix"].T).reshape(-1, EMBED)
+    near, seen, states = hidden(net, flat, at[order])
+    cls, place, h = cls[order], place[order], with_one(states)
+    cls_w = with_bias(net["cls"], net["cls_bias"])
+    d_h, d_cls = np.empty_like(h), np.zeros_like(cls_w)
+    for piece, groups in pieces(starts):
+        mine, back = h[piece], d_h[piece]
+        d = softmax_slope(mine @ cls_w, cls[piece], n)
+        d_cls += mine.T @ d
+        np.matmul(d, cls_w.T, out=back)
+        here = [c for c, _ in groups]
+        own = slice(here[0], here[-1] + 1) if here[-1] - here[0] < len(here) else here
+        words = with_bias(net["word"][own], net["word_bias"][own])
+        d = softmax_slope(word_logits(words, mine, groups), place[piece], n)
+        d_word = np.empty_like(words)
+        for i, (_, rows) in enumerate(groups):
+            back[rows] += d[rows] @ words[i].T
+            np.matmul(mine[rows].T, d[rows], out=d_word[i])
+        # The classes of a piece are in no other, so their weights move while they are in cache.
+        descend(net["word"], speed["word"], d_word[:, :HIDDEN], rate, own)
+        descend(net["word_bias"], speed["word_bias"], d_word[:, HIDDEN], rate, own)
+    d_mix = d_h[:, :HIDDEN] * (1 - states * states)
+    d_seen = (net["mix"] @ d_mix.T).reshape(len(CONTEXT), EMBED, n)
+    near = near.T
     touched = np.flatnonzero(np.bincount(near.ravel(), minlength=len(net["embed"])))
     short = np.empty(len(net["embed"]), np.int64)
     short[touched] = np.arange(len(touched))
     short = short[near.ravel()]
-    d_embed = np.column_stack([np.bincount(short, d_seen[:, k], len(touched)) for k in range(EMBED)])
+    d_embed = np.column_stack([np.bincount(short, d_seen[:, k].ravel(), len(touched)) for k in range(EMBED)])
     descend(net["embed"], speed["embed"], d_embed, rate, touched)
-    for k, grad in (("cls", h.T @ d_cls), ("cls_bias", d_cls.sum(0)), ("mix", seen.T @ d_mix), ("mix_bias", d_mix.sum(0))):
+    for k, grad in (("cls", d_cls[:HIDDEN]), ("cls_bias", d_cls[HIDDEN]), ("mix", seen.T @ d_mix), ("mix_bias", d_mix.sum(0))):
         descend(net[k], speed[k], grad, rate)
 
 
@@ -273,7 +325,7 @@ def train(docs: DataFrame, frequent: dict[bytes, int], *, key: str = "doc_id", t
             rng = np.random.default_rng([seed, r, TaskContext.get().partitionId()])
             weight = 0
             for batch in batches:
-                flat, at, _ = stream([words_of(t) for t in batch.column(0).to_pylist()], ids)
+                flat, at, _ = stream(*batch_words(batch.column(0)), ids)
                 for mask in masks(at, masked, rng):
                     train_step(mine, speed, flat, mask, rate)
                 weight += len(at)
@@ -298,6 +350,15 @@ def train(docs: DataFrame, frequent: dict[bytes, int], *, key: str = "doc_id", t
     return net
 
 
+def rare_words(text_of: np.ndarray, entry: np.ndarray, words: pa.Array, rare: np.ndarray, n: int) -> pa.Array:
+    """For each of ``n`` texts the words whose entry is ``rare``, with how often each occurs in it."""
+    here = rare[entry]
+    pair, times = np.unique(text_of[here] * max(1, len(words)) + entry[here], return_counts=True)
+    of, which = np.divmod(pair, max(1, len(words)))
+    found = pa.StructArray.from_arrays([words.take(pa.array(which)), pa.array(times, pa.int32())], names=["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), found)
+
+
 def score(docs: DataFrame, net: Network, frequent: dict[bytes, int], shares: DataFrame, *, text: str = "text") -> DataFrame:
     """All columns but the text, with n_tokens, log_likelihood (sum) and mean_log_likelihood.
 
@@ -312,18 +373,18 @@ def score(docs: DataFrame, net: Network, frequent: dict[bytes, int], shares: Dat
     fields = [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, frame.schema.fields[:len(rest)], strict=True)]
     sc = docs.sparkSession.sparkContext
     model, words, classes = sc.broadcast(flatten(net)), sc.broadcast(frequent), len(net["cls_bias"])
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
     memo: list[Ids] = []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not memo:
             memo.append(Ids(words.value))
-        texts = [words_of(t) for t in batch.column(len(rest)).to_pylist()]
-        flat, at, lens = stream(texts, memo[0])
+        lens, entry, distinct = batch_words(batch.column(len(rest)))
+        flat, at, own = stream(lens, entry, distinct, memo[0])
         p = log_probabilities(unflatten(model.value, classes), flat, at)
-        total = np.bincount(np.repeat(np.arange(len(lens)), lens), p, len(lens))
-        rare = [[{"word": w, "n": n} for w, n in Counter(t).items() if w not in words.value] for t in texts]
-        return pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], pa.array(lens), pa.array(total), pa.array(rare, rare_type)],
+        text_of = np.repeat(np.arange(len(lens)), lens)
+        total = np.bincount(text_of, p, len(lens))
+        rare = rare_words(text_of, entry, distinct, own >= len(words.value), len(lens))
+        return pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], pa.array(lens), pa.array(total), rare],
                                           names=[*names, "_n", "_total", "_rare"])
 
     scored = arrow_map(frame, work, ", ".join([*fields, "_n long", "_total double", "_rare array<struct<word:binary,n:int>>"]))

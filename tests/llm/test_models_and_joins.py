@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,6 +382,44 @@ def test_window_network_descends_its_gradient():
     assert (moved["embed"][untouched] == net["embed"][untouched].astype(np.float32)).all()
 
 
+def test_words_of_a_batch_are_those_of_its_texts():
+    texts = ["", "  A b\tÄ\x0bb ", "\n", "b\x1cc b\u2003c", "É a A\x0c", "x"]
+    lens, entry, words = pseudolm.batch_words(pa.array(["cut off", *texts])[1:])
+    assert lens.tolist() == [len(pseudolm.words_of(t)) for t in texts]
+    assert words.take(pa.array(entry)).to_pylist() == [w for t in texts for w in pseudolm.words_of(t)]
+    ids = pseudolm.Ids({b"b": 0, b"a": 1})
+    flat, at, own = pseudolm.stream(lens, entry, words, ids)
+    gap = [ids.pad] * 2
+    assert flat.tolist() == gap + [i for t in texts for i in [*(ids[w] for w in pseudolm.words_of(t)), *gap]]
+    assert at.tolist() == np.flatnonzero(flat != ids.pad).tolist()
+    rare = pseudolm.rare_words(np.repeat(np.arange(6), lens), entry, words, own >= 2, 6).to_pylist()
+    for t, found in zip(texts, rare, strict=True):
+        own_words = pseudolm.words_of(t)
+        assert {r["word"]: r["n"] for r in found} == {w: own_words.count(w) for w in own_words if w not in (b"a", b"b")}
+    none = pseudolm.batch_words(pa.array([""]))
+    assert none[0].tolist() == [0] and len(none[1]) == 0 and pseudolm.stream(*none, ids)[0].tolist() == gap * 2
+    assert pseudolm.rare_words(np.zeros(0, int), none[1], none[2], np.zeros(0, bool), 1).to_pylist() == [[]]
+
+
+def test_steep_networks_neither_overflow_nor_differ_in_pieces():
+    rng = np.random.default_rng(6)
+    ids = rng.integers(0, 900, 3000)
+    flat, at = np.concatenate([[pseudolm.PAD] * 2, ids, [pseudolm.PAD] * 2]), np.arange(2, 3002)
+    for scale in (1.0, 400.0):
+        net = {k: (v * scale).astype(np.float32) for k, v in pseudolm.fresh().items()}
+        assert pseudolm.stays_safe(net["cls"], net["word"]) == (scale == 1.0)
+        cls, place = pseudolm.class_of(flat[at], pseudolm.CLASSES)
+        h = pseudolm.hidden(net, flat, at)[2].astype(float)
+        first = h @ net["cls"] + net["cls_bias"]
+        second = np.einsum("nh,nhc->nc", h, net["word"][cls].astype(float)) + net["word_bias"][cls]
+        each = np.arange(len(at))
+        want = sum(x[each, i] - x.max(1) - np.log(np.exp(x - x.max(1, keepdims=True)).sum(1)) for x, i in ((first, cls), (second, place)))
+        assert np.allclose(pseudolm.log_probabilities(net, flat, at), want, rtol=1e-4, atol=1e-4)
+        speed = {k: np.zeros_like(v) for k, v in net.items()}
+        pseudolm.train_step(net, speed, flat, at, 0.05)
+        assert all(np.isfinite(v).all() for v in net.values())
+
+
 def test_copies_are_averaged_by_weight_in_any_order(spark):
     rng = np.random.default_rng(4)
     values, weight = rng.normal(size=(150, 3)), rng.integers(1, 9, 150)
