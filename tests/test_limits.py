@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sigweave.functions import draws
-from sigweave.operators import common, groups, ladder, matching, rankstats, resample
+from sigweave.operators import collapse, common, groups, ladder, matching, rankstats, resample
 from sigweave.operators import replicates as K
 from sigweave.operators.common import half_away
 
@@ -93,3 +93,17 @@ def test_rows_of_a_large_region_stay_spread(spark):
     rows = spark.range(4000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("x"))
     plan = groups.quantile_group(rows, ["g"], "x", 4)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_centred_vectors_take_their_mean_once(spark):
+    """The mean used to be put into the lambda of every feature and again into the filter on whole vectors."""
+    rng = np.random.default_rng(8)
+    rows = [(int(e), None if i > 3 else int(i), float(x)) for e, i, x in zip(rng.integers(0, 5, 60), rng.integers(0, 5, 60), rng.integers(1, 9, 60), strict=True)]
+    long = spark.createDataFrame(rows, "entity long, idx int, x double")
+    vectors = collapse.long_to_vectors(long, ["entity"], F.col("idx"), F.col("x"), 4, centred=True)
+    got = {r["entity"]: r["vec"] for r in vectors.collect()}
+    for e in range(5):
+        own = np.array([sum(x for k, j, x in rows if k == e and j == i) for i in range(4)])
+        assert np.allclose(got[e], own - own.mean(), atol=1e-12)
+    whole = vectors.filter(F.size("vec") > 0)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in whole and "aggregate(" not in whole
