@@ -107,3 +107,20 @@ def test_centred_vectors_take_their_mean_once(spark):
         assert np.allclose(got[e], own - own.mean(), atol=1e-12)
     whole = vectors.filter(F.size("vec") > 0)._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in whole and "aggregate(" not in whole
+
+
+def test_gates_read_their_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(4000).select("id", (F.col("id") % 997).cast("double").alias("a"), (F.col("id") % 89).cast("double").alias("b"))
+    gated = matching.quartile_gates(df.mapInArrow(count, df.schema), "a", "b")
+    a, b = np.arange(4000) % 997, np.arange(4000) % 89
+    high = (a >= np.quantile(a, 0.75)) & (b >= np.quantile(b, 0.75))
+    low = (a <= np.quantile(a, 0.25)) & (b <= np.quantile(b, 0.25))
+    assert gated.filter("gate = 'high'").count() == high.sum() and gated.filter("gate = 'low'").count() == low.sum()
+    assert seen.value == 4000
