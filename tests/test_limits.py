@@ -124,3 +124,26 @@ def test_gates_read_their_table_once(spark):
     low = (a <= np.quantile(a, 0.25)) & (b <= np.quantile(b, 0.25))
     assert gated.filter("gate = 'high'").count() == high.sum() and gated.filter("gate = 'low'").count() == low.sum()
     assert seen.value == 4000
+
+
+def test_set_overlaps_as_arrays_and_one_by_one(spark, monkeypatch):
+    """A NULL item counts in its set and equals no other; repeated items count once."""
+    items = {1: [1, 2, 3, 3], 2: [2, 3, None], 3: [None, None], 4: [9], 5: [3, 2, 1]}
+    members = spark.createDataFrame([(k, i) for k, v in items.items() for i in v], "key long, item int")
+    pairs = [(r, a, b) for r in (1, 2) for a in items for b in [*items, 6] if a != b]
+    frame = spark.createDataFrame(pairs, "rep int, key_a long, key_b long")
+
+    def size(v):
+        return len(set(v))
+
+    want = {}
+    for r, a, b in pairs:
+        if b in items:
+            both = len({*items[a]} & {*items[b]} - {None})
+            want[r, a, b] = both / (size(items[a]) + size(items[b]) - both)
+    for bound, arrays in ((1000, True), (1, False)):
+        monkeypatch.setattr(matching, "SET_ITEMS", bound)
+        got = matching.pair_set_overlap(frame, members, "key", "item")
+        assert {(x["rep"], x["key_a"], x["key_b"]): x["jaccard"] for x in got.collect()} == want
+        assert got.columns.count("jaccard") == 1 and len(got.columns) == 4
+        assert ("array_intersect" in got._jdf.queryExecution().executedPlan().toString()) == arrays
