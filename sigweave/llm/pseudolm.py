@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, settle, text_last, whole_text
+from .common import TEXT_BATCH_ROWS, arrow_map, settle, text_last, whole_text
 
 CLASSES = 32  # of the smallest network; a class holds as many words as there are classes
 VOCABULARY = CLASSES * CLASSES
@@ -35,13 +34,16 @@ PAD = VOCABULARY
 OFTEN = 1000  # a word that occurs so often has a place of its own, however many there are
 CONTEXT = (-2, -1, 1, 2)
 EMBED, HIDDEN = 12, 24
-MEMO_ITEMS = 400_000
-COUNTER_ITEMS = 300_000
+COMMON = 262_144  # words without a place of their own, at most, whose shares every task holds
+COUNTED = 1_200_000  # counts of words that a task holds before it adds them up
 BLOCK = 4096  # parameters per row while copies are averaged
 FAN = 64  # first-level means of a block
 BATCH = 8192  # positions of a training step
 PIECE = 1024  # rows whose logits are computed together
+SMALL = 256  # rows of a product that sums over them: more cost twice as much a row
+SCORED = 65_536  # positions that are scored together
 SAFE = 60.0  # logits below it are exponentiated as they are
+LOG2E = np.float32(math.log2(math.e))  # powers of two are cheaper than those of e
 
 Network = dict[str, np.ndarray]
 
@@ -56,21 +58,36 @@ def classes_for(n_frequent: int) -> int:
     return max(CLASSES, math.ceil(math.sqrt(n_frequent * VOCABULARY / (VOCABULARY - BUCKETS))))
 
 
-class Ids(dict):
-    """Word to id, memoised in bounded space; ids from ``first_bucket`` on are buckets, ``pad`` is no word."""
+class Ids:
+    """Word to id; ids from ``first_bucket`` on are buckets, ``pad`` is no word.
 
-    def __init__(self, frequent: dict[bytes, int]):
+    ``common`` (word, bucket, log_share) are words without a place of their own that need not be hashed.
+    """
+
+    def __init__(self, frequent: dict[bytes, int], common: pa.Table | None = None):
         self.frequent, self.first_bucket = frequent, max(len(frequent), VOCABULARY - BUCKETS)
         self.pad = classes_for(len(frequent)) ** 2
-
-    def __missing__(self, word: bytes) -> int:
+        words, share = pa.array(frequent, pa.binary()), np.zeros(len(frequent))
+        ids = np.fromiter(frequent.values(), np.int64, len(frequent))
+        if common is not None:
+            words = pa.concat_arrays([words, *common.column("word").cast(pa.binary()).chunks])
+            ids = np.concatenate([ids, common.column("bucket").to_numpy() + self.first_bucket])
+            share = np.concatenate([share, common.column("log_share").to_numpy()])
+        self.known, self.ids, self.share = words, ids, share
+
+    def __getitem__(self, word: bytes) -> int:
         n = self.frequent.get(word)
-        if n is None:
-            n = self.first_bucket + zlib.crc32(word) % (self.pad - self.first_bucket)
-        if len(self) >= MEMO_ITEMS:
-            self.clear()
-        self[word] = n
-        return n
+        return self.first_bucket + zlib.crc32(word) % (self.pad - self.first_bucket) if n is None else n
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words and the log of their share of that id: 0 for frequent words, NaN for those that are not known."""
+        found = pc.index_in(words, value_set=self.known)
+        known, at = found.is_valid().to_numpy(zero_copy_only=False), found.drop_null().to_numpy()
+        rest = words.filter(found.is_null()).to_numpy(zero_copy_only=False)
+        ids, share = np.empty(len(words), np.int64), np.full(len(words), np.nan)
+        ids[known], share[known] = self.ids[at], self.share[at]
+        ids[~known] = self.first_bucket + np.fromiter(map(zlib.crc32, rest), np.int64, len(rest)) % (self.pad - self.first_bucket)
+        return ids, share
 
 
 def words_of(text: str) -> list[bytes]:
@@ -91,17 +108,20 @@ def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all documents; partitions add up their own words before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(counter: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())],
-                                              names=["word", "n"])
-        counter: Counter = Counter()
+        def added() -> Iterator[pa.RecordBatch]:
+            both = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            yield from both.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches(TEXT_BATCH_ROWS * 128)
+
+        held: list[pa.Table] = []
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                counter.update(words_of(value))
-                if len(counter) > COUNTER_ITEMS:
-                    yield flush(counter)
-                    counter = Counter()
-        yield flush(counter)
+            for start in range(0, batch.num_rows, TEXT_BATCH_ROWS):
+                _, entry, words = batch_words(batch.column(0).slice(start, TEXT_BATCH_ROWS))
+                held.append(pa.table({"word": words, "n": pa.array(np.bincount(entry, minlength=len(words)), pa.int64())}))
+                if sum(t.num_rows for t in held) > COUNTED:
+                    yield from added()
+                    held.clear()
+        if held:
+            yield from added()
 
     return docs.select(whole_text(text).alias("t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -115,18 +135,31 @@ def frequent_words(counts: DataFrame) -> dict[bytes, int]:
 
 
 def bucket_shares(counts: DataFrame, frequent: dict[bytes, int]) -> DataFrame:
-    """(word, log_share) of every word without a place of its own: the log of its share of its bucket."""
+    """(word, n, bucket, log_share) of every word without a place of its own: the log of its share of its bucket."""
     ids = Ids(frequent)
-    own = counts.sparkSession.createDataFrame([(bytearray(w),) for w in frequent], "word binary")
+    own = counts.sparkSession.createDataFrame(pa.table({"word": pa.array(frequent, pa.binary())}))
     rare = counts.join(F.broadcast(own), "word", "left_anti").withColumn(
         "bucket", F.crc32("word") % F.lit(ids.pad - ids.first_bucket))
-    total = rare.groupBy("bucket").agg(F.sum("n").alias("total"))  # fewer rows than the network has words
-    return rare.join(F.broadcast(total), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
+    total = settle(rare.groupBy("bucket").agg(F.sum("n").alias("total")))  # fewer rows than the network has words
+    return rare.join(F.broadcast(total), "bucket").select("word", "n", "bucket", F.log(F.col("n") / F.col("total")).alias("log_share"))
+
+
+def split_shares(counts: DataFrame, frequent: dict[bytes, int], most: int = COMMON) -> tuple[pa.Table, DataFrame]:
+    """The shares of the more common words, at most ``most``, as a local table, and those of all other words."""
+    shares, least, held = bucket_shares(counts, frequent), OFTEN + 1, -len(frequent)
+    times = counts.groupBy(F.least("n", F.lit(OFTEN)).alias("n")).count().collect()
+    for n, words in sorted(times, reverse=True):
+        held += words
+        if held > most:
+            break
+        least = n
+    return shares.filter(F.col("n") >= least).drop("n").toArrow(), shares.filter(F.col("n") < least).select("word", "log_share")
 
 
 def class_of(ids: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Class and place in the class: words of neighbouring rank lie in different classes."""
-    return ids % classes, ids // classes
+    place = ids // classes
+    return ids - place * classes, place
 
 
 def fresh(seed: int = 11, classes: int = CLASSES) -> Network:
@@ -148,13 +181,18 @@ def unflatten(flat: np.ndarray, classes: int) -> Network:
     return out
 
 
+def lay_out(lens: np.ndarray, ids: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts' words with two pads around each text, and the positions of the words."""
+    flat = np.full(len(ids) + 2 * len(lens) + 2, pad, np.int32)
+    at = np.arange(len(ids)) + 2 + 2 * np.repeat(np.arange(len(lens)), lens)
+    flat[at] = ids
+    return flat, at
+
+
 def stream(lens: np.ndarray, entry: np.ndarray, words: pa.Array, ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts' words with two pads around each text; positions of the words; ids of the distinct words."""
-    own = np.fromiter(map(ids.__getitem__, words.to_pylist()), np.int64, len(words))
-    flat = np.full(len(entry) + 2 * len(lens) + 2, ids.pad, np.int64)
-    at = np.arange(len(entry)) + 2 + 2 * np.repeat(np.arange(len(lens)), lens)
-    flat[at] = own[entry]
-    return flat, at, own
+    own, _ = ids.look_up(words)
+    return *lay_out(lens, own[entry], ids.pad), own
 
 
 def with_one(h: np.ndarray) -> np.ndarray:
@@ -208,23 +246,31 @@ def word_logits(words: np.ndarray, h: np.ndarray, groups: list[tuple[int, slice]
     return x
 
 
-def softmax_slope(x: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-    """Gradient of the mean negative log-softmax at ``place`` over ``n`` rows; overwrites ``x``."""
+def at_places(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Where in the flat ``x`` the ``place`` of every row is."""
+    return np.arange(0, x.size, x.shape[1]) + place
+
+
+def softmax_slope(x: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the mean negative log-softmax at ``place`` over ``n`` rows of base-2 logits, and a factor for each row.
+
+    Their product is the gradient: states are scaled at less cost than logits. Overwrites ``x``.
+    """
     if x.max() > SAFE or x.min() < -SAFE:
         x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x *= (1 / (x @ np.ones(x.shape[1], x.dtype) * n))[:, None]
-    x[np.arange(len(x)), place] -= np.float32(1 / n)
-    return x
+    np.exp2(x, out=x)
+    sums = x @ np.ones(x.shape[1], x.dtype)
+    x.reshape(-1)[at_places(x, place)] -= sums
+    return x, (1 / (sums * n))[:, None]
 
 
 def chosen_log(x: np.ndarray, place: np.ndarray, safe: bool) -> np.ndarray:
-    """Log of the softmax of every row at its ``place``; overwrites ``x``."""
+    """Log, base 2, of the softmax of every row of base-2 logits at its ``place``; overwrites ``x``."""
     if not safe:
         x -= x.max(-1, keepdims=True)
-    chosen = x[np.arange(len(x)), place]
-    np.exp(x, out=x)
-    return chosen - np.log(x.sum(-1))
+    chosen = x.reshape(-1)[at_places(x, place)]
+    np.exp2(x, out=x)
+    return chosen - np.log2(x.sum(-1))  # the same for a row wherever it is, which a product with ones is not
 
 
 def log_probabilities(net: Network, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -232,24 +278,28 @@ def log_probabilities(net: Network, flat: np.ndarray, at: np.ndarray) -> np.ndar
     out, classes = np.empty(len(at)), len(net["cls_bias"])
     cls_w, word_w = with_bias(net["cls"], net["cls_bias"]), with_bias(net["word"], net["word_bias"])
     safe = stays_safe(cls_w, word_w)
-    for s in range(0, len(at), 2 * BATCH):
-        here = at[s:s + 2 * BATCH]
+    for s in range(0, len(at), SCORED):
+        here = at[s:s + SCORED]
         cls, place = class_of(flat[here], classes)
         order, starts = by_class(cls, classes)
-        h = with_one(hidden(net, flat, here[order])[2])
+        h = with_one(hidden(net, flat, here[order])[2]) * LOG2E
         cls, place = cls[order], place[order]
         for piece, groups in pieces(starts):
             x = word_logits(word_w[[c for c, _ in groups]], h[piece], groups)
             out[s + order[piece]] = chosen_log(x, place[piece], safe) + chosen_log(h[piece] @ cls_w, cls[piece], safe)
-    return out
+    return out / LOG2E
 
 
 def descend(value: np.ndarray, speed: np.ndarray, grad: np.ndarray, rate: float, rows: object = ...) -> None:
     """AdaGrad on the ``rows`` that have a gradient; a zero gradient would leave the others as they are."""
     grad = grad.astype(np.float32, copy=False)
-    seen = speed[rows] + grad * grad
-    speed[rows] = seen
-    value[rows] -= np.float32(rate) * grad / np.sqrt(seen + np.float32(1e-10))
+    step = grad * grad
+    step += speed[rows]
+    speed[rows] = step
+    step += np.float32(1e-10)
+    np.divide(grad, np.sqrt(step, out=step), out=step)
+    step *= np.float32(rate)
+    value[rows] -= step
 
 
 def train_step(net: Network, speed: Network, flat: np.ndarray, at: np.ndarray, rate: float) -> None:
@@ -260,23 +310,28 @@ def train_step(net: Network, speed: Network, flat: np.ndarray, at: np.ndarray, r
     near, seen, states = hidden(net, flat, at[order])
     cls, place, h = cls[order], place[order], with_one(states)
     cls_w = with_bias(net["cls"], net["cls_bias"])
+    h2 = h * LOG2E
     d_h, d_cls = np.empty_like(h), np.zeros_like(cls_w)
     for piece, groups in pieces(starts):
         mine, back = h[piece], d_h[piece]
-        d = softmax_slope(mine @ cls_w, cls[piece], n)
-        d_cls += mine.T @ d
-        np.matmul(d, cls_w.T, out=back)
+        d, scale = softmax_slope(h2[piece] @ cls_w, cls[piece], n)
+        scaled = mine * scale
+        for k in range(0, len(d), SMALL):
+            d_cls += scaled[k:k + SMALL].T @ d[k:k + SMALL]
+        np.multiply(d @ cls_w.T, scale, out=back)
         here = [c for c, _ in groups]
         own = slice(here[0], here[-1] + 1) if here[-1] - here[0] < len(here) else here
         words = with_bias(net["word"][own], net["word_bias"][own])
-        d = softmax_slope(word_logits(words, mine, groups), place[piece], n)
-        d_word = np.empty_like(words)
-        for i, (_, rows) in enumerate(groups):
-            back[rows] += d[rows] @ words[i].T
-            np.matmul(mine[rows].T, d[rows], out=d_word[i])
+        d, scale = softmax_slope(word_logits(words, h2[piece], groups), place[piece], n)
+        scaled, d_words = mine * scale, np.empty_like(mine)
+        for weights, (_, rows) in zip(words, groups, strict=True):
+            np.matmul(d[rows], weights.T, out=d_words[rows])
+            np.matmul(scaled[rows].T, d[rows], out=weights)  # the gradient takes the place of the weights
+        d_words *= scale
+        back += d_words
         # The classes of a piece are in no other, so their weights move while they are in cache.
-        descend(net["word"], speed["word"], d_word[:, :HIDDEN], rate, own)
-        descend(net["word_bias"], speed["word_bias"], d_word[:, HIDDEN], rate, own)
+        descend(net["word"], speed["word"], words[:, :HIDDEN], rate, own)
+        descend(net["word_bias"], speed["word_bias"], words[:, HIDDEN], rate, own)
     d_mix = d_h[:, :HIDDEN] * (1 - states * states)
     d_seen = (net["mix"] @ d_mix.T).reshape(len(CONTEXT), EMBED, n)
     near = near.T
@@ -310,17 +365,17 @@ def block_mean(rows: pa.Table) -> pa.Table:
                      "weight": pa.array([weight.sum()], pa.int64()), "values": pa.array([mean], pa.list_(pa.float64()))})
 
 
-def train(docs: DataFrame, frequent: dict[bytes, int], *, key: str = "doc_id", text: str = "text", rounds: int = 2,
-          masked: float = 0.15, rate: float = 0.05, seed: int = 11) -> Network:
+def train(docs: DataFrame, frequent: dict[bytes, int], common: pa.Table | None = None, *, key: str = "doc_id",
+          text: str = "text", rounds: int = 2, masked: float = 0.15, rate: float = 0.05, seed: int = 11) -> Network:
     """Rounds of local training and averaging; a document takes part in the round its key draws, with all its positions."""
     sc = docs.sparkSession.sparkContext
-    words, classes = sc.broadcast(frequent), classes_for(len(frequent))
+    words, classes = sc.broadcast((frequent, common)), classes_for(len(frequent))
     net = fresh(seed, classes)
     for r in range(rounds):
         start = sc.broadcast(flatten(net))
 
         def run(batches: Iterator[pa.RecordBatch], start=start, r=r) -> Iterator[pa.RecordBatch]:
-            ids, mine = Ids(words.value), unflatten(start.value.copy(), classes)
+            ids, mine = Ids(*words.value), unflatten(start.value.copy(), classes)
             speed = {k: np.zeros_like(v) for k, v in mine.items()}
             rng = np.random.default_rng([seed, r, TaskContext.get().partitionId()])
             weight = 0
@@ -359,12 +414,13 @@ def rare_words(text_of: np.ndarray, entry: np.ndarray, words: pa.Array, rare: np
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), found)
 
 
-def score(docs: DataFrame, net: Network, frequent: dict[bytes, int], shares: DataFrame, *, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, net: Network, frequent: dict[bytes, int], common: pa.Table, shares: DataFrame, *,
+          text: str = "text") -> DataFrame:
     """All columns but the text, with n_tokens, log_likelihood (sum) and mean_log_likelihood.
 
-    The network gives the probability of a word or of its bucket, ``shares`` (word, log_share)
-    that of the word within the bucket. Such words are below the frequent ones, so no key of
-    the join is hot.
+    The network gives the probability of a word or of its bucket; that of the word within the
+    bucket is in the table ``common`` or, for all other words, joined from ``shares`` (word,
+    log_share). These are the rarest, so no key of the join is hot.
     """
     new = ["n_tokens", "log_likelihood", "mean_log_likelihood"]
     rest = [c for c in docs.columns if c != text and c not in new]
@@ -372,18 +428,19 @@ def score(docs: DataFrame, net: Network, frequent: dict[bytes, int], shares: Dat
     names = [f"_c{i}" for i in range(len(rest))]
     fields = [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, frame.schema.fields[:len(rest)], strict=True)]
     sc = docs.sparkSession.sparkContext
-    model, words, classes = sc.broadcast(flatten(net)), sc.broadcast(frequent), len(net["cls_bias"])
+    model, words, classes = sc.broadcast(flatten(net)), sc.broadcast((frequent, common)), len(net["cls_bias"])
     memo: list[Ids] = []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not memo:
-            memo.append(Ids(words.value))
+            memo.append(Ids(*words.value))
         lens, entry, distinct = batch_words(batch.column(len(rest)))
-        flat, at, own = stream(lens, entry, distinct, memo[0])
-        p = log_probabilities(unflatten(model.value, classes), flat, at)
+        own, share = memo[0].look_up(distinct)
+        p = log_probabilities(unflatten(model.value, classes), *lay_out(lens, own[entry], memo[0].pad))
+        p += np.nan_to_num(share)[entry]
         text_of = np.repeat(np.arange(len(lens)), lens)
         total = np.bincount(text_of, p, len(lens))
-        rare = rare_words(text_of, entry, distinct, own >= len(words.value), len(lens))
+        rare = rare_words(text_of, entry, distinct, np.isnan(share), len(lens))
         return pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], pa.array(lens), pa.array(total), rare],
                                           names=[*names, "_n", "_total", "_rare"])
 
@@ -406,5 +463,6 @@ def pseudo_likelihood(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     """
     counts = settle(word_counts(docs, text))
     frequent = frequent_words(counts)
-    net = train(docs, frequent, key=key, text=text, rounds=rounds, masked=masked)
-    return score(docs, net, frequent, bucket_shares(counts, frequent), text=text)
+    common, shares = split_shares(counts, frequent)
+    net = train(docs, frequent, common, key=key, text=text, rounds=rounds, masked=masked)
+    return score(docs, net, frequent, common, shares, text=text)

@@ -225,6 +225,31 @@ def test_rare_words_are_scored_by_their_counts(spark):
     assert len({places[f"v{i}".encode()] for i in range(3000)}) == 3000 and places.first_bucket == 3000 < places.pad
 
 
+def test_common_words_need_no_join_and_any_split_scores_alike(spark):
+    """Where the shares of rarer words come from, a table or a join, tells no results apart."""
+    fill = [" ".join(f"w{i}" for i in range(960))] * 30
+    docs = frame(spark, [*fill, *["w1 Once" + " twice w2 twice" * (i % 3) + f" only{i}" for i in range(40)], None, ""])
+    counts = pseudolm.word_counts(docs)
+    times = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    assert len(times) == 960 + 42 and times[b"once"] == 40 and times[b"twice"] == 78 and times[b"only7"] == 1 and times[b"w1"] == 70
+    frequent = pseudolm.frequent_words(counts)
+    rare = times.keys() - frequent.keys()  # 42 of them: "once" and "twice" are among the frequent, two that occur 30 times are not
+    assert len(rare) == 42 and sum(times[w] == 30 for w in rare) == 2
+    got, net = [], None
+    for most, held in ((0, 0), (1, 0), (41, 2), (42, 42), (pseudolm.COMMON, 42)):
+        common, rest = pseudolm.split_shares(counts, frequent, most)
+        joined = {bytes(r["word"]) for r in rest.collect()}
+        assert common.num_rows == held and set(common.column("word").to_pylist()) | joined == rare and len(joined) == 42 - held
+        ids, plain = pseudolm.Ids(frequent, common), pseudolm.Ids(frequent)
+        own, share = ids.look_up(pa.array(sorted(times), pa.binary()))
+        assert own.tolist() == [plain[w] for w in sorted(times)] and np.isnan(share).sum() == len(joined)
+        net = net or pseudolm.train(docs, frequent, common)
+        rows = pseudolm.score(docs, net, frequent, common, rest).orderBy("doc_id").collect()
+        got.append([(r["n_tokens"], r["log_likelihood"]) for r in rows])
+    for other in got[1:]:
+        assert np.allclose(got[0], other, rtol=0, atol=1e-5)
+
+
 def test_every_position_is_a_target_once():
     for n, masked in ((0, 0.15), (1, 0.15), (1000, 0.15), (30_000, 0.5), (10, 1.0)):
         steps = list(pseudolm.masks(np.arange(n), masked, np.random.default_rng(1)))
