@@ -251,6 +251,12 @@ def at_places(x: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.arange(0, x.size, x.shape[1]) + place
 
 
+def exp_sums(x: np.ndarray) -> np.ndarray:
+    """Raises two to ``x`` in place and sums the rows, each in the same way wherever it is (a product with ones does not)."""
+    np.exp2(x, out=x)
+    return np.einsum("ij->i", x)
+
+
 def softmax_slope(x: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Gradient of the mean negative log-softmax at ``place`` over ``n`` rows of base-2 logits, and a factor for each row.
 
@@ -258,8 +264,7 @@ def softmax_slope(x: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray,
     """
     if x.max() > SAFE or x.min() < -SAFE:
         x -= x.max(-1, keepdims=True)
-    np.exp2(x, out=x)
-    sums = x @ np.ones(x.shape[1], x.dtype)
+    sums = exp_sums(x)
     x.reshape(-1)[at_places(x, place)] -= sums
     return x, (1 / (sums * n))[:, None]
 
@@ -269,8 +274,7 @@ def chosen_log(x: np.ndarray, place: np.ndarray, safe: bool) -> np.ndarray:
     if not safe:
         x -= x.max(-1, keepdims=True)
     chosen = x.reshape(-1)[at_places(x, place)]
-    np.exp2(x, out=x)
-    return chosen - np.log2(x.sum(-1))  # the same for a row wherever it is, which a product with ones is not
+    return chosen - np.log2(exp_sums(x))
 
 
 def log_probabilities(net: Network, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -293,13 +297,17 @@ def log_probabilities(net: Network, flat: np.ndarray, at: np.ndarray) -> np.ndar
 def descend(value: np.ndarray, speed: np.ndarray, grad: np.ndarray, rate: float, rows: object = ...) -> None:
     """AdaGrad on the ``rows`` that have a gradient; a zero gradient would leave the others as they are."""
     grad = grad.astype(np.float32, copy=False)
+    gathered = isinstance(rows, np.ndarray)
     step = grad * grad
-    step += speed[rows]
+    step += speed.take(rows, axis=0) if gathered else speed[rows]
     speed[rows] = step
     step += np.float32(1e-10)
     np.divide(grad, np.sqrt(step, out=step), out=step)
     step *= np.float32(rate)
-    value[rows] -= step
+    if gathered:
+        value[rows] = value.take(rows, axis=0) - step
+    else:
+        value[rows] -= step
 
 
 def train_step(net: Network, speed: Network, flat: np.ndarray, at: np.ndarray, rate: float) -> None:
@@ -332,14 +340,17 @@ def train_step(net: Network, speed: Network, flat: np.ndarray, at: np.ndarray, r
         # The classes of a piece are in no other, so their weights move while they are in cache.
         descend(net["word"], speed["word"], words[:, :HIDDEN], rate, own)
         descend(net["word_bias"], speed["word_bias"], words[:, HIDDEN], rate, own)
-    d_mix = d_h[:, :HIDDEN] * (1 - states * states)
-    d_seen = (net["mix"] @ d_mix.T).reshape(len(CONTEXT), EMBED, n)
+    d_mix = states * states
+    np.subtract(1, d_mix, out=d_mix)
+    d_mix *= d_h[:, :HIDDEN]
+    by_part = net["mix"].reshape(len(CONTEXT), EMBED, HIDDEN).swapaxes(0, 1).reshape(-1, HIDDEN)
+    d_seen = (by_part @ d_mix.T).reshape(EMBED, len(CONTEXT) * n)
     near = near.T
     touched = np.flatnonzero(np.bincount(near.ravel(), minlength=len(net["embed"])))
     short = np.empty(len(net["embed"]), np.int64)
     short[touched] = np.arange(len(touched))
     short = short[near.ravel()]
-    d_embed = np.column_stack([np.bincount(short, d_seen[:, k].ravel(), len(touched)) for k in range(EMBED)])
+    d_embed = np.column_stack([np.bincount(short, part, len(touched)) for part in d_seen])
     descend(net["embed"], speed["embed"], d_embed, rate, touched)
     for k, grad in (("cls", d_cls[:HIDDEN]), ("cls_bias", d_cls[HIDDEN]), ("mix", seen.T @ d_mix), ("mix_bias", d_mix.sum(0))):
         descend(net[k], speed[k], grad, rate)
